@@ -241,7 +241,7 @@ def channels(spark: SparkSession) -> DataFrame:
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    """Five sources with logs and one without. One has the novelty detector switched off."""
+    """Five sources with logs and one without. One has a detector switched off."""
     every = ["error_rate_spike", "novel_pattern", "latency_shift", "frequency_deviation"]
     rows = [(f"svc-{i}", 0.5, [k for k in every if i != 3 or k != "frequency_deviation"]) for i in (0, 1, 2, 3, 4, 9)]
     return config_table(spark, rows, "name string, sensitivity double, anomaly_types array<string>")

@@ -142,41 +142,47 @@ def _order_statistics(side: str) -> list[Column]:
     return [F.min(F.when(F.col(side) > r, F.col("value"))).alias(f"{side}_{end}") for end, r in beyond.items()]
 
 
-def latency_shifts(
-    current: DataFrame, latencies: DataFrame, by: list[str] | None = None, value_cells: int = VALUE_CELLS
+def latency_samples(current: DataFrame, by: list[str]) -> DataFrame:
+    """Latencies of the observations as a multiset (value, n)."""
+    observed = current.filter(F.col("latency").isNotNull())
+    return observed.groupBy(*by, F.col("latency").alias("value")).agg(F.sum("n").alias("n"))
+
+
+def ks_distances(
+    observed: DataFrame, latencies: DataFrame, by: list[str] | None = None, value_cells: int = VALUE_CELLS
 ) -> DataFrame:
-    """Two-sample KS test of the current latencies against the baseline's, for windows that got slower.
+    """Largest gap between the two empirical distributions, and the values around their 99th percentiles.
 
-    Works on multisets (value, n): equal values are merged before the shuffle, and the empirical distribution
-    functions are running counts put together from cells of the value range, so one source with many values is
-    spread over many tasks.
+    Both sides are multisets (value, n). Equal values are merged before the shuffle, and the distribution functions
+    are running counts put together from cells of the value range, so one source with many values is spread over
+    many tasks.
     """
     by = by or ["source"]
-    observed = current.filter(F.col("latency").isNotNull())
-    observed = observed.groupBy(*by, F.col("latency").alias("value")).agg(F.sum("n").alias("n"))
-    totals = _sample_totals(observed, by, "current").filter(F.col("current_n") >= MIN_LATENCIES)
-    known = _sample_totals(latencies, ["source"], "baseline").filter(F.col("baseline_n") >= MIN_LATENCIES)
-    slower = totals.join(known, "source").filter(F.col("current_mean") > F.col("baseline_mean"))
-
     zero = F.lit(0).cast("bigint")
-    ours = observed.join(slower.select(*by), by, "left_semi").select(
-        *by, "value", zero.alias("b"), F.col("n").alias("c")
-    )
-    theirs = latencies.join(slower.select(*by), "source").select(*by, "value", F.col("n").alias("b"), zero.alias("c"))
+    windows = observed.select(*by).distinct()
+    ours = observed.select(*by, "value", zero.alias("b"), F.col("n").alias("c"))
+    theirs = latencies.join(windows, "source").select(*by, "value", F.col("n").alias("b"), zero.alias("c"))
     merged = ours.unionByName(theirs).groupBy(*by, "value").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
 
     shares = [(i + 1) / value_cells for i in range(value_cells - 1)]
     bounds = merged.groupBy(*by).agg(F.percentile_approx("value", shares, 1000).alias("bounds"))
     cell = F.size(F.filter("bounds", lambda bound: bound < F.col("value")))
     celled = merged.join(bounds, by).withColumn("cell", cell).drop("bounds")
-    cumulative = running_totals(
-        celled, by, ["cell"], ["value"], {"baseline": F.col("b"), "current": F.col("c")}
-    )
+    cumulative = running_totals(celled, by, ["cell"], ["value"], {"baseline": F.col("b"), "current": F.col("c")})
     gap = F.abs(F.col("baseline") / F.col("baseline_all") - F.col("current") / F.col("current_all"))
-    tested = cumulative.groupBy(*by).agg(
+    return cumulative.filter((F.col("baseline_all") > 0) & (F.col("current_all") > 0)).groupBy(*by).agg(
         F.max(gap).alias("ks_statistic"), *_order_statistics("baseline"), *_order_statistics("current")
     )
-    tested = tested.join(slower, by)
+
+
+def latency_shifts(current: DataFrame, latencies: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Two-sample KS test of the current latencies against the baseline's, for windows that got slower."""
+    by = by or ["source"]
+    observed = latency_samples(current, by)
+    totals = _sample_totals(observed, by, "current").filter(F.col("current_n") >= MIN_LATENCIES)
+    known = _sample_totals(latencies, ["source"], "baseline").filter(F.col("baseline_n") >= MIN_LATENCIES)
+    slower = totals.join(known, "source").filter(F.col("current_mean") > F.col("baseline_mean"))
+    tested = ks_distances(observed.join(slower.select(*by), by, "left_semi"), latencies, by).join(slower, by)
 
     def p99(side: str) -> Column:
         rank = (F.col(f"{side}_n") - 1) * 0.99

@@ -118,7 +118,7 @@ def isolation_scores(features: DataFrame, trees: DataFrame) -> DataFrame:
     """
     chunked = features.withColumn("chunk", F.floor(F.col("bucket") / SCORE_CHUNK))
     chunks = chunked.select("source", "chunk").distinct()
-    spread = trees.join(chunks, "source")
+    spread = trees.join(chunks, "source").withColumn("chunk", F.col("chunk") + 0)  # a column of its own
     schema = "source string, bucket bigint, isolation_score double"
     pairs = chunked.groupBy("source", "chunk").cogroup(spread.groupBy("source", "chunk"))
     return pairs.applyInPandas(_score, schema)
