@@ -283,14 +283,14 @@ pairs as (
 -- views: anomalies
 with {PAIRS_SQL}
 select left(sha256(log_event_id || '|' || metric_event_id), 32) as id, log_event_id, metric_event_id,
-       round(dt, 6) as time_delta_sec, round({CONFIDENCE_SQL}, 6) as confidence, timestamp '2024-02-01' as detected_at
+       round(dt, 6) as time_delta_sec, round({CONFIDENCE_SQL}, 9) as confidence, timestamp '2024-02-01' as detected_at
 from pairs where {CONFIDENCE_SQL} >= 0.5
 """,
 )
 def interval_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("2024-02-01").cast("timestamp")
     found = J.find_correlations(V.log_anomalies(spark, sf_dir), V.metric_anomalies(spark, sf_dir), now)
-    return rounded(found, "time_delta_sec", "confidence")
+    return rounded(found, "time_delta_sec", "confidence", digits=9)
 
 
 @check(
@@ -298,7 +298,7 @@ def interval_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 -- views: anomalies
 with {PAIRS_SQL}
-select log_event_id, metric_event_id, round({CONFIDENCE_SQL}, 6) as confidence from pairs
+select log_event_id, metric_event_id, round({CONFIDENCE_SQL}, 9) as confidence from pairs
 """,
 )
 def interval_correlation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +307,7 @@ def interval_correlation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = J.find_correlations(
         V.log_anomalies(spark, sf_dir), V.metric_anomalies(spark, sf_dir), now, min_confidence=0.0, rows_per_split=2
     )
-    return rounded(found, "confidence").select("log_event_id", "metric_event_id", "confidence")
+    return rounded(found, "confidence", digits=9).select("log_event_id", "metric_event_id", "confidence")
 
 
 @check(
@@ -315,7 +315,7 @@ def interval_correlation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 -- views: anomalies
 with {PAIRS_SQL}
-select log_event_id, count(*) as partners, round(max({CONFIDENCE_SQL}), 6) as best, round(min({CONFIDENCE_SQL}), 6) as worst
+select log_event_id, count(*) as partners, round(max({CONFIDENCE_SQL}), 9) as best, round(min({CONFIDENCE_SQL}), 9) as worst
 from pairs group by log_event_id
 """,
 )
@@ -325,7 +325,7 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = found.groupBy("log_event_id").agg(
         F.count("*").alias("partners"), F.max("confidence").alias("best"), F.min("confidence").alias("worst")
     )
-    return rounded(best, "best", "worst")
+    return rounded(best, "best", "worst", digits=9)
 
 
 def _cycle_sql(self_pairs: bool) -> str:

@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BASE_START = datetime(2024, 1, 1)
 SPLIT = datetime(2024, 1, 29)
 END = datetime(2024, 1, 30)
+RETRAIN = datetime(2024, 1, 31)
 TRAIN_HOURS = 28 * 24
 DAY = 1440
 
