@@ -100,7 +100,7 @@ def _depths(rows: np.ndarray, tree: pd.DataFrame) -> np.ndarray:
 
 def _score(features: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
     if features.empty or trees.empty:
-        return pd.DataFrame({"source": [], "bucket": [], "isolation_score": []})
+        return features[["source", "bucket"]].iloc[:0].assign(isolation_score=0.0)
     rows = features[FEATURES].to_numpy(dtype=float)
     depths = [_depths(rows, tree) for _, tree in trees.groupby("tree_id")]
     norm = float(average_path(np.array([trees["samples"].max()]))[0])

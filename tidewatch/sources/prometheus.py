@@ -23,13 +23,14 @@ def prometheus_samples(
     include: list[str] | None = None,
     exclude: list[str] | None = None,
 ) -> DataFrame:
-    """Samples of scrapes. ``bodies``: body_id (unique), source, body.
+    """Samples of scrapes. ``bodies``: body_id (unique), source, body; ``scraped_at`` may be a column of it.
 
     The type of a sample is that of the last TYPE line before it for its name without the last ``_part``, else for
     its full name, else gauge. TYPE lines become ranges of positions, so each sample finds at most one.
     """
     line = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    lines = bodies.select("body_id", "source", F.posexplode(F.split("body", LINE_END)).alias("pos", "line"))
+    bodies = bodies.withColumn("__at", scraped_at)
+    lines = bodies.select("body_id", "source", "__at", F.posexplode(F.split("body", LINE_END)).alias("pos", "line"))
     lines = lines.withColumn("line", line).filter(F.col("line") != "")
 
     words = F.split("line", r"(?U)\s+")
@@ -49,7 +50,7 @@ def prometheus_samples(
     value = S.to_number(_first_word(rest))
     samples = lines.filter(~F.col("line").startswith("#") & ((brace == 0) | (close > 0)))
     samples = samples.select(
-        "body_id", "source", "pos", name.alias("name"), keys.alias("keys"), values.alias("values"), value.alias("value")
+        "body_id", "source", "__at", "pos", name.alias("name"), keys.alias("keys"), values.alias("values"), value.alias("value")
     )
     samples = samples.filter(F.col("value").isNotNull() & S.name_selected(F.col("name"), include or [], exclude or []))
     distinct = F.array_distinct(F.reverse("keys"))
@@ -78,7 +79,7 @@ def prometheus_samples(
         S.labels_hash(F.col("labels")).alias("labels_hash"),
         S.labels_json(F.col("labels")).alias("labels"),
         "value",
-        scraped_at.alias("timestamp"),
+        F.col("__at").alias("timestamp"),
         F.coalesce("__base_kind", "__kind", F.lit(DEFAULT_TYPE)).alias("metric_type"),
         "source",
     )

@@ -22,6 +22,11 @@ def _append(df: DataFrame, path: str, partition: Column | None = None) -> None:
     df.sortWithinPartitions(*keys).write.mode("append").partitionBy("date").parquet(path)
 
 
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch to a directory of its own. A batch that is repeated after a failure replaces itself."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """Columns of ``schema`` in order, missing ones null."""
     from pyspark.sql.types import _parse_datatype_string

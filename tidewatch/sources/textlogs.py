@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty lines of all files under ``path`` with their 1-based number in the file.
-
-    A file is read in blocks by many tasks. Each block numbers its own lines; only the line counts per block are
-    accumulated per file, so a file of any size is numbered without passing through one task.
-    """
-    lines = spark.read.text(path).select(
+def _lines(text: DataFrame) -> DataFrame:
+    return text.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("__id"),
     )
-    filled = lines.filter(F.col("line") != "")
-    # Ids grow by one per line within a block, empty lines included; dense numbers come from ranking inside blocks.
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Non-empty lines (path, block, line, as read) with their 1-based number in the file.
+
+    A file is read in blocks by many tasks. Each block numbers its own lines; only the line counts per block are
+    accumulated per file, so a file of any size is numbered without passing through one task.
+    """
+    filled = lines.withColumn("__id", F.monotonically_increasing_id()).filter(F.col("line") != "")
     ranked = filled.withColumn("__n", F.row_number().over(Window.partitionBy("path", "block").orderBy("__id")))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = filled.groupBy("path", "block").agg(F.count("*").alias("__lines"))
@@ -30,12 +31,15 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("path", (F.col("__before") + F.col("__n")).alias("line_number"), "line")
 
 
+def read_log_files(spark: SparkSession, path: str) -> DataFrame:
+    """Non-empty lines of all files under ``path``: path, line_number, line."""
+    return number_lines(_lines(spark.read.text(path)))
+
+
 def stream_log_files(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """Lines of new files under ``path``. Progress is kept in the query's checkpoint; files must be rolled, not
-    appended to. Lines carry the file and their order within the micro-batch."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(path)
-    return lines.select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("path"),
-        F.monotonically_increasing_id().alias("line_number"),
-    ).filter(F.col("line") != "")
+    """Lines of new files under ``path`` as they appear, for :func:`tidewatch.streaming.ingest.write_logs`.
+
+    Progress is kept in the query's checkpoint. A file is taken whole when it appears, so files must be rolled in,
+    not appended to.
+    """
+    return _lines(spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(path))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch import schemas
 from tidewatch.operators import detectors as D
 from tidewatch.plans.baseline import Baseline
 from tidewatch.plans.detection import detect
-from tidewatch.sources.store import append_anomalies
+from tidewatch.sources.store import conform, write_batch
 
 
 def windowed_observations(logs: DataFrame, window_minutes: int = 5, lateness: str = "10 minutes") -> DataFrame:
@@ -44,17 +45,17 @@ def write_detections(
     lateness: str = "10 minutes",
     once: bool = False,
 ) -> StreamingQuery:
-    """Append the anomalies of every closed window to the anomaly table.
+    """The anomalies of every closed window into the anomaly table.
 
-    Each micro-batch holds the counts of the windows that closed; the batch detectors run on them as they are. Ids
-    depend on source, type, template and window only, so a repeated micro-batch repeats the ids.
+    Each micro-batch holds the counts of the windows that closed; the batch detectors run on them as they are.
     """
     by = ["source", "window_start"]
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, batch_id: int) -> None:
         batch = batch.drop("window_end")
         end = F.col("window_start") + F.make_dt_interval(mins=F.lit(window_minutes))
-        append_anomalies(detect(batch, baseline, end, sources, by=by, window_minutes=window_minutes), path)
+        found = detect(batch, baseline, end, sources, by=by, window_minutes=window_minutes)
+        write_batch(conform(found, schemas.ANOMALIES), path, batch_id)
 
     windows = windowed_observations(logs, window_minutes, lateness)
     writer = windows.writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint)

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch import schemas
 from tidewatch.functions import parsing as P
 from tidewatch.functions import scalars as S
 from tidewatch.operators.templates import assign_shapes
 from tidewatch.sources.prometheus import prometheus_samples
-from tidewatch.sources.store import append_metric_samples, log_rows
+from tidewatch.sources.store import conform, log_rows, write_batch
+from tidewatch.sources.textlogs import number_lines
 
 
 def ingest_logs(lines: DataFrame, ingested_at: Column | None = None) -> DataFrame:
@@ -27,11 +29,21 @@ def ingest_logs(lines: DataFrame, ingested_at: Column | None = None) -> DataFram
     return log_rows(assign_shapes(parsed), now)
 
 
-def write_logs(logs: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append a stream of log rows to the log table, partitioned by day."""
-    dated = logs.withColumn("date", F.to_date("timestamp"))
-    writer = dated.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    writer = writer.partitionBy("date").outputMode("append")
+def write_logs(
+    lines: DataFrame, path: str, checkpoint: str, source: Column | None = None, once: bool = False
+) -> StreamingQuery:
+    """Parse the lines of :func:`tidewatch.sources.textlogs.stream_log_files` into the log table.
+
+    Lines are numbered per file within their micro-batch, which holds whole files. ``source`` names the source from
+    the file's path; by default it is the file name up to the first dot.
+    """
+    name = F.regexp_extract("path", r"([^/.]+)[^/]*$", 1) if source is None else source
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        numbered = number_lines(batch).select(name.alias("source"), "line_number", "line")
+        write_batch(ingest_logs(numbered), path, batch_id)
+
+    writer = lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -43,12 +55,11 @@ def write_scrapes(
     exclude: list[str] | None = None,
     once: bool = False,
 ) -> StreamingQuery:
-    """Append the samples of landed scrapes (body_id, source, body, scraped_at) to the metric table."""
+    """Samples of landed scrapes (body_id, source, body, scraped_at) into the metric table."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        stamps = batch.select("body_id", "scraped_at")
-        samples = prometheus_samples(batch.drop("scraped_at"), F.lit(None).cast("timestamp"), include, exclude)
-        append_metric_samples(samples.drop("timestamp").join(stamps.withColumnRenamed("scraped_at", "timestamp"), "body_id"), path)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        samples = prometheus_samples(batch, F.col("scraped_at"), include, exclude)
+        write_batch(conform(samples, schemas.METRIC_SAMPLES), path, batch_id)
 
     writer = bodies.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
