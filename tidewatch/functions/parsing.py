@@ -6,9 +6,13 @@ a line that cannot be parsed in its format.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scalars import let
+
 SAMPLE_LINES = 10
 
 # Patterns and key names of the supported formats.
@@ -21,8 +25,13 @@ JSON_TIME_KEYS = ("timestamp", "time", "ts", "@timestamp")
 LOGFMT_LEVEL_KEYS = ("level", "lvl")
 LOGFMT_MESSAGE_KEYS = ("msg", "message")
 LOGFMT_TIME_KEYS = ("time", "ts", "timestamp")
+# Blanks that are cut off both ends of a line.
+BLANKS = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Combined access log: host ident user [time] "request" status bytes "referer" "agent"
-ACCESS_LINE = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
+ACCESS_LINE = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?.*$'
 ACCESS_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 # BSD syslog: <pri>Mmm dd hh:mm:ss host tag[pid]: message
 SYSLOG_LINE = r"^<(\d{1,3})>([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)$"
@@ -31,15 +40,19 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
-def _last_wins(keys: Column, values: Column) -> Column:
+def last_wins(keys: Column, values: Column) -> Column:
     """Map from parallel arrays in which a repeated key keeps its last value."""
-    backward = F.reverse(keys)
-    distinct = F.array_distinct(backward)
-    kept = F.transform(distinct, lambda k: F.get(F.reverse(values), (F.array_position(backward, k) - 1).cast("int")))
-    return F.map_from_arrays(distinct, kept)
+
+    def build(a: Column) -> Column:
+        backward, distinct = F.reverse(a["k"]), F.array_distinct(F.reverse(a["k"]))
+        last = F.transform(distinct, lambda k: F.element_at(a["v"], -F.array_position(backward, k).cast("int")))
+        repeated = F.size(F.array_distinct(a["k"])) < F.size(a["k"])
+        return F.when(repeated, F.map_from_arrays(distinct, last)).otherwise(F.map_from_arrays(a["k"], a["v"]))
+
+    return let(F.struct(keys.alias("k"), values.alias("v")), build)
 
 
 def _first_key(entries: Column, keys: tuple[str, ...]) -> Column:
@@ -54,8 +67,7 @@ def _as_text(variant: Column) -> Column:
     return F.try_variant_get(variant, "$", "string")
 
 
-def _without(entries: Column, keys: list[Column]) -> Column:
-    gone = F.array_compact(F.array(*keys))
+def _without(entries: Column, gone: Column) -> Column:
     return F.to_json(F.map_filter(entries, lambda k, _: ~F.array_contains(gone, k)))
 
 
@@ -78,38 +90,50 @@ def _json_objects(line: Column) -> Column:
 def parse_json(line: Column) -> Column:
     """Null unless the line is exactly one JSON object."""
 
-    def record(raw: Column) -> Column:
-        unique = F.size(F.array_distinct(F.map_keys(raw))) == F.size(raw)
-        entries = F.when(unique, raw).otherwise(_last_wins(F.map_keys(raw), F.map_values(raw)))
-        level, message, time = (
-            _first_key(entries, keys) for keys in (JSON_LEVEL_KEYS, JSON_MESSAGE_KEYS, JSON_TIME_KEYS)
+    def record(entries: Column) -> Column:
+        keys = F.struct(
+            *[
+                _first_key(entries, names).alias(part)
+                for part, names in (("l", JSON_LEVEL_KEYS), ("m", JSON_MESSAGE_KEYS), ("t", JSON_TIME_KEYS))
+            ]
         )
-        out = _record(
-            _as_text(entries[time]),
-            F.lower(_as_text(entries[level])),
-            _as_text(entries[message]),
-            _without(entries, [level, message, time]),
-            "json",
+        return let(
+            keys,
+            lambda k: _record(
+                _as_text(entries[k["t"]]),
+                F.lower(_as_text(entries[k["l"]])),
+                _as_text(entries[k["m"]]),
+                _without(entries, F.array_compact(F.array(k["l"], k["m"], k["t"]))),
+                "json",
+            ),
         )
-        return F.when(raw.isNotNull(), out)
 
-    records = F.transform(_json_objects(line), record)
-    return F.when(F.size(records) == 1, F.get(records, 0))
+    def single(objects: Column) -> Column:
+        raw = F.get(objects, 0)
+        entries = last_wins(F.map_keys(raw), F.map_values(raw))
+        return F.when((F.size(objects) == 1) & raw.isNotNull(), let(entries, record))
+
+    return let(_json_objects(line), single)
 
 
 def parse_logfmt(line: Column) -> Column:
-    pairs = F.regexp_extract_all(line, F.lit(LOGFMT_PAIR), F.lit(0))
-    keys = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
-    values = F.transform(
-        pairs, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?U)^\w+=", ""), r'^"([^"]*)"$', "$1")
-    )
-    entries = _last_wins(keys, values)
-    level, message, time = (
-        _first_key(entries, names) for names in (LOGFMT_LEVEL_KEYS, LOGFMT_MESSAGE_KEYS, LOGFMT_TIME_KEYS)
-    )
-    aliases = [F.lit(k) for k in LOGFMT_LEVEL_KEYS + LOGFMT_MESSAGE_KEYS + LOGFMT_TIME_KEYS]
-    record = _record(entries[time], entries[level], entries[message], _without(entries, aliases), "logfmt")
-    return F.when(F.size(pairs) > 0, record)
+    def value(pair: Column) -> Column:
+        text = F.substring(pair, F.instr(pair, "=") + 1, F.length(pair))
+        quoted = text.startswith('"') & text.endswith('"') & (F.length(text) > 1)
+        return F.when(quoted, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+
+    def record(entries: Column) -> Column:
+        level, message, time = (
+            entries[_first_key(entries, names)] for names in (LOGFMT_LEVEL_KEYS, LOGFMT_MESSAGE_KEYS, LOGFMT_TIME_KEYS)
+        )
+        aliases = F.array(*[F.lit(k) for k in LOGFMT_LEVEL_KEYS + LOGFMT_MESSAGE_KEYS + LOGFMT_TIME_KEYS])
+        return _record(time, level, message, _without(entries, aliases), "logfmt")
+
+    def found(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
+        return F.when(F.size(pairs) > 0, let(last_wins(keys, F.transform(pairs, value)), record))
+
+    return let(F.regexp_extract_all(line, F.lit(LOGFMT_PAIR), F.lit(0)), found)
 
 
 def parse_plain(line: Column) -> Column:
@@ -118,49 +142,66 @@ def parse_plain(line: Column) -> Column:
     return F.when(message != "", _record(nothing, nothing, message, F.lit("{}"), "plain"))
 
 
+def _groups(line: Column, pattern: str, count: int, body: Callable[[list[Column]], Column]) -> Column:
+    """``body`` of the groups of a pattern that must match the whole line; the pattern is applied once."""
+    mark = "\u0001"
+    joined = F.regexp_replace(line, pattern, mark + mark.join(f"${i}" for i in range(1, count + 1)))
+
+    def use(parts: Column) -> Column:
+        groups = [F.get(parts, i) for i in range(count + 1)]
+        return F.when((F.size(parts) == count + 1) & (groups[0] == ""), body(groups))
+
+    return let(F.split(joined, mark), use)
+
+
 def parse_access(line: Column) -> Column:
     """Combined (nginx, Apache) access log line; message is the request line."""
-    part = [F.regexp_extract(line, ACCESS_LINE, i) for i in range(10)]
-    request = F.split(part[5], " ")
-    timestamp = F.try_to_timestamp(part[4], F.lit(ACCESS_TIME))
-    status = part[6].try_cast("int")
-    level = F.when(status >= 500, "error").when(status >= 400, "warn").otherwise("info")
-    fields = F.to_json(
-        F.struct(
-            part[1].alias("remote_addr"),
-            F.when(part[3] != "-", part[3]).alias("remote_user"),
-            F.get(request, 0).alias("method"),
-            F.get(request, 1).alias("path"),
-            F.get(request, 2).alias("protocol"),
-            status.alias("status"),
-            part[7].try_cast("bigint").alias("bytes"),
-            F.when(~part[8].isin("", "-"), part[8]).alias("referer"),
-            F.when(~part[9].isin("", "-"), part[9]).alias("user_agent"),
+
+    def record(part: list[Column]) -> Column:
+        request = F.split(part[5], " ")
+        timestamp = F.try_to_timestamp(part[4], F.lit(ACCESS_TIME))
+        status = part[6].try_cast("int")
+        level = F.when(status >= 500, "error").when(status >= 400, "warn").otherwise("info")
+        fields = F.to_json(
+            F.struct(
+                part[1].alias("remote_addr"),
+                F.when(part[3] != "-", part[3]).alias("remote_user"),
+                F.get(request, 0).alias("method"),
+                F.get(request, 1).alias("path"),
+                F.get(request, 2).alias("protocol"),
+                status.alias("status"),
+                part[7].try_cast("bigint").alias("bytes"),
+                F.when(~part[8].isin("", "-"), part[8]).alias("referer"),
+                F.when(~part[9].isin("", "-"), part[9]).alias("user_agent"),
+            )
         )
-    )
-    iso = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ssXXX")
-    return F.when(part[0] != "", _record(iso, level, part[5], fields, "nginx"))
+        iso = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ssXXX")
+        return _record(iso, level, part[5], fields, "nginx")
+
+    return _groups(line, ACCESS_LINE, 9, record)
 
 
 def parse_syslog(line: Column, year: int) -> Column:
     """BSD syslog line; the format carries no year, so the caller gives it."""
-    part = [F.regexp_extract(line, SYSLOG_LINE, i) for i in range(9)]
-    priority = part[1].try_cast("int")
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part[2])
-    day = F.lpad(part[3], 2, "0")
-    iso = F.concat(F.lit(f"{year:04d}-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), day, F.lit("T"), part[4])
-    level = F.get(F.array(*[F.lit(v) for v in SYSLOG_LEVELS]), F.pmod(priority, F.lit(8)))
-    fields = F.to_json(
-        F.struct(
-            F.floor(priority / 8).cast("int").alias("facility"),
-            F.pmod(priority, F.lit(8)).alias("severity"),
-            part[5].alias("hostname"),
-            part[6].alias("app"),
-            F.when(part[7] != "", part[7]).alias("pid"),
+
+    def record(part: list[Column]) -> Column:
+        priority = part[1].try_cast("int")
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part[2])
+        number, day = F.lpad(month.cast("string"), 2, "0"), F.lpad(part[3], 2, "0")
+        iso = F.concat(F.lit(f"{year:04d}-"), number, F.lit("-"), day, F.lit("T"), part[4])
+        level = F.get(F.array(*[F.lit(v) for v in SYSLOG_LEVELS]), F.pmod(priority, F.lit(8)))
+        fields = F.to_json(
+            F.struct(
+                F.floor(priority / 8).cast("int").alias("facility"),
+                F.pmod(priority, F.lit(8)).alias("severity"),
+                part[5].alias("hostname"),
+                part[6].alias("app"),
+                F.when(part[7] != "", part[7]).alias("pid"),
+            )
         )
-    )
-    valid = (part[0] != "") & (month > 0)
-    return F.when(valid, _record(iso, level, part[8], fields, "syslog3164"))
+        return F.when(month > 0, _record(iso, level, part[8], fields, "syslog3164"))
+
+    return _groups(line, SYSLOG_LINE, 8, record)
 
 
 def _bare_object(line: Column) -> Column:

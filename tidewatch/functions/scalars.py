@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def _lookup(key: Column, table: dict[str, int], default: int) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse_timestamp(text: Column) -> Column:
     """ISO-8601 text to timestamp; anything else (also a bare year or a bare time) is null."""
     iso = F.regexp_replace(text, ",", ".")
@@ -72,13 +79,13 @@ def _first_present(fields: Column, keys: tuple[str, ...]) -> Column:
 
 def latency(fields: Column) -> Column:
     """Latency in a log's fields: the first known key decides, even if its value is no usable number."""
-    value = to_number(_first_present(fields, LATENCY_KEYS))
-    return F.when((value >= 0) & ~F.isnan(value), value)
+    text = _first_present(fields, LATENCY_KEYS)
+    return let(text, lambda t: let(to_number(t), lambda v: F.when((v >= 0) & ~F.isnan(v), v)))
 
 
 def feature_latency(fields: Column) -> Column:
     """The variant used in bucket features: four keys, negative values kept."""
-    return to_number(_first_present(fields, FEATURE_LATENCY_KEYS))
+    return let(_first_present(fields, FEATURE_LATENCY_KEYS), to_number)
 
 
 def is_error(level: Column) -> Column:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import grouped
 from tidewatch.operators.timeseries import HORIZONS, SERIES, STEPS_PER_HOUR, step_time
 
 SEASON = 12
@@ -82,7 +83,7 @@ def fit_autoregressions(points: DataFrame, choice: DataFrame) -> DataFrame:
     """One model per series that got no trend model; a task sees one resampled series."""
     chosen = choice.filter(F.col("model_type") == "autoarima").select(*SERIES, "train_points")
     chosen = points.select(*SERIES, "pos", "ts", "value").join(chosen, SERIES)
-    return chosen.groupBy(*SERIES).applyInPandas(_train, MODEL_SCHEMA)
+    return grouped(chosen, *SERIES).applyInPandas(_train, MODEL_SCHEMA)
 
 
 def forecast_autoregressions(

@@ -128,13 +128,6 @@ def ks_pvalue(d: Column, n1: Column, n2: Column) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
-def _sample_totals(sample: DataFrame, by: list[str], side: str) -> DataFrame:
-    weighted = F.sum(F.col("value") * F.col("n"))
-    return sample.groupBy(*by).agg(
-        F.sum("n").alias(f"{side}_n"), (weighted / F.sum("n")).alias(f"{side}_mean")
-    )
-
-
 def _order_statistics(side: str) -> list[Column]:
     """Values at the two ranks around the 99th percentile, from running counts."""
     rank = (F.col(f"{side}_all") - 1) * 0.99
@@ -142,16 +135,11 @@ def _order_statistics(side: str) -> list[Column]:
     return [F.min(F.when(F.col(side) > r, F.col("value"))).alias(f"{side}_{end}") for end, r in beyond.items()]
 
 
-def latency_samples(current: DataFrame, by: list[str]) -> DataFrame:
-    """Latencies of the observations as a multiset (value, n)."""
-    observed = current.filter(F.col("latency").isNotNull())
-    return observed.groupBy(*by, F.col("latency").alias("value")).agg(F.sum("n").alias("n"))
-
-
 def ks_distances(
     observed: DataFrame, latencies: DataFrame, by: list[str] | None = None, value_cells: int = VALUE_CELLS
 ) -> DataFrame:
-    """Largest gap between the two empirical distributions, and the values around their 99th percentiles.
+    """Per window: sizes and means of both samples, the largest gap between their empirical distributions, and the
+    values around their 99th percentiles.
 
     Both sides are multisets (value, n). Equal values are merged before the shuffle, and the distribution functions
     are running counts put together from cells of the value range, so one source with many values is spread over
@@ -159,30 +147,40 @@ def ks_distances(
     """
     by = by or ["source"]
     zero = F.lit(0).cast("bigint")
-    windows = observed.select(*by).distinct()
     ours = observed.select(*by, "value", zero.alias("b"), F.col("n").alias("c"))
-    theirs = latencies.join(windows, "source").select(*by, "value", F.col("n").alias("b"), zero.alias("c"))
+    known = latencies if by == ["source"] else latencies.join(observed.select(*by).distinct(), "source")
+    theirs = known.select(*by, "value", F.col("n").alias("b"), zero.alias("c"))
     merged = ours.unionByName(theirs).groupBy(*by, "value").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
 
+    # Reading the counts here too keeps this branch on the same shuffle as the one below.
+    occurring = F.when(F.col("b") + F.col("c") > 0, F.col("value"))
     shares = [(i + 1) / value_cells for i in range(value_cells - 1)]
-    bounds = merged.groupBy(*by).agg(F.percentile_approx("value", shares, 1000).alias("bounds"))
+    bounds = merged.groupBy(*by).agg(F.percentile_approx(occurring, shares, 1000).alias("bounds"))
     cell = F.size(F.filter("bounds", lambda bound: bound < F.col("value")))
     celled = merged.join(bounds, by).withColumn("cell", cell).drop("bounds")
     cumulative = running_totals(celled, by, ["cell"], ["value"], {"baseline": F.col("b"), "current": F.col("c")})
     gap = F.abs(F.col("baseline") / F.col("baseline_all") - F.col("current") / F.col("current_all"))
-    return cumulative.filter((F.col("baseline_all") > 0) & (F.col("current_all") > 0)).groupBy(*by).agg(
-        F.max(gap).alias("ks_statistic"), *_order_statistics("baseline"), *_order_statistics("current")
+    compared = cumulative.filter((F.col("baseline_all") > 0) & (F.col("current_all") > 0)).groupBy(*by)
+    return compared.agg(
+        F.max(gap).alias("ks_statistic"),
+        F.max("baseline_all").alias("baseline_n"),
+        F.max("current_all").alias("current_n"),
+        (F.sum(F.col("value") * F.col("b")) / F.sum("b")).alias("baseline_mean"),
+        (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("current_mean"),
+        *_order_statistics("baseline"),
+        *_order_statistics("current"),
     )
 
 
 def latency_shifts(current: DataFrame, latencies: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Two-sample KS test of the current latencies against the baseline's, for windows that got slower."""
     by = by or ["source"]
-    observed = latency_samples(current, by)
-    totals = _sample_totals(observed, by, "current").filter(F.col("current_n") >= MIN_LATENCIES)
-    known = _sample_totals(latencies, ["source"], "baseline").filter(F.col("baseline_n") >= MIN_LATENCIES)
-    slower = totals.join(known, "source").filter(F.col("current_mean") > F.col("baseline_mean"))
-    tested = ks_distances(observed.join(slower.select(*by), by, "left_semi"), latencies, by).join(slower, by)
+    observed = current.filter(F.col("latency").isNotNull()).select(*by, F.col("latency").alias("value"), "n")
+    tested = ks_distances(observed, latencies, by).filter(
+        (F.col("baseline_n") >= MIN_LATENCIES)
+        & (F.col("current_n") >= MIN_LATENCIES)
+        & (F.col("current_mean") > F.col("baseline_mean"))
+    )
 
     def p99(side: str) -> Column:
         rank = (F.col(f"{side}_n") - 1) * 0.99

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import grouped
+
 FEATURES = ["error_rate", "line_count", "templates", "mean_latency"]
 
 # Forest parameters.
@@ -36,29 +38,52 @@ def average_path(n: np.ndarray) -> np.ndarray:
 
 
 def _grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
-    """One tree from at most SAMPLE rows, its random choices fixed by source and tree number."""
+    """One tree from at most SAMPLE rows, all nodes of a depth at a time.
+
+    The random choices are fixed by source and tree number.
+    """
     source, tree_id = key
     rows = sample.sort_values("__rank")[FEATURES].to_numpy(dtype=float)
     rng = np.random.default_rng([SEED, int(tree_id), *source.encode()])
     limit = math.ceil(math.log2(max(len(rows), 2)))
-    nodes: list[list] = []
-    pending = [(np.arange(len(rows)), 0, -1, "")]
-    while pending:
-        members, depth, parent, side = pending.pop()
-        number = len(nodes)
-        if parent >= 0:
-            nodes[parent][3 if side == "left" else 4] = number
-        low, high = rows[members].min(axis=0), rows[members].max(axis=0)
-        usable = np.flatnonzero(high > low)
-        nodes.append([number, -1, 0.0, -1, -1, len(members)])
-        if depth >= limit or len(members) <= 1 or not len(usable):
-            continue
-        feature = int(rng.choice(usable))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        below = rows[members, feature] <= cut
-        nodes[number][1:3] = [feature, cut]
-        pending += [(members[~below], depth + 1, number, "right"), (members[below], depth + 1, number, "left")]
-    out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size"])
+    levels = []
+    at = np.zeros(len(rows), dtype=int)  # node of each row within its level, -1 once the row has come to rest
+    width, offset = 1, 0
+    for depth in range(limit + 1):
+        live = at >= 0
+        low, high = np.full((width, len(FEATURES)), np.inf), np.full((width, len(FEATURES)), -np.inf)
+        np.minimum.at(low, at[live], rows[live])
+        np.maximum.at(high, at[live], rows[live])
+        size = np.bincount(at[live], minlength=width)
+        usable = high > low
+        splits = usable.any(axis=1) & (size > 1) & (depth < limit)
+        chosen = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
+        node = np.arange(width)
+        low, high = low[node, chosen], high[node, chosen]
+        cut = np.where(splits, low + rng.random(width) * np.where(splits, high - low, 0.0), 0.0)
+        child = np.cumsum(splits) * 2 - 2  # left child within the next level
+        below = offset + width
+        levels.append(
+            pd.DataFrame(
+                {
+                    "node": offset + node,
+                    "feature": np.where(splits, chosen, -1),
+                    "threshold": cut,
+                    "left": np.where(splits, below + child, -1),
+                    "right": np.where(splits, below + child + 1, -1),
+                    "size": size,
+                }
+            )
+        )
+        width, offset = 2 * int(splits.sum()), below
+        if not width:
+            break
+        moving = live & splits[np.maximum(at, 0)]
+        here = at[moving]
+        goes_right = rows[moving, chosen[here]] > cut[here]
+        at = np.full(len(rows), -1)
+        at[moving] = child[here] + goes_right
+    out = pd.concat(levels, ignore_index=True)
     return out.assign(source=source, tree_id=tree_id, samples=len(rows))[
         ["source", "tree_id", "node", "feature", "threshold", "left", "right", "size", "samples"]
     ]
@@ -79,7 +104,7 @@ def fit_forest(features: DataFrame, trees: int = TREES, sample: int = SAMPLE) ->
     first = Window.partitionBy("source", "tree_id").orderBy("__rank", "bucket")
     drawn = drawn.filter(share <= chance).withColumn("__k", F.row_number().over(first))
     drawn = drawn.filter(F.col("__k") <= sample).select("source", "tree_id", "__rank", *FEATURES)
-    return drawn.groupBy("source", "tree_id").applyInPandas(_grow, TREE_SCHEMA)
+    return grouped(drawn, "source", "tree_id").applyInPandas(_grow, TREE_SCHEMA)
 
 
 def _depths(rows: np.ndarray, tree: pd.DataFrame) -> np.ndarray:
@@ -120,7 +145,7 @@ def isolation_scores(features: DataFrame, trees: DataFrame) -> DataFrame:
     chunks = chunked.select("source", "chunk").distinct()
     spread = trees.join(chunks, "source").withColumn("chunk", F.col("chunk") + 0)  # a column of its own
     schema = "source string, bucket bigint, isolation_score double"
-    pairs = chunked.groupBy("source", "chunk").cogroup(spread.groupBy("source", "chunk"))
+    pairs = grouped(chunked, "source", "chunk").cogroup(grouped(spread, "source", "chunk"))
     return pairs.applyInPandas(_score, schema)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.skew import running_totals
+from tidewatch.session import cut_lineage, grouped
 
 WILDCARD = "<*>"
 
@@ -46,15 +47,27 @@ def assign_shapes(logs: DataFrame) -> DataFrame:
 
 
 def inventory(assigned: DataFrame) -> DataFrame:
-    """One row per template: lines, first and last time, and the first line as a sample."""
-    order = F.struct("timestamp", "line_number")
-    templated = assigned.filter(F.col("template_id").isNotNull())
-    return templated.groupBy("source", "template_id", "template").agg(
+    """One row per template: lines, first and last time, and the first line as a sample.
+
+    Grouped by the short id; the texts travel once per group, with the first line. Lines without a template are one
+    more group, dropped by its missing text: a filter on the id would be pushed down and mask each message twice.
+    """
+    first = F.min_by(F.struct("template", "message", "line_number"), F.struct("timestamp", "line_number"))
+    found = assigned.groupBy("source", "template_id").agg(
         F.count("*").alias("count"),
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
-        F.min_by("line_number", order).alias("first_line"),
-        F.min_by("message", order).alias("sample_line"),
+        first.alias("first"),
+    )
+    return found.filter(F.col("first.template").isNotNull()).select(
+        "source",
+        "template_id",
+        F.col("first.template").alias("template"),
+        "count",
+        "first_seen",
+        "last_seen",
+        F.col("first.line_number").alias("first_line"),
+        F.col("first.message").alias("sample_line"),
     )
 
 
@@ -125,18 +138,11 @@ def drain_templates(assigned: DataFrame, similarity: float = SIMILARITY, max_clu
 
     ``assigned`` comes from :func:`assign_shapes`. Only distinct shapes are clustered, in order of first line.
     Shapes that differ in length or in their first two tokens (those holding a mask count as equal) can never share a
-    cluster, so each such leaf is a task of its own. A crowded leaf is clustered in parts whose clusters are then
-    clustered once more. Clusters beyond ``max_clusters`` of a source are kept and marked ``overflow``.
+    cluster, so each such leaf is a task of its own; a shape alone in its leaf is its own template. A crowded leaf is
+    clustered in parts, and the clusters of its parts are clustered once more. Clusters beyond ``max_clusters`` of a source are kept and marked ``overflow``.
     """
-    shapes = inventory(assigned).select(
-        "source",
-        F.col("template_id").alias("shape_id"),
-        F.col("template").alias("shape"),
-        "count",
-        "first_seen",
-        "last_seen",
-        "first_line",
-        "sample_line",
+    shapes = cut_lineage(
+        inventory(assigned).withColumnsRenamed({"template_id": "shape_id", "template": "shape"})
     )
     tokens = F.split("shape", " ")
 
@@ -144,49 +150,52 @@ def drain_templates(assigned: DataFrame, similarity: float = SIMILARITY, max_clu
         token = F.coalesce(F.get(tokens, i), F.lit(""))
         return F.when(token.contains(WILDCARD), WILDCARD).otherwise(token)
 
-    leaves = shapes.withColumns({"n_tokens": F.size(tokens), "token_1": routed(0), "token_2": routed(1)})
-    crowded = leaves.groupBy(*LEAF).agg(F.count("*").alias("__shapes"))
-    crowded = crowded.withColumn(
-        "__parts", F.ceil(F.col("__shapes") * F.col("n_tokens") / TOKENS_PER_TASK).cast("int")
-    ).filter(F.col("__parts") > 1)
-    parted = leaves.join(crowded.drop("__shapes"), LEAF, "left")
-    part = F.pmod(F.xxhash64("shape"), F.coalesce("__parts", F.lit(1)).cast("bigint")).cast("int")
-    parted = parted.withColumn("part", part).drop("__parts")
+    leaves = shapes.select("source", "shape_id", "shape", "first_seen", "first_line")
+    leaves = leaves.withColumns({"n_tokens": F.size(tokens), "token_1": routed(0), "token_2": routed(1)})
+    sizes = leaves.groupBy(*LEAF).agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") * F.col("n_tokens") / TOKENS_PER_TASK).cast("int")
+    leaves = leaves.join(sizes.withColumn("parts", parts), LEAF)
+    columns = [*LEAF, "shape_id", "shape", "first_seen", "first_line"]
+    alone = leaves.filter(F.col("n") == 1).select("source", "shape_id", F.col("shape").alias("template"))
 
     def cluster_shapes(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first_seen", "first_line", "shape"], na_position="first")
         member, patterns = _greedy([s.split(" ") for s in pdf["shape"]], similarity)
-        pdf = pdf.assign(cluster=member, pattern=[" ".join(patterns[m]) for m in member])
-        return pdf[[*LEAF, "part", "shape_id", "first_seen", "first_line", "cluster", "pattern"]]
-
-    leaf_schema = "source string, n_tokens int, token_1 string, token_2 string, part int"
-    clustered = (
-        parted.select(*LEAF, "part", "shape_id", "shape", "first_seen", "first_line")
-        .groupBy(*LEAF, "part")
-        .applyInPandas(
-            cluster_shapes,
-            f"{leaf_schema}, shape_id string, first_seen timestamp, first_line bigint, cluster bigint, pattern string",
-        )
+        return pdf.assign(cluster=member, template=[" ".join(patterns[m]) for m in member]).drop(columns="shape")
+
+    leaf_schema = "source string, n_tokens int, token_1 string, token_2 string"
+    shape_schema = "shape_id string, first_seen timestamp, first_line bigint"
+    calm = leaves.filter((F.col("n") > 1) & (F.col("parts") <= 1)).select(*columns)
+    calm = grouped(calm, *LEAF).applyInPandas(
+        cluster_shapes, f"{leaf_schema}, {shape_schema}, cluster bigint, template string"
+    )
+
+    part = F.pmod(F.xxhash64("shape"), F.col("parts").cast("bigint")).cast("int").alias("part")
+    dealt = leaves.filter((F.col("n") > 1) & (F.col("parts") > 1)).select(*columns, part)
+    dealt = grouped(dealt, *LEAF, "part").applyInPandas(
+        cluster_shapes, f"{leaf_schema}, part int, {shape_schema}, cluster bigint, template string"
     )
-    order = F.struct("first_seen", "first_line")
-    clusters = clustered.groupBy(*LEAF, "part", "cluster", "pattern").agg(F.min(order).alias("o"))
-    clusters = clusters.select(*LEAF, "part", "cluster", "pattern", "o.first_seen", "o.first_line")
+    dealt = dealt.withColumnRenamed("template", "pattern")
 
     def merge_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["part"].nunique() > 1:
-            pdf = pdf.sort_values(["first_seen", "first_line", "pattern"], na_position="first")
-            member, patterns = _greedy([p.split(" ") for p in pdf["pattern"]], similarity)
-            pdf = pdf.assign(template=[" ".join(patterns[m]) for m in member])
-        else:
-            pdf = pdf.assign(template=pdf["pattern"])
-        return pdf[[*LEAF, "part", "cluster", "template"]]
-
-    merged = clusters.groupBy(*LEAF).applyInPandas(merge_parts, f"{leaf_schema}, cluster bigint, template string")
-    final = clustered.join(merged, [*LEAF, "part", "cluster"]).select("source", "shape_id", "template")
+        pdf = pdf.sort_values(["first_seen", "first_line", "pattern"], na_position="first")
+        member, patterns = _greedy([p.split(" ") for p in pdf["pattern"]], similarity)
+        return pdf.assign(template=[" ".join(patterns[m]) for m in member])[[*LEAF, "part", "cluster", "template"]]
+
+    first = F.min(F.struct("first_seen", "first_line")).alias("first")
+    clusters = dealt.groupBy(*LEAF, "part", "cluster", "pattern").agg(first)
+    clusters = clusters.select(*LEAF, "part", "cluster", "pattern", "first.first_seen", "first.first_line")
+    merged = clusters.groupBy(*LEAF).applyInPandas(
+        merge_parts, f"{leaf_schema}, part int, cluster bigint, template string"
+    )
+    busy = dealt.join(merged, [*LEAF, "part", "cluster"])
+
+    final = alone.unionByName(calm.select(*alone.columns)).unionByName(busy.select(*alone.columns))
     final = final.withColumn("template_id", template_id(F.col("source"), F.col("template")))
-    ranked = shapes.join(final, ["source", "shape_id"])
+    ranked = cut_lineage(shapes.join(final, ["source", "shape_id"]))
     totals = ranked.groupBy("source", "template_id").agg(
-        F.min("first_seen").alias("first_seen"), F.min_by("first_line", order).alias("first_line")
+        F.min("first_seen").alias("first_seen"),
+        F.min_by("first_line", F.struct("first_seen", "first_line")).alias("first_line"),
     )
     late = sequence_ids(totals).select("source", "template_id", (F.col("seq_id") > max_clusters).alias("overflow"))
     return ranked.join(late, ["source", "template_id"])
@@ -194,13 +203,23 @@ def drain_templates(assigned: DataFrame, similarity: float = SIMILARITY, max_clu
 
 def drain_inventory(clustered: DataFrame) -> DataFrame:
     """One row per Drain template, from the shapes that make it up."""
-    order = F.struct("first_seen", "first_line")
-    return clustered.groupBy("source", "template_id", "template", "overflow").agg(
+    first = F.min_by(F.struct("template", "sample_line", "first_line"), F.struct("first_seen", "first_line"))
+    found = clustered.groupBy("source", "template_id", "overflow").agg(
         F.sum("count").alias("count"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
-        F.min_by("first_line", order).alias("first_line"),
-        F.min_by("sample_line", order).alias("sample_line"),
+        first.alias("first"),
+    )
+    return found.select(
+        "source",
+        "template_id",
+        F.col("first.template").alias("template"),
+        "overflow",
+        "count",
+        "first_seen",
+        "last_seen",
+        F.col("first.first_line").alias("first_line"),
+        F.col("first.sample_line").alias("sample_line"),
     )
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -38,3 +40,38 @@ def config_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     arrow = to_arrow_schema(struct)
     table = pa.Table.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
     return spark.createDataFrame(table, schema=struct)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, so that it is computed once and survives lost executors.
+
+    It goes to the session's ``spark.checkpoint.dir``, which must be shared by the cluster. Only a local session
+    without that setting gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+            folder = tempfile.mkdtemp(prefix="tidewatch-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input that arrives in fewer partitions than there are cores, before work that is heavy per row.
+
+    Large inputs have more partitions than that and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def grouped(df: DataFrame, *keys: str) -> GroupedData:
+    """``groupBy`` for Python work that is heavy per group.
+
+    The explicit number of partitions keeps adaptive execution from packing many small groups into one task.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys).groupBy(*keys)

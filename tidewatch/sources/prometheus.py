@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
+from tidewatch.functions.parsing import BLANKS, last_wins
 
 # Label pairs and line ends.
 LABEL_PAIR = r'(?U)(\w+)="([^"]*)"'
@@ -28,7 +29,7 @@ def prometheus_samples(
     The type of a sample is that of the last TYPE line before it for its name without the last ``_part``, else for
     its full name, else gauge. TYPE lines become ranges of positions, so each sample finds at most one.
     """
-    line = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    line = F.btrim("line", F.lit(BLANKS))
     bodies = bodies.withColumn("__at", scraped_at)
     lines = bodies.select("body_id", "source", "__at", F.posexplode(F.split("body", LINE_END)).alias("pos", "line"))
     lines = lines.withColumn("line", line).filter(F.col("line") != "")
@@ -43,21 +44,20 @@ def prometheus_samples(
     braced = brace > 0
     name = F.when(braced, F.substring("line", F.lit(1), brace - 1)).otherwise(_first_word(F.col("line")))
     inner = F.when(braced & (close > brace), F.substring("line", brace + 1, close - brace - 1)).otherwise("")
-    keys, values = (F.regexp_extract_all(inner, F.lit(LABEL_PAIR), F.lit(i)) for i in (1, 2))
     rest = F.when(braced, F.substring("line", close + 1, F.length("line"))).otherwise(
         F.regexp_replace("line", r"(?U)^\S+", "")
     )
-    value = S.to_number(_first_word(rest))
-    samples = lines.filter(~F.col("line").startswith("#") & ((brace == 0) | (close > 0)))
-    samples = samples.select(
-        "body_id", "source", "__at", "pos", name.alias("name"), keys.alias("keys"), values.alias("values"), value.alias("value")
-    )
-    samples = samples.filter(F.col("value").isNotNull() & S.name_selected(F.col("name"), include or [], exclude or []))
-    distinct = F.array_distinct(F.reverse("keys"))
-    last = F.transform(
-        distinct, lambda k: F.get(F.reverse("values"), (F.array_position(F.reverse("keys"), k) - 1).cast("int"))
-    )
-    samples = samples.withColumn("labels", F.map_from_arrays(distinct, last)).drop("keys", "values")
+    sampled = ~F.col("line").startswith("#") & ((brace == 0) | (close > 0))
+
+    def sample(value: Column, named: Column) -> Column:
+        kept = value.isNotNull() & S.name_selected(named, include or [], exclude or [])
+        pair = [F.regexp_extract_all(inner, F.lit(LABEL_PAIR), F.lit(i)) for i in (1, 2)]
+        return F.when(kept, F.struct(named.alias("name"), last_wins(*pair).alias("labels"), value.alias("value")))
+
+    number = S.let(_first_word(rest), S.to_number)
+    parsed = F.when(sampled, S.let(number, lambda v: S.let(name, lambda n: sample(v, n))))
+    kept = F.inline(F.array_compact(F.array(parsed)))  # drops lines without a sample, parses each line once
+    samples = lines.select("body_id", "source", "__at", "pos", kept)
     samples = samples.withColumn("base", F.regexp_replace("name", "_[^_]*$", ""))
 
     def typed(df: DataFrame, key: str, out: str) -> DataFrame:
