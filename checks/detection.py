@@ -87,6 +87,10 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.observations(current_logs(spark, sf_dir))
 
 
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.window_profile(current(spark, sf_dir))
+
+
 @check(
     "d1_error_rate_spike",
     f"""
@@ -98,7 +102,7 @@ from spikes
 """,
 )
 def error_rate_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = D.error_rate_spikes(current(spark, sf_dir), baseline(spark, sf_dir).stats)
+    found = D.error_rate_spikes(D.observed_rates(profile(spark, sf_dir)), baseline(spark, sf_dir).stats)
     return rounded(found, "observed_rate", "baseline_rate", "z_score", "score")
 
 
@@ -122,12 +126,13 @@ def error_rate_spike_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many windows at once."""
     by = ["source", "window_start"]
     lines = current_logs(spark, sf_dir).withColumn("window_start", F.date_trunc("hour", F.col("timestamp")))
-    found = D.error_rate_spikes(D.observations(lines, "window_start"), baseline(spark, sf_dir).stats, by=by)
+    rates = D.observed_rates(D.window_profile(D.observations(lines, "window_start"), by), by)
+    found = D.error_rate_spikes(rates, baseline(spark, sf_dir).stats, by=by)
     return rounded(found, "observed_rate", "baseline_rate", "z_score", "score")
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.template_frequencies(current(spark, sf_dir), weight=F.col("n"))
+    return D.template_shares(profile(spark, sf_dir))
 
 
 @check(

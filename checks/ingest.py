@@ -397,7 +397,8 @@ def decode_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     "p9_extract_latency",
     """
 -- views: logs
-select line_number, case when line_number % 7 in (0, 1, 3, 5) then latency end as latency,
+select line_number,
+       case when line_number % 7 in (0, 1, 3, 5) then latency when line_number % 7 = 4 and -latency >= 0 then -latency end as latency,
        case when line_number % 7 in (0, 1, 3) then latency when line_number % 7 = 4 then -latency end as feature_latency
 from logs
 """,

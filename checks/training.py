@@ -132,12 +132,13 @@ def template_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 select source, cast(floor(epoch("timestamp")) as bigint) // 3600 as bucket,
        round(avg(case when level in ('error', 'fatal') then 1.0 else 0 end), 6) as error_rate,
        cast(count(*) as double) as line_count, cast(count(distinct template_id) as double) as templates,
-       round(avg(latency), 6) as mean_latency
+       round(avg(latency), 9) as mean_latency
 from base group by all
 """,
 )
 def bucket_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.bucket_features(base_logs(spark, sf_dir), 60), "error_rate", "mean_latency")
+    features = rounded(A.bucket_features(base_logs(spark, sf_dir), 60), "error_rate")
+    return rounded(features, "mean_latency", digits=9)
 
 
 @check(

@@ -25,7 +25,7 @@ def stats(spark, mean=0.01, std=0.005):
 def errors(spark, rate, lines=10_000):
     bad = round(rate * lines)
     rows = [("app", True, None, None, bad), ("app", False, None, None, lines - bad)]
-    return spark.createDataFrame(rows, OBSERVED)
+    return D.observed_rates(D.window_profile(spark.createDataFrame(rows, OBSERVED)))
 
 
 @pytest.mark.parametrize(
@@ -122,7 +122,7 @@ def test_ks_with_few_and_repeated_values(spark):
         (rng.integers(0, 4, 300), rng.integers(0, 5, 200)),
         (rng.random(1000) * 1e-3 + 100, rng.random(700) * 1e-3 + 100.0002),
     ]:
-        got = D.ks_distances(latency_table(spark, b).groupBy("source", "value").agg(F.sum("n").alias("n")), latency_table(spark, a).groupBy("source", "value").agg(F.sum("n").alias("n"))).first()
+        got = D.ks_distances(latency_table(spark, b), latency_table(spark, a)).first()
         assert got.ks_statistic == pytest.approx(ks_by_hand(np.asarray(a, float), np.asarray(b, float)))
 
 

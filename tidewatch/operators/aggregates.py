@@ -95,15 +95,20 @@ def template_counts(logs: DataFrame) -> DataFrame:
     return _templated(logs).groupBy("source", "template_id").agg(F.count("*").alias("count"))
 
 
-def template_frequencies(logs: DataFrame, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
-    """Count and share of each template among all lines, those without a template included."""
-    by = by or ["source"]
-    weight = F.lit(1) if weight is None else weight
+def template_frequencies(logs: DataFrame) -> DataFrame:
+    """Count and share of each template among all lines, those without a template included.
+
+    Totals come from the counts, not from the lines again. Lines without a template are dropped by an aggregate and
+    not by their key, which would be pushed below the shuffle that both branches share.
+    """
     template = F.when(F.col("template_id") != "", F.col("template_id"))
-    counts = logs.groupBy(*by, template.alias("template_id")).agg(F.sum(weight).alias("count"))
-    totals = counts.groupBy(*by).agg(F.sum("count").alias("__total"))
-    shares = counts.filter(F.col("template_id").isNotNull()).join(totals, by)
-    return shares.withColumn("frequency", F.col("count") / F.col("__total")).drop("__total")
+    counts = logs.groupBy("source", template.alias("template_id")).agg(
+        F.count("*").alias("count"), F.max(template.isNotNull()).alias("__templated")
+    )
+    lines = F.when(F.col("__templated").isNotNull(), F.col("count"))
+    totals = counts.groupBy("source").agg(F.sum(lines).alias("__total"))
+    shares = counts.filter("__templated").join(totals, "source")
+    return shares.withColumn("frequency", F.col("count") / F.col("__total")).drop("__total", "__templated")
 
 
 def bucket_features(logs: DataFrame, bucket_minutes: int = 5) -> DataFrame:

@@ -59,6 +59,7 @@ def routable(anomalies: DataFrame, channels: DataFrame) -> DataFrame:
 # batch form cuts each key into chunks of time. For a chunk, the time of its last alert depends only on where the
 # chain enters it, and that in steps: a later entry never gives an earlier end. Each chunk reports these steps, they
 # are followed chunk by chunk per key, and then every chunk picks its alerts knowing where the chain enters.
+# Detection finds at most one anomaly per key and window, so a chunk holds at most as many as it has windows.
 
 
 def _chain_ends(times: np.ndarray, cooldown: int) -> np.ndarray:

@@ -1,7 +1,8 @@
 """The four anomaly detectors.
 
-They read observations: (source, ..., is_error, template_id, latency, n), where n lines look the same. ``by`` names
-the grouping columns, ``["source"]`` for one window or ``["source", "window_start"]`` for many windows at once.
+They work on observations: (source, ..., is_error, template_id, latency, n), where n lines look the same. Error rates
+and template shares come from one profile of them, latencies from the observations themselves. ``by`` names the
+grouping columns, ``["source"]`` for one window or ``["source", "window_start"]`` for many windows at once.
 """
 
 from __future__ import annotations
@@ -40,15 +41,32 @@ def observations(logs: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def window_profile(current: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Lines and errors per template, lines without a template included."""
+    by = by or ["source"]
+    bad = F.sum(F.when(F.col("is_error"), F.col("n")).otherwise(0))
+    return current.groupBy(*by, "template_id").agg(F.sum("n").alias("count"), bad.alias("errors"))
+
+
+def observed_rates(profile: DataFrame, by: list[str] | None = None) -> DataFrame:
+    rate = F.sum("errors") / F.sum("count")
+    return profile.groupBy(*(by or ["source"])).agg(rate.alias("observed_rate"))
+
+
+def template_shares(profile: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Count and share of each template among all lines of its window."""
+    by = by or ["source"]
+    totals = profile.groupBy(*by).agg(F.sum("count").alias("__total"))
+    shares = profile.filter(F.col("template_id").isNotNull()).join(totals, by)
+    return shares.select(*by, "template_id", "count", (F.col("count") / F.col("__total")).alias("frequency"))
+
+
 def error_rate_spikes(
-    current: DataFrame, stats: DataFrame, sensitivity: Column | float = 0.5, by: list[str] | None = None
+    rates: DataFrame, stats: DataFrame, sensitivity: Column | float = 0.5, by: list[str] | None = None
 ) -> DataFrame:
     """Error rate against mean and deviation of the baseline. ``sensitivity`` may be a column of ``stats``."""
     by = by or ["source"]
     sensitivity = F.lit(sensitivity) if isinstance(sensitivity, (int, float)) else sensitivity
-    rates = current.groupBy(*by).agg(
-        (F.sum(F.when(F.col("is_error"), F.col("n")).otherwise(0)) / F.sum("n")).alias("observed_rate")
-    )
     above = F.when(F.col("observed_rate") > F.col("error_rate_mean") + 0.01, 10.0)
     z = (F.col("observed_rate") - F.col("error_rate_mean")) / F.nullif(F.col("error_rate_std"), F.lit(0.0))
     scored = rates.join(stats, "source").withColumn(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import aggregates as A
 from tidewatch.operators.isolation import fit_forest
+from tidewatch.session import cut_lineage
 
 TRAINING_WINDOW_HOURS = 168
 
@@ -48,7 +49,8 @@ def train_baseline(
     if max_rows is not None:
         window = A.oldest_rows(window, max_rows)
     stats = A.rate_stats(window, bucket_minutes).filter(F.col("lines_trained") >= min_lines)
-    stats = stats.withColumn("trained_at", F.lit(as_of).cast("timestamp"))
+    # One row per source, written once: it gates the other tables.
+    stats = cut_lineage(stats.withColumn("trained_at", F.lit(as_of).cast("timestamp")))
     trained = stats.select("source")
 
     def gated(df: DataFrame) -> DataFrame:

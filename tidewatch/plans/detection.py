@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
 from tidewatch.operators import detectors as D
-from tidewatch.operators.aggregates import error_samples, template_frequencies
+from tidewatch.operators.aggregates import error_samples
 from tidewatch.plans.baseline import Baseline
+from tidewatch.session import cut_lineage
 
 LATENCY_WINDOW_MINUTES = 15
 
@@ -53,14 +54,15 @@ def detect(
         stats = stats.join(sources.select(F.col("name").alias("source"), "sensitivity"), "source")
         sensitivity = F.col("sensitivity")
     trained = stats.select("source")
-    shares = template_frequencies(current, by, F.col("n")).join(trained, "source", "left_semi")
+    profile = cut_lineage(D.window_profile(current, by))  # read by three detectors
+    shares = D.template_shares(profile, by).join(trained, "source", "left_semi")
     minutes = F.lit(window_minutes).alias("window_minutes")
     none = F.lit(None).cast("string")
 
     def at(found: DataFrame) -> DataFrame:
         return found.withColumn("detected_at", detected_at)
 
-    spikes = at(D.error_rate_spikes(current, stats, sensitivity, by))
+    spikes = at(D.error_rate_spikes(D.observed_rates(profile, by), stats, sensitivity, by))
     spikes = _anomalies(
         spikes,
         D.ERROR_RATE_SPIKE,
