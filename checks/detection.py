@@ -259,11 +259,57 @@ def detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "score")
 
 
-@check("p15_descriptions")
+@check(
+    "p15_descriptions",
+    f"""
+-- views: logs
+{SPIKE_SQL}, {FREQ_SQL}, {KS_SQL}
+select source, 'error_rate_spike' as anomaly_type, null as template_id,
+       printf('Error rate spike detected (z-score=%.1f, rate=%.3f, baseline=%.3f)', z_score, observed_rate, error_rate_mean) as description
+from spikes
+union all select source, 'novel_pattern', template_id,
+       printf('Novel log pattern detected (template_id=%s, seen %d times, not in baseline)', template_id, "count") from novel
+union all select source, 'latency_shift', null,
+       printf('Latency shift detected (p99: %.1fms -> %.1fms, shift=%.0f%%, KS p=%.4f)', baseline_p99_ms, current_p99_ms, shift_percent, p)
+from shifts
+union all select source, 'frequency_deviation', template_id,
+       printf('Template frequency %s (%.1fx baseline, template_id=%s)', direction, deviation_factor, template_id)
+from deviations where source <> 'svc-3'
+""",
+)
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(V.END).cast("timestamp")
     found = run_detection(current_logs(spark, sf_dir), baseline(spark, sf_dir), now, V.sources(spark), V.DAY)
-    return found.select("source", "anomaly_type", "template_id", "description", "context")
+    return found.select("source", "anomaly_type", "template_id", "description")
+
+
+@check(
+    "d5_anomaly_context",
+    f"""
+-- views: logs
+{SPIKE_SQL}, {FREQ_SQL}, {KS_SQL}
+select source, 'error_rate_spike' as anomaly_type, '' as template_id, round(z_score, 6) as measure, round(observed_rate, 6) as observed from spikes
+union all select source, 'novel_pattern', template_id, cast("count" as double), -1.0 from novel
+union all select source, 'latency_shift', '', round(shift_percent, 6), round(current_p99_ms, 6) from shifts
+union all select source, 'frequency_deviation', template_id, round(deviation_factor, 6), round(current_frequency, 6)
+from deviations where source <> 'svc-3'
+""",
+)
+def anomaly_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit(V.END).cast("timestamp")
+    found = run_detection(current_logs(spark, sf_dir), baseline(spark, sf_dir), now, V.sources(spark), V.DAY)
+
+    def first(*names: str):
+        return F.coalesce(*[F.get_json_object("context", f"$.{n}").cast("double") for n in names], F.lit(-1.0))
+
+    found = found.select(
+        "source",
+        "anomaly_type",
+        F.coalesce(F.get_json_object("context", "$.template_id"), F.lit("")).alias("template_id"),
+        first("z_score", "count", "shift_percent", "deviation_factor").alias("measure"),
+        first("observed_rate", "current_p99_ms", "template_frequency_current").alias("observed"),
+    )
+    return rounded(found, "measure", "observed")
 
 
 # --- correlation
@@ -468,10 +514,54 @@ def _payload(name: str):
     return query
 
 
-check("c3_telegram_payload")(_payload("telegram"))
-check("c4_slack_payload")(_payload("slack"))
-check("c5_email_payload")(_payload("email"))
-check("c6_alertmanager_payload")(_payload("alertmanager"))
+def _payload_sql(channel: str, payload: str) -> str:
+    return f"""
+-- views: anomalies
+-- recursive
+with {KEPT_SQL},
+sent as (
+  select a.*, replace(a.anomaly_type, '_', ' ') as title, printf('%.2f', score) as shown, 'anomaly ' || a.id as description,
+         strftime(detected_at, '%Y-%m-%dT%H:%M:%S.%fZ') as stamp
+  from kept k join alert_anomalies a on a.id = k.id join channels c on {ORDER.format(c='a.severity')} >= {ORDER.format(c='c.min_severity')}
+  where channel_type = '{channel}')
+select id as anomaly_id, '{channel}' as channel_type, {payload} as payload from sent
+"""
+
+
+TELEGRAM_SQL = """
+json_object('text', case severity when 'low' then '\U0001f535' when 'medium' then '\U0001f7e1' when 'high' then '\U0001f7e0' else '\U0001f534' end
+  || ' *tidewatch alert*' || chr(10) || chr(10) || '*Type:* ' || title || chr(10) || '*Severity:* ' || severity || chr(10)
+  || '*Source:* ' || source || chr(10) || '*Score:* ' || shown || chr(10) || chr(10) || description || chr(10)
+  || chr(10) || '*Sample lines:*' || chr(10) || '```' || chr(10) || '  line ' || id || chr(10) || '```', 'parse_mode', 'Markdown')
+"""
+SLACK_SQL = """
+json_object('attachments', json_array(json_object(
+  'color', case severity when 'low' then '#3498db' when 'medium' then '#f39c12' when 'high' then '#e67e22' else '#e74c3c' end,
+  'blocks', json_array(
+    json_object('type', 'header', 'text', json_object('type', 'plain_text', 'text', 'tidewatch: ' || title)),
+    json_object('type', 'section', 'fields', json_array(
+      json_object('type', 'mrkdwn', 'text', '*Severity:* ' || severity), json_object('type', 'mrkdwn', 'text', '*Source:* ' || source),
+      json_object('type', 'mrkdwn', 'text', '*Score:* ' || shown), json_object('type', 'mrkdwn', 'text', '*Time:* ' || stamp))),
+    json_object('type', 'section', 'text', json_object('type', 'mrkdwn', 'text', description))))))
+"""
+EMAIL_SQL = """
+json_object('subject', '[tidewatch] ' || upper(severity) || ': ' || title || ' on ' || source,
+  'body', 'Anomaly detected by tidewatch' || chr(10) || chr(10) || 'Type: ' || anomaly_type || chr(10) || 'Severity: ' || severity || chr(10)
+  || 'Source: ' || source || chr(10) || 'Score: ' || shown || chr(10) || 'Time: ' || stamp || chr(10) || chr(10) || description || chr(10)
+  || chr(10) || 'Sample lines:' || chr(10) || '  line ' || id || chr(10))
+"""
+ALERTMANAGER_SQL = """
+json_array(json_object('labels', json_object('alertname', 'tidewatch_' || anomaly_type, 'severity', severity, 'source', source),
+  'annotations', json_object('summary', description, 'score', cast(score as varchar)), 'startsAt', stamp))
+"""
+
+for _name, _channel, _sql in (
+    ("c3_telegram_payload", "telegram", TELEGRAM_SQL),
+    ("c4_slack_payload", "slack", SLACK_SQL),
+    ("c5_email_payload", "email", EMAIL_SQL),
+    ("c6_alertmanager_payload", "alertmanager", ALERTMANAGER_SQL),
+):
+    check(_name, _payload_sql(_channel, _sql))(_payload(_channel))
 
 
 @check(

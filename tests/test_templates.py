@@ -99,6 +99,7 @@ def test_crowded_leaf_is_clustered_in_parts(spark, monkeypatch):
     messages = [f"job step {w} done by {v}" for w in ("copy", "move", "scan") for v in "abcdefghijklmnop"]
     whole = drain(spark, messages)
     monkeypatch.setattr(T, "TOKENS_PER_TASK", 30)
+    monkeypatch.setattr(T, "PARTS_PER_MERGE", 3)
     parts = drain(spark, messages)
     assert len(whole) == len(parts) == len(messages)
     assert {t for _, t in whole.values()} == {t for _, t in parts.values()} == {"job step <*> done by <*>"}

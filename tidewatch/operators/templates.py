@@ -25,6 +25,8 @@ MASKS = (
 
 # A clustering task handles about this many tokens (shapes times length).
 TOKENS_PER_TASK = 200_000
+# So many parts of a crowded leaf are merged in one task.
+PARTS_PER_MERGE = 64
 
 
 def shape(message: Column) -> Column:
@@ -139,7 +141,8 @@ def drain_templates(assigned: DataFrame, similarity: float = SIMILARITY, max_clu
     ``assigned`` comes from :func:`assign_shapes`. Only distinct shapes are clustered, in order of first line.
     Shapes that differ in length or in their first two tokens (those holding a mask count as equal) can never share a
     cluster, so each such leaf is a task of its own; a shape alone in its leaf is its own template. A crowded leaf is
-    clustered in parts, and the clusters of its parts are clustered once more. Clusters beyond ``max_clusters`` of a source are kept and marked ``overflow``.
+    clustered in parts, and the clusters of its parts are clustered once more, step by step. Clusters beyond
+    ``max_clusters`` of a source are kept and marked ``overflow``.
     """
     shapes = cut_lineage(
         inventory(assigned).withColumnsRenamed({"template_id": "shape_id", "template": "shape"})
@@ -152,9 +155,11 @@ def drain_templates(assigned: DataFrame, similarity: float = SIMILARITY, max_clu
 
     leaves = shapes.select("source", "shape_id", "shape", "first_seen", "first_line")
     leaves = leaves.withColumns({"n_tokens": F.size(tokens), "token_1": routed(0), "token_2": routed(1)})
-    sizes = leaves.groupBy(*LEAF).agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") * F.col("n_tokens") / TOKENS_PER_TASK).cast("int")
-    leaves = leaves.join(sizes.withColumn("parts", parts), LEAF)
+    sizes = leaves.groupBy(*LEAF).agg(F.count("*").alias("n"))
+    # a single long text may well exceed a task's share, but has nothing to be compared with
+    sizes = sizes.withColumn("parts", F.when(F.col("n") > 1, parts).otherwise(1))
+    leaves = leaves.join(sizes, LEAF)
     columns = [*LEAF, "shape_id", "shape", "first_seen", "first_line"]
     alone = leaves.filter(F.col("n") == 1).select("source", "shape_id", F.col("shape").alias("template"))
 
@@ -170,27 +175,15 @@ def drain_templates(assigned: DataFrame, similarity: float = SIMILARITY, max_clu
         cluster_shapes, f"{leaf_schema}, {shape_schema}, cluster bigint, template string"
     )
 
-    part = F.pmod(F.xxhash64("shape"), F.col("parts").cast("bigint")).cast("int").alias("part")
-    dealt = leaves.filter((F.col("n") > 1) & (F.col("parts") > 1)).select(*columns, part)
-    dealt = grouped(dealt, *LEAF, "part").applyInPandas(
-        cluster_shapes, f"{leaf_schema}, part int, {shape_schema}, cluster bigint, template string"
-    )
-    dealt = dealt.withColumnRenamed("template", "pattern")
-
-    def merge_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_seen", "first_line", "pattern"], na_position="first")
-        member, patterns = _greedy([p.split(" ") for p in pdf["pattern"]], similarity)
-        return pdf.assign(template=[" ".join(patterns[m]) for m in member])[[*LEAF, "part", "cluster", "template"]]
-
-    first = F.min(F.struct("first_seen", "first_line")).alias("first")
-    clusters = dealt.groupBy(*LEAF, "part", "cluster", "pattern").agg(first)
-    clusters = clusters.select(*LEAF, "part", "cluster", "pattern", "first.first_seen", "first.first_line")
-    merged = clusters.groupBy(*LEAF).applyInPandas(
-        merge_parts, f"{leaf_schema}, part int, cluster bigint, template string"
-    )
-    busy = dealt.join(merged, [*LEAF, "part", "cluster"])
-
-    final = alone.unionByName(calm.select(*alone.columns)).unionByName(busy.select(*alone.columns))
+    final = alone.unionByName(calm.select(*alone.columns))
+    largest = sizes.agg(F.max("parts")).first()[0] or 1
+    if largest > 1:
+        part = F.pmod(F.xxhash64("shape"), F.col("parts").cast("bigint")).cast("int").alias("part")
+        dealt = leaves.filter(F.col("parts") > 1).select(*columns, part)
+        dealt = grouped(dealt, *LEAF, "part").applyInPandas(
+            cluster_shapes, f"{leaf_schema}, part int, {shape_schema}, cluster bigint, template string"
+        )
+        final = final.unionByName(_merge_parts(cut_lineage(dealt), largest, similarity).select(*alone.columns))
     final = final.withColumn("template_id", template_id(F.col("source"), F.col("template")))
     ranked = cut_lineage(shapes.join(final, ["source", "shape_id"]))
     totals = ranked.groupBy("source", "template_id").agg(
@@ -201,6 +194,32 @@ def drain_templates(assigned: DataFrame, similarity: float = SIMILARITY, max_clu
     return ranked.join(late, ["source", "template_id"])
 
 
+def _merge_parts(dealt: DataFrame, parts: int, similarity: float) -> DataFrame:
+    """Cluster the clusters of a leaf's parts, a few parts at a time, until each leaf is one part."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["first_seen", "first_line", "template"], na_position="first")
+        member, patterns = _greedy([t.split(" ") for t in pdf["template"]], similarity)
+        return pdf.assign(merged=member, template=[" ".join(patterns[m]) for m in member])
+
+    schema = (
+        "source string, n_tokens int, token_1 string, token_2 string, part int, cluster bigint, template string, "
+        "first_seen timestamp, first_line bigint, group int, merged bigint"
+    )
+    place = [*LEAF, "part", "cluster"]
+    order = F.struct("first_seen", "first_line")
+    while parts > 1:
+        parts = -(-parts // PARTS_PER_MERGE)
+        clusters = dealt.groupBy(*place, "template").agg(F.min(order).alias("first"))
+        clusters = clusters.select(*place, "template", "first.first_seen", "first.first_line")
+        clusters = clusters.withColumn("group", F.floor(F.col("part") / PARTS_PER_MERGE).cast("int"))
+        merged = grouped(clusters, *LEAF, "group").applyInPandas(merge, schema)
+        dealt = dealt.drop("template").join(merged.select(*place, "template", "group", "merged"), place)
+        dealt = dealt.drop("part", "cluster").withColumnsRenamed({"group": "part", "merged": "cluster"})
+        dealt = cut_lineage(dealt)
+    return dealt
+
+
 def drain_inventory(clustered: DataFrame) -> DataFrame:
     """One row per Drain template, from the shapes that make it up."""
     first = F.min_by(F.struct("template", "sample_line", "first_line"), F.struct("first_seen", "first_line"))

@@ -25,8 +25,11 @@ class Baseline:
 
     def write(self, path: str) -> None:
         """Write the tables under ``path``; a later detection job reads them with :func:`read_baseline`."""
-        for part in fields(self):
-            getattr(self, part.name).write.mode("overwrite").parquet(f"{path}/{part.name}")
+        for name in ("stats", "templates", "latencies", "features"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        # the forest is grown from the features just written, not from the logs again
+        features = self.features.sparkSession.read.parquet(f"{path}/features")
+        fit_forest(features).write.mode("overwrite").parquet(f"{path}/trees")
 
 
 def read_baseline(spark: SparkSession, path: str) -> Baseline:
