@@ -15,6 +15,8 @@ from tidewatch.operators import alerts as C
 from tidewatch.operators import correlate as J
 from tidewatch.operators import detectors as D
 from tidewatch.plans.detection import run_detection
+from tidewatch.streaming.correlation import stream_correlations
+from tidewatch.streaming.detection import windowed_observations
 
 SPIKE_SQL = f"""
 {STATS_SQL},
@@ -440,6 +442,40 @@ def frequency_inner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joined, "ratio").select("source", "template_id", "ratio")
 
 
+# --- the transformations of the streams, run here over the whole tables as a batch
+
+
+@check(
+    "x2_windowed_observations",
+    """
+-- views: logs
+with w as (
+  select source, time_bucket(interval '5 minutes', "timestamp", timestamp '1970-01-01') as window_start,
+         level in ('error', 'fatal') as is_error, template_id, latency
+  from logs)
+select source, window_start, window_start + interval 5 minute as window_end, is_error, template_id, latency, count(*) as n
+from w group by all
+""",
+)
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_observations(V.logs(spark, sf_dir))
+
+
+@check(
+    "x6_stream_correlation",
+    f"""
+-- views: anomalies
+with {PAIRS_SQL}
+select left(sha256(log_event_id || '|' || metric_event_id), 32) as id, log_event_id, metric_event_id,
+       round(dt, 6) as time_delta_sec, round({CONFIDENCE_SQL}, 9) as confidence
+from pairs where {CONFIDENCE_SQL} >= 0.5
+""",
+)
+def stream_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stream_correlations(V.log_anomalies(spark, sf_dir), V.metric_anomalies(spark, sf_dir))
+    return rounded(rounded(found.drop("detected_at"), "confidence", digits=9), "time_delta_sec")
+
+
 # --- alerts
 
 ORDER = "case {c} when 'low' then 0 when 'medium' then 1 when 'high' then 2 else 3 end"

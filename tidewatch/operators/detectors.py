@@ -27,6 +27,7 @@ RATIO_LOW, RATIO_HIGH = 0.33, 3.0
 
 KS_TERMS = 100
 VALUE_CELLS = 64
+CELL_STEP = 8
 
 
 def observations(logs: DataFrame, *extra: str) -> DataFrame:
@@ -153,9 +154,21 @@ def _order_statistics(side: str) -> list[Column]:
     return [F.min(F.when(F.col(side) > r, F.col("value"))).alias(f"{side}_{end}") for end, r in beyond.items()]
 
 
-def ks_distances(
-    observed: DataFrame, latencies: DataFrame, by: list[str] | None = None, value_cells: int = VALUE_CELLS
-) -> DataFrame:
+def _cell(value: Column) -> Column:
+    """How many bounds lie below the value: first in steps, then within the step."""
+
+    def below(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda bound: bound < value))
+
+    def within(step: Column) -> Column:
+        start = step * CELL_STEP
+        return start + below(F.slice("bounds", start + 1, F.lit(CELL_STEP - 1)))
+
+    # never null, which spares the join on it a second evaluation
+    return F.coalesce(S.let(below(F.col("steps")), within), F.lit(0))
+
+
+def ks_distances(observed: DataFrame, latencies: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per window: sizes and means of both samples, the largest gap between their empirical distributions, and the
     values around their 99th percentiles.
 
@@ -172,10 +185,11 @@ def ks_distances(
 
     # Reading the counts here too keeps this branch on the same shuffle as the one below.
     occurring = F.when(F.col("b") + F.col("c") > 0, F.col("value"))
-    shares = [(i + 1) / value_cells for i in range(value_cells - 1)]
+    shares = [(i + 1) / VALUE_CELLS for i in range(VALUE_CELLS - 1)]
     bounds = merged.groupBy(*by).agg(F.percentile_approx(occurring, shares, 1000).alias("bounds"))
-    cell = F.size(F.filter("bounds", lambda bound: bound < F.col("value")))
-    celled = merged.join(bounds, by).withColumn("cell", cell).drop("bounds")
+    every = F.filter("bounds", lambda _, i: i % CELL_STEP == CELL_STEP - 1)
+    bounds = bounds.withColumn("steps", every)
+    celled = merged.join(bounds, by).withColumn("cell", _cell(F.col("value"))).drop("bounds", "steps")
     cumulative = running_totals(celled, by, ["cell"], ["value"], {"baseline": F.col("b"), "current": F.col("c")})
     gap = F.abs(F.col("baseline") / F.col("baseline_all") - F.col("current") / F.col("current_all"))
     compared = cumulative.filter((F.col("baseline_all") > 0) & (F.col("current_all") > 0)).groupBy(*by)

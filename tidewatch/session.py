@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData, SparkSession
@@ -75,3 +77,18 @@ def grouped(df: DataFrame, *keys: str) -> GroupedData:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *keys).groupBy(*keys)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, for sessions started without it on their path (``--py-files``)."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="tidewatch-")) / package.name
+    archive = shutil.make_archive(str(base), "zip", package.parent, package.name)
+    context.addPyFile(archive)  # Spark sends it to the executors
+    _shipped.add(context.applicationId)
