@@ -166,6 +166,23 @@ def test_store_round_trip(spark, tmp_path):
     assert str(back.filter("level = 'error'").first().date) == "2024-05-01"
 
 
+def test_reads_are_cut_to_days_and_columns(spark, tmp_path):
+    from tidewatch.operators.aggregates import error_rate, slice_logs
+    from tidewatch.operators.serving import recent_logs
+
+    rows = [(datetime(2024, 1, d, 10), "s", "error", "m", "t", "{}", d) for d in range(1, 10)]
+    schema = "timestamp timestamp, source string, level string, message string, template_id string, fields string, line_number long"
+    store.append_logs(spark.createDataFrame(rows, schema), str(tmp_path / "logs"), F.lit(NOW).cast("timestamp"))
+    stored = spark.read.parquet(str(tmp_path / "logs"))
+    rates = error_rate(slice_logs(stored, datetime(2024, 1, 4), datetime(2024, 1, 6, 11)))
+    plan = rates._jdf.queryExecution().executedPlan().toString()
+    assert "date#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(timestamp" in plan
+    assert "ReadSchema: struct<timestamp:timestamp,source:string,level:string>" in plan
+    assert sorted(r.bucket.day for r in rates.collect()) == [4, 5, 6]
+    assert [r.line_number for r in recent_logs(stored, "s", datetime(2024, 1, 8, 10)).collect()] == [8, 9]
+
+
 def test_retention(spark, tmp_path):
     rows = [(datetime(2024, 4, d), "s", d) for d in (1, 2, 20)]
     df = spark.createDataFrame(rows, "ingested_at timestamp, source string, line_number long")

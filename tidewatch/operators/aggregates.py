@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
 from tidewatch.functions.skew import running_totals
+from tidewatch.sources.store import between
 
 # Time buckets of stored error rates count from 2000-01-03, and a source needs this many lines.
 BUCKET_ORIGIN = 946_857_600
@@ -20,12 +21,8 @@ DEFAULT_RATE_STD = 0.01
 
 
 def slice_logs(logs: DataFrame, since: datetime | str | None = None, until: datetime | str | None = None) -> DataFrame:
-    """Rows with since <= timestamp < until. The comparison is on the bare column, so it reaches the scan."""
-    if since is not None:
-        logs = logs.filter(F.col("timestamp") >= F.lit(since).cast("timestamp"))
-    if until is not None:
-        logs = logs.filter(F.col("timestamp") < F.lit(until).cast("timestamp"))
-    return logs
+    """Rows with since <= timestamp < until."""
+    return between(logs, "timestamp", since, until)
 
 
 def oldest_rows(logs: DataFrame, rows: int) -> DataFrame:

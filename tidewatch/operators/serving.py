@@ -7,14 +7,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _since(df: DataFrame, column: str, since: datetime | str | None) -> DataFrame:
-    return df if since is None else df.filter(F.col(column) >= F.lit(since).cast("timestamp"))
+from tidewatch.sources.store import between
 
 
 def recent_logs(logs: DataFrame, source: str, since: datetime | str, limit: int = 10_000) -> DataFrame:
     """Oldest lines of a source since a time."""
-    rows = _since(logs.filter(F.col("source") == source), "timestamp", since)
+    rows = between(logs.filter(F.col("source") == source), "timestamp", since)
     columns = ["timestamp", "source", "level", "message", "template_id", "fields", "line_number"]
     return rows.select(*columns).orderBy("timestamp", "line_number").limit(limit)
 
@@ -27,7 +25,7 @@ def recent_anomalies(anomalies: DataFrame, source: str | None = None, limit: int
 
 def recent_metrics(samples: DataFrame, name: str, since: datetime | str, limit: int = 10_000) -> DataFrame:
     """Oldest samples of a metric since a time."""
-    rows = _since(samples.filter(F.col("name") == name), "timestamp", since)
+    rows = between(samples.filter(F.col("name") == name), "timestamp", since)
     return rows.orderBy("timestamp", "labels_hash", "value").limit(limit)
 
 
@@ -37,7 +35,7 @@ def recent_predictions(predictions: DataFrame, metric_name: str | None = None, l
 
 
 def recent_correlations(events: DataFrame, since: datetime | str | None = None, limit: int = 100) -> DataFrame:
-    return _since(events, "detected_at", since).orderBy(F.desc("detected_at"), "id").limit(limit)
+    return between(events, "detected_at", since).orderBy(F.desc("detected_at"), "id").limit(limit)
 
 
 def top_per_source(anomalies: DataFrame, n: int, order: list[Column] | None = None) -> DataFrame:

@@ -22,9 +22,30 @@ def _append(df: DataFrame, path: str, partition: Column | None = None) -> None:
     df.sortWithinPartitions(*keys).write.mode("append").partitionBy("date").parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, day: Column) -> None:
     """Write a micro-batch to a directory of its own. A batch that is repeated after a failure replaces itself."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    dated = df.withColumn("date", F.to_date(day))
+    dated.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={batch_id}")
+
+
+def between(
+    df: DataFrame, column: str, since: datetime | str | None = None, until: datetime | str | None = None
+) -> DataFrame:
+    """Rows with since <= column < until.
+
+    The comparison is on the bare column, so it reaches the scan. Stored tables are also cut to the days they need.
+    """
+    for bound, inside, day_inside in (
+        (since, lambda c, v: c >= v, lambda c, v: c >= v),
+        (until, lambda c, v: c < v, lambda c, v: c <= v),
+    ):
+        if bound is None:
+            continue
+        value = F.lit(bound).cast("timestamp")
+        df = df.filter(inside(F.col(column), value))
+        if "date" in df.columns:
+            df = df.filter(day_inside(F.col("date"), F.to_date(value)))
+    return df
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:

@@ -55,7 +55,7 @@ def write_detections(
         batch = batch.drop("window_end")
         end = F.col("window_start") + F.make_dt_interval(mins=F.lit(window_minutes))
         found = detect(batch, baseline, end, sources, by=by, window_minutes=window_minutes)
-        write_batch(conform(found, schemas.ANOMALIES), path, batch_id)
+        write_batch(conform(found, schemas.ANOMALIES), path, batch_id, F.col("detected_at"))
 
     windows = windowed_observations(logs, window_minutes, lateness)
     writer = windows.writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint)

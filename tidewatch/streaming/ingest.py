@@ -41,7 +41,7 @@ def write_logs(
 
     def append(batch: DataFrame, batch_id: int) -> None:
         numbered = number_lines(batch).select(name.alias("source"), "line_number", "line")
-        write_batch(ingest_logs(numbered), path, batch_id)
+        write_batch(ingest_logs(numbered), path, batch_id, F.coalesce("timestamp", "ingested_at"))
 
     writer = lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -59,7 +59,7 @@ def write_scrapes(
 
     def append(batch: DataFrame, batch_id: int) -> None:
         samples = prometheus_samples(batch, F.col("scraped_at"), include, exclude)
-        write_batch(conform(samples, schemas.METRIC_SAMPLES), path, batch_id)
+        write_batch(conform(samples, schemas.METRIC_SAMPLES), path, batch_id, F.col("timestamp"))
 
     writer = bodies.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
