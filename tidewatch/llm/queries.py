@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, token_counts
+from tidewatch.llm import bitplanes, decontaminate, licenses, token_counts
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,90 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+END_ID = 2
+
+
+@register("op2_token_planes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = bitplanes.new_folder(docs)
+    shards = bitplanes.write_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return bitplanes.read_documents(shards, folder)
+
+
+OP3_SQL = rf"""
+with template(licence, template) as (values {", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES)}),
+file as (
+  select doc_id, text, '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || (doc_id // 1000)
+         || '/' || (doc_id // 50) as folder
+  from documents),
+notice as (
+  select doc_id, folder, notice
+  from (select doc_id, folder, unnest(string_split(text, chr(10))) as notice from file)
+  where regexp_matches(notice, '{licenses.CUE}')),
+counted as (select notice, count(*) as n from notice group by notice),
+total as (select cast(coalesce(sum(n), 0) as bigint) as total from counted),
+tf as (
+  select notice, n, term, count(*) as tf
+  from (select notice, n, unnest(regexp_extract_all(translate(notice, '{licenses.UPPER}', '{licenses.LOWER}'),
+                                                    '{licenses.TERM}')) as term from counted)
+  group by all),
+df as (select term, sum(n) as df from tf group by term),
+idf as (select term, ln((1.0 + total) / (1.0 + df)) + 1 as idf from df, total),
+ours as (
+  select licence, template, term, count(*) as tf
+  from (select licence, template, unnest(regexp_extract_all(
+          translate(template, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.TERM}')) as term from template)
+  group by all),
+lw as (select notice, term, tf * idf as w from tf join idf using (term)),
+rw as (select licence, template, term, tf * coalesce(idf, ln(1.0 + total) + 1) as w
+       from ours left join idf using (term), total),
+ln_ as (select notice, sqrt(sum(w * w)) as norm from lw group by notice),
+rn as (select licence, template, sqrt(sum(w * w)) as norm from rw group by all),
+scored as (
+  select d.notice, d.licence, round(dot / (ln_.norm * rn.norm), 6) as score
+  from (select notice, licence, template, sum(lw.w * rw.w) as dot from lw join rw using (term) group by all) d
+  join ln_ using (notice) join rn on rn.licence = d.licence and rn.template = d.template),
+best as (
+  select doc_id, folder, licence, score from (
+    select doc_id, folder, licence, score,
+           row_number() over (partition by doc_id order by score desc, licence) as r
+    from notice join scored using (notice) where score >= 0.5) where r = 1),
+declared as (
+  select up as folder, min_by(licence, doc_id) as licence
+  from (select doc_id, licence, unnest(list_transform(range(2, len(string_split(folder, '/')) + 1),
+               lambda i: array_to_string(string_split(folder, '/')[1:i], '/'))) as up from best)
+  group by up),
+near as (
+  select folder, licence, up from (
+    select u.folder as folder, d.licence as licence, up, row_number() over (partition by u.folder order by i desc) as r
+    from (select folder, i, array_to_string(string_split(folder, '/')[1:i], '/') as up
+          from (select folder, unnest(range(1, len(string_split(folder, '/')) + 1)) as i
+                from (select distinct folder from file))) u
+    join declared d on d.folder = u.up) where r = 1)
+select f.doc_id, b.licence as own_licence, b.score as own_score, coalesce(b.licence, n.licence) as licence,
+       case when b.licence is null then n.up end as licence_from
+from file f left join best b using (doc_id) left join near n on n.folder = f.folder
+"""
+
+
+@register("op3_licence_scan", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files in directories of source, language and id; in each directory the first document with a
+    licence notice stands for its licence file."""
+    part = [F.coalesce(F.col(c), F.lit("none")) for c in ("source", "lang")]
+    part += [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 50)]
+    path = F.concat(F.lit("/"), F.concat_ws("/", *part, F.col("doc_id").cast("string")))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    wanted = licenses.templates(spark)
+    own = licenses.own_licences(files, wanted)
+    up = licenses.ancestors(licenses.directory(F.col("path")))
+    doc_id = F.regexp_extract("path", "[0-9]+$", 0).cast("bigint")
+    named = own.select("licence", doc_id.alias("doc_id"), F.explode(up).alias("folder")).filter("folder != ''")
+    declared = named.groupBy("folder").agg(F.min_by("licence", "doc_id").alias("licence"))
+    return licenses.scan(files, wanted, declared, keep=["doc_id"])
+
+
 @register("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
