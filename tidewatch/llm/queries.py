@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bitplanes, decontaminate, licenses, token_counts
+from tidewatch.llm import bitplanes, decontaminate, histogram_sort, licenses, simhash, token_counts
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files, wanted, declared, keep=["doc_id"])
 
 
+@register("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op9_histogram_sort")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = histogram_sort.shard_documents(table(spark, sf_dir, "documents"), shards=16)
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", grown)
+
+
 @register("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
