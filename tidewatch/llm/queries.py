@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bitplanes, decontaminate, histogram_sort, licenses, simhash, token_counts
+from tidewatch.llm import bitplanes, decontaminate, histogram_sort, licenses, quality_rules, simhash, token_counts, toxicity
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(doc_id: str = "doc_id") -> Column:
+    """One of five parts of the documents, by id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+def labels_for_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of four of the five parts."""
+    return table(spark, sf_dir, "labels").filter(fold() != 0)
+
+
 OP1_SQL = r"""
 with doc as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -167,11 +177,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files, wanted, declared, keep=["doc_id"])
 
 
+@register("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, labels_for_training(spark, sf_dir))
+    scored = toxicity.with_scores(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", predicted)
+
+
 @register("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality_rules.judge(docs, quality_rules.fit(docs, labels_for_training(spark, sf_dir)))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *base, "base_failed", "kept")
+
+
 @register("op9_histogram_sort")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = histogram_sort.shard_documents(table(spark, sf_dir, "documents"), shards=16)
