@@ -18,24 +18,26 @@ than id and text are not read.
 from __future__ import annotations
 
 import base64
-import hashlib
+import io
 import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.store import written
-from tidewatch.llm.words import Words, encoded, large_text, pieces, text_sums
+from tidewatch.llm.words import Words, encoded, expanded, large_text, pieces
 
 UNRANKED = 2**31 - 1
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,18 +78,23 @@ def fold_word(word: Column, table: Column) -> Column:
 
     n = (F.length(word) / 2).cast("int")
     parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i * 2 - 1, F.lit(2)))
-    # ranks[i] is of parts i and i + 1; a last entry stands for the end
-    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i < n, rank(F.substring(word, i * 2 - 1, F.lit(4)))).otherwise(F.lit(UNRANKED)))
+
+    def pair(i: Column) -> Column:
+        return F.when(i < n, rank(F.substring(word, i * 2 - 1, F.lit(4)))).otherwise(F.lit(UNRANKED))
+
+    # an entry of ranks is of a part and the next; the last part's stands for the end
+    pairs = F.transform(F.sequence(F.lit(1), n), pair)
 
     def merge(state: Column, _: Column) -> Column:
         def at_best(best: Column) -> Column:
             def join(at: Column) -> Column:
                 def put(new: Column) -> Column:
-                    left = F.when(at > 1, rank(F.concat(state["parts"][at - 2], new))).otherwise(F.lit(UNRANKED))
-                    right = F.when(at + 2 <= F.size(state["parts"]), rank(F.concat(new, state["parts"][at + 1]))).otherwise(F.lit(UNRANKED))
+                    none, size = F.lit(UNRANKED), F.size(state["parts"])
+                    left = F.when(at > 1, rank(F.concat(state["parts"][at - 2], new))).otherwise(none)
+                    right = F.when(at + 2 <= size, rank(F.concat(new, state["parts"][at + 1]))).otherwise(none)
                     before = F.slice(state["ranks"], F.lit(1), F.greatest(at - 2, F.lit(0)))
                     around = F.when(at > 1, F.array(left, right)).otherwise(F.array(right))
-                    after = F.slice(state["ranks"], at + 2, F.size(state["ranks"]))
+                    after = F.slice(state["ranks"], at + 2, size)
                     return F.struct(
                         splice(state["parts"], at, F.array(new), 2).alias("parts"),
                         F.concat(before, around, after).alias("ranks"),
@@ -95,7 +102,8 @@ def fold_word(word: Column, table: Column) -> Column:
 
                 return let(F.concat(state["parts"][at - 1], state["parts"][at]), put)
 
-            return F.when(best == UNRANKED, state).otherwise(let(F.array_position(state["ranks"], best).cast("int"), join))
+            place = F.array_position(state["ranks"], best).cast("int")
+            return F.when(best == UNRANKED, state).otherwise(let(place, join))
 
         return let(F.array_min(state["ranks"]), at_best)
 
@@ -103,3 +111,223 @@ def fold_word(word: Column, table: Column) -> Column:
     folded = F.aggregate(F.sequence(F.lit(2), n), start, merge, lambda s: F.transform(s["parts"], rank))
     whole = rank(word)
     return F.when(whole != UNRANKED, F.array(whole)).when(n < 2, F.transform(parts, rank)).otherwise(folded)
+
+
+# All white space of Unicode; the split pattern treats no other character as such.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+SPACE_BEFORE_BLANK = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
+PIECE = 16 << 20  # bytes of text worked on at a time
+COUNTED = 400_000  # words that a task of the first pass holds counts for before it reports
+FREQUENT = 300_000  # words in the broadcast table
+LONGEST = 64  # bytes of a word in the table, which bounds it to about 30 MB
+EXACT = 1000  # counts up to this are told apart when the table's smallest count is chosen
+
+
+def units(texts: pa.LargeStringArray) -> Words:
+    """The texts cut where a blank follows something other than white space; no match of the pattern reaches across.
+
+    Texts in which a blank follows white space are cut one by one, before runs of white space.
+    """
+    lists = pc.split_pattern(texts, pattern=" ")
+    flat = lists.flatten()
+    first = np.zeros(len(flat), bool)
+    first[np.asarray(lists.offsets)[:-1][np.asarray(pc.list_value_length(lists)) > 0]] = True
+    blank = pa.array(["", " "], pa.large_string()).take(pa.array((~first).astype(np.int8)))
+    joined = pc.binary_join_element_wise(blank, flat, pa.scalar("", pa.large_string()))
+    lists = pa.ListArray.from_arrays(lists.offsets, joined)
+    odd = pc.match_substring_regex(texts, SPACE_BEFORE_BLANK)
+    if pc.any(odd).as_py():
+        rows = pc.if_else(odd, texts, None).to_pylist()
+        cut = [t if t is None else UNIT.findall(t) for t in rows]
+        lists = pc.if_else(odd, pa.array(cut, lists.type), lists)
+    return encoded(lists)
+
+
+@dataclass
+class Split:
+    """Texts as units, and units as words (matches of the pattern)."""
+
+    units: Words
+    words: list[str]  # different words
+    of_unit: np.ndarray  # words of all units, one unit after the other
+    unit_sizes: np.ndarray  # how many words each unit has
+
+
+def split(texts: pa.Array, pattern: regex.Pattern) -> Split:
+    found = units(large_text(texts))
+    number: dict[str, int] = {}
+    sizes, flat = [], []
+    for unit in found.vocabulary.to_pylist():
+        parts = pattern.findall(unit)
+        sizes.append(len(parts))
+        flat += [number.setdefault(p, len(number)) for p in parts]
+    return Split(found, list(number), np.asarray(flat, np.int64), np.asarray(sizes, np.int64))
+
+
+def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
+    """Counts of all words (``word``, ``n``) over the whole table; each task adds up its own first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = regex.compile(pattern)
+        seen: dict[str, int] = {}
+        for batch in batches:
+            for piece in pieces(batch, text, PIECE):
+                found = split(piece.column(text), compiled)
+                times = np.bincount(found.units.ids, minlength=len(found.unit_sizes))
+                per_word = np.repeat(times, found.unit_sizes)
+                total = np.bincount(found.of_unit, per_word, minlength=len(found.words)).astype(np.int64).tolist()
+                for word, n in zip(found.words, total):
+                    seen[word] = seen.get(word, 0) + n
+                if len(seen) > COUNTED:
+                    yield counted(seen)
+                    seen = {}
+        yield counted(seen)
+
+    return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def counted(seen: dict[str, int]) -> pa.RecordBatch:
+    words, n = pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())
+    return pa.RecordBatch.from_arrays([words, n], names=["word", "n"])
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count such that at most ``most`` words have it or more."""
+    step = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(F.pow(2.0, F.ceil(F.log2("n") * 8) / 8).cast("long"))
+    rows = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()  # EXACT + 8 * 63 at most
+    least, total = 2**62, 0
+    for row in sorted(rows, reverse=True):
+        total += row["words"]
+        if total > most:
+            break
+        least = row["step"]
+    return least
+
+
+def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most: int) -> Broadcast:
+    """The ids of the most frequent words, at most ``most`` of at most LONGEST bytes each."""
+    counts = written(word_counts(docs, text, pattern).filter(F.octet_length("word") <= LONGEST))
+    hot = counts.filter(F.col("n") >= least_count(counts, most)).select("word")
+    found = hot.select("word", fold_words(F.array(F.hex(F.encode("word", "utf-8"))), table)[0].alias("ids")).toArrow()
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    return docs.sparkSession.sparkContext.broadcast(sink.getvalue())
+
+
+def known_words(data: bytes) -> dict[str, bytes]:
+    """The broadcast table as a dictionary; ids are 32-bit integers."""
+    found = pa.ipc.open_stream(data).read_all()
+    out: dict[str, bytes] = {}
+    for batch in found.to_batches():
+        lists = batch.column("ids")
+        raw, ends = lists.values.to_numpy().astype(np.int32).tobytes(), np.asarray(lists.offsets).tolist()
+        for word, a, b in zip(batch.column("word").to_pylist(), ends, ends[1:]):
+            out[word] = raw[4 * a : 4 * b]
+    return out
+
+
+def encode_documents(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    id: str = "doc_id",
+    text: str = "text",
+    decoded: bool = False,
+    frequent: int = FREQUENT,
+) -> DataFrame:
+    """Per document: id and ``ids``; with ``decoded`` also the bytes that the ids stand for."""
+    docs = docs.select(id, text)
+    table = rank_literal(ranks)
+    hot = frequent_words(docs, text, pattern, table, frequent)
+    id_type = docs.schema[id].dataType.simpleString()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each piece: its texts as units, units as words, the ids of known words, and the other words."""
+        compiled, known = regex.compile(pattern), known_words(hot.value)
+        for batch in batches:
+            for piece in pieces(batch, text, PIECE):
+                found = split(piece.column(text), compiled)
+                ids = [known.get(w) for w in found.words]
+                missing = [w for w, i in zip(found.words, ids) if i is None]
+                sizes = np.fromiter((-1 if i is None else len(i) // 4 for i in ids), np.int32, len(ids))
+                state = io.BytesIO()
+                np.savez(
+                    state,
+                    units=found.units.ids,
+                    ends=found.units.ends,
+                    of_unit=found.of_unit.astype(np.int32),
+                    unit_sizes=found.unit_sizes.astype(np.int32),
+                    sizes=sizes,
+                    ids=np.frombuffer(b"".join([i for i in ids if i]), np.int32),
+                )
+                own = pa.ListArray.from_arrays(pa.array([0, len(piece)], pa.int32()), piece.column(id))
+                columns = [own, pa.array([state.getvalue()], pa.binary()), pa.array([missing], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["docs", "state", "missing"])
+
+    pieces_ = docs.mapInArrow(look_up, f"docs array<{id_type}>, state binary, missing array<string>")
+    hexed = F.transform("missing", lambda w: F.hex(F.encode(w, "utf-8")))
+    folded = pieces_.select("docs", "state", fold_words(hexed, table).alias("found"))
+    tokens = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks)) if decoded else None
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                own = batch.column("docs").slice(row, 1).flatten()
+                found = batch.column("found").slice(row, 1).flatten()
+                lists = finished(batch.column("state")[row].as_py(), found)
+                columns = [own, lists] + ([decode_lists(lists, tokens.value)] if tokens else [])
+                whole = pa.RecordBatch.from_arrays(columns, names=names)
+                for at in range(0, len(whole), 1000):
+                    yield whole.slice(at, 1000)
+
+    kind = f"`{id}` {id_type}, ids array<int>" + (", decoded binary" if decoded else "")
+    names = [id, "ids", "decoded"][: 3 if decoded else 2]
+    return folded.mapInArrow(finish, kind)
+
+
+def finished(state: bytes, folded: pa.ListArray) -> pa.ListArray:
+    """The ids of each text of a piece, once the ids of its missing words are known."""
+    with np.load(io.BytesIO(state)) as s:
+        s = dict(s)
+    sizes, missing = s["sizes"].astype(np.int64), s["sizes"] < 0
+    sizes[missing] = np.asarray(pc.list_value_length(folded), np.int64)
+    starts = np.cumsum(sizes) - sizes
+    per_word = np.zeros(int(sizes.sum()), np.int32)
+    per_word[expanded(starts[~missing], sizes[~missing])] = s["ids"]
+    per_word[expanded(starts[missing], sizes[missing])] = folded.flatten().to_numpy(zero_copy_only=False)
+    # words to units, units to texts
+    of_unit, unit_words = s["of_unit"], s["unit_sizes"].astype(np.int64)
+    per_unit = per_word[expanded(starts[of_unit], sizes[of_unit])]
+    ends = np.concatenate([[0], np.cumsum(sizes[of_unit])])
+    last = np.cumsum(unit_words)
+    unit_starts, unit_sizes = ends[last - unit_words], ends[last] - ends[last - unit_words]
+    units_ = s["units"]
+    ids = per_unit[expanded(unit_starts[units_], unit_sizes[units_])]
+    places = np.concatenate([[0], np.cumsum(unit_sizes[units_])])[np.concatenate([[0], s["ends"]])]
+    return pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids))
+
+
+def token_bytes(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks.items()}
+
+
+def decode_lists(lists: pa.ListArray, tokens: dict[int, bytes]) -> pa.Array:
+    """The bytes of lists of ids: the pieces one after the other."""
+    ends = np.asarray(lists.offsets).tolist()
+    ids = lists.values.to_numpy().tolist()
+    return pa.array([b"".join([tokens[i] for i in ids[a:b]]) for a, b in zip(ends, ends[1:])], pa.binary())
+
+
+def decode_documents(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """Adds the bytes that a column of id lists stands for; null lists stay null."""
+    table = F.from_json(F.lit(json.dumps(decode_table(ranks))), "array<string>")
+    pieces_ = let(table, lambda t: F.array_join(F.transform(F.col(ids), lambda i: t[i]), ""))
+    return rows.withColumn(name, F.unhex(pieces_))
+
+
+def decode_table(ranks: dict[bytes, int]) -> list[str]:
+    """Hexadecimal pieces in order of their ids; empty for ids without a token."""
+    tokens = token_bytes(ranks)
+    return [tokens.get(i, b"").hex() for i in range(max(tokens, default=-1) + 1)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bitplanes, decontaminate, histogram_sort, licenses, quality_rules, simhash, token_counts, toxicity
+from tidewatch.llm import bitplanes, byte_bpe, decontaminate, histogram_sort, licenses, quality_rules, simhash, token_counts, toxicity
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +177,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files, wanted, declared, keep=["doc_id"])
 
 
+def encoded_documents(docs: DataFrame) -> DataFrame:
+    """Digests of token ids and of their decoding, per document."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, decoded=True)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@register("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

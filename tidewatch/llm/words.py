@@ -53,6 +53,12 @@ def text_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many as its size, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def large_text(texts: pa.Array) -> pa.LargeStringArray:
     """The texts with null as empty, in buffers that start at the first text."""
     if isinstance(texts, pa.ChunkedArray):
