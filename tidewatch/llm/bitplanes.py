@@ -20,26 +20,31 @@ empty table gives no shard and no rows. Columns other than id and text are not r
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.store import shared_folder, written
-from tidewatch.llm.words import pieces, split_words, text_sums
+from tidewatch.llm.words import AS_IS, LOWER, large_text, pieces, split_words, text_sums
 
 MAGIC = b"TWPLANE1"
+MARKS = ".,;:!?"
 FOOTER = struct.Struct("<IIQQII")
 BLOCK = 1 << 16  # ids in a chunk
 SHARD_BYTES = 24 << 20  # of text in a shard, about
 PIECE = 8 << 20  # bytes of text encoded at a time
-CACHED = 300_000  # words whose ids a task remembers
+CACHED = 500_000  # words whose ids a worker remembers
 
 _tokenizers: dict[str, object] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
 def tokenizer(path: str):
@@ -57,34 +62,56 @@ def tokenizer(path: str):
 class WordEncoder:
     """Ids of whole texts from a tokenizer that drops white space, so that it can encode word by word.
 
-    Words are cut at ASCII white space. Each different word of a piece is encoded once by the library; a bounded number
-    of words is remembered.
+    Words are cut at ASCII white space. Each different word of a piece is encoded once by the library. A bounded number
+    of words is remembered, those of the latest piece when there are too many: they include the frequent ones.
     """
 
     def __init__(self, path: str) -> None:
         self.library = tokenizer(path)
-        self.cache: dict[str, np.ndarray] = {}
-        probe = ["a", "b's"]
-        if self.ids_of(["a \t\n b's"])[0].tolist() != np.concatenate(self.ids_of(probe)).tolist():
-            raise ValueError("the tokenizer keeps white space, so that texts can't be encoded word by word")
-
-    def ids_of(self, words: list[str]) -> list[np.ndarray]:
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return [np.asarray(f.ids, np.uint32) for f in found]
+        self.cache: dict[str, bytes] = {}
+        if self.ids_of(["a \t\n b's, éü D"])[0] != b"".join(self.ids_of(["a", "b's", ",", "éü", "d"])):
+            raise ValueError("the tokenizer keeps blanks or case, so that texts can't be encoded word by word")
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as 32-bit integers. A word of lower-case letters only is one piece for the merges, which
+        the library's model takes without its normalizer and splitter."""
+        merge, out, rest = self.library.model.tokenize, dict.fromkeys(words, b""), []
+        for word in words:
+            if is_plain(word):
+                piece = word if word.isascii() else "".join([BYTE_CHARS[b] for b in word.encode()])
+                out[word] = array("I", [t.id for t in merge(piece)]).tobytes()
+            else:
+                rest.append(word)
+        for word, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            out[word] = array("I", found.ids).tobytes()
+        return list(out.values())
+
+    def look_up(self, names: list[str]) -> list[bytes]:
+        """The ids of different words. A mark after a letter is a token apart, so such words are encoded without it."""
+        parts = [self.cache.get(n) for n in names]
+        missing = [n for n, ids in zip(names, parts) if ids is None and n]
+        ends = [n[-1] if n[-1:] in MARKS and n[-2:-1].isalpha() else "" for n in missing]
+        stems = [n[:-1] if end else n for n, end in zip(missing, ends)]
+        unknown = [n for n in {*stems, *ends} if n and n not in self.cache]
+        new = dict(zip(unknown, self.ids_of(unknown)))
+        known = {**{n: self.cache[n] for n in {*stems, *ends} if n and n not in new}, "": b"", **new}
+        new |= {n: known[stem] + known[end] for n, stem, end in zip(missing, stems, ends)}
+        parts = [(new[n] if n else b"") if ids is None else ids for n, ids in zip(names, parts)]
+        if len(self.cache) + len(new) <= CACHED:
+            self.cache.update(new)
+        else:
+            self.cache = dict(zip(names[:CACHED], parts))
+        return parts
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the number of ids of each text."""
-        words = split_words(texts)
-        names = words.vocabulary.to_pylist()
-        found = [self.cache.get(n) for n in names]
-        missing = [n for n, f in zip(names, found) if f is None]
-        new = dict(zip(missing, self.ids_of(missing)))
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-        self.cache.update(new if len(new) <= CACHED else {})
-        parts = [new[n] if f is None else f for n, f in zip(names, found)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        table = np.concatenate([np.zeros(0, np.uint32), *parts])
+        texts = large_text(texts)
+        # the tokenizer reads lower case, but its special strings, which begin so, as they are
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        words = split_words(texts, AS_IS if special else LOWER)
+        parts = self.look_up(words.vocabulary.to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        table = np.frombuffer(b"".join(parts), np.uint32)
         firsts = np.cumsum(sizes) - sizes
         per_word = sizes[words.ids]
         per_text = text_sums(per_word, words.starts, words.ends) + 1
@@ -97,6 +124,29 @@ class WordEncoder:
         return out, per_text
 
 
+def byte_chars() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it is printable in Latin-1,
+    the others in order from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+BYTE_CHARS = byte_chars()
+
+
+def is_plain(word: str) -> bool:
+    """Whether the word is letters that the normalizer leaves as they are."""
+    return word.isalpha() and word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word))
+
+
+def encoder(path: str) -> WordEncoder:
+    """One per worker; later tasks find its words again."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def planes(ids: np.ndarray, width: int) -> list[bytes]:
     """The planes of a chunk, lowest first, without the zero planes above the highest that is not zero."""
     top = int(ids.max()).bit_length() if len(ids) else 0
@@ -236,7 +286,7 @@ def write_shards(
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encoder = WordEncoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         files, top = opened(folder)
         files.create_dir(top, recursive=True)
         place = f"{top}/shard-{task.partitionId():07d}.twp"
@@ -244,7 +294,7 @@ def write_shards(
         writer, n_ids, n_documents = None, 0, 0
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
-                ids, counts = encoder.encode(piece.column("text"), end_id)
+                ids, counts = words.encode(piece.column("text"), end_id)
                 writer = writer or ShardWriter(files.open_output_stream(attempt), width)
                 writer.add(piece.column("id").to_pylist(), counts, ids)
                 n_ids += len(ids)
