@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.store import written
+from tidewatch.llm.store import least_count, written
 from tidewatch.llm.words import Words, encoded, expanded, large_text, pieces
 
 UNRANKED = 2**31 - 1
@@ -121,7 +121,6 @@ PIECE = 16 << 20  # bytes of text worked on at a time
 COUNTED = 400_000  # words that a task of the first pass holds counts for before it reports
 FREQUENT = 300_000  # words in the broadcast table
 LONGEST = 64  # bytes of a word in the table, which bounds it to about 30 MB
-EXACT = 1000  # counts up to this are told apart when the table's smallest count is chosen
 
 
 def units(texts: pa.LargeStringArray) -> Words:
@@ -192,19 +191,6 @@ def counted(seen: dict[str, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([words, n], names=["word", "n"])
 
 
-def least_count(counts: DataFrame, most: int) -> int:
-    """The smallest count such that at most ``most`` words have it or more."""
-    step = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(F.pow(2.0, F.ceil(F.log2("n") * 8) / 8).cast("long"))
-    rows = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()  # EXACT + 8 * 63 at most
-    least, total = 2**62, 0
-    for row in sorted(rows, reverse=True):
-        total += row["words"]
-        if total > most:
-            break
-        least = row["step"]
-    return least
-
-
 def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most: int) -> Broadcast:
     """The ids of the most frequent words, at most ``most`` of at most LONGEST bytes each."""
     counts = written(word_counts(docs, text, pattern).filter(F.octet_length("word") <= LONGEST))

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+EXACT = 1000  # counts up to this are told apart when the smallest count of a table is chosen
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +32,16 @@ def written(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count ``n`` such that at most ``most`` words have it or more."""
+    step = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(F.pow(2.0, F.ceil(F.log2("n") * 8) / 8).cast("long"))
+    rows = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()  # EXACT + 8 * 63 at most
+    least, total = 2**62, 0
+    for row in sorted(rows, reverse=True):
+        total += row["words"]
+        if total > most:
+            break
+        least = row["step"]
+    return least
