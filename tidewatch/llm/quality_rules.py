@@ -30,6 +30,7 @@ from tidewatch.llm.words import add_column, encoded, free_name, large_text, spli
 MAX_ROWS = 20_000  # labelled rows that rules are learned from
 SYMBOLS = b"#*$%&|<>"
 THRESHOLDS = 64  # candidate thresholds of a feature
+PIECE = 8 << 20  # bytes of text whose words are held at a time
 MAX_RULES, MAX_CONDITIONS = 24, 5
 LEAST = 0.6  # share of bad documents that a rule must cover on the pruning part
 
@@ -104,7 +105,7 @@ def statistics(texts: pa.Array) -> pa.StructArray:
 
 
 def with_statistics(docs: DataFrame, text: str, name: str, keep: list[str]) -> DataFrame:
-    return add_column(docs, text, name, STATISTICS, lambda: lambda piece: statistics(piece.column(text)), keep)
+    return add_column(docs, text, name, STATISTICS, lambda: lambda piece: statistics(piece.column(text)), keep, PIECE)
 
 
 def share(part: Column, whole: Column) -> Column:

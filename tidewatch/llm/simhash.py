@@ -43,7 +43,8 @@ BITS = 8  # of a segment
 CHAIN = 7  # segments with a budget of one difference; the first three have none
 FREE = (3, 4, 5, 6)  # places in a chain that the one difference may fall in
 CROWDED = 64  # members of a key from which on neighbours are looked up instead of compared
-BLOCK = 1 << 18  # hashes whose bits are counted at a time
+BLOCK = 1 << 16  # hashes whose bits are counted at a time
+PIECE = 4 << 20  # bytes of text whose shingles are held at a time
 
 
 def fingerprints(words: Words, size: int = SHINGLE) -> np.ndarray:
@@ -78,7 +79,7 @@ def with_fingerprints(docs: DataFrame, text: str, name: str, keep: list[str], si
     def start():
         return lambda piece: pa.array(fingerprints(split_words(piece.column(text), LOWER), size).view(np.int64))
 
-    return add_column(docs, text, name, T.LongType(), start, keep)
+    return add_column(docs, text, name, T.LongType(), start, keep, PIECE)
 
 
 def ring_mask(start: int, free: int) -> int:

@@ -140,67 +140,69 @@ class Tree:
         return self.log_p.shape[1]
 
 
-Context = tuple[int, int]  # depth and symbols
-
-
-def retained(pairs: dict[int, np.ndarray], divergence: float = DIVERGENCE) -> dict[Context, tuple[int, dict[int, int]]]:
-    """The contexts of the tree with their counts and those of their stored symbols, shorter ones first."""
-    table: dict[Context, tuple[int, dict[int, int]]] = {}
-    for depth in range(DEPTH + 1):
-        for context, symbol, n, total in pairs[depth].tolist():
-            table.setdefault((depth, context), (total, {}))[1][symbol] = n
-    kept: set[Context] = {(0, 0)}
-
-    def keep(c: Context) -> None:
-        while c not in kept:
-            kept.add(c)
-            depth, symbols = c
-            keep((depth - 1, symbols >> 8))  # without the newest symbol
-            c = (depth - 1, symbols & ((1 << (8 * (depth - 1))) - 1))  # without the oldest
-
-    for (depth, symbols), (total, own) in table.items():
-        if depth:
-            parent = table.get((depth - 1, symbols & ((1 << (8 * (depth - 1))) - 1)))
-            if parent is None:
-                continue
-            ratio, rest, rest_parent = 0.0, 1.0, 1.0
-            for symbol, n in own.items():
-                p, q = n / total, parent[1].get(symbol, 0.5) / parent[0]
-                ratio += n * np.log(p / q)
-                rest, rest_parent = rest - p, rest_parent - q
-            if rest > 1e-9:
-                ratio += total * rest * np.log(rest / max(rest_parent, 1e-9))
-            if ratio >= divergence * (len(own) + 1):
-                keep((depth, symbols))
-    return {c: table.get(c, (0, {})) for c in sorted(kept)}
+def candidates(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of one depth in order, their counts, and for each pair the row of its context."""
+    contexts, first, row = np.unique(pairs[:, 0], return_index=True, return_inverse=True)
+    return contexts, pairs[first, 3], row
+
+
+def suffix(context: np.ndarray, depth: int) -> np.ndarray:
+    """Contexts of that depth without their oldest symbol."""
+    return context & ((1 << (8 * (depth - 1))) - 1)
+
+
+def diverging(pairs: dict[int, np.ndarray], depth: int, divergence: float) -> np.ndarray:
+    """The contexts of a depth whose distribution differs from their parent's: a log-likelihood ratio over the stored
+    symbols, and over the others taken together."""
+    own, up = pairs[depth], pairs[depth - 1]
+    contexts, total, row = candidates(own)
+    parents, parent_total, _ = candidates(up)
+    parent = np.searchsorted(parents, suffix(contexts, depth))
+    keys = up[:, 0] << 8 | up[:, 1]
+    order = np.argsort(keys)
+    wanted = suffix(own[:, 0], depth) << 8 | own[:, 1]
+    at = order[np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)]
+    n_up = np.where(keys[at] == wanted, up[at, 2], 0.5)
+    p, q = own[:, 2] / total[row], n_up / parent_total[parent][row]
+    stored, stored_up = np.bincount(row, p), np.bincount(row, q)
+    rest, rest_up = np.clip(1 - stored, 0, 1), np.maximum(1 - stored_up, 1e-9)
+    ratio = np.bincount(row, own[:, 2] * np.log(p / q)) + total * rest * np.log(np.maximum(rest, 1e-12) / rest_up)
+    return contexts[ratio >= divergence * (np.bincount(row) + 1)]
+
+
+def retained(pairs: dict[int, np.ndarray], divergence: float = DIVERGENCE) -> list[np.ndarray]:
+    """The contexts of the tree, in order, for each depth: those that diverge, and their beginnings and suffixes."""
+    kept = [np.zeros(1, np.int64)] + [diverging(pairs, d, divergence) for d in range(1, DEPTH + 1)]
+    for depth in range(DEPTH, 1, -1):
+        kept[depth - 1] = np.unique(np.concatenate([kept[depth - 1], kept[depth] >> 8, suffix(kept[depth], depth)]))
+    return kept
 
 
 def build(pairs: dict[int, np.ndarray]) -> Tree:
-    states = retained(pairs)
-    number = {c: i for i, c in enumerate(states)}
-    seen = sorted({s for _, own in states.values() for s in own} | {END, BLANK})
-    classes = np.full(256, len(seen), np.int64)  # the last class is each byte value that was never stored
+    """The states of the tree with smoothed distributions and transitions, shorter contexts first."""
+    kept = retained(pairs) if len(pairs[0]) else [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * DEPTH
+    first = np.cumsum([0, *map(len, kept)])
+    seen = np.unique(np.concatenate([pairs[0][:, 1], [END, BLANK]]))
+    classes = np.full(256, len(seen), np.int64)  # the last class is each byte value that was never seen
     classes[seen] = np.arange(len(seen))
-    unseen = 256 - len(seen)
-    width = len(seen) + (unseen > 0)
-    p = np.empty((len(states), width))
-    step = np.empty((len(states), width), np.int32)
-    for i, ((depth, symbols), (total, own)) in enumerate(states.items()):
-        shorter = (depth - 1, symbols & ((1 << (8 * max(0, depth - 1))) - 1))
+    width = len(seen) + (len(seen) < 256)
+    p, step = np.full((first[-1], width), 1 / 256), np.zeros((first[-1], width), np.int32)
+    for depth, contexts in enumerate(kept):
+        own = slice(first[depth], first[depth + 1])
         if depth:
-            parent, next_ = p[number[shorter]], step[number[shorter]]
-        else:
-            parent, next_ = np.full(width, 1 / 256), np.zeros(width, np.int32)
-        rest = total - sum(own.values()) + M
-        p[i], step[i] = rest * parent, next_
-        at = classes[list(own)] if own else []
-        p[i][at] += list(own.values())
-        p[i] /= total + M
-        if depth < DEPTH:
-            for s in seen:
-                longer = number.get((depth + 1, symbols << 8 | s))
-                if longer is not None:
-                    step[i][classes[s]] = longer
+            # reading a context's newest symbol after the rest of it leads to the context
+            begin = first[depth - 1] + np.searchsorted(kept[depth - 1], contexts >> 8)
+            step[begin, classes[contexts & 255]] = np.arange(own.start, own.stop)
+            parent = first[depth - 1] + np.searchsorted(kept[depth - 1], suffix(contexts, depth))
+            p[own], step[own] = p[parent], step[parent]
+        rows = pairs[depth][np.isin(pairs[depth][:, 0], contexts)]
+        at = np.searchsorted(contexts, rows[:, 0])
+        total = np.zeros(len(contexts))
+        total[at] = rows[:, 3]
+        rest = total - np.bincount(at, rows[:, 2], len(contexts)) + M
+        level = p[own] * rest[:, None]
+        level[at, classes[rows[:, 1]]] += rows[:, 2]
+        p[own] = level / (total + M)[:, None]
     return Tree(classes, np.log10(p).astype(np.float32), step)
 
 

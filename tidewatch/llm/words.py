@@ -129,10 +129,12 @@ def add_column(
     kind: T.DataType,
     start: Callable[[], Callable[[pa.RecordBatch], pa.Array]],
     keep: list[str] | None = None,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Add a column that a function makes of each piece of rows; the rows and their order stay.
 
-    ``start`` is called once per task and returns the function. ``keep`` names the columns to return (all).
+    ``start`` is called once per task and returns the function. ``keep`` names the columns to return (all). A piece has
+    about ``piece_bytes`` of text.
     """
     keep = df.columns if keep is None else keep
     schema = T.StructType([*[f for f in df.schema.fields if f.name in keep], T.StructField(name, kind)])
@@ -140,7 +142,7 @@ def add_column(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, piece_bytes):
                 made = make(piece)
                 yield pa.RecordBatch.from_arrays(
                     [*[piece.column(c) for c in schema.names[:-1]], made], names=schema.names
