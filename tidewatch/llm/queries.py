@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bitplanes, byte_bpe, decontaminate, histogram_sort, licenses, quality_rules, simhash, token_counts, toxicity
+from tidewatch.llm import bitplanes, byte_bpe, decontaminate, histogram_sort, licenses, quality_rules, simhash, suffix_tree, token_counts, toxicity
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +194,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_documents(table(spark, sf_dir, "documents"))
 
 
+@register("op5_suffix_tree")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -6,9 +6,12 @@ the training positions, and is retained if its next-symbol distribution diverges
 without its oldest symbol) by a likelihood-ratio test. Parents and beginnings of retained contexts are kept as well, so
 that reading a symbol leads from the longest retained suffix to the next. Distributions are smoothed into the parent's:
 P(s|c) = (n(c,s) + (rest(c) + M) P(s|parent)) / (n(c) + M), where rest(c) counts the symbols too rare to be stored.
+The tree's probability of spelling a token from the longest suffix state on is mixed with the token's training
+frequency; both are distributions over tokens, so the mixture is one too.
 
 All training positions are counted; every distinct gram of each task is added up by a shuffle. MIN_SHARE bounds the
-stored pairs of context and symbol to 1 / MIN_SHARE for each depth, which bounds what the driver gets and broadcasts.
+candidates to 1 / MIN_SHARE contexts and PAIRS / MIN_SHARE pairs of context and symbol for each depth. Of these the tree
+takes MAX_STATES contexts at most, by raising the share, which bounds what is broadcast to about 250 MB.
 
 The base score needs the exact count of every word. Counts of frequent words are broadcast (a bounded table); the others
 are joined by word with the few occurrences that the table lacks.
@@ -29,18 +32,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm.store import least_count, written
 from tidewatch.llm.words import LOWER, Words, large_text, pieces, split_words, text_bytes, text_sums
 
 DEPTH = 6  # symbols of the longest context
-MIN_SHARE = 1e-5  # of the training positions
-M = 2.0  # weight of the parent's distribution
-DIVERGENCE = 6.0  # of the log-likelihood ratio, for each stored symbol of a context
+MIN_SHARE = 2e-6  # of the training positions, for a context
+PAIRS = 32  # a pair of context and symbol is stored from MIN_SHARE / PAIRS on
+MAX_STATES = 120_000
+M = 16.0  # weight of the parent's distribution
+DIVERGENCE = 2.0  # of the log-likelihood ratio, for each stored symbol of a context
+FREQUENCY = 0.2  # weight of a token's training frequency beside its spelling
 END, BLANK = 10, 32
 FREQUENT = 300_000  # words whose counts are broadcast
 LONGEST = 64  # bytes of such a word
-PIECE = 16 << 20  # bytes of text at a time
+PIECE = 8 << 20  # bytes of text at a time
+HELD = 4_000_000  # different grams that a task holds before it reports
 LANES = 4096  # stretches of a piece that are read side by side
 
 
@@ -80,51 +88,58 @@ def grams(found: Stream) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code, return_counts=True)
 
 
-def count_training(docs: DataFrame, text: str) -> DataFrame:
-    """Counts of all words (``word``) and grams (``code``) of the training texts, added up for each piece of a task.
-    A row with neither counts the texts."""
+def count_words(docs: DataFrame, text: str) -> DataFrame:
+    """Counts of all words of the texts (``word``, ``n``); each piece of a task is added up first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, text, PIECE):
+            for piece in pieces(batch, text):
                 words = split_words(piece.column(text), LOWER)
                 times = np.bincount(words.ids, minlength=len(words.vocabulary))
                 some = np.flatnonzero(times)
                 names = words.vocabulary.take(pa.array(some)).cast(pa.string())
-                codes, n = grams(stream(words))
-                nothing = pa.nulls(len(codes) + 1, pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([names, nothing]),
-                        pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(codes.astype(np.int64)), pa.nulls(1, pa.int64())]),
-                        pa.array(np.concatenate([times[some], n, [len(piece)]]).astype(np.int64)),
-                    ],
-                    names=["word", "code", "n"],
-                )
+                yield pa.RecordBatch.from_arrays([names, pa.array(times[some].astype(np.int64))], names=["word", "n"])
+
+    return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def count_grams(docs: DataFrame, text: str) -> DataFrame:
+    """Counts of all grams of the texts (``code``, ``n``); each task adds up its own first, HELD at a time."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for piece in pieces(batch, text, PIECE):
+                more, times = grams(stream(split_words(piece.column(text), LOWER)))
+                codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, times]), len(codes)).astype(np.int64)
+                if len(codes) > HELD:
+                    yield reported(codes, n)
+                    codes, n = codes[:0], n[:0]
+        yield reported(codes, n)
+
+    def reported(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
 
-    return docs.select(text).mapInArrow(count, "word string, code long, n long")
+    return docs.select(text).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def stored_pairs(counted: DataFrame, min_share: float) -> tuple[dict[int, np.ndarray], int]:
-    """For each depth the pairs of context and symbol with at least ``min_share`` of all positions, as columns
-    (context, symbol, n, n of the context), and the number of positions."""
-    level = written(counted.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n")))
+def stored_pairs(level: DataFrame, min_share: float) -> dict[int, np.ndarray]:
+    """For each depth the candidates as columns (context, symbol, n, n of the context), from the counts of grams."""
     total = level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     least = max(2, int(min_share * total))
-    pairs = {}
+    found = {}
     for depth in range(DEPTH, -1, -1):
         context = F.shiftrightunsigned("code", 8)
         whole = level.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).filter(F.col("all") >= least)
-        often = level.filter(F.col("n") >= least).withColumn("context", context)
-        # both sides are bounded by 1 / min_share rows
-        found = often.join(whole, "context").select("context", F.col("code").bitwiseAND(255).alias("symbol"), "n", "all")
-        rows = found.toArrow()
-        pairs[depth] = np.stack([rows[c].to_numpy().astype(np.int64) for c in rows.column_names], axis=1)
+        often = level.filter(F.col("n") >= max(1, least // PAIRS)).withColumn("context", context)
+        pairs = often.join(whole, "context")
+        rows = pairs.select("context", F.col("code").bitwiseAND(255).alias("symbol"), "n", "all").toArrow()
+        found[depth] = np.stack([rows[c].to_numpy().astype(np.int64) for c in rows.column_names], axis=1)
         if depth:
             shorter = F.col("code").bitwiseAND((1 << (8 * depth)) - 1)
-            level = level.groupBy(shorter.alias("code")).agg(F.sum("n").alias("n"))
-            level = written(level) if depth >= DEPTH - 1 else level
-    return pairs, total
+            level = written(level.groupBy(shorter.alias("code")).agg(F.sum("n").alias("n")))
+    return found
 
 
 @dataclass
@@ -170,8 +185,18 @@ def diverging(pairs: dict[int, np.ndarray], depth: int, divergence: float) -> np
     return contexts[ratio >= divergence * (np.bincount(row) + 1)]
 
 
+def bounded(pairs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The candidates without the rarest contexts, so many that the tree has MAX_STATES states at most."""
+    while sum(map(len, retained(pairs))) > MAX_STATES:
+        least = 2 * min(rows[:, 3].min() for rows in pairs.values() if len(rows))
+        pairs = {depth: rows[rows[:, 3] >= least] for depth, rows in pairs.items()}
+    return pairs
+
+
 def retained(pairs: dict[int, np.ndarray], divergence: float = DIVERGENCE) -> list[np.ndarray]:
     """The contexts of the tree, in order, for each depth: those that diverge, and their beginnings and suffixes."""
+    if not len(pairs[0]):
+        return [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * DEPTH
     kept = [np.zeros(1, np.int64)] + [diverging(pairs, d, divergence) for d in range(1, DEPTH + 1)]
     for depth in range(DEPTH, 1, -1):
         kept[depth - 1] = np.unique(np.concatenate([kept[depth - 1], kept[depth] >> 8, suffix(kept[depth], depth)]))
@@ -180,7 +205,8 @@ def retained(pairs: dict[int, np.ndarray], divergence: float = DIVERGENCE) -> li
 
 def build(pairs: dict[int, np.ndarray]) -> Tree:
     """The states of the tree with smoothed distributions and transitions, shorter contexts first."""
-    kept = retained(pairs) if len(pairs[0]) else [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * DEPTH
+    pairs = bounded(pairs)
+    kept = retained(pairs)
     first = np.cumsum([0, *map(len, kept)])
     seen = np.unique(np.concatenate([pairs[0][:, 1], [END, BLANK]]))
     classes = np.full(256, len(seen), np.int64)  # the last class is each byte value that was never seen
@@ -206,13 +232,11 @@ def build(pairs: dict[int, np.ndarray]) -> Tree:
     return Tree(classes, np.log10(p).astype(np.float32), step)
 
 
-def score_stream(found: Stream, tree: Tree) -> np.ndarray:
-    """log10 probability of each text. The stream is cut into stretches that are read side by side; each starts DEPTH
-    symbols early, after which its state no longer depends on where it started."""
+def read_symbols(found: Stream, tree: Tree) -> np.ndarray:
+    """log10 probability of each symbol of the stream. The stream is cut into stretches that are read side by side; each
+    starts DEPTH symbols early, after which its state no longer depends on where it started."""
     n = len(found.symbols)
-    if not n:
-        return np.zeros(len(found.ends))
-    size = -(-n // LANES)
+    size = max(1, -(-n // LANES))
     padded = np.full(LANES * size + DEPTH, END, np.uint8)
     padded[DEPTH : DEPTH + n] = found.symbols
     classes = tree.classes[padded].astype(np.int32)
@@ -225,30 +249,26 @@ def score_stream(found: Stream, tree: Tree) -> np.ndarray:
         if t >= DEPTH:
             out[t - DEPTH] = log_p[cell]
         state = step[cell]
-    return text_sums(out.T.reshape(-1).astype(np.float64), found.starts, found.ends)
-
-
-def packed(pairs: dict[int, np.ndarray]) -> bytes:
-    sink = io.BytesIO()
-    np.savez_compressed(sink, **{str(k): v for k, v in pairs.items()})
-    return sink.getvalue()
-
+    return out.T.reshape(-1)[:n]
 
-def unpacked(data: bytes) -> dict[int, np.ndarray]:
-    with np.load(io.BytesIO(data)) as found:
-        return {int(k): found[k] for k in found.files}
 
+def spelling(words: Words, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability that the tree gives to each word, and to the end of each text."""
+    found = stream(words)
+    symbols = read_symbols(found, tree).astype(np.float64)
+    raw_sizes = pc.binary_length(words.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    sizes = raw_sizes[words.ids] if len(words.ids) else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    before = np.concatenate([[0], ends])[words.starts]  # symbols of words in earlier texts
+    starts = ends - sizes + np.repeat(found.starts - before, words.counts)
+    return text_sums(symbols, starts, starts + sizes), symbols[found.ends - 1]
 
-_trees: dict[int, Tree] = {}
 
-
-def tree_of(data: bytes) -> Tree:
-    """The tree, built once per worker."""
-    key = hash(data)
-    if key not in _trees:
-        _trees.clear()
-        _trees[key] = build(unpacked(data))
-    return _trees[key]
+def mixed(frequency: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    """log10 of the mixture of a training frequency and a spelling probability (given as log10)."""
+    unseen = spelled + np.log10(1 - FREQUENCY)
+    seen = np.log10(np.maximum(FREQUENCY * frequency, 1e-300) + (1 - FREQUENCY) * 10.0**spelled)
+    return np.where(frequency > 0, seen, unseen)
 
 
 def is_training(id: Column) -> Column:
@@ -262,70 +282,73 @@ def score_documents(
     """Per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     context = docs.sparkSession.sparkContext
-    counted = written(count_training(docs.filter(is_training(F.col("id"))), "text"))
-    pairs, _ = stored_pairs(counted, min_share)
-    counts = written(counted.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
-    texts = counted.filter("word is null and code is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    training = docs.filter(is_training(F.col("id")))
+    tree = build(stored_pairs(written(count_grams(training, "text")), min_share))
+    counts = written(count_words(training, "text"))
+    texts = training.count()
     sums = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_tokens, n_different = sums["n"] + texts, sums["v"] + (texts > 0)
-    whole = n_tokens + 0.5 * (n_different + 1)
+    whole, all_tokens = n_tokens + 0.5 * (n_different + 1), max(1, n_tokens)
     short = counts.filter(F.octet_length("word") <= LONGEST)
     hot = short.filter(F.col("n") >= least_count(short, frequent)).toArrow()
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, hot.schema) as out:
         out.write_table(hot)
-    shared = context.broadcast((sink.getvalue(), packed(pairs)))
-    id_type = docs.schema["id"].dataType.simpleString()
+    shared = context.broadcast((sink.getvalue(), tree))
+    id_type = docs.schema["id"].dataType
+    types = pa.schema(
+        [("key", pa.int64()), ("id", to_arrow_type(id_type)), ("word", pa.string()), ("n_tokens", pa.int64()),
+         ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+    )
+
+    def rows(**columns) -> pa.RecordBatch:
+        arrays = {k: c if isinstance(c, pa.Array) else pa.array(c) for k, c in columns.items()}
+        n = len(arrays["key"])
+        made = [arrays[f.name].cast(f.type) if f.name in arrays else pa.nulls(n, f.type) for f in types]
+        return pa.RecordBatch.from_arrays(made, schema=types)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, and one for each of its words that the table lacks."""
+        """A row for each document; and one for each word that the table lacks, with its spelling as ``score``."""
         from pyspark import TaskContext
 
-        table = pa.ipc.open_stream(shared.value[0]).read_all()
+        table, tree = pa.ipc.open_stream(shared.value[0]).read_all(), shared.value[1]
         known = dict(zip(table["word"].to_pylist(), table["n"].to_pylist()))
-        tree = tree_of(shared.value[1])
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 words = split_words(piece.column("text"), LOWER)
-                n = np.fromiter((known.get(w, 0) for w in words.vocabulary.to_pylist()), np.int64, len(words.vocabulary))
-                is_known = n > 0
-                log_p = np.where(is_known, np.log10((n + 0.5) / whole), 0.0)
+                names = words.vocabulary.to_pylist()
+                n = np.fromiter((known.get(w, 0) for w in names), np.int64, len(names))[words.ids]
+                spelled, end = spelling(words, tree)
                 keys = key + np.arange(len(piece), dtype=np.int64)
                 key += len(piece)
-                owner = np.repeat(np.arange(len(piece)), words.counts)
-                lacking = np.flatnonzero(~is_known[words.ids]) if len(words.ids) else np.zeros(0, np.int64)
-                base = words.per_text(log_p[words.ids]) + np.log10((texts + 0.5) / whole)
-                n_known = words.per_text(is_known[words.ids].astype(np.int64)) + int(texts > 0)
-                yield rows_of(
-                    key=keys, id=piece.column("id"), word=None, n_tokens=words.counts + 1, n_known=n_known, base=base,
-                    score=score_stream(stream(words), tree),
-                )
-                many = words.vocabulary.take(pa.array(words.ids[lacking])).cast(pa.string())
-                yield rows_of(key=keys[owner[lacking]], id=None, word=many, n_tokens=None, n_known=None, base=None, score=None)
-
-    kind = f"key long, id {id_type}, word string, n_tokens long, n_known long, base double, score double"
-    types = pa.schema(
-        [("key", pa.int64()), ("id", id_type_of(docs)), ("word", pa.string()), ("n_tokens", pa.int64()),
-         ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-    )
-
-    def rows_of(**columns) -> pa.RecordBatch:
-        n = len(columns["key"])
-        made = [
-            pa.nulls(n, f.type) if columns[f.name] is None
-            else columns[f.name] if isinstance(columns[f.name], pa.Array)
-            else pa.array(columns[f.name], f.type)
-            for f in types
-        ]
-        return pa.RecordBatch.from_arrays(made, schema=types)
+                has = n > 0
+                base = words.per_text(np.where(has, np.log10((n + 0.5) / whole), 0.0))
+                own = words.per_text(np.where(has, mixed(n / all_tokens, spelled), 0.0))
+                yield rows(
+                    key=keys,
+                    id=piece.column("id"),
+                    n_tokens=words.counts + 1,
+                    n_known=words.per_text(has.astype(np.int64)) + int(texts > 0),
+                    base=base + np.log10((texts + 0.5) / whole),
+                    score=own + mixed(np.full(len(piece), texts / all_tokens), end),
+                )
+                lacking = np.flatnonzero(~has)
+                many = words.vocabulary.take(pa.array(words.ids[lacking]))
+                yield rows(key=np.repeat(keys, words.counts)[lacking], word=many, score=spelled[lacking])
 
+    kind = f"key long, id {id_type.simpleString()}, word string, n_tokens long, n_known long, base double, score double"
     found = written(docs.mapInArrow(score, kind))
-    lacking = found.filter("word is not null").groupBy("word", "key").agg(F.count("*").alias("times"))
+    lacking = found.filter("word is not null").select("key", "word", "score")
     joined = lacking.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    log_p = F.log10((F.col("n") + 0.5) / F.lit(float(whole)))
-    known_times = F.when(F.col("n") > 0, F.col("times")).otherwise(0)
-    more = joined.groupBy("key").agg(F.sum(F.col("times") * log_p).alias("more"), F.sum(known_times).alias("known"))
+    n, spelled = F.col("n"), F.col("score")
+    mix = F.log10(F.lit(FREQUENCY / all_tokens) * n + F.lit(1 - FREQUENCY) * F.pow(F.lit(10.0), spelled))
+    own = F.when(n > 0, mix).otherwise(spelled + F.lit(float(np.log10(1 - FREQUENCY))))
+    more = joined.groupBy("key").agg(
+        F.sum(F.log10((n + 0.5) / F.lit(float(whole)))).alias("more_base"),
+        F.sum(own).alias("more"),
+        F.sum((n > 0).cast("long")).alias("known"),
+    )
     out = found.filter("word is null").join(more, "key", "left")
     return out.select(
         F.col("id").alias(id),
@@ -333,12 +356,6 @@ def score_documents(
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(int(n_tokens)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
-
-
-def id_type_of(docs: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(docs.schema["id"].dataType)
