@@ -384,7 +384,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         yield pa.RecordBatch.from_pydict({"model": [packed(weights)]})
 
     rows = training_rows(docs, labels, id, text, label).coalesce(1)
-    return rows.mapInArrow(run, "model binary").first()["model"]
+    found = rows.mapInArrow(run, "model binary").first()  # nothing where Spark knows that there are no rows
+    return found["model"] if found else packed({"share": np.zeros(1)})
 
 
 def with_scores(docs: DataFrame, model: bytes, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:

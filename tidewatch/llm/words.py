@@ -133,10 +133,10 @@ def add_column(
 ) -> DataFrame:
     """Add a column that a function makes of each piece of rows; the rows and their order stay.
 
-    ``start`` is called once per task and returns the function. ``keep`` names the columns to return (all). A piece has
-    about ``piece_bytes`` of text.
+    ``start`` is called once per task and returns the function. ``keep`` names the columns to return (all); an older
+    column called ``name`` gives way. A piece has about ``piece_bytes`` of text.
     """
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
     schema = T.StructType([*[f for f in df.schema.fields if f.name in keep], T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
