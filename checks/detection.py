@@ -384,8 +384,7 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cycle_sql(self_pairs: bool) -> str:
     return f"""
 -- views: anomalies
-with recent as (select * from (select * from log_anomalies order by detected_at desc, id limit 100) as x
-                where detected_at >= timestamp '2024-01-31' - interval 36 hour),
+with recent as (select * from log_anomalies where detected_at >= timestamp '2024-01-31' - interval 36 hour),
 pairs as (
   select l.id as log_event_id, m.id as metric_event_id, l.source as l_source, m.source as m_source,
          case l.severity when 'low' then 1 when 'medium' then 2 else 3 end as l_order,

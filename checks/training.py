@@ -180,14 +180,12 @@ def training_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a10_training_slice_oldest",
     """
 -- views: logs
-with ranked as (
-  select source, line_number, row_number() over (partition by source order by "timestamp", line_number) as n from base)
-select source, line_number from ranked where n <= 1500
+select source, line_number, row_number() over (partition by source order by "timestamp", line_number) as rank from base
 """,
 )
 def training_slice_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The optional cap on training lines per source."""
-    return A.oldest_rows(base_logs(spark, sf_dir), 1500).select("source", "line_number")
+    """Training lines of each source ranked from the oldest on."""
+    return A.ranked_by_age(base_logs(spark, sf_dir)).select("source", "line_number", "rank")
 
 
 @check(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import scalars as S
-from tidewatch.session import config_table, ship_package, spread
+from tidewatch.session import config_table, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,7 +132,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     line = F.when(kind == 0, as_json).when(kind == 1, as_logfmt).otherwise(F.col("message"))
     source = F.when(F.col("source") == "svc-0", "mixed").otherwise(F.concat("source", F.lit("-"), kind.cast("string")))
-    return spread(logs(spark, sf_dir).select(source.alias("source"), "line_number", line.alias("line")))
+    return logs(spark, sf_dir).select(source.alias("source"), "line_number", line.alias("line"))
 
 
 RAW_LINES_SQL = """
@@ -301,7 +301,7 @@ def message_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("line_number"),
         F.col("text").alias("message"),
     )
-    return spread(logs(spark, sf_dir).select(*columns).unionByName(documents))
+    return logs(spark, sf_dir).select(*columns).unionByName(documents)
 
 
 VIEWS = {

@@ -205,11 +205,10 @@ def test_switched_off_detectors_and_sensitivity(spark):
     assert [r.anomaly_type for r in found] == ["novel_pattern"]
 
 
-def test_oldest_rows(spark):
+def test_ranked_by_age(spark):
     rows = training_rows(300) + training_rows(20, "b")
-    got = A.oldest_rows(spark.createDataFrame(rows, LOG_SCHEMA), 50).collect()
-    assert sorted(r.line_number for r in got if r.source == "app") == list(range(50))
-    assert len([r for r in got if r.source == "b"]) == 20
+    got = A.ranked_by_age(spark.createDataFrame(rows, LOG_SCHEMA)).collect()
+    assert len(got) == 320 and all(r["rank"] == r.line_number + 1 for r in got)
 
 
 def test_isolation_forest_finds_the_odd_bucket(spark):
@@ -235,3 +234,12 @@ def test_error_rate_keeps_the_bucket_origin(spark):
     origin = datetime(2000, 1, 3)
     assert all((r.bucket - origin).total_seconds() % 420 == 0 for r in got)
     assert sum(r.total for r in got) == 20 and sum(r.errors for r in got) == 10
+
+
+def test_vanished_templates_by_window(spark):
+    rows = [("app", 1, "b", 0.5), ("app", 1, "c", 0.5), ("app", 2, "a", 0.5), ("app", 2, "c", 0.5)]
+    now = spark.createDataFrame(rows, "source string, window_start int, template_id string, frequency double")
+    base = [("app", t, 1 / 3) for t in "abc"]
+    known_ = spark.createDataFrame(base, "source string, template_id string, frequency double")
+    got = D.frequency_deviations(now, known_, by=["source", "window_start"], include_vanished=True).collect()
+    assert sorted((r.window_start, r.template_id, r.deviation_factor) for r in got) == [(1, "a", 0.0), (2, "b", 0.0)]

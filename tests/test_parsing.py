@@ -159,3 +159,34 @@ def test_decode_fields(spark):
 def test_each_line_is_parsed_once(spark):
     plan = P.parse_each(lines(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+ACCESS = '10.0.0.7 - - [02/Mar/2024:10:00:00 +0000] "GET /q=%s HTTP/1.1" 503 17 "-" "agent \\"x\\""'
+
+
+def test_access_and_syslog_are_recognised(spark):
+    lines = [ACCESS % i for i in range(10)] + ["<34>Oct 11 22:14:15 host su[7]: it failed"] * 10
+    rows = [("web" if i < 10 else "sys", i, line) for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "source string, line_number long, line string")
+    assert {r.source: r.format for r in P.detect_format(df).collect()} == {"web": "nginx", "sys": "syslog3164"}
+    each = P.parse_each(df, year=2024).collect()
+    assert {(r.source, r.level, r.format) for r in each} == {("web", "error", "nginx"), ("sys", "fatal", "syslog3164")}
+    assert {r.timestamp[:10] for r in each} == {"2024-03-02", "2024-10-11"}
+
+
+def test_escaped_quote_in_a_request(spark):
+    line = '1.2.3.4 - - [02/Mar/2024:10:00:00 +0000] "GET /a\\"b HTTP/1.1" 200 5'
+    df = spark.createDataFrame([(line,)], "line string")
+    row = df.select(P.parse_line(F.col("line")).alias("r")).first().r
+    assert row.format == "nginx" and row.message == 'GET /a\\"b HTTP/1.1'
+
+
+def test_nested_repeated_key_is_json(spark):
+    df = spark.createDataFrame([('{"msg":"x","level":"WARN","a":{"k":1,"k":2}}',)], "line string")
+    row = df.select(P.parse_line(F.col("line")).alias("r")).first().r
+    assert (row.format, row.message, row.level) == ("json", "x", "warn") and "a" in row.fields
+
+
+def test_last_of_repeated_latency_keys(spark):
+    df = spark.createDataFrame([('{"latency": 1, "latency": 2}',)], "fields string")
+    assert df.select(S.latency(F.col("fields")).alias("v")).first().v == 2.0

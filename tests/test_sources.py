@@ -223,3 +223,21 @@ def test_appends(spark, tmp_path, writer):
     for _ in range(2):
         append(spark.createDataFrame(rows, schema), str(tmp_path / writer))
     assert spark.read.parquet(str(tmp_path / writer)).count() == 2
+
+
+def test_odd_bodies_lose_no_message(spark):
+    odd = [
+        '\n[{"message": "one"}, {"message": "two"}]\r\n',
+        '[{"message": "one", "a": {"k": 1, "k": 2}}, {"message": "two"}, 3, "text"]',
+        '{"message": "first", "message": "last"}',
+    ]
+    got = E.http_log_lines(bodies(spark, *odd)).orderBy("body_id", "line_number").collect()
+    assert [(r.line_number, r.line) for r in got] == [(0, "one"), (1, "two"), (0, "one"), (1, "two"), (0, "last")]
+
+
+def test_a_source_without_required_labels_takes_every_set(spark):
+    sets = spark.createDataFrame([({"job": "a"},), ({"job": "b"},), ({},)], "labels map<string,string>")
+    rows = [(0, "a", {"job": "a"}), (1, "rest", {}), (2, "late", {"job": "b"})]
+    table = spark.createDataFrame(rows, "ord int, source string, required map<string,string>")
+    by_table = {r.label_key: r.source for r in E.match_sources(sets, table).collect()}
+    assert by_table == {'{"job": "a"}': "a", '{"job": "b"}': "rest", "{}": "rest"}

@@ -13,7 +13,8 @@ from tidewatch.sources.textlogs import stream_log_files
 from tidewatch.streaming.alerts import stream_cooldown
 from tidewatch.streaming.correlation import stream_correlations
 from tidewatch.streaming.detection import windowed_observations, write_detections, write_training
-from tidewatch.streaming.ingest import write_logs, write_scrapes
+from tidewatch.sources.store import append_logs, write_batch
+from tidewatch.streaming.ingest import write_http_logs, write_logs, write_loki_logs, write_otlp_metrics, write_scrapes
 
 START = datetime(2024, 1, 1)
 LOG_SCHEMA = (
@@ -152,3 +153,51 @@ def test_stream_of_anomalies_needs_event_time(spark, tmp_path):
     stream = source(spark, str(tmp_path / "l"), "id string, detected_at string")
     with pytest.raises(Exception, match="(?i)event"):
         stream.withWatermark("detected_at", "1 minute").groupBy("id").count().writeStream.format("noop").start()
+
+
+def test_streams_and_batch_jobs_share_a_table(spark, tmp_path):
+    logs = str(tmp_path / "logs")
+    for name in ("s", "t"):
+        inbox = tmp_path / name
+        inbox.mkdir()
+        (inbox / f"{name}.log").write_text(f"line of {name}\n")
+        lines = stream_log_files(spark, str(inbox))
+        write_logs(lines, logs, str(tmp_path / f"cp-{name}"), once=True).awaitTermination()
+    row = (START, "u", "info", "appended", "x", "{}", 0)
+    append_logs(spark.createDataFrame([row], LOG_SCHEMA), logs)
+    assert sorted(r.source for r in spark.read.parquet(logs).collect()) == ["s", "t", "u"]
+
+
+def test_a_repeated_batch_replaces_itself_only(spark, tmp_path):
+    rows = spark.createDataFrame([(START, 1), (START + timedelta(days=1), 2)], "timestamp timestamp, v long")
+    for run, batch in (("one", 0), ("two", 0), ("one", 1), ("one", 0)):
+        write_batch(rows, str(tmp_path / "t"), batch, F.col("timestamp"), run)
+    got = spark.read.parquet(str(tmp_path / "t"))
+    assert got.count() == 6 and got.select("run").distinct().count() == 3
+    with pytest.raises(ValueError):
+        write_batch(rows, str(tmp_path / "t"), 0, F.col("timestamp"))
+
+
+def test_pushed_bodies(spark, tmp_path):
+    at = START + timedelta(minutes=1)
+    access = '10.0.0.1 - - [01/Jan/2024:00:00:05 +0000] \\"GET /x HTTP/1.1\\" 500 12'
+    posts = [('[{"message": "level=error msg=bad a=1"}, {"message": "%s"}]' % access, "web")]
+    land(spark, str(tmp_path / "http"), posts, "body string, x_source string", 1)
+    bodies = source(spark, str(tmp_path / "http"), "body string, x_source string")
+    write_http_logs(bodies, str(tmp_path / "l"), str(tmp_path / "c1"), once=True).awaitTermination()
+    push = '{"streams": [{"stream": {"app": "x"}, "values": [["1", "first"], ["2", "second"]]}]}'
+    land(spark, str(tmp_path / "loki"), [(push,)], "body string", 1)
+    write_loki_logs(
+        source(spark, str(tmp_path / "loki"), "body string"), [("any", {})], str(tmp_path / "l"), str(tmp_path / "c2"), once=True
+    ).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "l")).collect()
+    assert sorted((r.source, r.level or "", r.message) for r in got) == [
+        ("any", "", "first"), ("any", "", "second"), ("web", "error", "GET /x HTTP/1.1"), ("web", "error", "bad")
+    ]
+    metric = '{"name": "queue_depth", "gauge": {"dataPoints": [{"asDouble": 4.5}]}}'
+    export = '{"resourceMetrics": [{"scopeMetrics": [{"metrics": [%s]}]}]}' % metric
+    land(spark, str(tmp_path / "otlp"), [(export, at)], "body string, received_at timestamp", 1)
+    bodies = source(spark, str(tmp_path / "otlp"), "body string, received_at timestamp")
+    write_otlp_metrics(bodies, str(tmp_path / "m"), str(tmp_path / "c3"), once=True).awaitTermination()
+    row = spark.read.parquet(str(tmp_path / "m")).first()
+    assert (row["name"], row.value, row.timestamp) == ("queue_depth", 4.5, at)

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scalars import let
+from tidewatch.functions.scalars import last_wins, let
 
 SAMPLE_LINES = 10
+DETECTED = ("json", "nginx", "syslog3164", "logfmt")
 
 # Patterns and key names of the supported formats.
 # (?U) makes \w, \s and \S cover Unicode.
@@ -30,8 +31,9 @@ BLANKS = (
     "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# Combined access log: host ident user [time] "request" status bytes "referer" "agent"
-ACCESS_LINE = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?.*$'
+# Combined access log: host ident user [time] "request" status bytes "referer" "agent"; quotes inside are escaped.
+QUOTED = r'"((?:[^"\\]|\\.)*)"'
+ACCESS_LINE = rf"^(\S+) (\S+) (\S+) \[([^\]]+)\] {QUOTED} (\d{{3}}) (\d+|-)(?: {QUOTED} {QUOTED})?.*$"
 ACCESS_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 # BSD syslog: <pri>Mmm dd hh:mm:ss host tag[pid]: message
 SYSLOG_LINE = r"^<(\d{1,3})>([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)$"
@@ -43,18 +45,6 @@ def _strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def last_wins(keys: Column, values: Column) -> Column:
-    """Map from parallel arrays in which a repeated key keeps its last value."""
-
-    def build(a: Column) -> Column:
-        backward, distinct = F.reverse(a["k"]), F.array_distinct(F.reverse(a["k"]))
-        last = F.transform(distinct, lambda k: F.element_at(a["v"], -F.array_position(backward, k).cast("int")))
-        repeated = F.size(F.array_distinct(a["k"])) < F.size(a["k"])
-        return F.when(repeated, F.map_from_arrays(distinct, last)).otherwise(F.map_from_arrays(a["k"], a["v"]))
-
-    return let(F.struct(keys.alias("k"), values.alias("v")), build)
-
-
 def _first_key(entries: Column, keys: tuple[str, ...]) -> Column:
     """The first of ``keys`` that the map has, as a column; null if none."""
     out = F.lit(None).cast("string")
@@ -81,15 +71,23 @@ def _record(timestamp: Column, level: Column, message: Column, fields: Column, f
     )
 
 
-def _json_objects(line: Column) -> Column:
+def _json_objects(line: Column, value: str) -> Column:
     # Inside brackets, text after the object makes the whole invalid instead of being ignored.
     wrapped = F.concat(F.lit("["), _strip(line), F.lit("]"))
-    return F.from_json(wrapped, "array<map<string,variant>>", {"allowSingleQuotes": "false"})
+    return F.from_json(wrapped, f"array<map<string,{value}>>", {"allowSingleQuotes": "false"})
 
 
 def parse_json(line: Column) -> Column:
-    """Null unless the line is exactly one JSON object."""
+    """Null unless the line is exactly one JSON object.
 
+    Values keep their types. Where a nested object repeats a key, which typed values do not allow, all fields of the
+    line are kept as text.
+    """
+    typed = _json_record(_json_objects(line, "variant"), _as_text)
+    return F.coalesce(typed, _json_record(_json_objects(line, "string"), lambda value: value))
+
+
+def _json_record(objects: Column, as_text: Callable[[Column], Column]) -> Column:
     def record(entries: Column) -> Column:
         keys = F.struct(
             *[
@@ -100,9 +98,9 @@ def parse_json(line: Column) -> Column:
         return let(
             keys,
             lambda k: _record(
-                _as_text(entries[k["t"]]),
-                F.lower(_as_text(entries[k["l"]])),
-                _as_text(entries[k["m"]]),
+                as_text(entries[k["t"]]),
+                F.lower(as_text(entries[k["l"]])),
+                as_text(entries[k["m"]]),
                 _without(entries, F.array_compact(F.array(k["l"], k["m"], k["t"]))),
                 "json",
             ),
@@ -113,7 +111,7 @@ def parse_json(line: Column) -> Column:
         entries = last_wins(F.map_keys(raw), F.map_values(raw))
         return F.when((F.size(objects) == 1) & raw.isNotNull(), let(entries, record))
 
-    return let(_json_objects(line), single)
+    return let(objects, single)
 
 
 def parse_logfmt(line: Column) -> Column:
@@ -220,21 +218,40 @@ def looks_logfmt(line: Column) -> Column:
     return F.coalesce(_strip(line).rlike(LOGFMT_LINE), F.lit(False))
 
 
+def looks_access(line: Column) -> Column:
+    return F.coalesce(line.rlike(ACCESS_LINE), F.lit(False))
+
+
+def looks_syslog(line: Column) -> Column:
+    """A priority, a date with a known month, a host and a tag."""
+    return F.coalesce(line.rlike(SYSLOG_LINE.replace("[A-Z][a-z]{2}", "|".join(MONTHS))), F.lit(False))
+
+
 def line_format(line: Column) -> Column:
     """Format of a single line by itself."""
-    return F.when(looks_json(line), "json").when(looks_logfmt(line), "logfmt").otherwise("plain")
+    return (
+        F.when(looks_json(line), "json")
+        .when(looks_access(line), "nginx")
+        .when(looks_syslog(line), "syslog3164")
+        .when(looks_logfmt(line), "logfmt")
+        .otherwise("plain")
+    )
 
 
 def parse_line(line: Column, fmt: Column | None = None, year: int = 1970) -> Column:
-    """Parse by a given format, or by the format the line itself looks like."""
+    """Parse by a given format (a column, null for none), or by the format the line itself looks like."""
+    own = F.coalesce(
+        F.when(_bare_object(line), parse_json(line)),
+        F.when(looks_access(line), parse_access(line)),
+        F.when(looks_syslog(line), parse_syslog(line, year)),
+        F.when(looks_logfmt(line), parse_logfmt(line)),
+        parse_plain(line),
+    )
     if fmt is None:
-        return F.coalesce(
-            F.when(_bare_object(line), parse_json(line)),
-            F.when(looks_logfmt(line), parse_logfmt(line)),
-            parse_plain(line),
-        )
+        return own
     return (
-        F.when(fmt == "json", parse_json(line))
+        F.when(fmt.isNull(), own)
+        .when(fmt == "json", parse_json(line))
         .when(fmt == "logfmt", parse_logfmt(line))
         .when(fmt.isin("nginx", "combined"), parse_access(line))
         .when(fmt == "syslog3164", parse_syslog(line, year))
@@ -249,12 +266,9 @@ def detect_format(lines: DataFrame, by: str = "source", order: str = "line_numbe
     """
     first = Window.partitionBy(by).orderBy(order)
     sample = lines.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= SAMPLE_LINES)
-    kind = line_format(F.col(line))
-    share = sample.groupBy(by).agg(
-        F.avg((kind == "json").cast("int")).alias("json_share"),
-        F.avg((kind == "logfmt").cast("int")).alias("logfmt_share"),
-    )
-    kind = F.when(F.col("json_share") > 0.5, "json").when(F.col("logfmt_share") > 0.5, "logfmt").otherwise("plain")
+    kinds = sample.select(by, line_format(F.col(line)).alias("__kind")).groupBy(by)
+    share = kinds.agg(*[F.avg((F.col("__kind") == k).cast("int")).alias(f"__{k}") for k in DETECTED])
+    kind = F.coalesce(*[F.when(F.col(f"__{k}") > 0.5, k) for k in DETECTED], F.lit("plain"))
     return share.select(by, kind.alias("format"))
 
 

@@ -52,6 +52,18 @@ def to_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.regexp_replace(F.trim(text), "_", "").try_cast("double"))
 
 
+def last_wins(keys: Column, values: Column) -> Column:
+    """Map from parallel arrays in which a repeated key keeps its last value."""
+
+    def build(a: Column) -> Column:
+        backward, distinct = F.reverse(a["k"]), F.array_distinct(F.reverse(a["k"]))
+        last = F.transform(distinct, lambda k: F.element_at(a["v"], -F.array_position(backward, k).cast("int")))
+        repeated = F.size(F.array_distinct(a["k"])) < F.size(a["k"])
+        return F.when(repeated, F.map_from_arrays(distinct, last)).otherwise(F.map_from_arrays(a["k"], a["v"]))
+
+    return let(F.struct(keys.alias("k"), values.alias("v")), build)
+
+
 def _unwrapped(fields: Column) -> Column:
     return F.get_json_object(F.concat(F.lit('{"v":'), fields, F.lit("}")), "$.v")
 
@@ -74,7 +86,8 @@ def _first_present(fields: Column, keys: tuple[str, ...]) -> Column:
             out = F.when(F.map_contains_key(entries, key), entries[key]).otherwise(out)
         return out
 
-    return F.get(F.transform(objects, pick), 0)
+    # a repeated key keeps its last value
+    return F.get(F.transform(objects, lambda o: let(last_wins(F.map_keys(o), F.map_values(o)), pick)), 0)
 
 
 def latency(fields: Column) -> Column:

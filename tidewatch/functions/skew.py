@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A hot-key table never has more rows than this, so it is always safe to broadcast. A key that does not make the
-# list holds less than 1/HOT_KEY_LIMIT of the rows and needs no splitting.
-HOT_KEY_LIMIT = 1000
-
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame:
     """Keys with more than ``rows_per_split`` rows and into how many parts each should be cut (``splits``)."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    return (
-        counts.filter(F.col("__n") > rows_per_split)
-        .orderBy(F.desc("__n"), *keys)
-        .limit(HOT_KEY_LIMIT)
-        .select(*keys, F.ceil(F.col("__n") / rows_per_split).cast("int").alias("splits"))
-    )
+    crowded = counts.filter(F.col("__n") > rows_per_split)
+    return crowded.select(*keys, F.ceil(F.col("__n") / rows_per_split).cast("int").alias("splits"))
 
 
 def running_totals(
@@ -54,37 +46,34 @@ def interval_join(
     left_time: str,
     right_time: str,
     width: int,
-    rows_per_split: int | None = 20_000,
+    rows_per_split: int = 20_000,
 ) -> DataFrame:
     """All pairs of rows whose times (whole numbers) are at most ``width`` apart.
 
     Both sides are cut into time buckets of that width; the left side is repeated for the buckets next to
     its own, which turns the range condition into an equi-join on the bucket. Crowded buckets are cut further into
     a grid: each side is dealt into parts of about ``rows_per_split`` rows and repeated for the parts of the other
-    side, so that no task compares more than one part with one part. Pass ``None`` for ``rows_per_split`` on
-    streams, where bucket sizes are not known beforehand.
+    side, so that no task compares more than one part with one part. However many buckets are crowded, each is cut;
+    the table of them is joined like any other.
     """
     names = {"left": left.columns, "right": right.columns}
     left = left.withColumn("__at", F.floor(F.col(left_time) / width))
     left = left.withColumn("__bucket", F.explode(F.sequence(F.col("__at") - 1, F.col("__at") + 1))).drop("__at")
     right = right.withColumn("__bucket", F.floor(F.col(right_time) / width))
-    keys = ["__bucket"]
-    if rows_per_split is not None:
-        left_hot = hot_keys(left, keys, rows_per_split).withColumnRenamed("splits", "left_splits")
-        right_hot = hot_keys(right, keys, rows_per_split).withColumnRenamed("splits", "right_splits")
-        # at most HOT_KEY_LIMIT rows from each side
-        hot = left_hot.join(F.broadcast(right_hot), keys, "full")
+    left_hot = hot_keys(left, ["__bucket"], rows_per_split).withColumnRenamed("splits", "left_splits")
+    right_hot = hot_keys(right, ["__bucket"], rows_per_split).withColumnRenamed("splits", "right_splits")
+    hot = left_hot.join(right_hot, ["__bucket"], "full")
 
-        def deal(df: DataFrame, columns: list[str], own: str, other: str) -> DataFrame:
-            df = df.join(F.broadcast(hot), ["__bucket"], "left")
-            own_splits, other_splits = (F.coalesce(f"{side}_splits", F.lit(1)) for side in (own, other))
-            part = F.pmod(F.xxhash64(*columns), own_splits.cast("bigint")).cast("int")
-            df = df.withColumn(f"__{own}_part", part)
-            df = df.withColumn(f"__{other}_part", F.explode(F.sequence(F.lit(0), other_splits - 1)))
-            return df.drop("left_splits", "right_splits")
+    def deal(df: DataFrame, columns: list[str], own: str, other: str) -> DataFrame:
+        df = df.join(hot, ["__bucket"], "left")
+        own_splits, other_splits = (F.coalesce(f"{side}_splits", F.lit(1)) for side in (own, other))
+        part = F.pmod(F.xxhash64(*columns), own_splits.cast("bigint")).cast("int")
+        df = df.withColumn(f"__{own}_part", part)
+        df = df.withColumn(f"__{other}_part", F.explode(F.sequence(F.lit(0), other_splits - 1)))
+        return df.drop("left_splits", "right_splits")
 
-        left = deal(left, names["left"], "left", "right")
-        right = deal(right, names["right"], "right", "left")
-        keys = ["__bucket", "__left_part", "__right_part"]
+    left = deal(left, names["left"], "left", "right")
+    right = deal(right, names["right"], "right", "left")
+    keys = ["__bucket", "__left_part", "__right_part"]
     close = F.abs(F.col(right_time) - F.col(left_time)) <= width
     return left.join(right, keys).filter(close).drop(*keys)

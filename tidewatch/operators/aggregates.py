@@ -25,20 +25,15 @@ def slice_logs(logs: DataFrame, since: datetime | str | None = None, until: date
     return between(logs, "timestamp", since, until)
 
 
-def oldest_rows(logs: DataFrame, rows: int) -> DataFrame:
-    """The ``rows`` oldest lines of each source (a training cap; off unless asked for).
+def ranked_by_age(logs: DataFrame) -> DataFrame:
+    """All lines with a time and their rank by age within the source (``rank``, oldest first).
 
-    Ranks are added up from hourly counts, so a busy source is not sorted in one task.
+    Ranks are added up from counts per minute, so a busy source is not sorted in one task.
     """
-    hour = F.floor(F.unix_seconds("timestamp") / 3600)
-    ranked = running_totals(
-        logs.filter(F.col("timestamp").isNotNull()).withColumn("__hour", hour),
-        ["source"],
-        ["__hour"],
-        ["timestamp", "line_number"],
-        {"__rank": F.lit(1)},
-    )
-    return ranked.filter(F.col("__rank") <= rows).select(*logs.columns)
+    minute = F.floor(F.unix_seconds("timestamp") / 60)
+    timed = logs.filter(F.col("timestamp").isNotNull()).withColumn("__minute", minute)
+    ranked = running_totals(timed, ["source"], ["__minute"], ["timestamp", "line_number"], {"rank": F.lit(1)})
+    return ranked.select(*logs.columns, "rank")
 
 
 def _bucket(minutes: int) -> Column:

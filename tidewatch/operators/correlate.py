@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
 from tidewatch.functions.skew import interval_join
-from tidewatch.operators.serving import recent_anomalies
+from tidewatch.sources.store import between
 
 WINDOW_SECONDS = 300
 MIN_CONFIDENCE = 0.5
@@ -39,7 +39,7 @@ def find_correlations(
     window_seconds: float = WINDOW_SECONDS,
     min_confidence: float = MIN_CONFIDENCE,
     allow_self: bool = True,
-    rows_per_split: int | None = 20_000,
+    rows_per_split: int = 20_000,
 ) -> DataFrame:
     """All pairs of a log and a metric anomaly within the window that reach the confidence."""
     left = _side(log_anomalies, "log", as_of)
@@ -77,14 +77,12 @@ def correlation_cycle(
     as_of: datetime,
     window_seconds: float = WINDOW_SECONDS,
     min_confidence: float = MIN_CONFIDENCE,
-    limit: int = 100,
     allow_self: bool = False,
 ) -> DataFrame:
-    """Correlate the newest ``limit`` anomalies among themselves, those not older than two windows.
+    """Correlate the anomalies that are not older than two windows among themselves, all of them.
 
-    The limit comes before the age filter. ``allow_self`` also pairs each anomaly with itself.
+    ``allow_self`` also pairs each anomaly with itself.
     """
-    since = F.lit(as_of - timedelta(seconds=2 * window_seconds)).cast("timestamp")
-    recent = recent_anomalies(anomalies, limit=limit).filter(F.col("detected_at") >= since)
+    recent = between(anomalies, "detected_at", as_of - timedelta(seconds=2 * window_seconds))
     now = F.lit(as_of).cast("timestamp")
-    return find_correlations(recent, recent, now, window_seconds, min_confidence, allow_self, rows_per_split=None)
+    return find_correlations(recent, recent, now, window_seconds, min_confidence, allow_self)

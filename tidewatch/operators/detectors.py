@@ -102,17 +102,16 @@ def frequency_deviations(
 ) -> DataFrame:
     """Templates whose share of the lines moved by more than about three times either way.
 
-    With ``include_vanished`` (single window only) known templates of the sources in ``counts`` that no longer occur
-    are reported too, with a factor of zero.
+    With ``include_vanished`` known templates that no longer occur in a window of their source are reported too, with
+    a factor of zero.
     """
     by = by or ["source"]
     known = templates.select("source", "template_id", F.col("frequency").alias("baseline_frequency"))
     known = known.filter(F.col("baseline_frequency") >= MIN_FREQUENCY)
     now = counts.select(*by, "template_id", F.col("frequency").alias("current_frequency"))
     if include_vanished:
-        live = counts.select("source").distinct()
-        expected = known.join(live, "source", "left_semi")
-        pairs = expected.join(now, ["source", "template_id"], "left").fillna(0.0, ["current_frequency"])
+        expected = known.join(counts.select(*by).distinct(), "source")
+        pairs = expected.join(now, [*by, "template_id"], "left").fillna(0.0, ["current_frequency"])
     else:
         pairs = now.join(known, ["source", "template_id"])
     pairs = pairs.withColumn("deviation_factor", F.col("current_frequency") / F.col("baseline_frequency"))

@@ -152,6 +152,6 @@ def isolation_scores(features: DataFrame, trees: DataFrame) -> DataFrame:
 def isolation_outliers(scores: DataFrame, sensitivity: float = 0.5) -> DataFrame:
     """Scores with a flag for the most isolated share of each source's buckets."""
     share = 1.0 - contamination(sensitivity)
-    cut = scores.groupBy("source").agg(F.percentile_approx("isolation_score", share, 10_000).alias("cut"))
+    cut = scores.groupBy("source").agg(F.percentile("isolation_score", F.lit(share)).alias("cut"))
     flagged = scores.join(cut, "source").withColumn("outlier", F.col("isolation_score") > F.col("cut"))
     return flagged.drop("cut")

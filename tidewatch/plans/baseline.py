@@ -42,15 +42,12 @@ def train_baseline(
     hours: int = TRAINING_WINDOW_HOURS,
     bucket_minutes: int = 5,
     min_lines: int = A.MIN_TRAINING_LINES,
-    max_rows: int | None = None,
 ) -> Baseline:
     """Baselines of all sources from the logs of [as_of - hours, as_of).
 
-    Sources with fewer than ``min_lines`` lines get none. ``max_rows`` keeps only the oldest lines of each source.
+    Sources with fewer than ``min_lines`` lines get none.
     """
     window = A.slice_logs(logs, as_of - timedelta(hours=hours), as_of)
-    if max_rows is not None:
-        window = A.oldest_rows(window, max_rows)
     stats = A.rate_stats(window, bucket_minutes).filter(F.col("lines_trained") >= min_lines)
     # One row per source, written once: it gates the other tables.
     stats = cut_lineage(stats.withColumn("trained_at", F.lit(as_of).cast("timestamp")))

@@ -61,15 +61,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out an input that arrives in fewer partitions than there are cores, before work that is heavy per row.
-
-    Large inputs have more partitions than that and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def grouped(df: DataFrame, *keys: str) -> GroupedData:
     """``groupBy`` for Python work that is heavy per group.
 

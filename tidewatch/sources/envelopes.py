@@ -23,10 +23,11 @@ def http_log_lines(bodies: DataFrame) -> DataFrame:
     """JSON log posts: an object or an array of objects, of which only ``message`` counts.
 
     Entries that are no objects or have no message are dropped; line_number counts the accepted ones from 0.
-    Source is the ``x_source`` column, else "http".
+    Source is the ``x_source`` column, else "http". In a body with a repeated key, the last one counts, and every
+    message that is not empty text is taken as it stands.
     """
     keys = _keys(bodies, "body", "x_source")
-    body = F.trim("body")
+    body = F.btrim("body", F.lit(" \t\n\r"))
     # An entry that is no object becomes a null struct; an entry without message has a null message.
     wrapped = F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
     entries = F.from_json(wrapped, "array<variant>")
@@ -44,7 +45,16 @@ def http_log_lines(bodies: DataFrame) -> DataFrame:
         empty = (m["text"] == "") | ((m["type"] != "STRING") & m["text"].isin("false", "[]", "{}"))
         return m["text"].isNotNull() & ~empty & ~F.coalesce(number, F.lit(False))
 
+    def last_message(entry: Column) -> Column:
+        parsed = F.from_json(entry, "map<string,string>", {"allowSingleQuotes": "false"})
+        found = F.filter(F.map_entries(parsed), lambda e: e["key"] == "message")
+        return F.try_element_at(found, F.lit(-1))["value"]
+
+    # a variant takes no object with a repeated key, wherever in the body that is
+    texts = F.transform(F.from_json(wrapped, "array<string>"), last_message)
+    plain = F.filter(texts, lambda m: m.isNotNull() & (m != ""))
     accepted = F.transform(F.filter(messages, filled), lambda m: m["text"])
+    accepted = F.when(entries.isNotNull(), accepted).otherwise(plain)
     source = F.coalesce("x_source", F.lit(DEFAULT_HTTP_SOURCE)) if "x_source" in bodies.columns else F.lit("http")
     flat = bodies.select(*keys, source.alias("source"), F.posexplode(accepted).alias("line_number", "line"))
     return flat.withColumn("line_number", F.col("line_number").cast("bigint"))
@@ -66,8 +76,9 @@ def match_sources(label_sets: DataFrame, matchers: DataFrame) -> DataFrame:
     """The same with the matchers in a table (ord, source, required), for any number of them.
 
     A label set matches a source when as many of its pairs are required by the source as the source has pairs: an
-    equi-join of the distinct label sets on single pairs, no comparison of every set with every source. Returns
-    (label_key, source), where label_key is the JSON text of the labels.
+    equi-join of the distinct label sets on single pairs, no comparison of every set with every source. A source that
+    requires nothing matches every label set. Returns (label_key, source), where label_key is the JSON text of the
+    labels.
     """
     required = matchers.select(
         "ord", "source", F.size("required").alias("needed"), F.explode("required").alias("name", "value")
@@ -77,6 +88,9 @@ def match_sources(label_sets: DataFrame, matchers: DataFrame) -> DataFrame:
     pairs = distinct.select("label_key", F.explode("labels").alias("name", "value"))
     hits = pairs.join(required, ["name", "value"]).groupBy("label_key", "ord", "source", "needed")
     full = hits.agg(F.count("*").alias("found")).filter(F.col("found") == F.col("needed"))
+    undemanding = matchers.filter(F.size("required") == 0).agg(F.min(F.struct("ord", "source")).alias("m"))
+    every = distinct.select("label_key", undemanding.scalar().alias("m")).select("label_key", "m.ord", "m.source")
+    full = full.select("label_key", "ord", "source").unionByName(every.filter(F.col("ord").isNotNull()))
     return full.groupBy("label_key").agg(F.min_by("source", "ord").alias("source"))
 
 

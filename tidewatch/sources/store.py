@@ -12,20 +12,38 @@ from tidewatch import schemas
 RETENTION_DAYS = 30
 
 
+BATCH_JOBS = "batch"  # the run of everything that batch jobs append
+
+
 def _append(df: DataFrame, path: str, partition: Column | None = None) -> None:
     if partition is None:
         df.write.mode("append").parquet(path)
         return
-    df = df.withColumn("date", partition)
+    df = df.withColumns({"date": partition, "run": F.lit(BATCH_JOBS)})
     # Sorted inside each task: few files per day and narrow row-group statistics for source and time.
     keys = [c for c in ("date", "source", "timestamp") if c in df.columns]
-    df.sortWithinPartitions(*keys).write.mode("append").partitionBy("date").parquet(path)
+    df.sortWithinPartitions(*keys).write.mode("append").partitionBy("date", "run").parquet(path)
+
 
+def stream_id(df: DataFrame) -> str:
+    """The id of the stream whose micro-batch this is; it stays with the stream's checkpoint."""
+    found = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not found:
+        raise ValueError("not a micro-batch: name the run")
+    return found
 
-def write_batch(df: DataFrame, path: str, batch_id: int, day: Column) -> None:
-    """Write a micro-batch to a directory of its own. A batch that is repeated after a failure replaces itself."""
-    dated = df.withColumn("date", F.to_date(day))
-    dated.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={batch_id}")
+
+def write_batch(df: DataFrame, path: str, batch_id: int, day: Column, run: str | None = None) -> None:
+    """Add a micro-batch to a table that batch jobs and other streams write as well.
+
+    All of them share one layout, day and run. The run of a micro-batch is the stream's id (``run`` by default) and the
+    number of the batch, and a write replaces only its own days and run: a batch that is repeated after a failure
+    replaces itself, and nobody else's rows.
+    """
+    own = f"{run or stream_id(df)}-{batch_id}"
+    dated = df.withColumns({"date": F.to_date(day), "run": F.lit(own)})
+    writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("date", "run").parquet(path)
 
 
 def between(
