@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,10 +118,13 @@ def fold_word(word: Column, table: Column) -> Column:
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 SPACE_BEFORE_BLANK = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
-PIECE = 16 << 20  # bytes of text worked on at a time
+PIECE = 8 << 20  # bytes of text worked on at a time
 COUNTED = 400_000  # words that a task of the first pass holds counts for before it reports
-FREQUENT = 300_000  # words in the broadcast table
-LONGEST = 64  # bytes of a word in the table, which bounds it to about 30 MB
+FREQUENT = 1_600_000  # words in the broadcast table
+LONGEST = 48  # bytes of a word in the table, which bounds it to about 200 MB; usual words make it 60 MB
+MARKS = ".,;:!?"
+# Fixed value: the split pattern for which letters with a mark after them are known to be two words.
+USUAL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def units(texts: pa.LargeStringArray) -> Words:
@@ -148,20 +152,34 @@ class Split:
     """Texts as units, and units as words (matches of the pattern)."""
 
     units: Words
-    words: list[str]  # different words
+    words: pa.StringArray  # different words
     of_unit: np.ndarray  # words of all units, one unit after the other
     unit_sizes: np.ndarray  # how many words each unit has
 
 
 def split(texts: pa.Array, pattern: regex.Pattern) -> Split:
+    """Most units are a blank and letters, with or without a mark at the end; the others go through the pattern."""
     found = units(large_text(texts))
-    number: dict[str, int] = {}
-    sizes, flat = [], []
+    findall = pattern.findall
+    usual = pattern.pattern == USUAL_PATTERN
+    sizes: list[int] = []
+    flat: list[str] = []
     for unit in found.vocabulary.to_pylist():
-        parts = pattern.findall(unit)
-        sizes.append(len(parts))
-        flat += [number.setdefault(p, len(number)) for p in parts]
-    return Split(found, list(number), np.asarray(flat, np.int64), np.asarray(sizes, np.int64))
+        core = unit[1:] if unit[:1] == " " else unit
+        if usual and core.isalpha():
+            flat.append(unit)
+            sizes.append(1)
+        elif usual and core[-1:] in MARKS and core[:-1].isalpha():
+            flat.append(unit[:-1])
+            flat.append(core[-1])
+            sizes.append(2)
+        else:
+            parts = findall(unit)
+            flat += parts
+            sizes.append(len(parts))
+    coded = pa.array(flat, pa.string()).dictionary_encode()
+    of_unit = coded.indices.to_numpy(zero_copy_only=False)
+    return Split(found, coded.dictionary, of_unit.astype(np.int32), np.asarray(sizes, np.int32))
 
 
 def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
@@ -176,7 +194,7 @@ def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
                 times = np.bincount(found.units.ids, minlength=len(found.unit_sizes))
                 per_word = np.repeat(times, found.unit_sizes)
                 total = np.bincount(found.of_unit, per_word, minlength=len(found.words)).astype(np.int64).tolist()
-                for word, n in zip(found.words, total):
+                for word, n in zip(found.words.to_pylist(), total):
                     seen[word] = seen.get(word, 0) + n
                 if len(seen) > COUNTED:
                     yield counted(seen)
@@ -196,22 +214,48 @@ def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most
     counts = written(word_counts(docs, text, pattern).filter(F.octet_length("word") <= LONGEST))
     hot = counts.filter(F.col("n") >= least_count(counts, most)).select("word")
     found = hot.select("word", fold_words(F.array(F.hex(F.encode("word", "utf-8"))), table)[0].alias("ids")).toArrow()
+    return docs.sparkSession.sparkContext.broadcast(word_table(found["word"], found["ids"]))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def word_table(words: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, bytes]:
+    """Words and their ids in order of the words' hashes, as an Arrow stream. Words that share a hash are left out."""
+    table = pa.table({"word": words.cast(pa.string()), "ids": ids.cast(pa.list_(pa.int32()))}).combine_chunks()
+    hashes = word_hashes(table["word"])
+    _, first, times = np.unique(hashes, return_index=True, return_counts=True)
+    order = first[times == 1]
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, found.schema) as out:
-        out.write_table(found)
-    return docs.sparkSession.sparkContext.broadcast(sink.getvalue())
-
-
-def known_words(data: bytes) -> dict[str, bytes]:
-    """The broadcast table as a dictionary; ids are 32-bit integers."""
-    found = pa.ipc.open_stream(data).read_all()
-    out: dict[str, bytes] = {}
-    for batch in found.to_batches():
-        lists = batch.column("ids")
-        raw, ends = lists.values.to_numpy().astype(np.int32).tobytes(), np.asarray(lists.offsets).tolist()
-        for word, a, b in zip(batch.column("word").to_pylist(), ends, ends[1:]):
-            out[word] = raw[4 * a : 4 * b]
-    return out
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table.take(pa.array(order)).combine_chunks())
+    return hashes[order], sink.getvalue()
+
+
+class WordTable:
+    """Looks words up by hash and compares them with what it finds."""
+
+    def __init__(self, made: tuple[np.ndarray, bytes]) -> None:
+        self.hashes, data = made
+        table = pa.ipc.open_stream(data).read_all().combine_chunks()
+        self.words, self.ids = (flat_array(table[c]) for c in ("word", "ids"))
+
+    def look_up(self, words: pa.StringArray) -> tuple[np.ndarray, pa.ListArray]:
+        """Which words are known, and the ids of those."""
+        if not len(self.hashes) or not len(words):
+            return np.zeros(len(words), bool), self.ids.slice(0, 0)
+        wanted = word_hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        known = self.hashes[at] == wanted
+        same = pc.equal(self.words.take(pa.array(at[known])), words.filter(pa.array(known)))
+        known[np.flatnonzero(known)] = same.to_numpy(zero_copy_only=False)
+        return known, self.ids.take(pa.array(at[known]))
+
+
+def flat_array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays([pa.array([], column.type), *column.chunks])
 
 
 def encode_documents(
@@ -231,25 +275,27 @@ def encode_documents(
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each piece: its texts as units, units as words, the ids of known words, and the other words."""
-        compiled, known = regex.compile(pattern), known_words(hot.value)
+        compiled, known = regex.compile(pattern), WordTable(hot.value)
         for batch in batches:
             for piece in pieces(batch, text, PIECE):
                 found = split(piece.column(text), compiled)
-                ids = [known.get(w) for w in found.words]
-                missing = [w for w, i in zip(found.words, ids) if i is None]
-                sizes = np.fromiter((-1 if i is None else len(i) // 4 for i in ids), np.int32, len(ids))
+                is_known, ids = known.look_up(found.words)
+                missing = found.words.filter(pa.array(~is_known))
+                sizes = np.full(len(is_known), -1, np.int32)
+                sizes[is_known] = np.asarray(pc.list_value_length(ids))
                 state = io.BytesIO()
                 np.savez(
                     state,
                     units=found.units.ids,
                     ends=found.units.ends,
-                    of_unit=found.of_unit.astype(np.int32),
-                    unit_sizes=found.unit_sizes.astype(np.int32),
+                    of_unit=found.of_unit,
+                    unit_sizes=found.unit_sizes,
                     sizes=sizes,
-                    ids=np.frombuffer(b"".join([i for i in ids if i]), np.int32),
+                    ids=ids.flatten().to_numpy(zero_copy_only=False),
                 )
                 own = pa.ListArray.from_arrays(pa.array([0, len(piece)], pa.int32()), piece.column(id))
-                columns = [own, pa.array([state.getvalue()], pa.binary()), pa.array([missing], pa.list_(pa.string()))]
+                lists = pa.ListArray.from_arrays(pa.array([0, len(missing)], pa.int32()), missing)
+                columns = [own, pa.array([state.getvalue()], pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["docs", "state", "missing"])
 
     pieces_ = docs.mapInArrow(look_up, f"docs array<{id_type}>, state binary, missing array<string>")
@@ -262,9 +308,8 @@ def encode_documents(
             for row in range(len(batch)):
                 own = batch.column("docs").slice(row, 1).flatten()
                 found = batch.column("found").slice(row, 1).flatten()
-                lists = finished(batch.column("state")[row].as_py(), found)
-                columns = [own, lists] + ([decode_lists(lists, tokens.value)] if tokens else [])
-                whole = pa.RecordBatch.from_arrays(columns, names=names)
+                made = finished(batch.column("state")[row].as_py(), found, tokens.value if tokens else None)
+                whole = pa.RecordBatch.from_arrays([own, *made], names=names)
                 for at in range(0, len(whole), 1000):
                     yield whole.slice(at, 1000)
 
@@ -273,10 +318,11 @@ def encode_documents(
     return folded.mapInArrow(finish, kind)
 
 
-def finished(state: bytes, folded: pa.ListArray) -> pa.ListArray:
-    """The ids of each text of a piece, once the ids of its missing words are known."""
-    with np.load(io.BytesIO(state)) as s:
-        s = dict(s)
+def finished(state: bytes, folded: pa.ListArray, tokens: dict[int, bytes] | None) -> list[pa.Array]:
+    """The ids of each text of a piece, once the ids of its missing words are known; with ``tokens`` also what they
+    stand for, decoded once for each different unit."""
+    with np.load(io.BytesIO(state)) as found:
+        s = dict(found)
     sizes, missing = s["sizes"].astype(np.int64), s["sizes"] < 0
     sizes[missing] = np.asarray(pc.list_value_length(folded), np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -288,22 +334,31 @@ def finished(state: bytes, folded: pa.ListArray) -> pa.ListArray:
     per_unit = per_word[expanded(starts[of_unit], sizes[of_unit])]
     ends = np.concatenate([[0], np.cumsum(sizes[of_unit])])
     last = np.cumsum(unit_words)
-    unit_starts, unit_sizes = ends[last - unit_words], ends[last] - ends[last - unit_words]
-    units_ = s["units"]
-    ids = per_unit[expanded(unit_starts[units_], unit_sizes[units_])]
-    places = np.concatenate([[0], np.cumsum(unit_sizes[units_])])[np.concatenate([[0], s["ends"]])]
-    return pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids))
+    unit_ends = np.concatenate([[0], ends[last]]).astype(np.int32)
+    places = np.concatenate([[0], s["ends"]])
+
+    def texts(unit_lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Lists of units as lists of texts: where each text begins, and the values of all."""
+        taken = unit_lists.take(pa.array(s["units"]))
+        return np.asarray(taken.offsets if hasattr(taken, "offsets") else binary_offsets(taken))[places], taken
+
+    offsets, taken = texts(pa.ListArray.from_arrays(pa.array(unit_ends), pa.array(per_unit)))
+    out = [pa.ListArray.from_arrays(pa.array(offsets), taken.values)]
+    if tokens is not None:
+        ids, bounds = per_unit.tolist(), unit_ends.tolist()
+        units_ = pa.array([b"".join([tokens[i] for i in ids[a:b]]) for a, b in zip(bounds, bounds[1:])], pa.large_binary())
+        offsets, taken = texts(units_)
+        data = taken.buffers()[2] or pa.py_buffer(b"")
+        out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), data]).cast(pa.binary()))
+    return out
 
 
-def token_bytes(ranks: dict[bytes, int]) -> dict[int, bytes]:
-    return {rank: token for token, rank in ranks.items()}
+def binary_offsets(values: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
 
 
-def decode_lists(lists: pa.ListArray, tokens: dict[int, bytes]) -> pa.Array:
-    """The bytes of lists of ids: the pieces one after the other."""
-    ends = np.asarray(lists.offsets).tolist()
-    ids = lists.values.to_numpy().tolist()
-    return pa.array([b"".join([tokens[i] for i in ids[a:b]]) for a, b in zip(ends, ends[1:])], pa.binary())
+def token_bytes(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks.items()}
 
 
 def decode_documents(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
