@@ -243,3 +243,26 @@ def test_vanished_templates_by_window(spark):
     known_ = spark.createDataFrame(base, "source string, template_id string, frequency double")
     got = D.frequency_deviations(now, known_, by=["source", "window_start"], include_vanished=True).collect()
     assert sorted((r.window_start, r.template_id, r.deviation_factor) for r in got) == [(1, "a", 0.0), (2, "b", 0.0)]
+
+
+def test_many_windows_look_at_the_baseline_once(spark):
+    baseline = latency_table(spark, [float(v) for v in range(200)])
+    rows = [("app", w, float(v + 3 * w), 1) for w in range(20) for v in range(0, 200, 7)]
+    windows = spark.createDataFrame(rows, "source string, window_start int, value double, n long")
+    by = ["source", "window_start"]
+    got = {r.window_start: r.ks_statistic for r in D.ks_distances(windows, baseline, by).collect()}
+    for w in (0, 7):
+        one = latency_table(spark, [float(v + 3 * w) for v in range(0, 200, 7)])
+        assert got[w] == pytest.approx(D.ks_distances(one, baseline).first().ks_statistic)
+    own = [r.value for r in windows.filter("window_start = 19").collect()]
+    spots = sorted({*own, *map(float, range(200))})
+    gap = max(abs(sum(b <= x for b in range(200)) / 200 - sum(v <= x for v in own) / len(own)) for x in spots)
+    assert got[19] == pytest.approx(gap)
+
+
+def test_training_window_of_a_source(spark):
+    rows = training_rows(1500) + training_rows(1500, "b")
+    logs = spark.createDataFrame(rows, LOG_SCHEMA)
+    short = spark.createDataFrame([("b", 100)], "name string, training_window_hours int")
+    lines = {r.source: r.lines_trained for r in train_baseline(logs, NOW, min_lines=1, sources=short).stats.collect()}
+    assert lines["app"] == 1500 and 0 < lines["b"] < 1500

@@ -95,14 +95,59 @@ def test_greedy_against_a_plain_loop():
         assert len(member) == len(rows)
 
 
-def test_crowded_leaf_is_clustered_in_parts(spark, monkeypatch):
-    messages = [f"job step {w} done by {v}" for w in ("copy", "move", "scan") for v in "abcdefghijklmnop"]
-    whole = drain(spark, messages)
-    monkeypatch.setattr(T, "TOKENS_PER_TASK", 30)
-    monkeypatch.setattr(T, "PARTS_PER_MERGE", 3)
-    parts = drain(spark, messages)
-    assert len(whole) == len(parts) == len(messages)
-    assert {t for _, t in whole.values()} == {t for _, t in parts.values()} == {"job step <*> done by <*>"}
+def mixed_messages():
+    import random
+
+    random.seed(9)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    return [" ".join(["job", "step", *random.choices(words, k=random.randint(3, 5))]) for _ in range(292)]
+
+
+def learned(spark, rows, known=None, **options):
+    shapes = T.inventory(T.assign_shapes(rows)).withColumnsRenamed({"template_id": "shape_id", "template": "shape"})
+    return T.learn_clusters(shapes, known, **options)
+
+
+def members(clusters):
+    return {(r.source, r.shape_id): r.template_id for r in clusters.members.collect()}
+
+
+def test_several_runs_give_the_clusters_of_one(spark, tmp_path):
+    whole = logs(spark, mixed_messages())
+    once = learned(spark, whole)
+    for cut in (1, 100, 250):
+        first = learned(spark, whole.filter(F.col("line_number") < cut))
+        first.write(str(tmp_path / str(cut)))
+        known = T.read_clusters(spark, str(tmp_path / str(cut)))
+        both = learned(spark, whole.filter(F.col("line_number") >= cut), known)
+        assert members(both) == members(once)
+        key = ["source", "template_id", "leaf", "position", "template"]
+        assert sorted(map(tuple, both.patterns.select(key).collect())) == sorted(map(tuple, once.patterns.select(key).collect()))
+
+
+def test_clusters_do_not_depend_on_the_partitions(spark):
+    rows = logs(spark, mixed_messages())
+    assert members(learned(spark, rows.repartition(7))) == members(learned(spark, rows.coalesce(1)))
+
+
+def test_known_ids_stay_when_a_pattern_widens(spark):
+    first = logs(spark, ["user logged in alice from web", "user logged in bob from web"])
+    known = learned(spark, first)
+    later = logs(spark, ["user logged in bob from web", "user logged in carol from web", "something else entirely"])
+    lines = T.assign_shapes(later)
+    more = learned(spark, later, known)
+    ids = {r.message: r.template_id for r in T.with_templates(lines, more).collect()}
+    before = {r.message: r.template_id for r in T.with_templates(T.assign_shapes(first), known).collect()}
+    assert len(set(before.values())) == 1
+    assert ids["user logged in carol from web"] == ids["user logged in bob from web"] == before["user logged in bob from web"]
+    unknown = T.with_templates(lines, known).filter("message = 'something else entirely'").first().template_id
+    assert ids["something else entirely"] == unknown
+
+
+def test_depth_routes_by_leading_tokens(spark):
+    rows = logs(spark, ["a x one two three", "a y one two three"])
+    assert len(set(members(learned(spark, rows)).values())) == 2
+    assert len(set(members(learned(spark, rows, depth=3)).values())) == 1
 
 
 def test_overflow_marks_but_keeps(spark):

@@ -26,8 +26,9 @@ MIN_FREQUENCY = 1e-6
 RATIO_LOW, RATIO_HIGH = 0.33, 3.0
 
 KS_TERMS = 100
-VALUE_CELLS = 64
-CELL_STEP = 8
+VALUES_PER_CELL = 2000
+MAX_CELLS = 1024
+CELL_STEP = 32
 
 
 def observations(logs: DataFrame, *extra: str) -> DataFrame:
@@ -148,7 +149,7 @@ def ks_pvalue(d: Column, n1: Column, n2: Column) -> Column:
 
 def _order_statistics(side: str) -> list[Column]:
     """Values at the two ranks around the 99th percentile, from running counts."""
-    rank = (F.col(f"{side}_all") - 1) * 0.99
+    rank = (F.col(f"{side}_n") - 1) * 0.99
     beyond = {"low": F.floor(rank), "high": F.ceil(rank)}
     return [F.min(F.when(F.col(side) > r, F.col("value"))).alias(f"{side}_{end}") for end, r in beyond.items()]
 
@@ -167,40 +168,60 @@ def _cell(value: Column) -> Column:
     return F.coalesce(S.let(below(F.col("steps")), within), F.lit(0))
 
 
+def _distribution(values: DataFrame, by: list[str], count: str) -> DataFrame:
+    """Running counts of a multiset (``by``, value, ``count``) in order of value: adds ``cell``, ``upto`` and ``n``.
+
+    The value range is cut into cells at approximate quantiles, as many as VALUES_PER_CELL asks for, and counts are put
+    together from cells, so one source with many values is spread over many tasks.
+    """
+    # percentiles of the whole range; MAX_CELLS only bounds how fine the bounds of one group may get
+    shares = [(i + 1) / MAX_CELLS for i in range(MAX_CELLS - 1)]
+    found = values.groupBy(*by).agg(F.percentile_approx("value", shares, 4 * MAX_CELLS).alias("bounds"), F.count("*").alias("__n"))
+    wanted = F.least(F.lit(MAX_CELLS), F.ceil(F.col("__n") / VALUES_PER_CELL))
+    stride = F.greatest(F.lit(1), F.floor(F.lit(MAX_CELLS) / wanted)).cast("int")
+    bounds = found.select(*by, F.filter("bounds", lambda _, i: (i + 1) % stride == 0).alias("bounds"))
+    every = F.filter("bounds", lambda _, i: i % CELL_STEP == CELL_STEP - 1)
+    bounds = bounds.withColumn("steps", every)
+    celled = values.join(bounds, by).withColumn("cell", _cell(F.col("value"))).drop("bounds", "steps")
+    counted = running_totals(celled, by, ["cell"], ["value"], {"upto": F.col(count)})
+    return counted.withColumnRenamed("upto_all", "n")
+
+
 def ks_distances(observed: DataFrame, latencies: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per window: sizes and means of both samples, the largest gap between their empirical distributions, and the
     values around their 99th percentiles.
 
-    Both sides are multisets (value, n). Equal values are merged before the shuffle, and the distribution functions
-    are running counts put together from cells of the value range, so one source with many values is spread over
-    many tasks.
+    Both sides are multisets (value, n). The largest gap lies at a current value or just before one, so the baseline's
+    distribution is only wanted at the different current values of its source: it is run through once per source,
+    however many windows look at it.
     """
     by = by or ["source"]
+    ours = observed.groupBy(*by, "value").agg(F.sum("n").alias("c"))
     zero = F.lit(0).cast("bigint")
-    ours = observed.select(*by, "value", zero.alias("b"), F.col("n").alias("c"))
-    known = latencies if by == ["source"] else latencies.join(observed.select(*by).distinct(), "source")
-    theirs = known.select(*by, "value", F.col("n").alias("b"), zero.alias("c"))
-    merged = ours.unionByName(theirs).groupBy(*by, "value").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
-
-    # Reading the counts here too keeps this branch on the same shuffle as the one below.
-    occurring = F.when(F.col("b") + F.col("c") > 0, F.col("value"))
-    shares = [(i + 1) / VALUE_CELLS for i in range(VALUE_CELLS - 1)]
-    bounds = merged.groupBy(*by).agg(F.percentile_approx(occurring, shares, 1000).alias("bounds"))
-    every = F.filter("bounds", lambda _, i: i % CELL_STEP == CELL_STEP - 1)
-    bounds = bounds.withColumn("steps", every)
-    celled = merged.join(bounds, by).withColumn("cell", _cell(F.col("value"))).drop("bounds", "steps")
-    cumulative = running_totals(celled, by, ["cell"], ["value"], {"baseline": F.col("b"), "current": F.col("c")})
-    gap = F.abs(F.col("baseline") / F.col("baseline_all") - F.col("current") / F.col("current_all"))
-    compared = cumulative.filter((F.col("baseline_all") > 0) & (F.col("current_all") > 0)).groupBy(*by)
-    return compared.agg(
-        F.max(gap).alias("ks_statistic"),
-        F.max("baseline_all").alias("baseline_n"),
-        F.max("current_all").alias("current_n"),
+    spots = ours.select("source", "value", zero.alias("b"), F.lit(True).alias("wanted"))
+    theirs = latencies.select("source", "value", F.col("n").alias("b"), F.lit(False).alias("wanted"))
+    theirs = theirs.join(spots.select("source").distinct(), "source", "left_semi")
+    merged = theirs.unionByName(spots).groupBy("source", "value").agg(F.sum("b").alias("b"), F.max("wanted").alias("wanted"))
+    known = _distribution(merged, ["source"], "b").withColumnsRenamed({"upto": "baseline", "n": "baseline_n"})
+    whole = known.filter("baseline_n > 0").groupBy("source").agg(
+        F.max("baseline_n").alias("baseline_n"),
         (F.sum(F.col("value") * F.col("b")) / F.sum("b")).alias("baseline_mean"),
-        (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("current_mean"),
         *_order_statistics("baseline"),
+    )
+    at = known.filter("wanted").select(
+        "source", "value", F.col("baseline").alias("upto_b"), (F.col("baseline") - F.col("b")).alias("below_b")
+    )
+    current = _distribution(ours, by, "c").withColumnsRenamed({"upto": "current", "n": "current_n"})
+    met = current.join(at, ["source", "value"]).join(whole.select("source", "baseline_n"), "source")
+    upper = F.abs(F.col("upto_b") / F.col("baseline_n") - F.col("current") / F.col("current_n"))
+    lower = F.abs(F.col("below_b") / F.col("baseline_n") - (F.col("current") - F.col("c")) / F.col("current_n"))
+    found = met.groupBy(*by).agg(
+        F.max(F.greatest(upper, lower)).alias("ks_statistic"),
+        F.max("current_n").alias("current_n"),
+        (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("current_mean"),
         *_order_statistics("current"),
     )
+    return found.join(whole, "source")
 
 
 def latency_shifts(current: DataFrame, latencies: DataFrame, by: list[str] | None = None) -> DataFrame:

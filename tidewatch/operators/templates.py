@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.skew import running_totals
@@ -23,11 +25,6 @@ MASKS = (
     r"[0-9]+(\.[0-9]+)?",
 )
 
-# A clustering task handles about this many tokens (shapes times length).
-TOKENS_PER_TASK = 200_000
-# So many parts of a crowded leaf are merged in one task.
-PARTS_PER_MERGE = 64
-
 
 def shape(message: Column) -> Column:
     """The message with ids, addresses and numbers masked and blanks folded."""
@@ -110,14 +107,22 @@ def novel_templates(templates: DataFrame, baseline_max: DataFrame) -> DataFrame:
     return joined.filter(F.col("seq_id") > F.coalesce("max_id", F.lit(0))).drop("max_id")
 
 
-def _greedy(rows: list[list[str]], similarity: float) -> tuple[np.ndarray, list[list[str]]]:
-    """Cluster equally long token rows in order: join the most similar cluster, or open a new one."""
+def _greedy(
+    rows: list[list[str]], similarity: float, known: list[list[str]] | None = None
+) -> tuple[np.ndarray, list[list[str]]]:
+    """Cluster equally long token rows in order: join the most similar cluster, or open a new one.
+
+    ``known`` are the patterns of clusters that exist already, in their order. Returns the cluster of each row and all
+    patterns as they are at the end.
+    """
+    known = known or []
     vocabulary: dict[str, int] = {WILDCARD: 0}
-    coded = np.array([[vocabulary.setdefault(t, len(vocabulary)) for t in row] for row in rows], dtype=np.int32)
+    coded = np.array([[vocabulary.setdefault(t, len(vocabulary)) for t in row] for row in [*known, *rows]], dtype=np.int32)
+    found = len(known)
     patterns = np.empty_like(coded)
+    patterns[:found] = coded[:found]
     member = np.empty(len(rows), dtype=np.int64)
-    found = 0
-    for i, row in enumerate(coded):
+    for i, row in enumerate(coded[found:]):
         if found:
             alike = (patterns[:found] == row).mean(axis=1)
             best = int(alike.argmax())
@@ -132,60 +137,116 @@ def _greedy(rows: list[list[str]], similarity: float) -> tuple[np.ndarray, list[
     return member, words[patterns[:found]].tolist()
 
 
-LEAF = ["source", "n_tokens", "token_1", "token_2"]
+@dataclass
+class Clusters:
+    """What Drain knows: the cluster of every shape it has met, and each cluster's pattern so far.
+
+    ``members``: source, shape_id, template_id. ``patterns``: source, template_id, leaf, position, template, where
+    clusters of a leaf are numbered by ``position`` in the order in which they were opened. A cluster's id is the id of
+    the shape that opened it, so it never changes.
+    """
+
+    members: DataFrame
+    patterns: DataFrame
+
+    def write(self, path: str) -> None:
+        """Write to a new folder; readers move on to it when it is complete."""
+        self.members.write.parquet(f"{path}/members")
+        self.patterns.write.parquet(f"{path}/patterns")
+
+
+MEMBERS = "source string, shape_id string, template_id string"
+PATTERNS = "source string, template_id string, leaf string, position bigint, template string"
+
 
+def read_clusters(spark: SparkSession, path: str) -> Clusters:
+    return Clusters(spark.read.parquet(f"{path}/members"), spark.read.parquet(f"{path}/patterns"))
 
-def drain_templates(assigned: DataFrame, similarity: float = SIMILARITY, max_clusters: int = MAX_CLUSTERS) -> DataFrame:
-    """Drain over masked shapes: (source, shape_id, shape) -> final template of its cluster.
 
-    ``assigned`` comes from :func:`assign_shapes`. Only distinct shapes are clustered, in order of first line.
-    Shapes that differ in length or in their first two tokens (those holding a mask count as equal) can never share a
-    cluster, so each such leaf is a task of its own; a shape alone in its leaf is its own template. A crowded leaf is
-    clustered in parts, and the clusters of its parts are clustered once more, step by step. Clusters beyond
-    ``max_clusters`` of a source are kept and marked ``overflow``.
+def no_clusters(spark: SparkSession) -> Clusters:
+    return Clusters(spark.createDataFrame([], MEMBERS), spark.createDataFrame([], PATTERNS))
+
+
+def leaf_of(template: Column, depth: int = DEPTH) -> Column:
+    """Where a shape is routed: its length and its first ``depth`` - 2 tokens, those with a mask counted as equal."""
+    tokens = F.split(template, " ")
+    first = F.transform(
+        F.slice(tokens, 1, max(0, depth - 2)), lambda t: F.when(t.contains(WILDCARD), WILDCARD).otherwise(t)
+    )
+    return F.concat_ws(" ", F.size(tokens).cast("string"), first)
+
+
+def learn_clusters(
+    shapes: DataFrame, known: Clusters | None = None, similarity: float = SIMILARITY, depth: int = DEPTH
+) -> Clusters:
+    """Drain over distinct shapes (see :func:`inventory`, with ``shape_id`` and ``shape``) on top of what is known.
+
+    Shapes that are known keep their cluster. The others are taken in order of their first line; each joins the most
+    similar cluster of its leaf or opens one. Shapes of different leaves never share a cluster, so leaves are
+    independent, and only those with new shapes are worked on. The outcome depends on nothing but the order of shapes:
+    feeding the logs in several runs, one after the other, gives the clusters of a single run.
+    """
+    known = known or no_clusters(shapes.sparkSession)
+    new = shapes.join(known.members, ["source", "shape_id"], "left_anti")
+    new = new.select("source", "shape_id", "shape", "first_seen", "first_line", leaf_of(F.col("shape"), depth).alias("leaf"))
+
+    def cluster(key: tuple, shapes_: pd.DataFrame, patterns_: pd.DataFrame) -> pd.DataFrame:
+        shapes_ = shapes_.sort_values(["first_seen", "first_line", "shape"], na_position="first")
+        patterns_ = patterns_.sort_values("position")
+        if shapes_.empty:
+            own = patterns_.assign(shape_id=None)
+            return own[["source", "leaf", "shape_id", "template_id", "position", "template"]]
+        member, patterns = _greedy(
+            [s.split(" ") for s in shapes_["shape"]], similarity, [t.split(" ") for t in patterns_["template"]]
+        )
+        ids = patterns_["template_id"].tolist()
+        for name, m in zip(shapes_["shape_id"], member):
+            if m == len(ids):
+                ids.append(name)
+        source, leaf = key
+        members = pd.DataFrame({"shape_id": shapes_["shape_id"], "template_id": [ids[m] for m in member]})
+        clusters = pd.DataFrame({"template_id": ids, "position": range(len(ids)), "template": [" ".join(t) for t in patterns]})
+        both = pd.concat([members, clusters]).assign(source=source, leaf=leaf)
+        return both[["source", "leaf", "shape_id", "template_id", "position", "template"]]
+
+    keys = ["source", "leaf"]
+    touched = known.patterns.join(new.select(*keys).distinct(), keys, "left_semi")
+    rest = known.patterns.join(new.select(*keys).distinct(), keys, "left_anti")
+    schema = "source string, leaf string, shape_id string, template_id string, position bigint, template string"
+    made = grouped(new, *keys).cogroup(grouped(touched, *keys)).applyInPandas(cluster, schema)
+    made = cut_lineage(made)  # read twice, for members and for patterns
+    joined = made.filter(F.col("shape_id").isNotNull()).select("source", "shape_id", "template_id")
+    patterns = made.filter(F.col("shape_id").isNull()).select(*rest.columns)
+    return Clusters(known.members.unionByName(joined), rest.unionByName(patterns))
+
+
+def with_templates(assigned: DataFrame, known: Clusters) -> DataFrame:
+    """Logs whose ``template_id`` is that of a shape (see :func:`assign_shapes`) with the ids of their clusters
+    instead; shapes that Drain has not met keep their own id, under which a cluster opened by them would be found."""
+    names = known.members.select("source", F.col("template_id").alias("__cluster"), F.col("shape_id").alias("template_id"))
+    joined = assigned.join(names, ["source", "template_id"], "left")
+    out = joined.withColumn("template_id", F.coalesce("__cluster", "template_id")).drop("__cluster")
+    return out.select(*assigned.columns)
+
+
+def drain_templates(
+    assigned: DataFrame,
+    similarity: float = SIMILARITY,
+    max_clusters: int = MAX_CLUSTERS,
+    known: Clusters | None = None,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """Drain over masked shapes: (source, shape_id, shape) -> cluster id and pattern.
+
+    ``assigned`` comes from :func:`assign_shapes`. Only distinct shapes are clustered (see :func:`learn_clusters`).
+    Clusters beyond ``max_clusters`` of a source are kept and marked ``overflow``.
     """
     shapes = cut_lineage(
         inventory(assigned).withColumnsRenamed({"template_id": "shape_id", "template": "shape"})
     )
-    tokens = F.split("shape", " ")
-
-    def routed(i: int) -> Column:
-        token = F.coalesce(F.get(tokens, i), F.lit(""))
-        return F.when(token.contains(WILDCARD), WILDCARD).otherwise(token)
-
-    leaves = shapes.select("source", "shape_id", "shape", "first_seen", "first_line")
-    leaves = leaves.withColumns({"n_tokens": F.size(tokens), "token_1": routed(0), "token_2": routed(1)})
-    parts = F.ceil(F.col("n") * F.col("n_tokens") / TOKENS_PER_TASK).cast("int")
-    sizes = leaves.groupBy(*LEAF).agg(F.count("*").alias("n"))
-    # a single long text may well exceed a task's share, but has nothing to be compared with
-    sizes = sizes.withColumn("parts", F.when(F.col("n") > 1, parts).otherwise(1))
-    leaves = leaves.join(sizes, LEAF)
-    columns = [*LEAF, "shape_id", "shape", "first_seen", "first_line"]
-    alone = leaves.filter(F.col("n") == 1).select("source", "shape_id", F.col("shape").alias("template"))
-
-    def cluster_shapes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_seen", "first_line", "shape"], na_position="first")
-        member, patterns = _greedy([s.split(" ") for s in pdf["shape"]], similarity)
-        return pdf.assign(cluster=member, template=[" ".join(patterns[m]) for m in member]).drop(columns="shape")
-
-    leaf_schema = "source string, n_tokens int, token_1 string, token_2 string"
-    shape_schema = "shape_id string, first_seen timestamp, first_line bigint"
-    calm = leaves.filter((F.col("n") > 1) & (F.col("parts") <= 1)).select(*columns)
-    calm = grouped(calm, *LEAF).applyInPandas(
-        cluster_shapes, f"{leaf_schema}, {shape_schema}, cluster bigint, template string"
-    )
-
-    final = alone.unionByName(calm.select(*alone.columns))
-    largest = sizes.agg(F.max("parts")).first()[0] or 1
-    if largest > 1:
-        part = F.pmod(F.xxhash64("shape"), F.col("parts").cast("bigint")).cast("int").alias("part")
-        dealt = leaves.filter(F.col("parts") > 1).select(*columns, part)
-        dealt = grouped(dealt, *LEAF, "part").applyInPandas(
-            cluster_shapes, f"{leaf_schema}, part int, {shape_schema}, cluster bigint, template string"
-        )
-        final = final.unionByName(_merge_parts(cut_lineage(dealt), largest, similarity).select(*alone.columns))
-    final = final.withColumn("template_id", template_id(F.col("source"), F.col("template")))
-    ranked = cut_lineage(shapes.join(final, ["source", "shape_id"]))
+    clusters = learn_clusters(shapes, known, similarity, depth)
+    named = clusters.members.join(clusters.patterns.select("source", "template_id", "template"), ["source", "template_id"])
+    ranked = cut_lineage(shapes.join(named, ["source", "shape_id"]))
     totals = ranked.groupBy("source", "template_id").agg(
         F.min("first_seen").alias("first_seen"),
         F.min_by("first_line", F.struct("first_seen", "first_line")).alias("first_line"),
@@ -194,32 +255,6 @@ def drain_templates(assigned: DataFrame, similarity: float = SIMILARITY, max_clu
     return ranked.join(late, ["source", "template_id"])
 
 
-def _merge_parts(dealt: DataFrame, parts: int, similarity: float) -> DataFrame:
-    """Cluster the clusters of a leaf's parts, a few parts at a time, until each leaf is one part."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_seen", "first_line", "template"], na_position="first")
-        member, patterns = _greedy([t.split(" ") for t in pdf["template"]], similarity)
-        return pdf.assign(merged=member, template=[" ".join(patterns[m]) for m in member])
-
-    schema = (
-        "source string, n_tokens int, token_1 string, token_2 string, part int, cluster bigint, template string, "
-        "first_seen timestamp, first_line bigint, group int, merged bigint"
-    )
-    place = [*LEAF, "part", "cluster"]
-    order = F.struct("first_seen", "first_line")
-    while parts > 1:
-        parts = -(-parts // PARTS_PER_MERGE)
-        clusters = dealt.groupBy(*place, "template").agg(F.min(order).alias("first"))
-        clusters = clusters.select(*place, "template", "first.first_seen", "first.first_line")
-        clusters = clusters.withColumn("group", F.floor(F.col("part") / PARTS_PER_MERGE).cast("int"))
-        merged = grouped(clusters, *LEAF, "group").applyInPandas(merge, schema)
-        dealt = dealt.drop("template").join(merged.select(*place, "template", "group", "merged"), place)
-        dealt = dealt.drop("part", "cluster").withColumnsRenamed({"group": "part", "merged": "cluster"})
-        dealt = cut_lineage(dealt)
-    return dealt
-
-
 def drain_inventory(clustered: DataFrame) -> DataFrame:
     """One row per Drain template, from the shapes that make it up."""
     first = F.min_by(F.struct("template", "sample_line", "first_line"), F.struct("first_seen", "first_line"))

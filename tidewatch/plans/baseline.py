@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import aggregates as A
 from tidewatch.operators.isolation import fit_forest
+from tidewatch.operators.templates import Clusters, with_templates
 from tidewatch.session import cut_lineage
 
 TRAINING_WINDOW_HOURS = 168
@@ -42,12 +43,21 @@ def train_baseline(
     hours: int = TRAINING_WINDOW_HOURS,
     bucket_minutes: int = 5,
     min_lines: int = A.MIN_TRAINING_LINES,
+    clusters: Clusters | None = None,
+    sources: DataFrame | None = None,
 ) -> Baseline:
     """Baselines of all sources from the logs of [as_of - hours, as_of).
 
-    Sources with fewer than ``min_lines`` lines get none.
+    Sources with fewer than ``min_lines`` lines get none. ``sources`` (name, training_window_hours) shortens the window
+    of single sources. With ``clusters`` (of Drain) messages are counted by cluster instead of by masked shape.
     """
     window = A.slice_logs(logs, as_of - timedelta(hours=hours), as_of)
+    if sources is not None:
+        own = sources.select(F.col("name").alias("source"), F.col("training_window_hours").alias("__hours"))
+        age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("timestamp")) / 3_600_000_000
+        window = window.join(own, "source", "left").filter(age <= F.coalesce("__hours", F.lit(hours))).drop("__hours")
+    if clusters:
+        window = with_templates(window, clusters)
     stats = A.rate_stats(window, bucket_minutes).filter(F.col("lines_trained") >= min_lines)
     # One row per source, written once: it gates the other tables.
     stats = cut_lineage(stats.withColumn("trained_at", F.lit(as_of).cast("timestamp")))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scalars as S
 from tidewatch.operators import detectors as D
 from tidewatch.operators.aggregates import error_samples
+from tidewatch.operators.templates import Clusters, with_templates
 from tidewatch.plans.baseline import Baseline
-from tidewatch.session import cut_lineage
 
 LATENCY_WINDOW_MINUTES = 15
 
@@ -54,7 +54,7 @@ def detect(
         stats = stats.join(sources.select(F.col("name").alias("source"), "sensitivity"), "source")
         sensitivity = F.col("sensitivity")
     trained = stats.select("source")
-    profile = cut_lineage(D.window_profile(current, by))  # read by three detectors
+    profile = D.window_profile(current, by)  # read by three detectors, over one shuffle
     shares = D.template_shares(profile, by).join(trained, "source", "left_semi")
     minutes = F.lit(window_minutes).alias("window_minutes")
     none = F.lit(None).cast("string")
@@ -143,8 +143,11 @@ def run_detection(
     as_of: Column,
     sources: DataFrame | None = None,
     window_minutes: int = 5,
+    clusters: Clusters | None = None,
 ) -> DataFrame:
-    """Detection over the log lines of one window."""
+    """Detection over the log lines of one window. ``clusters`` are those that the baseline was trained with."""
+    if clusters:
+        window = with_templates(window, clusters)
     return detect(
         D.observations(window), baseline, as_of, sources, error_samples(window), window_minutes=window_minutes
     )
