@@ -60,15 +60,15 @@ def test_http_envelope_source_header(spark):
 def test_loki_envelope(spark):
     push = {
         "streams": [
-            {"stream": {"job": "nginx", "env": "prod"}, "values": [["1", "a"], ["2", ""], ["3"], ["4", "b"]]},
-            {"stream": {"job": "postgres"}, "values": [["1", "ignored"]]},
-            {"stream": {"job": "nginx"}, "values": [["1", "c"]]},
+            {"stream": {"job": "gate", "env": "live"}, "values": [["1", "a"], ["2", ""], ["3"], ["4", "b"]]},
+            {"stream": {"job": "ledger"}, "values": [["1", "ignored"]]},
+            {"stream": {"job": "gate"}, "values": [["1", "c"]]},
             {"values": [["1", "no labels"]]},
         ]
     }
-    matchers = [("web-prod", {"job": "nginx", "env": "prod"}), ("web", {"job": "nginx"})]
+    matchers = [("gate-live", {"job": "gate", "env": "live"}), ("web", {"job": "gate"})]
     got = E.loki_log_lines(bodies(spark, push, {"streams": []}, {}), matchers).orderBy("line_number").collect()
-    assert [(r.source, r.line_number, r.line) for r in got] == [("web-prod", 0, "a"), ("web-prod", 1, "b"), ("web", 2, "c")]
+    assert [(r.source, r.line_number, r.line) for r in got] == [("gate-live", 0, "a"), ("gate-live", 1, "b"), ("web", 2, "c")]
 
 
 def test_label_table_agrees_with_expression(spark):
@@ -90,10 +90,10 @@ def otlp(*metrics, attributes=None):
 
 
 def test_otlp_envelope(spark):
-    point = {"asDouble": 72.5, "attributes": [{"key": "host", "value": {"stringValue": "web01"}}]}
+    point = {"asDouble": 41.25, "attributes": [{"key": "rack", "value": {"stringValue": "r7"}}]}
     service = [{"key": "service.name", "value": {"stringValue": "api"}}]
     payloads = [
-        otlp({"name": "cpu_usage", "gauge": {"dataPoints": [point]}}, attributes=service),
+        otlp({"name": "queue_fill", "gauge": {"dataPoints": [point]}}, attributes=service),
         otlp({"name": "requests", "sum": {"dataPoints": [{"asInt": "42"}, {"asDouble": 0, "asInt": 3}, {}]}}),
         otlp({"name": "h", "histogram": {"dataPoints": [point]}}, {"name": "", "gauge": {"dataPoints": [point]}}),
         {"resourceMetrics": []},
@@ -103,7 +103,7 @@ def test_otlp_envelope(spark):
     got = E.otlp_metric_samples(bodies(spark, *payloads), F.lit(NOW).cast("timestamp"))
     rows = got.orderBy("body_id", F.desc("value")).collect()
     assert [(r.name, r.value, r.metric_type, r.source, r.labels) for r in rows] == [
-        ("cpu_usage", 72.5, "gauge", "api", '{"host": "web01"}'),
+        ("queue_fill", 41.25, "gauge", "api", '{"rack": "r7"}'),
         ("requests", 42.0, "counter", "otel", "{}"),
         ("requests", 3.0, "counter", "otel", "{}"),
         ("requests", 0.0, "counter", "otel", "{}"),

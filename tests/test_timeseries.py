@@ -56,7 +56,7 @@ def test_gaps_are_filled_up_to_three_steps(spark):
 @pytest.mark.parametrize(
     ("values", "name", "model"),
     [
-        ([0.5 * i + 10 for i in range(200)], "requests", "arima"),
+        ([0.75 * i + 4 for i in range(200)], "requests", "arima"),
         ([50 + 10 * np.sin(2 * np.pi * i / 24) for i in range(200)], "cpu", "autoarima"),
         ([50 + 10 * np.sin(2 * np.pi * i / 24) for i in range(200)], "Disk_Used", "arima"),
         ([1.0] * 71, "cpu", None),
@@ -69,14 +69,14 @@ def test_model_choice(spark, values, name, model):
 
 
 def test_arima_on_a_line(spark):
-    line = points(spark, [0.5 * i + 10 for i in range(200)], name="disk")
+    line = points(spark, [0.75 * i + 4 for i in range(200)], name="disk")
     fitted = W.fit_arima(line, W.model_choice(line))
     model = fitted.first()
     assert model.train_points == 180 and model.phi == pytest.approx(1.0) and model.rmse == pytest.approx(0.0, abs=1e-9)
     steps = W.forecast_arima(fitted, [24]).orderBy("step").collect()
     assert len(steps) == 288
-    assert steps[0].ts == START + timedelta(minutes=5 * 180) and steps[0].value == pytest.approx(100.0)
-    assert steps[-1].value == pytest.approx(0.5 * (179 + 288) + 10)
+    assert steps[0].ts == START + timedelta(minutes=5 * 180) and steps[0].value == pytest.approx(139.0)
+    assert steps[-1].value == pytest.approx(0.75 * (179 + 288) + 4)
 
 
 def test_arima_equals_the_recursion(spark):
@@ -151,10 +151,10 @@ def test_crossing_description(spark):
 
 
 def test_train_and_forecast_and_store(spark, tmp_path):
-    data = samples(spark, [0.5 * i + 10 for i in range(200)], name="disk_used").unionByName(
+    data = samples(spark, [0.75 * i + 4 for i in range(200)], name="disk_used").unionByName(
         samples(spark, [50 + 10 * np.sin(i) for i in range(200)], name="cpu")
     )
-    thresholds = spark.createDataFrame([("disk_used", "above", 105.0)], THRESHOLDS)
+    thresholds = spark.createDataFrame([("disk_used", "above", 146.5)], THRESHOLDS)
     run = train_and_forecast(data, thresholds, datetime(2025, 2, 1), [24, 48])
     assert {r.metric_name: r.model_type for r in run.models.collect()} == {"disk_used": "arima", "cpu": "autoarima"}
     store.append_predictions(run.predictions(datetime(2025, 2, 1)), str(tmp_path / "p"))
@@ -163,5 +163,5 @@ def test_train_and_forecast_and_store(spark, tmp_path):
         ("cpu", 24, 288), ("cpu", 48, 576), ("disk_used", 24, 288), ("disk_used", 48, 576)
     ]
     disk = [r for r in rows if r.metric_name == "disk_used"]
-    assert {r.exhaustion_time for r in disk} == {START + timedelta(minutes=5 * 190)} and disk[0].threshold == 105.0
+    assert {r.exhaustion_time for r in disk} == {START + timedelta(minutes=5 * 190)} and disk[0].threshold == 146.5
     assert {r.exhaustion_time for r in rows if r.metric_name == "cpu"} == {None}

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import grouped
@@ -93,16 +93,21 @@ def fit_forest(features: DataFrame, trees: int = TREES, sample: int = SAMPLE) ->
     """Trees of all sources, one task group per (source, tree) with at most ``sample`` rows.
 
     A row enters a tree's draw with a chance a good deal above sample/n; of those that enter, the ones with the
-    lowest hash are kept. The tree explosion therefore does not multiply the features by the number of trees.
+    lowest hash are kept. Rows are repeated only for the trees whose draw they enter.
     """
-    n = F.count("*").over(Window.partitionBy("source"))
-    rows = features.withColumn("__n", n).filter(F.col("__n") >= MIN_BUCKETS)
-    drawn = rows.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("__rank", F.xxhash64(F.lit(SEED), "source", "tree_id", "bucket"))
+    counts = features.groupBy("source").agg(F.count("*").alias("__n"))
+    rows = features.join(counts.filter(F.col("__n") >= MIN_BUCKETS), "source")
     chance = F.lit(float(sample + 10 * math.sqrt(sample))) / F.col("__n")
-    share = F.col("__rank") / F.lit(float(2**64)) + 0.5
+
+    def rank(tree: Column) -> Column:
+        return F.xxhash64(F.lit(SEED), "source", tree, "bucket")
+
+    entered = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: rank(t) / F.lit(float(2**64)) + 0.5 <= chance
+    )
+    drawn = rows.withColumn("tree_id", F.explode(entered)).withColumn("__rank", rank(F.col("tree_id")))
     first = Window.partitionBy("source", "tree_id").orderBy("__rank", "bucket")
-    drawn = drawn.filter(share <= chance).withColumn("__k", F.row_number().over(first))
+    drawn = drawn.withColumn("__k", F.row_number().over(first))
     drawn = drawn.filter(F.col("__k") <= sample).select("source", "tree_id", "__rank", *FEATURES)
     return grouped(drawn, "source", "tree_id").applyInPandas(_grow, TREE_SCHEMA)
 

@@ -22,12 +22,15 @@ TREND_NAMES = "disk|storage|capacity"
 HORIZONS = (24, 48, 168)
 
 
-def resample(samples: DataFrame) -> DataFrame:
-    """Last value of every series in each five-minute slot."""
+def resample(samples: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Last value of every series in each five-minute slot.
+
+    Of samples with equal times the one that arrived last counts, by the column ``arrival``; without such a column the
+    larger value does, so that the outcome does not depend on the order of rows.
+    """
     slot = F.floor(F.unix_seconds("timestamp") / STEP_SECONDS)
-    return samples.groupBy(*SERIES, slot.alias("slot")).agg(
-        F.max_by("value", F.struct("timestamp", "value")).alias("value")
-    )
+    order = F.struct("timestamp", *([arrival] if arrival else []), "value")
+    return samples.groupBy(*SERIES, slot.alias("slot")).agg(F.max_by("value", order).alias("value"))
 
 
 def fill_gaps(points: DataFrame) -> DataFrame:

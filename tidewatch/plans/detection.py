@@ -11,6 +11,11 @@ from tidewatch.operators.aggregates import error_samples
 from tidewatch.operators.templates import Clusters, with_templates
 from tidewatch.plans.baseline import Baseline
 
+# Description texts.
+SPIKE_TEXT = "Error rate spike detected (z-score=%.1f, rate=%.3f, baseline=%.3f)"
+NOVEL_TEXT = "Novel log pattern detected (template_id=%s, seen %d times, not in baseline)"
+SHIFT_TEXT = "Latency shift detected (p99: %.1fms -> %.1fms, shift=%.0f%%, KS p=%.4f)"
+MOVED_TEXT = "Template frequency %s (%.1fx baseline, template_id=%s)"
 LATENCY_WINDOW_MINUTES = 15
 
 
@@ -69,7 +74,7 @@ def detect(
         by,
         none,
         F.format_string(
-            "Error rate spike detected (z-score=%.1f, rate=%.3f, baseline=%.3f)", "z_score", "observed_rate", "baseline_rate"
+            SPIKE_TEXT, "z_score", "observed_rate", "baseline_rate"
         ),
         F.struct("observed_rate", "baseline_rate", "z_score", minutes),
     )
@@ -80,7 +85,7 @@ def detect(
         by,
         F.col("template_id"),
         F.format_string(
-            "Novel log pattern detected (template_id=%s, seen %d times, not in baseline)", "template_id", "count"
+            NOVEL_TEXT, "template_id", "count"
         ),
         F.struct("template_id", "count"),
     )
@@ -91,7 +96,7 @@ def detect(
         by,
         none,
         F.format_string(
-            "Latency shift detected (p99: %.1fms -> %.1fms, shift=%.0f%%, KS p=%.4f)",
+            SHIFT_TEXT,
             "baseline_p99_ms",
             "current_p99_ms",
             "shift_percent",
@@ -113,7 +118,7 @@ def detect(
         by,
         F.col("template_id"),
         F.format_string(
-            "Template frequency %s (%.1fx baseline, template_id=%s)", "direction", "deviation_factor", "template_id"
+            MOVED_TEXT, "direction", "deviation_factor", "template_id"
         ),
         F.struct(
             "template_id",
