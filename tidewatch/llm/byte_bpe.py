@@ -118,10 +118,10 @@ def fold_word(word: Column, table: Column) -> Column:
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 SPACE_BEFORE_BLANK = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
-PIECE = 8 << 20  # bytes of text worked on at a time
-COUNTED = 400_000  # words that a task of the first pass holds counts for before it reports
-FREQUENT = 1_600_000  # words in the broadcast table
-LONGEST = 48  # bytes of a word in the table, which bounds it to about 200 MB; usual words make it 60 MB
+PIECE = 3 << 20  # bytes of text encoded at a time
+COUNTED = 16 << 20  # bytes of text whose words are counted at a time
+FREQUENT = 800_000  # words in the broadcast table
+LONGEST = 48  # bytes of a word in the table, which bounds it to about 100 MB; usual words make it 30 MB
 MARKS = ".,;:!?"
 # Fixed value: the split pattern for which letters with a mark after them are known to be two words.
 USUAL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -183,32 +183,21 @@ def split(texts: pa.Array, pattern: regex.Pattern) -> Split:
 
 
 def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
-    """Counts of all words (``word``, ``n``) over the whole table; each task adds up its own first."""
+    """Counts of all words (``word``, ``n``) over the whole table; each piece of a task is added up first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
-        seen: dict[str, int] = {}
         for batch in batches:
-            for piece in pieces(batch, text, PIECE):
+            for piece in pieces(batch, text, COUNTED):
                 found = split(piece.column(text), compiled)
                 times = np.bincount(found.units.ids, minlength=len(found.unit_sizes))
                 per_word = np.repeat(times, found.unit_sizes)
-                total = np.bincount(found.of_unit, per_word, minlength=len(found.words)).astype(np.int64).tolist()
-                for word, n in zip(found.words.to_pylist(), total):
-                    seen[word] = seen.get(word, 0) + n
-                if len(seen) > COUNTED:
-                    yield counted(seen)
-                    seen = {}
-        yield counted(seen)
+                total = np.bincount(found.of_unit, per_word, minlength=len(found.words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([found.words, pa.array(total)], names=["word", "n"])
 
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def counted(seen: dict[str, int]) -> pa.RecordBatch:
-    words, n = pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())
-    return pa.RecordBatch.from_arrays([words, n], names=["word", "n"])
-
-
 def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most: int) -> Broadcast:
     """The ids of the most frequent words, at most ``most`` of at most LONGEST bytes each."""
     counts = written(word_counts(docs, text, pattern).filter(F.octet_length("word") <= LONGEST))
@@ -239,7 +228,7 @@ class WordTable:
 
     def __init__(self, made: tuple[np.ndarray, bytes]) -> None:
         self.hashes, data = made
-        table = pa.ipc.open_stream(data).read_all().combine_chunks()
+        table = pa.ipc.open_stream(data).read_all()  # one batch, in the memory of the broadcast
         self.words, self.ids = (flat_array(table[c]) for c in ("word", "ids"))
 
     def look_up(self, words: pa.StringArray) -> tuple[np.ndarray, pa.ListArray]:
