@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.store import shared_folder, written
-from tidewatch.llm.words import AS_IS, LOWER, large_text, pieces, split_words, text_sums
+from tidewatch.llm.words import AS_IS, LOWER, large_text, pieces, released, split_words, text_sums
 
 MAGIC = b"TWPLANE1"
 MARKS = ".,;:!?"
@@ -307,7 +307,7 @@ def write_shards(
             )
 
     # written at once: the files are made once, and later steps start from this table
-    return written(dealt.mapInArrow(write, "shard long, path string, n_documents long, n_ids long"))
+    return written(dealt.mapInArrow(released(write), "shard long, path string, n_documents long, n_ids long"))
 
 
 def with_starts(shards: DataFrame, per_group: int = 4096) -> DataFrame:
@@ -342,7 +342,7 @@ def read_documents(shards: DataFrame, folder: str, id: str = "doc_id") -> DataFr
 
     n = max(1, shards.sparkSession.sparkContext.defaultParallelism)
     placed = with_starts(shards).repartition(4 * n, "shard")
-    return placed.select("path", "start").mapInArrow(read, f"`{id}` long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("path", "start").mapInArrow(released(read), f"`{id}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def checksums(counts: np.ndarray, chunks: Iterator[np.ndarray]) -> list[int]:

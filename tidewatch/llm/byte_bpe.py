@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.store import least_count, written
-from tidewatch.llm.words import Words, encoded, expanded, large_text, pieces
+from tidewatch.llm.words import Words, encoded, expanded, large_text, pieces, released
 
 UNRANKED = 2**31 - 1
 BUCKETS = 1 << 14
@@ -195,7 +195,7 @@ def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
                 total = np.bincount(found.of_unit, per_word, minlength=len(found.words)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([found.words, pa.array(total)], names=["word", "n"])
 
-    return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most: int) -> Broadcast:
@@ -287,7 +287,7 @@ def encode_documents(
                 columns = [own, pa.array([state.getvalue()], pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["docs", "state", "missing"])
 
-    pieces_ = docs.mapInArrow(look_up, f"docs array<{id_type}>, state binary, missing array<string>")
+    pieces_ = docs.mapInArrow(released(look_up), f"docs array<{id_type}>, state binary, missing array<string>")
     hexed = F.transform("missing", lambda w: F.hex(F.encode(w, "utf-8")))
     folded = pieces_.select("docs", "state", fold_words(hexed, table).alias("found"))
     tokens = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks)) if decoded else None
@@ -304,7 +304,7 @@ def encode_documents(
 
     kind = f"`{id}` {id_type}, ids array<int>" + (", decoded binary" if decoded else "")
     names = [id, "ids", "decoded"][: 3 if decoded else 2]
-    return folded.mapInArrow(finish, kind)
+    return folded.mapInArrow(released(finish), kind)
 
 
 def finished(state: bytes, folded: pa.ListArray, tokens: dict[int, bytes] | None) -> list[pa.Array]:

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bitplanes, byte_bpe, decontaminate, histogram_sort, licenses, quality_rules, simhash, suffix_tree, token_counts, toxicity
+from tidewatch.llm import (
+    bitplanes,
+    byte_bpe,
+    decontaminate,
+    histogram_sort,
+    licenses,
+    quality_rules,
+    simhash,
+    suffix_tree,
+    token_counts,
+    toxicity,
+)
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]

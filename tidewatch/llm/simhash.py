@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.store import written
-from tidewatch.llm.words import LOWER, Words, add_column, free_name, large_text, split_words, text_bytes
+from tidewatch.llm.words import LOWER, Words, add_column, free_name, large_text, released, split_words, text_bytes
 
 SHINGLE = 3
 SEED = 42
@@ -189,7 +189,7 @@ def linked_prints(prints: DataFrame) -> DataFrame:
         a, b = links(chain, key, own.view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(released(compare), "a long, b long")
 
 
 def print_components(found: DataFrame, id: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm.store import least_count, written
-from tidewatch.llm.words import LOWER, Words, large_text, pieces, split_words, text_bytes, text_sums
+from tidewatch.llm.words import LOWER, Words, large_text, pieces, released, split_words, text_bytes, text_sums
 
 DEPTH = 6  # symbols of the longest context
 MIN_SHARE = 2e-6  # of the training positions, for a context
@@ -100,7 +100,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
                 names = words.vocabulary.take(pa.array(some)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([names, pa.array(times[some].astype(np.int64))], names=["word", "n"])
 
-    return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_grams(docs: DataFrame, text: str) -> DataFrame:
@@ -121,7 +121,7 @@ def count_grams(docs: DataFrame, text: str) -> DataFrame:
     def reported(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
 
-    return docs.select(text).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(released(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def stored_pairs(level: DataFrame, min_share: float) -> dict[int, np.ndarray]:
@@ -338,7 +338,7 @@ def score_documents(
                 yield rows(key=np.repeat(keys, words.counts)[lacking], word=many, score=spelled[lacking])
 
     kind = f"key long, id {id_type.simpleString()}, word string, n_tokens long, n_known long, base double, score double"
-    found = written(docs.mapInArrow(score, kind))
+    found = written(docs.mapInArrow(released(score), kind))
     lacking = found.filter("word is not null").select("key", "word", "score")
     joined = lacking.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     n, spelled = F.col("n"), F.col("score")

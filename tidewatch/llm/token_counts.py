@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.words import Words, add_column, encoded, large_text, pieces, struct_of, text_bytes
+from tidewatch.llm.words import Words, add_column, encoded, large_text, pieces, released, struct_of, text_bytes
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -94,7 +94,7 @@ def frequent_segments(docs: DataFrame, text: str) -> DataFrame:
                     seen.clear()
         yield report()
 
-    found = docs.select(text).mapInArrow(count, "segment string, n bigint")
+    found = docs.select(text).mapInArrow(released(count), "segment string, n bigint")
     counts = found.groupBy("segment").agg(F.sum("n").alias("n"))
     return counts.filter(F.octet_length("segment") <= LONGEST)
 

@@ -29,7 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.words import ALPHANUMERIC, Words, add_column, free_name, large_text, split_words, text_bytes
+from tidewatch.llm.words import (
+    ALPHANUMERIC,
+    Words,
+    add_column,
+    free_name,
+    large_text,
+    released,
+    split_words,
+    text_bytes,
+)
 
 MAX_DOCS = 2500  # training documents of either label
 MAX_BYTES = 16_000  # of a training document's text
@@ -384,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         yield pa.RecordBatch.from_pydict({"model": [packed(weights)]})
 
     rows = training_rows(docs, labels, id, text, label).coalesce(1)
-    found = rows.mapInArrow(run, "model binary").first()  # nothing where Spark knows that there are no rows
+    found = rows.mapInArrow(released(run), "model binary").first()  # nothing where Spark knows that there are no rows
     return found["model"] if found else packed({"share": np.zeros(1)})
 
 

@@ -6,6 +6,7 @@ work per word is done once per different word and the rest is numpy.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -114,6 +115,20 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         start = end
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, after which the memory that it used goes back to the system. Spark keeps Python
+    workers for later tasks, and without this they keep the memory of their largest one."""
+
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
+
+    return run_and_release
+
+
 def free_name(columns: Iterable[str], wanted: str) -> str:
     """``wanted``, or with underscores before it until no column has that name."""
     taken = {c.lower() for c in columns}
@@ -148,7 +163,7 @@ def add_column(
                     [*[piece.column(c) for c in schema.names[:-1]], made], names=schema.names
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def struct_of(**columns) -> pa.StructArray:
