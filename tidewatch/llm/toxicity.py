@@ -49,6 +49,7 @@ WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)  # bytes
 ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 256, 0.01
 LANES = 8192  # windows scored at a time
+DOCS_AT_ONCE = 100  # training documents whose n-grams are counted at a time
 PIECE = 12 << 20
 EMPTY = 0.0
 EVIDENCE = 8.0  # documents that a feature needs for half its log-odds to count
@@ -200,12 +201,16 @@ def first_weights(rng: np.random.Generator) -> Weights:
     return weights | {"c": np.zeros(1, np.float32)}
 
 
-def log_odds(doc: np.ndarray, feature: np.ndarray, buckets: int, toxic: np.ndarray) -> np.ndarray:
-    """Log-odds of a toxic document given that it has a feature, drawn to 0 where few documents have it."""
+def document_counts(doc: np.ndarray, feature: np.ndarray, buckets: int, toxic: np.ndarray) -> np.ndarray:
+    """In how many toxic documents, and in how many documents, each feature occurs."""
     pairs = np.unique(doc * buckets + feature)
     doc, feature = pairs // buckets, pairs % buckets
-    yes = np.bincount(feature[toxic[doc]], minlength=buckets)
-    all_ = np.bincount(feature, minlength=buckets)
+    return np.stack([np.bincount(feature[toxic[doc]], minlength=buckets), np.bincount(feature, minlength=buckets)])
+
+
+def log_odds(counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Log-odds of a toxic document given that it has a feature, drawn to 0 where few documents have it."""
+    yes, all_ = counts
     p, q = (yes + 0.5) / (toxic.sum() + 1), (all_ - yes + 0.5) / ((~toxic).sum() + 1)
     return np.clip(np.log(p / q) * all_ / (all_ + EVIDENCE), -4, 4).astype(np.float32)
 
@@ -241,10 +246,16 @@ class Corpus:
     def first_odds(self, weights: Weights) -> np.ndarray:
         """Put log-odds into the embeddings' first places; the largest evidence of a word in each window."""
         owner = np.repeat(np.arange(len(self.words.ends)), self.words.counts)
-        weights["word"][:, 0] = log_odds(owner, self.bucket[self.words.ids], WORD_BUCKETS, self.toxic)
+        counts = document_counts(owner, self.bucket[self.words.ids], WORD_BUCKETS, self.toxic)
+        weights["word"][:, 0] = log_odds(counts, self.toxic)
         pairs = np.unique(owner * len(self.bucket) + self.words.ids)
-        grams, at = self.grams_of(pairs % len(self.bucket))
-        weights["gram"][:, 0] = log_odds((pairs // len(self.bucket))[at], grams, GRAM_BUCKETS, self.toxic)
+        docs, numbers = pairs // len(self.bucket), pairs % len(self.bucket)
+        counts = np.zeros((2, GRAM_BUCKETS), np.int64)
+        for first in range(0, len(self.toxic), DOCS_AT_ONCE):  # each different word of a document has many n-grams
+            a, b = np.searchsorted(docs, [first, first + DOCS_AT_ONCE])
+            grams, at = self.grams_of(numbers[a:b])
+            counts += document_counts(docs[a:b][at], grams, GRAM_BUCKETS, self.toxic)
+        weights["gram"][:, 0] = log_odds(counts, self.toxic)
         per_word = word_vectors(self.words.vocabulary, weights)[:, [0, EMBED]].sum(axis=1)
         numbers, mask = self.word_numbers(np.arange(len(self.doc)))
         return np.where(mask[:, :, 0] > 0, per_word[numbers], -99).max(axis=0)
