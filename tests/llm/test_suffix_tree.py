@@ -105,3 +105,31 @@ def test_empty_and_untrained(spark, no_docs):
     rows = S.score_documents(docs).collect()
     assert [r.n_known for r in rows] == [0, 0] and all(r.base_score == 0 for r in rows)
     assert all(math.isfinite(r.score) for r in rows)
+
+
+def test_the_tree_has_no_greatest_size(monkeypatch):
+    monkeypatch.setattr(S, "MAX_STATES", 50)
+    tree, kept = tree_of(TEXTS)
+    assert len(tree.log_p) == sum(map(len, kept)) > 50
+
+
+def test_an_attested_context_stays_however_large_the_corpus(spark):
+    rare = ["qaz"] * 60
+    for others in (100, 4000):
+        texts = rare + [" ".join(f"{i * 7919 % 9973:x} plain words" for i in range(j, j + 20)) for j in range(others)]
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+        levels = S.gram_levels(S.count_grams(docs))
+        n = levels[0].agg({"n": "sum"}).first()[0]
+        pairs = S.stored_pairs(levels, max(2, min(S.MIN_COUNT, int(S.MIN_SHARE * n))))
+        context = int.from_bytes(b"qa", "big")
+        assert S.retained_contexts(pairs)[1].filter(f"context = {context}").count() == 1
+
+
+@pytest.mark.parametrize("block, often", [(1 << 24, 500), (2000, 0)])
+def test_a_tree_that_is_not_broadcast_gives_the_same_scores(hard_docs, monkeypatch, block, often):
+    monkeypatch.setattr(S, "BLOCK", block)
+    whole, joined = (S.score_documents(hard_docs, max_states=m, frequent_grams=often).collect() for m in (10**9, 0))
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.score)
+    assert len(whole) == len(joined) == hard_docs.count()
+    for a, b in zip(sorted(whole, key=key), sorted(joined, key=key)):
+        assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score)

@@ -1,17 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over the symbols of words.
 
 Texts are read as symbols: the bytes of each word (ASCII letters in lower case) and a blank after it, then a line feed as
-the end. The tree keeps contexts of up to DEPTH symbols. A context is a candidate if it makes up at least MIN_SHARE of
-the training positions, and is retained if its next-symbol distribution diverges from that of its parent (the context
-without its oldest symbol) by a likelihood-ratio test. Parents and beginnings of retained contexts are kept as well, so
-that reading a symbol leads from the longest retained suffix to the next. Distributions are smoothed into the parent's:
-P(s|c) = (n(c,s) + (rest(c) + M) P(s|parent)) / (n(c) + M), where rest(c) counts the symbols too rare to be stored.
+the end. The tree keeps contexts of up to DEPTH symbols. A context is a candidate from MIN_COUNT occurrences in training
+on (from MIN_SHARE of the positions, if that is less), and is retained if its next-symbol distribution diverges from that
+of its parent (the context without its oldest symbol) by a likelihood-ratio test. Parents and beginnings of retained
+contexts are kept as well, so that reading a symbol leads from the longest retained suffix to the next. Distributions are
+smoothed into the parent's: P(s|c) = (n(c,s) + M P(s|parent)) / (n(c) + M).
 The tree's probability of spelling a token from the longest suffix state on is mixed with the token's training
 frequency; both are distributions over tokens, so the mixture is one too.
 
-All training positions are counted; every distinct gram of each task is added up by a shuffle. MIN_SHARE bounds the
-candidates to 1 / MIN_SHARE contexts and PAIRS / MIN_SHARE pairs of context and symbol for each depth. Of these the tree
-takes MAX_STATES contexts at most, by raising the share, which bounds what is broadcast to about 250 MB.
+All training positions are counted; every distinct gram of each task is added up by a shuffle. The tree has no
+greatest size: candidates, the test and the retained contexts are tables. Up to MAX_STATES states it is broadcast (about
+250 MB). A larger one is never gathered: the probability of each distinct gram of the corpus is found by joins, depth by
+depth; those of frequent grams are broadcast (a bounded table), and a block of about BLOCK bytes of text is scored beside
+those of its other grams. Both ways give the same scores.
 
 The base score needs the exact count of every word. Counts of frequent words are broadcast (a bounded table); the others
 are joined by word with the few occurrences that the table lacks.
@@ -24,12 +26,13 @@ id and text are not read.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,9 +41,9 @@ from tidewatch.llm.store import least_count, written
 from tidewatch.llm.words import LOWER, Words, large_text, pieces, released, split_words, text_bytes, text_sums
 
 DEPTH = 6  # symbols of the longest context
-MIN_SHARE = 2e-6  # of the training positions, for a context
-PAIRS = 32  # a pair of context and symbol is stored from MIN_SHARE / PAIRS on
-MAX_STATES = 120_000
+MIN_COUNT = 32  # occurrences from which on a context is a candidate on every corpus
+MIN_SHARE = 2e-6  # of the training positions, where that is less than MIN_COUNT
+MAX_STATES = 120_000  # of a tree that is broadcast
 M = 16.0  # weight of the parent's distribution
 DIVERGENCE = 2.0  # of the log-likelihood ratio, for each stored symbol of a context
 FREQUENCY = 0.2  # weight of a token's training frequency beside its spelling
@@ -49,6 +52,10 @@ FREQUENT = 300_000  # words whose counts are broadcast
 LONGEST = 64  # bytes of such a word
 PIECE = 8 << 20  # bytes of text at a time
 HELD = 4_000_000  # different grams that a task holds before it reports
+FREQUENT_GRAMS = 1_500_000  # whose probabilities are broadcast, about 18 MB
+BLOCK = 8 << 20  # bytes of text that are scored beside the probabilities of their grams
+BLOCK_PIECE = 2 << 20  # bytes of a block's text at a time
+ROW = 64  # bytes that a row counts besides its text
 LANES = 4096  # stretches of a piece that are read side by side
 
 
@@ -76,8 +83,9 @@ def stream(words: Words) -> Stream:
     return Stream(symbols, starts, ends)
 
 
-def grams(found: Stream) -> tuple[np.ndarray, np.ndarray]:
-    """The different runs of DEPTH symbols and the next, as numbers of 8 * (DEPTH + 1) bits, and their counts."""
+def coded(found: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the texts' own symbols, and the run of DEPTH symbols and the next that ends at each, as a number of
+    8 * (DEPTH + 1) bits."""
     inside = np.zeros(len(found.symbols) + 1, np.int32)
     np.add.at(inside, found.starts, 1)
     np.add.at(inside, found.ends, -1)
@@ -85,7 +93,12 @@ def grams(found: Stream) -> tuple[np.ndarray, np.ndarray]:
     code = np.zeros(len(at), np.uint64)
     for back in range(DEPTH, -1, -1):
         code = code << np.uint64(8) | found.symbols[at - back].astype(np.uint64)
-    return np.unique(code, return_counts=True)
+    return at, code
+
+
+def grams(found: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs of DEPTH symbols and the next, and their counts."""
+    return np.unique(coded(found)[1], return_counts=True)
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -103,16 +116,38 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_grams(docs: DataFrame, text: str) -> DataFrame:
-    """Counts of all grams of the texts (``code``, ``n``); each task adds up its own first, HELD at a time."""
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """``id`` and ``text`` of the rows and the ``block`` of each, about BLOCK bytes of text."""
+    kind = f"block long, id {docs.schema['id'].dataType.simpleString()}, text string"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, held = TaskContext.get().partitionId() << 16, 0
+        for batch in batches:
+            for piece in pieces(batch, "text", BLOCK_PIECE):
+                if held >= BLOCK:
+                    block, held = block + 1, 0
+                held += ROW * len(piece) + (pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0)
+                numbers = pa.array(np.full(len(piece), block, np.int64))
+                yield pa.RecordBatch.from_arrays([numbers, *piece.columns], names=["block", "id", "text"])
+
+    return docs.select("id", "text").mapInArrow(released(cut), kind)
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """The different grams of all texts (``code``) and how often they occur in training (``n``); each task adds up its
+    own first, HELD at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for piece in pieces(batch, text, PIECE):
-                more, times = grams(stream(split_words(piece.column(text), LOWER)))
-                codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n, times]), len(codes)).astype(np.int64)
+            for piece in pieces(batch, "text", PIECE):
+                text, training = piece.column("text"), piece.column("training")
+                seen, times = grams(stream(split_words(text.filter(training), LOWER)))
+                other, _ = grams(stream(split_words(text.filter(pc.invert(training)), LOWER)))
+                codes, at = np.unique(np.concatenate([codes, seen, other]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, times, np.zeros(len(other))]), len(codes)).astype(np.int64)
                 if len(codes) > HELD:
                     yield reported(codes, n)
                     codes, n = codes[:0], n[:0]
@@ -121,25 +156,107 @@ def count_grams(docs: DataFrame, text: str) -> DataFrame:
     def reported(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
 
-    return docs.select(text).mapInArrow(released(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    marked = docs.select("text", is_training(F.col("id")).alias("training"))
+    return marked.mapInArrow(released(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def block_grams(blocks: DataFrame, hot: Broadcast) -> DataFrame:
+    """The different grams of each block that the broadcast table lacks (``of_block``, ``code``)."""
+
+    def list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, codes = None, np.zeros(0, np.int64)
+        for batch in batches:
+            for piece in pieces(batch, "text", BLOCK_PIECE):
+                numbers = piece.column("block").to_numpy()
+                for block in np.unique(numbers):
+                    if block != last and len(codes):
+                        yield reported(last, codes)
+                        codes = codes[:0]
+                    last = block
+                    own = piece.column("text").filter(pa.array(numbers == block))
+                    found = pa.array(grams(stream(split_words(own, LOWER)))[0].view(np.int64))
+                    rare = found.filter(pc.invert(pc.is_in(found, pa.array(hot.value[0]))))
+                    codes = np.union1d(codes, rare.to_numpy())
+        if len(codes):
+            yield reported(last, codes)
+
+    def reported(block: int, codes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), block)), pa.array(codes)], names=["of_block", "code"])
+
+    return blocks.select("block", "text").mapInArrow(released(list_grams), "of_block long, code long")
+
+
+def low(code: str, symbols: int) -> Column:
+    """The newest symbols of a gram or context."""
+    return F.col(code).bitwiseAND((1 << (8 * symbols)) - 1)
+
+
+def gram_levels(grams: DataFrame) -> list[DataFrame]:
+    """For each depth the grams of so many symbols and the next (``code``) and their counts in training (``n``)."""
+    found = [written(grams)]
+    for depth in range(DEPTH, 0, -1):
+        found.append(written(found[-1].groupBy(low("code", depth).alias("code")).agg(F.sum("n").alias("n"))))
+    return found[::-1]
+
+
+def stored_pairs(levels: list[DataFrame], least: int) -> list[DataFrame]:
+    """For each depth the grams of candidates (``code``, ``n``, ``all``: n of the context)."""
+    found = []
+    for level in levels:
+        level = level.filter("n > 0").withColumn("context", F.shiftrightunsigned("code", 8))
+        whole = level.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= least)
+        found.append(written(level.join(whole, "context").select("code", "n", "all")))
+    return found
 
 
-def stored_pairs(level: DataFrame, min_share: float) -> dict[int, np.ndarray]:
-    """For each depth the candidates as columns (context, symbol, n, n of the context), from the counts of grams."""
-    total = level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    least = max(2, int(min_share * total))
-    found = {}
-    for depth in range(DEPTH, -1, -1):
-        context = F.shiftrightunsigned("code", 8)
-        whole = level.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).filter(F.col("all") >= least)
-        often = level.filter(F.col("n") >= max(1, least // PAIRS)).withColumn("context", context)
-        pairs = often.join(whole, "context")
-        rows = pairs.select("context", F.col("code").bitwiseAND(255).alias("symbol"), "n", "all").toArrow()
+def by_context(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.shiftrightunsigned("code", 8).alias("context"), low("code", 1).alias("symbol"), "n", "all")
+
+
+def retained_contexts(pairs: list[DataFrame], divergence: float = DIVERGENCE) -> list[DataFrame]:
+    """What ``retained`` gives, as tables (``context``, ``all``), without the empty context."""
+    kept, more = [], None
+    for depth in range(DEPTH, 0, -1):
+        own = pairs[depth].withColumn("shorter", low("code", depth))
+        up = pairs[depth - 1].select(
+            F.col("code").alias("shorter"), F.col("n").alias("n_up"), F.col("all").alias("all_up")
+        )
+        ratio = F.col("n") * F.log(F.col("n") / F.col("all") / (F.col("n_up") / F.col("all_up")))
+        tested = own.join(up, "shorter").groupBy(F.shiftrightunsigned("code", 8).alias("context"))
+        tested = tested.agg(F.sum(ratio).alias("ratio"), F.count("*").alias("symbols"))
+        names = tested.filter(F.col("ratio") >= divergence * (F.col("symbols") + 1)).select("context")
+        names = names if more is None else names.union(more).distinct()
+        totals = by_context(pairs[depth]).groupBy("context").agg(F.max("all").alias("all"))
+        kept.append(written(names.join(totals, "context")))
+        begin = kept[-1].select(F.shiftrightunsigned("context", 8).alias("context"))
+        more = begin.union(kept[-1].select(low("context", depth - 1).alias("context")))
+    return kept[::-1]
+
+
+def gathered(pairs: list[DataFrame], kept: list[DataFrame]) -> tuple[dict[int, np.ndarray], list[np.ndarray]]:
+    """The pairs of the retained contexts and these contexts, in order, for each depth, as ``build`` takes them."""
+    found, names = {}, [np.zeros(1, np.int64)]
+    for depth in range(DEPTH + 1):
+        rows = by_context(pairs[depth])
+        rows = (rows.join(kept[depth - 1].select("context"), "context", "left_semi") if depth else rows).toArrow()
         found[depth] = np.stack([rows[c].to_numpy().astype(np.int64) for c in rows.column_names], axis=1)
         if depth:
-            shorter = F.col("code").bitwiseAND((1 << (8 * depth)) - 1)
-            level = written(level.groupBy(shorter.alias("code")).agg(F.sum("n").alias("n")))
-    return found
+            names.append(np.unique(found[depth][:, 0]))
+    return found, names
+
+
+def gram_scores(levels: list[DataFrame], kept: list[DataFrame], trained: int) -> DataFrame:
+    """Of each gram of DEPTH symbols and the next (``code``) the log10 probability (``log_p``) of the next symbol after
+    the longest retained context. Each depth smooths its counts into the probabilities of the one before."""
+    n = F.col("n") if trained else F.lit(0)
+    found = levels[0].select("code", ((n + M / 256) / F.lit(trained + M)).alias("p"))
+    for depth in range(1, DEPTH + 1):
+        level = levels[depth].withColumn("shorter", low("code", depth))
+        joined = level.join(found.select(F.col("code").alias("shorter"), "p"), "shorter")
+        joined = joined.withColumn("context", F.shiftrightunsigned("code", 8)).join(kept[depth - 1], "context", "left")
+        own = (F.col("n") + F.lit(M) * F.col("p")) / (F.col("all") + F.lit(M))
+        found = joined.select("code", F.coalesce(own, "p").alias("p"))
+    return found.select("code", F.log10("p").cast("float").alias("log_p"))
 
 
 @dataclass
@@ -185,14 +302,6 @@ def diverging(pairs: dict[int, np.ndarray], depth: int, divergence: float) -> np
     return contexts[ratio >= divergence * (np.bincount(row) + 1)]
 
 
-def bounded(pairs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """The candidates without the rarest contexts, so many that the tree has MAX_STATES states at most."""
-    while sum(map(len, retained(pairs))) > MAX_STATES:
-        least = 2 * min(rows[:, 3].min() for rows in pairs.values() if len(rows))
-        pairs = {depth: rows[rows[:, 3] >= least] for depth, rows in pairs.items()}
-    return pairs
-
-
 def retained(pairs: dict[int, np.ndarray], divergence: float = DIVERGENCE) -> list[np.ndarray]:
     """The contexts of the tree, in order, for each depth: those that diverge, and their beginnings and suffixes."""
     if not len(pairs[0]):
@@ -203,10 +312,9 @@ def retained(pairs: dict[int, np.ndarray], divergence: float = DIVERGENCE) -> li
     return kept
 
 
-def build(pairs: dict[int, np.ndarray]) -> Tree:
+def build(pairs: dict[int, np.ndarray], kept: list[np.ndarray] | None = None) -> Tree:
     """The states of the tree with smoothed distributions and transitions, shorter contexts first."""
-    pairs = bounded(pairs)
-    kept = retained(pairs)
+    kept = retained(pairs) if kept is None else kept
     first = np.cumsum([0, *map(len, kept)])
     seen = np.unique(np.concatenate([pairs[0][:, 1], [END, BLANK]]))
     classes = np.full(256, len(seen), np.int64)  # the last class is each byte value that was never seen
@@ -252,16 +360,31 @@ def read_symbols(found: Stream, tree: Tree) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
-def spelling(words: Words, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability that the tree gives to each word, and to the end of each text."""
+def look_up(found: Stream, *tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What ``read_symbols`` gives for the texts' own symbols, from tables of grams (in any order), the first first."""
+    at, code = coded(found)
+    out = np.zeros(len(found.symbols), np.float32)
+    for codes, log_p in tables:
+        row = pc.index_in(pa.array(code.view(np.int64)), pa.array(codes))
+        has = row.is_valid().to_numpy(zero_copy_only=False)
+        out[at[has]] = log_p[row.drop_null().to_numpy()]
+        at, code = at[~has], code[~has]
+    if len(at):
+        raise ValueError("a gram of the texts has no probability")
+    return out
+
+
+def spelling(words: Words, read: Callable[[Stream], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each word, and of the end of each text, from those of the symbols."""
     found = stream(words)
-    symbols = read_symbols(found, tree).astype(np.float64)
+    symbols = read(found).astype(np.float64)
     raw_sizes = pc.binary_length(words.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     sizes = raw_sizes[words.ids] if len(words.ids) else np.zeros(0, np.int64)
     ends = np.cumsum(sizes)
     before = np.concatenate([[0], ends])[words.starts]  # symbols of words in earlier texts
     starts = ends - sizes + np.repeat(found.starts - before, words.counts)
-    return text_sums(symbols, starts, starts + sizes), symbols[found.ends - 1]
+    spelled = np.where(found.symbols == END, 0.0, symbols)  # sums run on to the next word, over ends between texts
+    return text_sums(spelled, starts, starts + sizes), symbols[found.ends - 1]
 
 
 def mixed(frequency: np.ndarray, spelled: np.ndarray) -> np.ndarray:
@@ -277,13 +400,25 @@ def is_training(id: Column) -> Column:
 
 
 def score_documents(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", min_share: float = MIN_SHARE, frequent: int = FREQUENT
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    min_share: float = MIN_SHARE,
+    frequent: int = FREQUENT,
+    max_states: int = MAX_STATES,
+    frequent_grams: int = FREQUENT_GRAMS,
 ) -> DataFrame:
-    """Per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
+    """Per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``. A tree
+    of more than ``max_states`` states is not broadcast."""
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     context = docs.sparkSession.sparkContext
     training = docs.filter(is_training(F.col("id")))
-    tree = build(stored_pairs(written(count_grams(training, "text")), min_share))
+    levels = gram_levels(count_grams(docs))
+    positions = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    least = max(2, min(MIN_COUNT, int(min_share * positions)))
+    pairs = stored_pairs(levels, least)
+    kept = retained_contexts(pairs)
+    tree = build(*gathered(pairs, kept)) if 1 + sum(k.count() for k in kept) <= max_states else None
     counts = written(count_words(training, "text"))
     texts = training.count()
     sums = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -307,38 +442,68 @@ def score_documents(
         made = [arrays[f.name].cast(f.type) if f.name in arrays else pa.nulls(n, f.type) for f in types]
         return pa.RecordBatch.from_arrays(made, schema=types)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened() -> tuple[dict[str, int], Tree | None]:
+        table = pa.ipc.open_stream(shared.value[0]).read_all()
+        return dict(zip(table["word"].to_pylist(), table["n"].to_pylist())), shared.value[1]
+
+    def scored(
+        piece: pa.RecordBatch, key: int, known: dict[str, int], read: Callable[[Stream], np.ndarray]
+    ) -> Iterator[pa.RecordBatch]:
         """A row for each document; and one for each word that the table lacks, with its spelling as ``score``."""
+        words = split_words(piece.column("text"), LOWER)
+        names = words.vocabulary.to_pylist()
+        n = np.fromiter((known.get(w, 0) for w in names), np.int64, len(names))[words.ids]
+        spelled, end = spelling(words, read)
+        keys = key + np.arange(len(piece), dtype=np.int64)
+        has = n > 0
+        base = words.per_text(np.where(has, np.log10((n + 0.5) / whole), 0.0))
+        own = words.per_text(np.where(has, mixed(n / all_tokens, spelled), 0.0))
+        yield rows(
+            key=keys,
+            id=piece.column("id"),
+            n_tokens=words.counts + 1,
+            n_known=words.per_text(has.astype(np.int64)) + int(texts > 0),
+            base=base + np.log10((texts + 0.5) / whole),
+            score=own + mixed(np.full(len(piece), texts / all_tokens), end),
+        )
+        lacking = np.flatnonzero(~has)
+        many = words.vocabulary.take(pa.array(words.ids[lacking]))
+        yield rows(key=np.repeat(keys, words.counts)[lacking], word=many, score=spelled[lacking])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table, tree = pa.ipc.open_stream(shared.value[0]).read_all(), shared.value[1]
-        known = dict(zip(table["word"].to_pylist(), table["n"].to_pylist()))
+        known, tree = opened()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
-                words = split_words(piece.column("text"), LOWER)
-                names = words.vocabulary.to_pylist()
-                n = np.fromiter((known.get(w, 0) for w in names), np.int64, len(names))[words.ids]
-                spelled, end = spelling(words, tree)
-                keys = key + np.arange(len(piece), dtype=np.int64)
+                yield from scored(piece, key, known, lambda found: read_symbols(found, tree))
+                key += len(piece)
+
+    def score_block(block: tuple[pa.Scalar, ...], texts: pa.Table, table: pa.Table) -> pa.Table:
+        known, _ = opened()
+        key, made = block[0].as_py() << 26, []
+        own = tuple(table[c].combine_chunks().to_numpy() for c in ("code", "log_p"))
+        for batch in texts.to_batches():
+            for piece in pieces(batch, "text", BLOCK_PIECE):
+                made += scored(piece, key, known, lambda found: look_up(found, hot_grams.value, own))
                 key += len(piece)
-                has = n > 0
-                base = words.per_text(np.where(has, np.log10((n + 0.5) / whole), 0.0))
-                own = words.per_text(np.where(has, mixed(n / all_tokens, spelled), 0.0))
-                yield rows(
-                    key=keys,
-                    id=piece.column("id"),
-                    n_tokens=words.counts + 1,
-                    n_known=words.per_text(has.astype(np.int64)) + int(texts > 0),
-                    base=base + np.log10((texts + 0.5) / whole),
-                    score=own + mixed(np.full(len(piece), texts / all_tokens), end),
-                )
-                lacking = np.flatnonzero(~has)
-                many = words.vocabulary.take(pa.array(words.ids[lacking]))
-                yield rows(key=np.repeat(keys, words.counts)[lacking], word=many, score=spelled[lacking])
+        return pa.Table.from_batches(made, types)
 
     kind = f"key long, id {id_type.simpleString()}, word string, n_tokens long, n_known long, base double, score double"
-    found = written(docs.mapInArrow(released(score), kind))
+    if tree is not None:
+        scores = docs.mapInArrow(released(score), kind)
+    else:
+        # frequent grams are broadcast, of the others only the block's own stand beside its texts
+        blocks = written(in_blocks(docs))
+        table = written(gram_scores(levels, kept, positions if positions >= least else 0))
+        often = levels[DEPTH].filter(F.col("n") >= least_count(levels[DEPTH], frequent_grams)).select("code")
+        often = table.join(often, "code").toArrow()
+        hot_grams = context.broadcast(tuple(often[c].to_numpy() for c in ("code", "log_p")))
+        rare = block_grams(blocks, hot_grams).join(table, "code")
+        sides = blocks.groupBy("block").cogroup(rare.groupBy("of_block"))
+        scores = sides.applyInArrow(score_block, kind)
+    found = written(scores)
     lacking = found.filter("word is not null").select("key", "word", "score")
     joined = lacking.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     n, spelled = F.col("n"), F.col("score")
