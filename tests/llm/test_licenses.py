@@ -42,3 +42,44 @@ def test_ties_take_the_smaller_name(spark):
     wanted = spark.createDataFrame([("B", "licence one"), ("A", "licence one")], "licence string, template string")
     files = spark.createDataFrame([("/p", "licence one")], "path string, text string")
     assert L.own_licences(files, wanted).first().licence == "A"
+
+
+BSD = """Copyright (c) 2020 X. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE
+DISCLAIMED."""
+GO = """// Copyright 2009 The Go Authors. All rights reserved.
+// Use of this source code is governed by a BSD-style
+// license that can be found in the LICENSE file.
+
+package main
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+int x;
+"""
+
+
+def test_whole_files_and_wrapped_headers(spark):
+    gpl = (L.Path(L.__file__).parent / "licence_texts" / "GPL-3.0.txt").read_text()
+    line = "many words of prose here " * 20 + "\nReleased under the MIT License.\n" + "and many other words " * 20
+    rows = [("/b/LICENSE", BSD), ("/b/x.go", "package x"), ("/g/COPYING", gpl), ("/s/main.go", GO), ("/s/a.c", MPL)]
+    files = spark.createDataFrame([*rows, ("/s/prose", line)], "path string, text string")
+    got = {r.path: r.licence for r in L.scan(files, L.full_templates(spark)).collect()}
+    assert got == {
+        "/b/LICENSE": "BSD-3-Clause",
+        "/b/x.go": "BSD-3-Clause",
+        "/g/COPYING": "GPL-3.0",
+        "/s/main.go": "BSD-3-Clause",
+        "/s/a.c": "MPL-2.0",
+        "/s/prose": "MIT",
+    }

@@ -1,7 +1,8 @@
 """Licence scan with DataFrame functions: notices against templates by TF-IDF cosine, then inheritance by directory.
 
-A notice is a line of a file with a licence cue in it; all lines of the whole text are looked at. Notices and templates
-are sparse vectors of terms (ASCII letters and digits in lower case), weighted by term count times
+The notices of a file are its leading comment lines and each paragraph, if they hold a licence cue; only a file without a
+licence by these is judged by its single lines with a cue. The notice of a licence file (by its name) is its whole text,
+cue or not. ``lines_only`` takes single lines with a cue of all files instead. Notices and templates are sparse vectors of terms (ASCII letters and digits in lower case), weighted by term count times
 ``ln((1 + N) / (1 + df)) + 1`` over all notices. A file's own licence is the template with the highest cosine of any of
 its notices, at least ``threshold``; ties go to the smaller name. A file without one inherits the licence of the nearest
 directory above it for which one is declared.
@@ -15,6 +16,8 @@ judged row by row. Empty tables give empty results. Columns other than those nam
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from tidewatch.session import config_table
 
 CUE = "[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|SPDX|[Pp]ublic [Dd]omain"
 TERM = "[a-z0-9]+"
+COMMENT = r"^\s*(//|#|/?\*|--|;|%|<!--|\"\"\"|'''|$)"
+PARAGRAPHS = r"\n[ \t\r]*\n"
 LICENCE_FILE = "^(LICEN[CS]E|COPYING|UNLICENSE|NOTICE)([.-].*)?$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,15 +57,59 @@ def templates(spark: SparkSession) -> DataFrame:
     return config_table(spark, TEMPLATES, "licence string, template string")
 
 
+# Notices of several lines, as the licences' authors give them for the heads of files.
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+     'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for '
+     "the specific language governing permissions and limitations under the License."),
+    ("BSD-3-Clause", "Copyright The Authors. All rights reserved. Use of this source code is governed by a BSD-style "
+     "license that can be found in the LICENSE file."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+     "MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} "
+       f"as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later "
+       "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+       "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+       f"{kind} for more details.")
+      for name, kind, n in (("GPL-3.0", "General Public License", 3), ("GPL-2.0", "General Public License", 2),
+                            ("LGPL-3.0", "Lesser General Public License", 3),
+                            ("AGPL-3.0", "Affero General Public License", 3))),
+]
+
+
+def full_templates(spark: SparkSession) -> DataFrame:
+    """The one-line notices, headers of several lines and whole licence texts."""
+    texts = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    return config_table(spark, [*TEMPLATES, *HEADERS, *texts], "licence string, template string")
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
 
 
-def notices(files: DataFrame, id: str, text: str) -> DataFrame:
-    """One row (``id``, ``notice``) per line with a cue."""
-    lines = F.filter(F.split(F.col(text), "\n"), lambda line: line.rlike(CUE))
-    with_cue = files.filter(F.col(text).rlike(CUE))
-    return with_cue.select(F.col(id).alias("id"), F.explode(lines).alias("notice"))
+def is_licence_file(path: Column) -> Column:
+    return F.coalesce(F.regexp_replace(path, "^.*/", "").rlike(LICENCE_FILE), F.lit(False))
+
+
+def notices(files: DataFrame, id: str, text: str, lines_only: bool = False) -> DataFrame:
+    """One row (``id``, ``notice``, ``single``: a line of a file that is not judged by lines alone) per notice."""
+    whole, lines = F.col(text), F.split(F.col(text), "\n")
+    cued = F.filter(lines, lambda line: line.rlike(CUE))
+    if lines_only:
+        with_cue = files.filter(whole.rlike(CUE))
+        return with_cue.select(F.col(id).alias("id"), F.explode(cued).alias("notice"), F.lit(False).alias("single"))
+    code = F.array_position(F.transform(lines, lambda line: line.rlike(COMMENT)), False)
+    head = F.array_join(F.slice(lines, F.lit(1), F.when(code > 0, code - 1).otherwise(F.size(lines)).cast("int")), "\n")
+    runs = F.filter(F.concat(F.array(head), F.split(whole, PARAGRAPHS)), lambda run: run.rlike(CUE))
+    marked = lambda found, single: F.transform(
+        F.array_distinct(found), lambda x: F.struct(x.alias("notice"), F.lit(single).alias("single"))
+    )
+    named = is_licence_file(F.col(id))
+    some = files.filter(whole.rlike(CUE) | (named & (whole != "")))
+    found = F.when(named, marked(F.array(whole), False)).otherwise(F.concat(marked(runs, False), marked(cued, True)))
+    return some.select(F.col(id).alias("id"), F.explode(found).alias("n")).select("id", "n.notice", "n.single")
 
 
 def score_notices(lines: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
@@ -99,12 +148,19 @@ def rank(score: str, licence: str) -> Column:
 
 
 def own_licences(
-    files: DataFrame, wanted: DataFrame, id: str = "path", text: str = "text", threshold: float = 0.5
+    files: DataFrame,
+    wanted: DataFrame,
+    id: str = "path",
+    text: str = "text",
+    threshold: float = 0.5,
+    lines_only: bool = False,
 ) -> DataFrame:
-    """``id``, ``licence`` and ``score`` of the files (of all rows of an id) with a notice like a template."""
-    lines = notices(files, id, text)
+    """``id``, ``licence`` and ``score`` of the files (of all rows of an id) with a notice like a template. Files are
+    known for licence files by ``id``."""
+    lines = notices(files, id, text, lines_only)
     found = lines.join(score_notices(lines, wanted, threshold), "notice")
-    best = found.groupBy("id").agg(F.min(rank("score", "licence")).alias("b"))
+    first = F.struct("single", (-F.col("score")).alias("minus"), "licence")
+    best = found.groupBy("id").agg(F.min(first).alias("b"))
     return best.select(F.col("id").alias(id), F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
 
 
@@ -121,8 +177,7 @@ def ancestors(folder: Column) -> Column:
 
 def declared_by_name(own: DataFrame, path: str = "path") -> DataFrame:
     """Directories with a licence file (by its name), and its licence: ``folder``, ``licence``."""
-    name = F.regexp_replace(F.col(path), "^.*/", "")
-    files = own.filter(name.rlike(LICENCE_FILE)).withColumn("folder", directory(F.col(path)))
+    files = own.filter(is_licence_file(F.col(path))).withColumn("folder", directory(F.col(path)))
     best = files.groupBy("folder").agg(F.min_by("licence", path).alias("licence"))
     return best.filter(F.col("folder").isNotNull())
 
@@ -145,11 +200,12 @@ def scan(
     text: str = "text",
     threshold: float = 0.5,
     keep: list[str] | None = None,
+    lines_only: bool = False,
 ) -> DataFrame:
     """Per row of ``files``: the columns ``keep`` (the path), ``own_licence``, ``own_score``, ``licence`` (own or
     inherited) and ``licence_from`` (the directory it is inherited from). ``declared`` gives the licences of
     directories (``folder``, ``licence``); by default those of licence files."""
-    own = own_licences(files, wanted, path, text, threshold)
+    own = own_licences(files, wanted, path, text, threshold, lines_only)
     declared = declared_by_name(own, path) if declared is None else declared
     rows = files.select(*dict.fromkeys([path, *(keep or [])])).withColumn("__folder", directory(F.col(path)))
     near = inherited(rows.select(F.col("__folder").alias("folder")), declared)

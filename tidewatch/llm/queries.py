@@ -174,18 +174,27 @@ from file f left join best b using (doc_id) left join near n on n.folder = f.fol
 @register("op3_licence_scan", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files in directories of source, language and id; in each directory the first document with a
-    licence notice stands for its licence file."""
+    licence notice stands for its licence file. Notices are single lines, as in the SQL."""
+    return scan_documents(table(spark, sf_dir, "documents"), licenses.templates(spark), lines_only=True)
+
+
+@register("op3_licence_blocks")
+def op3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with headers and paragraphs as notices, and whole licence texts among the templates."""
+    return scan_documents(table(spark, sf_dir, "documents"), licenses.full_templates(spark))
+
+
+def scan_documents(docs: DataFrame, wanted: DataFrame, lines_only: bool = False) -> DataFrame:
     part = [F.coalesce(F.col(c), F.lit("none")) for c in ("source", "lang")]
     part += [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 50)]
     path = F.concat(F.lit("/"), F.concat_ws("/", *part, F.col("doc_id").cast("string")))
-    files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
-    wanted = licenses.templates(spark)
-    own = licenses.own_licences(files, wanted)
+    files = docs.select("doc_id", "text", path.alias("path"))
+    own = licenses.own_licences(files, wanted, lines_only=lines_only)
     up = licenses.ancestors(licenses.directory(F.col("path")))
     doc_id = F.regexp_extract("path", "[0-9]+$", 0).cast("bigint")
     named = own.select("licence", doc_id.alias("doc_id"), F.explode(up).alias("folder")).filter("folder != ''")
     declared = named.groupBy("folder").agg(F.min_by("licence", "doc_id").alias("licence"))
-    return licenses.scan(files, wanted, declared, keep=["doc_id"])
+    return licenses.scan(files, wanted, declared, keep=["doc_id"], lines_only=lines_only)
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
