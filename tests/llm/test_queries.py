@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_each_operator_has_a_query():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert [name for name, _ in corpus_pipeline.STAGES][2] == "simhash near-duplicates"
 
 
