@@ -71,6 +71,40 @@ def test_cooldown_with_a_steady_pulse(spark, monkeypatch):
     assert sorted(r.id for r in C.cooldown_kept(table(spark, *rows), 1).collect()) == kept_by_hand(rows, 1)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_long_history_takes_blocks_of_chunks(spark, monkeypatch, seed):
+    monkeypatch.setattr(C, "CHUNK_COOLDOWNS", 1)
+    random.seed(seed)
+    span = [40_000, 9_000, 900_000][seed]
+    rows = [
+        anomaly(f"{i:04d}", random.randint(0, span), source=random.choice(["hot", "hot", "b"]), template=random.choice(["t1", None]))
+        for i in range(900)
+    ]
+    expires = START + timedelta(seconds=span // 3)
+    running = spark.createDataFrame(
+        [("hot", "novel_pattern", "t1", expires), ("other", "novel_pattern", "t1", expires)],
+        "source string, anomaly_type string, template_key string, expires_at timestamp",
+    )
+    got = sorted(r.id for r in C.cooldown_kept(table(spark, *rows), 5, running, fan=3).collect())
+    assert got == kept_by_hand(rows, 5, [(("hot", "novel_pattern", "t1"), expires)])
+
+
+def test_composed_steps_are_those_of_the_whole():
+    import numpy as np
+
+    random.seed(1)
+    for _ in range(60):
+        cooldown = random.randint(1, 40)
+        at = np.unique([random.randint(0, 400) for _ in range(random.randint(2, 80))])
+        cuts = sorted(random.sample(range(0, 400), 3))
+        parts = [p for p in np.split(at, np.searchsorted(at, cuts)) if len(p)]
+        entries, ends = C._composed([(p, C._chain_ends(p, cooldown)) for p in parts], cooldown)
+        assert (ends[1:] != ends[:-1]).all()
+        free = np.arange(-5, 450)
+        whole = C._after(at, C._chain_ends(at, cooldown), free, cooldown)
+        assert (C._after(entries, ends, free, cooldown) == whole).all()
+
+
 def test_running_cooldowns(spark):
     rows = [anomaly(f"{i:04d}", 600 * i) for i in range(20)]
     expires = START + timedelta(seconds=4000)

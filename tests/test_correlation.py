@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions.skew import hot_keys, interval_join, running_totals
+from tidewatch.functions.skew import hot_keys, interval_join, numbered, row_numbers, running_totals
 from tidewatch.operators import correlate as J
 
 START = datetime(2024, 1, 1)
@@ -124,3 +124,17 @@ def test_running_totals_against_brute_force(spark):
 def test_hot_keys(spark):
     df = spark.createDataFrame([("a",)] * 25 + [("b",)] * 10 + [("c",)], "k string")
     assert {r.k: r.splits for r in hot_keys(df, ["k"], 9).collect()} == {"a": 3, "b": 2}
+
+
+def test_row_numbers_at_one_instant(spark):
+    random.seed(2)
+    rows = [(random.choice(["hot", "hot", "hot", "b", None]), random.choice([0, 0, 0, 5]), i * 7919 % 4001) for i in range(4001)]
+    df = spark.createDataFrame(rows, "g string, t int, i int").repartition(6)
+    want, last = {}, {}
+    for g, t, i in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        last[g] = last.get(g, 0) + 1
+        want[i] = last[g]
+    for crowded in (10, 100_000):
+        got = row_numbers(df, ["g"], "t", ["t", "i"], "n", crowded)
+        assert got.columns == ["g", "t", "i", "n"] and {r.i: r.n for r in got.collect()} == want
+    assert {r.i: r.n for r in numbered(df, ["g"], ["t", "i"], "n").collect()} == want

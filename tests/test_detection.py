@@ -9,6 +9,7 @@ from tidewatch.operators import aggregates as A
 from tidewatch.operators import detectors as D
 from tidewatch.operators import isolation as I
 from tidewatch.plans.baseline import read_baseline, train_baseline
+from tidewatch.plans.state import append_cells, read_cells, train_from_cells, write_cells
 from tidewatch.plans.detection import run_detection
 
 LOG_SCHEMA = (
@@ -266,3 +267,37 @@ def test_training_window_of_a_source(spark):
     short = spark.createDataFrame([("b", 100)], "name string, training_window_hours int")
     lines = {r.source: r.lines_trained for r in train_baseline(logs, NOW, min_lines=1, sources=short).stats.collect()}
     assert lines["app"] == 1500 and 0 < lines["b"] < 1500
+
+
+def same_tables(got, want):
+    for name in ("stats", "templates", "latencies", "features"):
+        left, right = getattr(got, name), getattr(want, name)
+        assert set(left.columns) == set(right.columns)
+        order = [c for c in ("source", "bucket", "template_id", "value") if c in right.columns]
+        rows = [df.select(*sorted(right.columns)).orderBy(*order).collect() for df in (left, right)]
+        assert len(rows[0]) == len(rows[1]) > 0, name
+        for a, b in zip(*rows):
+            assert tuple(a) == pytest.approx(tuple(b), rel=1e-9), name
+
+
+def test_training_from_cells_equals_training_from_logs(spark, tmp_path):
+    rows = training_rows(1500) + training_rows(1200, "b") + training_rows(40, "few")
+    rows += [(None, "app", "info", "no time", "t", "{}", 9999), (NOW - timedelta(hours=5), "app", "error", "", "", '{"latency": "x"}', 9998)]
+    logs = spark.createDataFrame(rows, LOG_SCHEMA)
+    path = str(tmp_path / "cells")
+    for part in (0, 1, 2, 1):  # lines of all hours in each run; a repeated run replaces itself
+        append_cells(logs.filter(F.col("line_number") % 3 == part), path, f"run{part}")
+    cells = read_cells(spark, path, NOW)
+    same_tables(train_from_cells(cells, NOW), train_baseline(logs, NOW))
+    same_tables(train_from_cells(read_cells(spark, path, NOW, 100), NOW, 1), train_baseline(logs, NOW, 100, min_lines=1))
+    with pytest.raises(ValueError):
+        read_cells(spark, path, NOW + timedelta(minutes=1))
+
+
+def test_cells_of_a_stream(spark, tmp_path):
+    logs = spark.createDataFrame(training_rows(1500), LOG_SCHEMA)
+    for part in range(3):
+        logs.filter(F.col("line_number") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    write_cells(stream, str(tmp_path / "cells"), str(tmp_path / "cp"), once=True).awaitTermination()
+    same_tables(train_from_cells(read_cells(spark, str(tmp_path / "cells"), NOW), NOW), train_baseline(logs, NOW))

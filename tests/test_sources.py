@@ -184,11 +184,30 @@ def test_reads_are_cut_to_days_and_columns(spark, tmp_path):
 
 
 def test_retention(spark, tmp_path):
-    rows = [(datetime(2024, 4, d), "s", d) for d in (1, 2, 20)]
+    rows = [(datetime(2024, 4, d, h), "s", 100 * d + h) for d in (1, 2, 3, 20) for h in (1, 13)]
+    rows.append((datetime(2024, 4, 20, 5), "s", 1))
     df = spark.createDataFrame(rows, "ingested_at timestamp, source string, line_number long")
-    df = df.withColumn("timestamp", F.col("ingested_at"))
-    assert store.enforce_retention(df, str(tmp_path / "kept"), NOW, 29) == 2
-    assert [r.line_number for r in spark.read.parquet(str(tmp_path / "kept")).collect()] == [20]
+    event = F.when(F.col("line_number") == 1, F.lit(datetime(2024, 4, 1))).otherwise(F.col("ingested_at"))
+    path = str(tmp_path / "logs")
+    store.append_logs(df.withColumn("timestamp", event.cast("timestamp")), path)
+    store.write_batch(store.log_rows(df.withColumn("timestamp", F.col("ingested_at")), F.current_timestamp()), path, 3, F.col("timestamp"), "stream")
+    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "logs").rglob("*.parquet") if "2024-04-20" in str(p)}
+
+    def lines():
+        return sorted(r.line_number for r in spark.read.parquet(path).collect())
+
+    as_of = datetime(2024, 5, 2, 6)  # 29 days before: 3 April, 6 o'clock
+    assert store.enforce_retention(spark, path, as_of, 29) == 10
+    # the batch and the stream's run wrote the same lines; a late line of 1 April stays
+    assert lines() == [1, 1, 313, 313, 2001, 2001, 2013, 2013]
+    assert all(p.stat().st_mtime_ns == at for p, at in untouched.items())
+    assert not (tmp_path / "logs" / "date=2024-04-02").exists() or not list((tmp_path / "logs" / "date=2024-04-02").rglob("*.parquet"))
+    assert store.enforce_retention(spark, path, as_of, 29) == 0
+    # a run that died between writing and moving is finished by the next one
+    kept = spark.read.parquet(path).filter("date = '2024-04-03' and line_number < 0")
+    kept.write.partitionBy("date", "run").parquet(path + "/_retention")
+    assert store.enforce_retention(spark, path, as_of, 29) == 0 and len(lines()) == 8
+    assert not (tmp_path / "logs" / "_retention").exists()
 
 
 def test_models_are_upserted_by_key(spark, tmp_path):

@@ -90,9 +90,9 @@ def test_greedy_against_a_plain_loop():
     rows = [" ".join(["head", "word", *random.choices(words, k=4)]) for _ in range(200)]
     rows = list(dict.fromkeys(rows))
     for similarity in (0.4, 0.7, 0.9):
-        member, patterns = T._greedy([r.split(" ") for r in rows], similarity)
-        assert sorted(" ".join(p) for p in patterns) == greedy_by_hand(rows, similarity)
-        assert len(member) == len(rows)
+        found = T._greedy([r.split(" ") for r in rows], similarity)
+        assert sorted(" ".join(p) for p in found.patterns) == greedy_by_hand(rows, similarity)
+        assert len(found.member) == len(rows)
 
 
 def mixed_messages():
@@ -125,6 +125,45 @@ def test_several_runs_give_the_clusters_of_one(spark, tmp_path):
         assert sorted(map(tuple, both.patterns.select(key).collect())) == sorted(map(tuple, once.patterns.select(key).collect()))
 
 
+@pytest.mark.parametrize(("words", "similarity"), [(30, 0.6), (400, 0.4)])
+def test_crowded_leaves_by_many_tasks(spark, words, similarity):
+    import random
+
+    random.seed(words)
+    names = [f"w{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(words)]
+    made = [" ".join(["a", "b", *random.choices([*names, "7"], k=5)]) for _ in range(700)]
+    rows = logs(spark, made).unionByName(logs(spark, made[300:450], "t"))
+    plain = learned(spark, rows, similarity=similarity)
+    many = learned(spark, rows, similarity=similarity, leaf_shapes=130)
+    assert members(many) == members(plain)
+    key = ["source", "template_id", "leaf", "position", "template"]
+    assert sorted(map(tuple, many.patterns.select(key).collect())) == sorted(map(tuple, plain.patterns.select(key).collect()))
+
+
+def test_settled_rows_are_those_of_the_loop():
+    import random
+
+    import numpy as np
+
+    for seed in range(20):
+        random.seed(seed)
+        words = [*"abcdefgh"[: random.randint(2, 8)], "<*>"]
+        rows = list(dict.fromkeys(tuple(random.choices(words, k=4)) for _ in range(120)))
+        rows = [list(r) for r in rows]
+        known = [list(random.choices(words, k=4)) for _ in range(random.randint(0, 3))]
+        similarity = random.choice([0.3, 0.5, 0.8])
+        whole = T._greedy(rows, similarity, known)
+        numbers = np.arange(1, len(rows) + 1)
+        joined, changes = T._settle(rows, numbers, whole.versions, similarity)
+        opened = {since for _, since, _ in whole.versions if since}
+        assert {int(n) for n, c in zip(numbers, changes) if c} == opened
+        quiet = ~changes
+        assert (joined[quiet] == whole.member[quiet]).all()
+        # replaying only the rows that change something gives the same versions
+        some = [r for r, c in zip(rows, changes) if c]
+        assert T._greedy(some, similarity, known, numbers[changes]).versions == whole.versions
+
+
 def test_clusters_do_not_depend_on_the_partitions(spark):
     rows = logs(spark, mixed_messages())
     assert members(learned(spark, rows.repartition(7))) == members(learned(spark, rows.coalesce(1)))

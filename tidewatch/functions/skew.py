@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut_lineage
+
+CROWDED = 200_000  # rows of one cell that are still put in order by one task
+
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame:
     """Keys with more than ``rows_per_split`` rows and into how many parts each should be cut (``splits``)."""
@@ -40,6 +46,57 @@ def running_totals(
     return out.drop(*[f"__{n}" for n in names], *[f"__{n}_before" for n in names])
 
 
+def joined_to(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; ``other`` adds its further columns."""
+    other = other.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    equal = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return df.join(other, equal, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``, the place (from 1) of a row within its group in ``order``, nulls first.
+
+    Rows are put in order by range over all tasks, so rows of one group, or of one instant, are shared out as evenly as
+    ``order`` tells them apart. What a task holds of one group is a stretch; a row's place is its place in the stretch
+    plus the sizes of the group's stretches before it. Only those sizes are brought together, one for each task.
+    """
+    placed = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    placed = cut_lineage(placed.withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    keys = [*group, "__part"]
+    stretches = placed.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1
+    stretches = stretches.select(*keys, shift.alias("__shift"))
+    joined = joined_to(placed, stretches, keys)
+    return joined.select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name))
+
+
+def row_numbers(
+    df: DataFrame, group: list[str], cell: str, order: list[str], name: str, crowded: int = CROWDED
+) -> DataFrame:
+    """Adds ``name``, the place (from 1) of a row within its group in ``order``, nulls first.
+
+    ``cell`` is a non-null column that grows with ``order``. Cells are counted and rows are numbered within theirs, by
+    one task for each cell; cells of more than ``crowded`` rows, such as all that was loaded at one instant, are
+    numbered by ranges of the whole order (see :func:`numbered`).
+    """
+    keys = [*group, cell]
+    before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    cells = cells.select(*keys, "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    packed = cut_lineage(cells.filter(F.col("__n") > crowded))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if packed.isEmpty():
+        numbers = df.withColumn("__inside", inside)
+    else:
+        some = joined_to(df, packed.select(*keys), keys, "left_semi")
+        rest = joined_to(df, packed.select(*keys), keys, "left_anti")
+        numbers = rest.withColumn("__inside", inside).unionByName(numbered(some, keys, order, "__inside"))
+    out = joined_to(numbers, cells.select(*keys, "__before"), keys)
+    return out.select(*df.columns, (F.col("__inside") + F.col("__before")).cast("bigint").alias(name))
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,

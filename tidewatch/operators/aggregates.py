@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
-from tidewatch.functions.skew import running_totals
+from tidewatch.functions.skew import row_numbers
 from tidewatch.sources.store import between
 
 # Time buckets of stored error rates count from 2000-01-03, and a source needs this many lines.
@@ -28,15 +28,17 @@ def slice_logs(logs: DataFrame, since: datetime | str | None = None, until: date
 def ranked_by_age(logs: DataFrame) -> DataFrame:
     """All lines with a time and their rank by age within the source (``rank``, oldest first).
 
-    Ranks are added up from counts per minute, so a busy source is not sorted in one task.
+    Ranks are added up from counts per minute, so a busy source is not sorted in one task, nor are the lines of one
+    crowded minute.
     """
     minute = F.floor(F.unix_seconds("timestamp") / 60)
     timed = logs.filter(F.col("timestamp").isNotNull()).withColumn("__minute", minute)
-    ranked = running_totals(timed, ["source"], ["__minute"], ["timestamp", "line_number"], {"rank": F.lit(1)})
+    ranked = row_numbers(timed, ["source"], "__minute", ["timestamp", "line_number"], "rank")
     return ranked.select(*logs.columns, "rank")
 
 
-def _bucket(minutes: int) -> Column:
+def epoch_bucket(minutes: int) -> Column:
+    """Number of a line's time bucket since 1970."""
     return F.floor(F.unix_seconds("timestamp") / (minutes * 60))
 
 
@@ -56,7 +58,7 @@ def bucket_error_rates(logs: DataFrame, bucket_minutes: int = 5) -> DataFrame:
     """Error rate per source and epoch bucket; lines without a timestamp do not count."""
     rate = F.avg(S.is_error(F.col("level")).cast("int"))
     timed = logs.filter(F.col("timestamp").isNotNull())
-    return timed.groupBy("source", _bucket(bucket_minutes).alias("bucket")).agg(rate.alias("error_rate"))
+    return timed.groupBy("source", epoch_bucket(bucket_minutes).alias("bucket")).agg(rate.alias("error_rate"))
 
 
 def rate_stats(logs: DataFrame, bucket_minutes: int = 5) -> DataFrame:
@@ -64,13 +66,19 @@ def rate_stats(logs: DataFrame, bucket_minutes: int = 5) -> DataFrame:
 
     Lines are counted within the buckets, lines without a timestamp included, so the logs are read once.
     """
-    rate = F.when(F.col("timestamp").isNotNull(), S.is_error(F.col("level")).cast("int"))
-    buckets = logs.groupBy("source", _bucket(bucket_minutes).alias("bucket")).agg(
-        F.avg(rate).alias("error_rate"), F.count("*").alias("lines")
+    timed = F.col("timestamp").isNotNull()
+    buckets = logs.groupBy("source", epoch_bucket(bucket_minutes).alias("bucket")).agg(
+        F.count("*").alias("lines"), F.count_if(S.is_error(F.col("level")) & timed).alias("errors")
     )
+    return stats_of_buckets(buckets)
+
+
+def stats_of_buckets(buckets: DataFrame) -> DataFrame:
+    """:func:`rate_stats` from counts (source, bucket, lines, errors). Lines without a time have a null bucket."""
+    rate = F.when(F.col("bucket").isNotNull(), F.col("errors") / F.col("lines"))
     return buckets.groupBy("source").agg(
-        F.coalesce(F.avg("error_rate"), F.lit(0.0)).alias("error_rate_mean"),
-        F.coalesce(F.stddev_pop("error_rate"), F.lit(DEFAULT_RATE_STD)).alias("error_rate_std"),
+        F.coalesce(F.avg(rate), F.lit(0.0)).alias("error_rate_mean"),
+        F.coalesce(F.stddev_pop(rate), F.lit(DEFAULT_RATE_STD)).alias("error_rate_std"),
         F.sum("lines").alias("lines_trained"),
     )
 
@@ -103,11 +111,18 @@ def template_frequencies(logs: DataFrame) -> DataFrame:
     return shares.withColumn("frequency", F.col("count") / F.col("__total")).drop("__total", "__templated")
 
 
+def shares_of_counts(counts: DataFrame) -> DataFrame:
+    """:func:`template_frequencies` from counts (source, template_id, count) with a null template for lines without."""
+    totals = counts.groupBy("source").agg(F.sum("count").alias("__total"))
+    shares = counts.filter(F.col("template_id").isNotNull()).join(totals, "source")
+    return shares.withColumn("frequency", F.col("count") / F.col("__total")).drop("__total")
+
+
 def bucket_features(logs: DataFrame, bucket_minutes: int = 5) -> DataFrame:
     """Per source and bucket: error rate, lines, distinct templates, mean latency (0 if there is none)."""
     timed = logs.filter(F.col("timestamp").isNotNull()).select(
         "source",
-        _bucket(bucket_minutes).alias("bucket"),
+        epoch_bucket(bucket_minutes).alias("bucket"),
         S.is_error(F.col("level")).cast("int").alias("error"),
         F.when(F.col("template_id") != "", F.col("template_id")).alias("template_id"),
         S.feature_latency(F.col("fields")).alias("latency"),

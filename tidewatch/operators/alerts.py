@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
+from tidewatch.session import cut_lineage
 
 BRAND = "tidewatch"
 
@@ -58,7 +58,8 @@ def routable(anomalies: DataFrame, channels: DataFrame) -> DataFrame:
 # An alert goes out if none of its key went out less than the cooldown before. That is a chain through time, so the
 # batch form cuts each key into chunks of time. For a chunk, the time of its last alert depends only on where the
 # chain enters it, and that in steps: a later entry never gives an earlier end. Each chunk reports these steps, they
-# are followed chunk by chunk per key, and then every chunk picks its alerts knowing where the chain enters.
+# are composed to those of longer stretches until few are left of a key, the chain's places are handed back down, and
+# then every chunk picks its alerts knowing where the chain enters.
 # Detection finds at most one anomaly per key and window, so a chunk holds at most as many as it has windows.
 
 
@@ -86,60 +87,121 @@ def _chain(times: np.ndarray, free_from: int, cooldown: int) -> list[int]:
 
 NEVER = -(2**62)
 CHUNK_COOLDOWNS = 48
+FAN = 32  # chunks, or blocks of chunks, that one task takes one after the other
+KEY_SCHEMA = "source string, anomaly_type string, template_key string"
+
+
+def _after(entries: np.ndarray, ends: np.ndarray, free_from: np.ndarray, cooldown: int) -> np.ndarray:
+    """When the key is free again after a stretch of time that is entered free from ``free_from`` on."""
+    step = np.searchsorted(entries, free_from, side="left")
+    inside = step < len(entries)
+    out = free_from.copy()
+    out[inside] = ends[step[inside]] + cooldown
+    return out
+
+
+def _composed(parts: list[tuple[np.ndarray, np.ndarray]], cooldown: int) -> tuple[np.ndarray, np.ndarray]:
+    """One stretch of time from consecutive ones, each given by its entries and where their chains end.
+
+    Chains that have met stay together, so only the last entry of each different end is kept; ends lie in the last
+    cooldown of the stretch, so their number does not grow with its length.
+    """
+    entries, ends = parts[0]
+    for more, more_ends in parts[1:]:
+        ends = np.append(_after(more, more_ends, ends + cooldown, cooldown) - cooldown, more_ends)
+        entries = np.append(entries, more)
+        last = np.append(ends[1:] != ends[:-1], True)
+        entries, ends = entries[last], ends[last]
+    return entries, ends
+
+
+def _stretches(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Stretches (block, entries, ends) in order of time."""
+    ordered = pdf.sort_values(["block", "entry"]).groupby("block")
+    return [(int(b), part["entry"].to_numpy(np.int64), part["chain_end"].to_numpy(np.int64)) for b, part in ordered]
+
+
+def _chunk_starts(summary: DataFrame, blocks: int, starts: DataFrame, cooldown: int, fan: int) -> DataFrame:
+    """From when on each key is free at the start of each of its chunks (``block``, ``free_from``).
+
+    ``summary`` is a step function for each chunk: for what ``entry`` the chain ends where. The functions of ``fan`` neighbours
+    are composed to that of a block, those of blocks to that of a larger block, until ``fan`` at most are left of a key. Then
+    each block is entered with what its predecessors lead to, and hands its own start on to what it is made of. So a
+    key's history takes a logarithmic number of joins, and no task has more of it than ``fan`` step functions.
+    """
+    above = F.floor(F.col("block") / fan).cast("bigint")
+    functions = [summary]
+
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        entries, ends = _composed([(e, c) for _, e, c in _stretches(pdf)], cooldown)
+        return pd.DataFrame({**dict(zip([*COOLDOWN_KEY, "block"], key)), "entry": entries, "chain_end": ends})
+
+    while blocks > fan:
+        lower = functions[-1].withColumn("above", above)
+        schema = f"{KEY_SCHEMA}, block bigint, entry bigint, chain_end bigint"
+        functions.append(cut_lineage(lower.groupBy(*COOLDOWN_KEY, "above").applyInPandas(compose, schema)))
+        blocks = -(-blocks // fan)
+
+    def enter(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        free_from = np.array([NEVER if start.empty else start["free_from"].iloc[0]], np.int64)
+        out = []
+        for block, entries, ends in _stretches(pdf):
+            out.append((*key[: len(COOLDOWN_KEY)], block, int(free_from[0])))
+            free_from = _after(entries, ends, free_from, cooldown)
+        return pd.DataFrame(out, columns=[*COOLDOWN_KEY, "block", "free_from"])
+
+    schema = f"{KEY_SCHEMA}, block bigint, free_from bigint"
+    starts = functions[-1].groupBy(*COOLDOWN_KEY).cogroup(starts.groupBy(*COOLDOWN_KEY)).applyInPandas(enter, schema)
+    for function in reversed(functions[:-1]):
+        parts = function.withColumn("above", above).groupBy(*COOLDOWN_KEY, "above")
+        starts = parts.cogroup(starts.groupBy(*COOLDOWN_KEY, "block")).applyInPandas(enter, schema)
+    return starts
 
 
 def cooldown_kept(
-    anomalies: DataFrame, cooldown_minutes: int = COOLDOWN_MINUTES, running: DataFrame | None = None
+    anomalies: DataFrame, cooldown_minutes: int = COOLDOWN_MINUTES, running: DataFrame | None = None, fan: int = FAN
 ) -> DataFrame:
     """The anomalies that are alerted: those outside the cooldown of their key, in order of ``detected_at``.
 
     Of anomalies of a key at the same instant the one with the lowest id counts. ``running`` holds cooldowns from
-    earlier runs (source, anomaly_type, template_key, expires_at).
+    earlier runs (source, anomaly_type, template_key, expires_at). The time of each key is cut into chunks, see
+    :func:`_chunk_starts`.
     """
     cooldown = cooldown_minutes * 60 * 1_000_000
     span = cooldown * CHUNK_COOLDOWNS
     keyed = with_cooldown_key(anomalies).withColumn("__t", F.unix_micros("detected_at"))
     instants = keyed.groupBy(*COOLDOWN_KEY, "__t").agg(F.min("id").alias("id"))
-    times = instants.select(*COOLDOWN_KEY, F.floor(F.col("__t") / span).alias("chunk"), F.col("__t").alias("t"))
-
-    key_schema = "source string, anomaly_type string, template_key string, chunk bigint"
+    times = instants.select(*COOLDOWN_KEY, F.floor(F.col("__t") / span).alias("block"), F.col("__t").alias("t"))
+    ends = keyed.agg(F.floor(F.min("__t") / span).alias("first"), F.floor(F.max("__t") / span).alias("last")).first()
+    first, last = (ends["first"], ends["last"]) if ends["first"] is not None else (0, 0)
+    times = times.withColumn("block", F.col("block") - first)
 
     def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.sort(pdf["t"].to_numpy())
         ends = _chain_ends(at, cooldown)
         last = np.append(ends[1:] != ends[:-1], True)
         return pd.DataFrame(
-            {**dict(zip([*COOLDOWN_KEY, "chunk"], key)), "entry": at[last], "chain_end": ends[last]}
+            {**dict(zip([*COOLDOWN_KEY, "block"], key)), "entry": at[last], "chain_end": ends[last]}
         )
 
-    summary = times.groupBy(*COOLDOWN_KEY, "chunk").applyInPandas(steps, f"{key_schema}, entry bigint, chain_end bigint")
+    by_chunk = [*COOLDOWN_KEY, "block"]
+    summary = times.groupBy(*by_chunk).applyInPandas(steps, f"{KEY_SCHEMA}, block bigint, entry bigint, chain_end bigint")
+    if last - first + 1 > fan:
+        summary = cut_lineage(summary)
     if running is None:
-        summary = summary.withColumn("free_from", F.lit(NEVER))
+        expiry = times.sparkSession.createDataFrame([], f"{KEY_SCHEMA}, free_from bigint")
     else:
         expiry = running.select(*COOLDOWN_KEY, F.unix_micros("expires_at").alias("free_from"))
         expiry = expiry.groupBy(*COOLDOWN_KEY).agg(F.max("free_from").alias("free_from"))
-        summary = summary.join(expiry, COOLDOWN_KEY, "left").fillna(NEVER, ["free_from"])
-
-    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        free_from = int(pdf["free_from"].iloc[0])
-        out = []
-        for chunk, part in pdf.sort_values(["chunk", "entry"]).groupby("chunk"):
-            out.append((*key, chunk, free_from))
-            entries, ends = part["entry"].to_numpy(), part["chain_end"].to_numpy()
-            step = int(np.searchsorted(entries, free_from, side="left"))
-            if step < len(entries):
-                free_from = int(ends[step]) + cooldown
-        return pd.DataFrame(out, columns=[*COOLDOWN_KEY, "chunk", "free_from"])
-
-    entry_points = summary.groupBy(*COOLDOWN_KEY).applyInPandas(follow, f"{key_schema}, free_from bigint")
+        expiry = expiry.join(times.select(*COOLDOWN_KEY).distinct(), COOLDOWN_KEY, "left_semi")
+    entry_points = _chunk_starts(summary, last - first + 1, expiry, cooldown, fan)
 
     def pick(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         kept = _chain(np.sort(pdf["t"].to_numpy()), int(entry["free_from"].iloc[0]), cooldown)
         return pd.DataFrame({**dict(zip(COOLDOWN_KEY, key[:-1])), "__t": pd.Series(kept, dtype="int64")})
 
-    by_chunk = [*COOLDOWN_KEY, "chunk"]
     picked = times.groupBy(*by_chunk).cogroup(entry_points.groupBy(*by_chunk))
-    picked = picked.applyInPandas(pick, "source string, anomaly_type string, template_key string, __t bigint")
+    picked = picked.applyInPandas(pick, f"{KEY_SCHEMA}, __t bigint")
     kept = instants.join(picked, [*COOLDOWN_KEY, "__t"], "left_semi").select("id")
     return with_cooldown_key(anomalies).join(kept, "id", "left_semi")
 

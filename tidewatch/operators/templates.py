@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.skew import running_totals
+from tidewatch.functions.skew import numbered, row_numbers
 from tidewatch.session import cut_lineage, grouped
 
 WILDCARD = "<*>"
@@ -86,14 +86,10 @@ def template_count(templates: DataFrame) -> DataFrame:
 
 
 def sequence_ids(templates: DataFrame) -> DataFrame:
-    """Templates numbered per source in the order of their first line."""
-    cell = F.floor(F.unix_seconds("first_seen") / 3600)
-    # templates without any time come first
-    cells = templates.withColumn("__hour", F.coalesce(cell, F.lit(-(2**62))))
-    numbered = running_totals(
-        cells, ["source"], ["__hour"], ["first_seen", "first_line", "template_id"], {"seq_id": F.lit(1)}
-    )
-    return numbered.drop("__hour", "seq_id_all")
+    """Templates numbered per source in the order of their first line; those without any time come first."""
+    hour = F.coalesce(F.floor(F.unix_seconds("first_seen") / 3600), F.lit(-(2**62)))
+    cells = templates.withColumn("__hour", hour)
+    return row_numbers(cells, ["source"], "__hour", ["first_seen", "first_line", "template_id"], "seq_id").drop("__hour")
 
 
 def max_ids(templates: DataFrame) -> DataFrame:
@@ -107,34 +103,96 @@ def novel_templates(templates: DataFrame, baseline_max: DataFrame) -> DataFrame:
     return joined.filter(F.col("seq_id") > F.coalesce("max_id", F.lit(0))).drop("max_id")
 
 
+@dataclass
+class Replay:
+    """Shapes of one leaf taken in order. ``versions``: (position, since, pattern), where a pattern holds for shapes that
+    come after number ``since``; those known before hold from 0 on."""
+
+    member: np.ndarray
+    versions: list[tuple[int, int, list[str]]]
+
+    @property
+    def patterns(self) -> list[list[str]]:
+        """The patterns as they are at the end."""
+        return list({position: pattern for position, _, pattern in self.versions}.values())
+
+
+def _coded(vocabulary: dict[str, int], rows: list[list[str]], width: int) -> np.ndarray:
+    coded = [[vocabulary.setdefault(t, len(vocabulary)) for t in row] for row in rows]
+    return np.array(coded, dtype=np.int32).reshape(len(rows), width)
+
+
 def _greedy(
-    rows: list[list[str]], similarity: float, known: list[list[str]] | None = None
-) -> tuple[np.ndarray, list[list[str]]]:
+    rows: list[list[str]], similarity: float, known: list[list[str]] | None = None, numbers: np.ndarray | None = None
+) -> Replay:
     """Cluster equally long token rows in order: join the most similar cluster, or open a new one.
 
-    ``known`` are the patterns of clusters that exist already, in their order. Returns the cluster of each row and all
-    patterns as they are at the end.
+    ``known`` are the patterns of clusters that exist already, in their order. ``numbers`` are those of the rows in
+    their leaf, if only some of its rows are given.
     """
     known = known or []
+    numbers = np.arange(1, len(rows) + 1) if numbers is None else numbers
+    width = len((known or rows)[0]) if known or rows else 0
     vocabulary: dict[str, int] = {WILDCARD: 0}
-    coded = np.array([[vocabulary.setdefault(t, len(vocabulary)) for t in row] for row in [*known, *rows]], dtype=np.int32)
+    coded = _coded(vocabulary, [*known, *rows], width)
     found = len(known)
     patterns = np.empty_like(coded)
     patterns[:found] = coded[:found]
     member = np.empty(len(rows), dtype=np.int64)
+    changes = [(i, 0, patterns[i].copy()) for i in range(found)]
     for i, row in enumerate(coded[found:]):
+        best = -1
         if found:
             alike = (patterns[:found] == row).mean(axis=1)
             best = int(alike.argmax())
-            if alike[best] >= similarity:
+            if alike[best] < similarity:
+                best = -1
+        if best < 0:
+            best = found
+            patterns[found] = row
+            found += 1
+        else:
+            other = (patterns[best] != row) & (patterns[best] != 0)
+            if not other.any():
                 member[i] = best
-                patterns[best][patterns[best] != row] = 0
                 continue
-        patterns[found] = row
-        member[i] = found
-        found += 1
+            patterns[best][other] = 0
+        member[i] = best
+        changes.append((best, int(numbers[i]), patterns[best].copy()))
     words = np.array(list(vocabulary), dtype=object)
-    return member, words[patterns[:found]].tolist()
+    return Replay(member, [(position, since, words[row].tolist()) for position, since, row in changes])
+
+
+BLOCK_CELLS = 1 << 22  # comparisons held at a time
+
+
+def _settle(
+    rows: list[list[str]], numbers: np.ndarray, versions: list[tuple[int, int, list[str]]], similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the cluster that it joins, given all versions of the leaf's patterns, and whether it would change one
+    or open one (then the versions are not yet all)."""
+    versions = sorted(versions, key=lambda v: v[:2])
+    position = np.array([v[0] for v in versions], np.int64)
+    since = np.array([v[1] for v in versions], np.int64)
+    until = np.where(np.append(position[1:] == position[:-1], False), np.append(since[1:], 0), np.iinfo(np.int64).max)
+    width = len(rows[0])
+    vocabulary: dict[str, int] = {WILDCARD: 0}
+    patterns = _coded(vocabulary, [v[2] for v in versions], width)
+    coded = _coded(vocabulary, rows, width)
+    joined, changes = np.empty(len(rows), np.int64), np.empty(len(rows), bool)
+    step = max(1, BLOCK_CELLS // max(1, len(versions)))
+    for at in range(0, len(rows), step):
+        part, when = coded[at : at + step], numbers[at : at + step, None]
+        equal = np.zeros((len(part), len(versions)), np.int32)
+        for i in range(width):
+            equal += part[:, i, None] == patterns[None, :, i]
+        equal[(since >= when) | (when > until)] = -1
+        best = equal.argmax(axis=1)  # the first of the most similar
+        near = equal[np.arange(len(part)), best]
+        other = (patterns[best] != part) & (patterns[best] != 0)
+        joined[at : at + step] = position[best]
+        changes[at : at + step] = other.any(axis=1) | (near < 0) | (near / width < similarity)
+    return joined, changes
 
 
 @dataclass
@@ -176,8 +234,17 @@ def leaf_of(template: Column, depth: int = DEPTH) -> Column:
     return F.concat_ws(" ", F.size(tokens).cast("string"), first)
 
 
+LEAF_SHAPES = 1000  # new shapes that one task takes in order, in leaves that have more about as many at first
+ORDER = ["first_seen", "first_line", "shape_id"]
+MADE = "source string, leaf string, shape_id string, template_id string, position bigint, since bigint, template string"
+
+
 def learn_clusters(
-    shapes: DataFrame, known: Clusters | None = None, similarity: float = SIMILARITY, depth: int = DEPTH
+    shapes: DataFrame,
+    known: Clusters | None = None,
+    similarity: float = SIMILARITY,
+    depth: int = DEPTH,
+    leaf_shapes: int = LEAF_SHAPES,
 ) -> Clusters:
     """Drain over distinct shapes (see :func:`inventory`, with ``shape_id`` and ``shape``) on top of what is known.
 
@@ -185,39 +252,128 @@ def learn_clusters(
     similar cluster of its leaf or opens one. Shapes of different leaves never share a cluster, so leaves are
     independent, and only those with new shapes are worked on. The outcome depends on nothing but the order of shapes:
     feeding the logs in several runs, one after the other, gives the clusters of a single run.
+
+    A leaf of up to ``leaf_shapes`` new shapes is one task, a larger one is worked on by many
+    (:func:`_learn_crowded`); ``leaf_shapes`` changes where the work is done and nothing else.
     """
-    known = known or no_clusters(shapes.sparkSession)
-    new = shapes.join(known.members, ["source", "shape_id"], "left_anti")
-    new = new.select("source", "shape_id", "shape", "first_seen", "first_line", leaf_of(F.col("shape"), depth).alias("leaf"))
-
-    def cluster(key: tuple, shapes_: pd.DataFrame, patterns_: pd.DataFrame) -> pd.DataFrame:
-        shapes_ = shapes_.sort_values(["first_seen", "first_line", "shape"], na_position="first")
-        patterns_ = patterns_.sort_values("position")
-        if shapes_.empty:
-            own = patterns_.assign(shape_id=None)
-            return own[["source", "leaf", "shape_id", "template_id", "position", "template"]]
-        member, patterns = _greedy(
-            [s.split(" ") for s in shapes_["shape"]], similarity, [t.split(" ") for t in patterns_["template"]]
-        )
-        ids = patterns_["template_id"].tolist()
-        for name, m in zip(shapes_["shape_id"], member):
-            if m == len(ids):
-                ids.append(name)
-        source, leaf = key
-        members = pd.DataFrame({"shape_id": shapes_["shape_id"], "template_id": [ids[m] for m in member]})
-        clusters = pd.DataFrame({"template_id": ids, "position": range(len(ids)), "template": [" ".join(t) for t in patterns]})
-        both = pd.concat([members, clusters]).assign(source=source, leaf=leaf)
-        return both[["source", "leaf", "shape_id", "template_id", "position", "template"]]
+    columns = ["source", "shape_id", "shape", "first_seen", "first_line"]
+    new = shapes.select(*columns, leaf_of(F.col("shape"), depth).alias("leaf"))
+    keys = ["source", "leaf"]
+    if known is None:
+        known = no_clusters(shapes.sparkSession)
+        touched = rest = known.patterns
+    else:
+        new = new.join(known.members, ["source", "shape_id"], "left_anti")
+        touched = known.patterns.join(new.select(*keys).distinct(), keys, "left_semi")
+        rest = known.patterns.join(new.select(*keys).distinct(), keys, "left_anti")
+    sizes = cut_lineage(new.groupBy(*keys).agg(F.count("*").alias("__n")))
+    met = touched.select(*keys).distinct().withColumn("__met", F.lit(True))
+    sizes = sizes.join(met, keys, "left")
+    alone = (F.col("__n") == 1) & F.col("__met").isNull()
+    crowded = F.col("__n") > leaf_shapes
+    # a leaf's first shape opens its first cluster
+    first = new.join(sizes.filter(alone).select(*keys), keys, "left_semi")
+    first = first.withColumn("template_id", F.col("shape_id"))
+    members = first.select("source", "shape_id", "template_id")
+    patterns = first.select("source", "template_id", "leaf", F.lit(0).cast("bigint").alias("position"), F.col("shape").alias("template"))
+
+    several = sizes.filter(~alone & ~crowded).select(*keys)
+    made = [_learn_leaves(new.join(several, keys, "left_semi"), touched.join(several, keys, "left_semi"), similarity)]
+    many = sizes.filter(crowded).select(*keys)
+    if not many.isEmpty():
+        made.append(_learn_crowded(new.join(many, keys, "left_semi"), touched.join(many, keys, "left_semi"), similarity, leaf_shapes))
+    members, patterns = known.members.unionByName(members), rest.unionByName(patterns)
+    for part in made:
+        joined = part.filter(F.col("shape_id").isNotNull()).select("source", "shape_id", "template_id")
+        members = members.unionByName(joined)
+        patterns = patterns.unionByName(part.filter(F.col("shape_id").isNull()).select(*rest.columns))
+    return Clusters(members, patterns)
+
+
+def _replayed(key: tuple, shapes: pd.DataFrame, patterns: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Rows of members (with ``shape_id``) and of versions of patterns of a leaf, as :data:`MADE`."""
+    shapes = shapes.sort_values("number" if "number" in shapes else ORDER, na_position="first")
+    patterns = patterns.sort_values("position")
+    numbers = shapes["number"].to_numpy() if "number" in shapes else None
+    found = _greedy([s.split(" ") for s in shapes["shape"]], similarity, [t.split(" ") for t in patterns["template"]], numbers)
+    ids = patterns["template_id"].tolist()
+    for name, m in zip(shapes["shape_id"], found.member):
+        if m == len(ids):
+            ids.append(name)
+    members = pd.DataFrame({"shape_id": shapes["shape_id"], "position": found.member})
+    versions = pd.DataFrame(
+        [(p, since, " ".join(tokens)) for p, since, tokens in found.versions], columns=["position", "since", "template"]
+    )
+    both = pd.concat([members, versions])
+    both = both.assign(source=key[0], leaf=key[1], template_id=[ids[int(p)] for p in both["position"]])
+    return both.reindex(columns=["source", "leaf", "shape_id", "template_id", "position", "since", "template"])
+
 
+def _learn_leaves(new: DataFrame, touched: DataFrame, similarity: float) -> DataFrame:
+    """Members and final patterns of leaves, each in one task."""
+
+    def cluster(key: tuple, shapes: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
+        both = _replayed(key, shapes, patterns, similarity)
+        return both[both["shape_id"].notna() | ~both.duplicated(["position", "shape_id"], keep="last")]
+
+    keys = ["source", "leaf"]
+    made = grouped(new, *keys).cogroup(grouped(touched, *keys)).applyInPandas(cluster, MADE)
+    return cut_lineage(made)  # read twice, for members and for patterns
+
+
+def _learn_crowded(new: DataFrame, touched: DataFrame, similarity: float, leaf_shapes: int) -> DataFrame:
+    """Members and final patterns of leaves with many new shapes.
+
+    Most shapes fit a cluster as it is and leave no trace in any pattern, so only the others, the **marked** ones, need
+    to be taken one after the other. Which these are is found in rounds. The marked shapes (at first the earliest) are
+    replayed in order, which gives all versions of the leaf's patterns and from where on they hold. All other shapes
+    are compared with the versions that hold for them, in chunks over many tasks. Those that would change a pattern or
+    open one are marked for the next round, the earliest ones and at most as many as are marked. When there are none,
+    the versions are those of the plain loop: by induction over the order, each shape that was not marked met the
+    same patterns there and changed none.
+    """
     keys = ["source", "leaf"]
-    touched = known.patterns.join(new.select(*keys).distinct(), keys, "left_semi")
-    rest = known.patterns.join(new.select(*keys).distinct(), keys, "left_anti")
-    schema = "source string, leaf string, shape_id string, template_id string, position bigint, template string"
-    made = grouped(new, *keys).cogroup(grouped(touched, *keys)).applyInPandas(cluster, schema)
-    made = cut_lineage(made)  # read twice, for members and for patterns
-    joined = made.filter(F.col("shape_id").isNotNull()).select("source", "shape_id", "template_id")
-    patterns = made.filter(F.col("shape_id").isNull()).select(*rest.columns)
-    return Clusters(known.members.unionByName(joined), rest.unionByName(patterns))
+    rows = numbered(new.select("shape_id", "shape", *keys, "first_seen", "first_line"), keys, ORDER, "number")
+    rows = cut_lineage(rows.withColumn("chunk", F.floor((F.col("number") - 1) / leaf_shapes)).drop("first_seen", "first_line"))
+    marked = rows.filter("chunk = 0").select(*keys, "number")
+
+    def replay(key: tuple, shapes: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
+        return _replayed(key, shapes, patterns, similarity)
+
+    def settle(key: tuple, shapes: pd.DataFrame, versions: pd.DataFrame) -> pd.DataFrame:
+        if shapes.empty:
+            return pd.DataFrame(columns=["source", "leaf", "chunk", "number", "shape_id", "position", "changes"])
+        known = [(int(p), int(s), t.split(" ")) for p, s, t in zip(versions["position"], versions["since"], versions["template"])]
+        joined, changes = _settle([s.split(" ") for s in shapes["shape"]], shapes["number"].to_numpy(), known, similarity)
+        out = shapes[["source", "leaf", "chunk", "number", "shape_id"]]
+        return out.assign(position=joined, changes=changes)
+
+    chunks = rows.select(*keys, "chunk").distinct()
+    settled_schema = "source string, leaf string, chunk bigint, number bigint, shape_id string, position bigint, changes boolean"
+    while True:
+        chosen = rows.join(marked, [*keys, "number"], "left_semi")
+        replayed = cut_lineage(grouped(chosen, *keys).cogroup(grouped(touched, *keys)).applyInPandas(replay, MADE))
+        versions = replayed.filter("shape_id is null").drop("shape_id")
+        others = rows.join(marked, [*keys, "number"], "left_anti")
+        by = [*keys, "chunk"]
+        spread = versions.join(chunks, keys)
+        spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])  # columns of its own beside the chunks'
+        settled = grouped(others, *by).cogroup(grouped(spread, *by)).applyInPandas(settle, settled_schema)
+        settled = cut_lineage(settled)
+        open_ = settled.filter("changes").groupBy(*by).agg(F.count("*").alias("n"))
+        if open_.isEmpty():
+            break
+        earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        open_ = open_.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        limits = marked.groupBy(*keys).agg(F.count("*").alias("most"))
+        picked = open_.join(limits, keys).filter("earlier = 0 or earlier + n <= most").select(*by)
+        more = settled.filter("changes").join(picked, by, "left_semi").select(*keys, "number")
+        marked = cut_lineage(marked.unionByName(more))
+    last = versions.groupBy(*keys, "position").agg(F.max_by(F.struct("template_id", "template", "since"), "since").alias("v"))
+    patterns = last.select(*keys, F.lit(None).cast("string").alias("shape_id"), "v.template_id", "position", "v.since", "v.template")
+    names = versions.select(*keys, "position", "template_id").distinct()
+    joined = settled.select(*keys, "shape_id", "position").join(names, [*keys, "position"])
+    return patterns.unionByName(replayed.filter("shape_id is not null")).unionByName(joined, allowMissingColumns=True)
 
 
 def with_templates(assigned: DataFrame, known: Clusters) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schemas
@@ -178,16 +179,65 @@ def retained(logs: DataFrame, as_of: datetime, days: int = RETENTION_DAYS) -> Da
 
 
 def expired_count(logs: DataFrame, as_of: datetime, days: int = RETENTION_DAYS) -> DataFrame:
-    cutoff = F.lit(as_of - timedelta(days=days)).cast("timestamp")
-    return logs.filter(F.col("ingested_at") < cutoff).agg(F.count("*").alias("deleted"))
+    return logs.filter(F.col("ingested_at") < _cutoff(as_of, days)).agg(F.count("*").alias("deleted"))
 
 
-def enforce_retention(logs: DataFrame, target: str, as_of: datetime, days: int = RETENTION_DAYS) -> int:
-    """Write the logs that stay to ``target`` and return how many were left out.
+def enforce_retention(spark: SparkSession, path: str, as_of: datetime, days: int = RETENTION_DAYS) -> int:
+    """Remove the logs at ``path`` that were ingested more than ``days`` days ago, and return how many.
 
-    Parquet cannot delete in place, and overwriting the files being read would lose data if the job died half way.
-    The caller points readers to ``target`` afterwards. On a table format with deletes use its DELETE instead.
+    One scan of the arrival times tells which day and run folders hold expired rows. Folders in which all are expired
+    are dropped; only those that also hold others, the days around the limit, are written anew, so the work does not
+    grow with the table. New folders are complete before old ones go: a run that died is finished by the next one.
     """
-    deleted = expired_count(logs, as_of, days).first()["deleted"]
-    _append(conform(retained(logs, as_of, days), schemas.LOGS), target, F.to_date(F.coalesce("timestamp", "ingested_at")))
-    return deleted
+    files = _files(spark, path)
+    staged = f"{path}/_retention"
+    _finish_retention(spark, path)
+    logs = spark.read.parquet(path)
+    expired = F.col("ingested_at") < _cutoff(as_of, days)
+    found = logs.groupBy("date", "run").agg(F.count_if(expired).alias("expired"), F.count("*").alias("rows"))
+    touched = found.filter("expired > 0").collect()  # folders around or before the limit, none of the kept days
+    if not touched:
+        return 0
+    folders = {(r["date"], r["run"]): _folder(r["date"], r["run"]) for r in touched}
+    mixed = [f"{path}/{folders[r['date'], r['run']]}" for r in touched if r["expired"] < r["rows"]]
+    if mixed:
+        kept = spark.read.option("basePath", path).parquet(*mixed).filter(~F.coalesce(expired, F.lit(False)))
+        kept.write.mode("overwrite").partitionBy("date", "run").parquet(staged)
+        _finish_retention(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # type: ignore[union-attr]
+    for r in touched:
+        if r["expired"] == r["rows"]:
+            folder = hadoop(f"{path}/{folders[r['date'], r['run']]}")
+            files.delete(folder, True)
+    return sum(r["expired"] for r in touched)
+
+
+def _cutoff(as_of: datetime, days: int) -> Column:
+    return F.lit(as_of - timedelta(days=days)).cast("timestamp")
+
+
+def _folder(date: Any, run: str) -> str:
+    day = "__HIVE_DEFAULT_PARTITION__" if date is None else date.isoformat()
+    return f"date={day}/run={run}"
+
+
+def _files(spark: SparkSession, path: str) -> Any:
+    """The file system that holds ``path``."""
+    java = spark.sparkContext._jvm
+    return java.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # type: ignore[union-attr]
+
+
+def _finish_retention(spark: SparkSession, path: str) -> None:
+    """Put folders that are completely written in place of those that they replace. Readers skip ``_retention``."""
+    files, hadoop = _files(spark, path), spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # type: ignore[union-attr]
+    staged = hadoop(f"{path}/_retention")
+    if not files.exists(staged):
+        return
+    if files.exists(hadoop(staged, "_SUCCESS")):
+        for run in files.globStatus(hadoop(staged, "date=*/run=*")):
+            own = run.getPath()
+            target = hadoop(f"{path}/{own.getParent().getName()}/{own.getName()}")
+            files.delete(target, True)
+            files.mkdirs(target.getParent())
+            files.rename(own, target)
+    files.delete(staged, True)
