@@ -277,7 +277,7 @@ def same_tables(got, want):
         rows = [df.select(*sorted(right.columns)).orderBy(*order).collect() for df in (left, right)]
         assert len(rows[0]) == len(rows[1]) > 0, name
         for a, b in zip(*rows):
-            assert tuple(a) == pytest.approx(tuple(b), rel=1e-9), name
+            assert all(x == pytest.approx(y, rel=1e-9) if isinstance(y, float) else x == y for x, y in zip(a, b)), name
 
 
 def test_training_from_cells_equals_training_from_logs(spark, tmp_path):

@@ -215,16 +215,17 @@ def looks_json(line: Column) -> Column:
 
 def looks_logfmt(line: Column) -> Column:
     """Two or more ``key=value`` pairs from the start."""
-    return F.coalesce(_strip(line).rlike(LOGFMT_LINE), F.lit(False))
+    return F.coalesce(line.contains("=") & _strip(line).rlike(LOGFMT_LINE), F.lit(False))
 
 
 def looks_access(line: Column) -> Column:
-    return F.coalesce(line.rlike(ACCESS_LINE), F.lit(False))
+    return F.coalesce(line.contains('] "') & line.rlike(ACCESS_LINE), F.lit(False))
 
 
 def looks_syslog(line: Column) -> Column:
     """A priority, a date with a known month, a host and a tag."""
-    return F.coalesce(line.rlike(SYSLOG_LINE.replace("[A-Z][a-z]{2}", "|".join(MONTHS))), F.lit(False))
+    pattern = SYSLOG_LINE.replace("[A-Z][a-z]{2}", "|".join(MONTHS))
+    return F.coalesce(line.startswith("<") & line.rlike(pattern), F.lit(False))
 
 
 def line_format(line: Column) -> Column:

@@ -7,11 +7,14 @@ grouping columns, ``["source"]`` for one window or ``["source", "window_start"]`
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
 from tidewatch.functions.skew import running_totals
+from tidewatch.session import cut_lineage
 
 # Detector names and limits.
 ERROR_RATE_SPIKE = "error_rate_spike"
@@ -174,15 +177,19 @@ def _distribution(values: DataFrame, by: list[str], count: str) -> DataFrame:
     The value range is cut into cells at approximate quantiles, as many as VALUES_PER_CELL asks for, and counts are put
     together from cells, so one source with many values is spread over many tasks.
     """
-    # percentiles of the whole range; MAX_CELLS only bounds how fine the bounds of one group may get
-    shares = [(i + 1) / MAX_CELLS for i in range(MAX_CELLS - 1)]
-    found = values.groupBy(*by).agg(F.percentile_approx("value", shares, 4 * MAX_CELLS).alias("bounds"), F.count("*").alias("__n"))
-    wanted = F.least(F.lit(MAX_CELLS), F.ceil(F.col("__n") / VALUES_PER_CELL))
-    stride = F.greatest(F.lit(1), F.floor(F.lit(MAX_CELLS) / wanted)).cast("int")
-    bounds = found.select(*by, F.filter("bounds", lambda _, i: (i + 1) % stride == 0).alias("bounds"))
-    every = F.filter("bounds", lambda _, i: i % CELL_STEP == CELL_STEP - 1)
-    bounds = bounds.withColumn("steps", every)
-    celled = values.join(bounds, by).withColumn("cell", _cell(F.col("value"))).drop("bounds", "steps")
+    values = cut_lineage(values)  # counted, cut at percentiles, and dealt out
+    most = values.groupBy(*by).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    cells = min(MAX_CELLS, math.ceil(most / VALUES_PER_CELL))  # of the largest group; others get what they need
+    if cells <= 1:
+        celled = values.withColumn("cell", F.lit(0))
+    else:
+        shares = [(i + 1) / cells for i in range(cells - 1)]
+        found = values.groupBy(*by).agg(F.percentile_approx("value", shares, 4 * cells).alias("bounds"), F.count("*").alias("__n"))
+        stride = F.greatest(F.lit(1), F.floor(F.lit(cells) / F.ceil(F.col("__n") / VALUES_PER_CELL))).cast("int")
+        bounds = found.select(*by, F.filter("bounds", lambda _, i: (i + 1) % stride == 0).alias("bounds"))
+        every = F.filter("bounds", lambda _, i: i % CELL_STEP == CELL_STEP - 1)
+        bounds = bounds.withColumn("steps", every)
+        celled = values.join(bounds, by).withColumn("cell", _cell(F.col("value"))).drop("bounds", "steps")
     counted = running_totals(celled, by, ["cell"], ["value"], {"upto": F.col(count)})
     return counted.withColumnRenamed("upto_all", "n")
 

@@ -14,7 +14,8 @@ from tidewatch.session import cut_lineage, grouped
 
 WILDCARD = "<*>"
 
-# Clustering parameters, and the masked kinds of text in the order in which they are replaced.
+# Clustering parameters, and the masked kinds of text in the order in which they are replaced, with what
+# any text of the kind contains.
 DEPTH = 4
 SIMILARITY = 0.4
 MAX_CLUSTERS = 1000
@@ -24,13 +25,14 @@ MASKS = (
     r"0x[0-9a-fA-F]+",
     r"[0-9]+(\.[0-9]+)?",
 )
+CONTAINED = ("-", ".", "0x", "")
 
 
 def shape(message: Column) -> Column:
     """The message with ids, addresses and numbers masked and blanks folded."""
     out = message
-    for mask in MASKS:
-        out = F.regexp_replace(out, mask, WILDCARD)
+    for mask, part in zip(MASKS, CONTAINED):  # looking for a part is much cheaper than for the kind
+        out = F.when(out.contains(part), F.regexp_replace(out, mask, WILDCARD)).otherwise(out)
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 
