@@ -148,6 +148,25 @@ def otlp_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.otlp_metric_samples(bodies, F.lit("2024-02-01").cast("timestamp"))
 
 
+SCRAPE_FILTERS = (["^(click|view|purchase|signup)", "err"], ["sign", "^error"])
+
+
+def scrape_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.events(spark, sf_dir)
+    name = F.concat("event_type", F.lit("_total"))
+    service = F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string"))
+    line = F.concat(
+        name, F.lit('{user="'), F.col("user_id").cast("string"), F.lit('",svc="'), service, F.lit('"} '),
+        F.col("value").cast("string"), F.lit(" 1706745600000"),
+    )
+    bodies = e.groupBy(F.floor(F.col("event_id") / 50).alias("body_id")).agg(
+        F.array_join(F.collect_list(line), "\n").alias("samples")
+    )
+    head = "# HELP click clicks\n# TYPE click counter\n\n# TYPE view_total summary\n"
+    body = F.concat(F.lit(head), "samples", F.lit("\nbroken_total{a=\"b\"} not-a-number\n# TYPE purchase_total histogram\n"))
+    return bodies.select("body_id", F.lit("target").alias("source"), body.alias("body"))
+
+
 @check(
     "s5_prometheus_text",
     """
@@ -163,21 +182,8 @@ from e where event_type in ('click', 'view', 'purchase')
 )
 def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TYPE lines by base name and by full name, one after its samples; two names are filtered out."""
-    e = V.events(spark, sf_dir)
-    name = F.concat("event_type", F.lit("_total"))
-    service = F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string"))
-    line = F.concat(
-        name, F.lit('{user="'), F.col("user_id").cast("string"), F.lit('",svc="'), service, F.lit('"} '),
-        F.col("value").cast("string"), F.lit(" 1706745600000"),
-    )
-    bodies = e.groupBy(F.floor(F.col("event_id") / 50).alias("body_id")).agg(
-        F.array_join(F.collect_list(line), "\n").alias("samples")
-    )
-    head = "# HELP click clicks\n# TYPE click counter\n\n# TYPE view_total summary\n"
-    body = F.concat(F.lit(head), "samples", F.lit("\nbroken_total{a=\"b\"} not-a-number\n# TYPE purchase_total histogram\n"))
-    bodies = bodies.select("body_id", F.lit("target").alias("source"), body.alias("body"))
     stamp = F.lit("2024-02-01").cast("timestamp")
-    return prometheus.prometheus_samples(bodies, stamp, ["^(click|view|purchase|signup)", "err"], ["sign", "^error"])
+    return prometheus.prometheus_samples(scrape_bodies(spark, sf_dir), stamp, *SCRAPE_FILTERS)
 
 
 @check(

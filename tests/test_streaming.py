@@ -12,6 +12,7 @@ from tidewatch.plans.detection import detect
 from tidewatch.sources.textlogs import stream_log_files
 from tidewatch.streaming.alerts import stream_cooldown
 from tidewatch.streaming.correlation import stream_correlations
+from tidewatch.streaming.templates import write_templates
 from tidewatch.streaming.detection import windowed_observations, write_detections, write_training
 from tidewatch.sources.store import append_logs, write_batch
 from tidewatch.streaming.ingest import write_http_logs, write_logs, write_loki_logs, write_otlp_metrics, write_scrapes
@@ -201,3 +202,29 @@ def test_pushed_bodies(spark, tmp_path):
     write_otlp_metrics(bodies, str(tmp_path / "m"), str(tmp_path / "c3"), once=True).awaitTermination()
     row = spark.read.parquet(str(tmp_path / "m")).first()
     assert (row["name"], row.value, row.timestamp) == ("queue_depth", 4.5, at)
+
+
+def test_drain_in_a_stream_equals_a_batch_run(spark, tmp_path):
+    import random
+
+    from tidewatch.operators import templates as T
+
+    random.seed(9)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "7"]
+    messages = [" ".join(["job", "step", *random.choices(words, k=random.randint(3, 5))]) for _ in range(294)] + ["", None, "x"]
+    rows = [("s" if i % 3 else "t", START + timedelta(seconds=i) if i % 50 else None, i, m) for i, m in enumerate(messages)]
+    schema = "source string, timestamp timestamp, line_number long, message string"
+    land(spark, str(tmp_path / "in"), rows, schema, 3)
+    logs = source(spark, str(tmp_path / "in"), schema).withColumn("ingested_at", F.lit(START).cast("timestamp"))
+    write_templates(logs, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = {r.line_number: r.template_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    known = None
+    for part in range(3):  # lines without a time come first in each run
+        some = spark.createDataFrame(rows[part * 99 : (part + 1) * 99], schema)
+        shapes = T.inventory(T.assign_shapes(some)).withColumnsRenamed({"template_id": "shape_id", "template": "shape"})
+        known = T.learn_clusters(shapes, known)
+    lines = T.assign_shapes(spark.createDataFrame(rows, schema))
+    assert got == {r.line_number: r.template_id for r in T.with_templates(lines, known).collect()}
+    assert len(got) == 297 and len(set(got.values())) < 250
+    with pytest.raises(ValueError):
+        write_templates(logs, "unused", "unused", once=True, forget_after_days=7)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import autoregression as R
+from tidewatch.operators import seasonal as M
 from tidewatch.operators import timeseries as W
 from tidewatch.plans.forecasting import train_and_forecast
 from tidewatch.sources import store
@@ -165,3 +166,59 @@ def test_train_and_forecast_and_store(spark, tmp_path):
     disk = [r for r in rows if r.metric_name == "disk_used"]
     assert {r.exhaustion_time for r in disk} == {START + timedelta(minutes=5 * 190)} and disk[0].threshold == 146.5
     assert {r.exhaustion_time for r in rows if r.metric_name == "cpu"} == {None}
+
+
+def simulated(ar, ma, n=900, mean=50.0):
+    rng = np.random.default_rng(1)
+    shocks, values = rng.normal(size=n + 200), np.zeros(n + 200)
+    for t in range(30, n + 200):
+        values[t] = -sum(ar[k] * values[t - k] for k in range(1, len(ar))) + sum(ma[k] * shocks[t - k] for k in range(len(ma)))
+    return values[200:] + mean
+
+
+NONE = np.zeros(0)
+
+
+@pytest.mark.parametrize(
+    ("ar", "ma", "orders"),
+    [
+        (M.polynomial(NONE, NONE), M.polynomial(np.array([-0.7]), NONE), [0, 0, 1, 0, 0, 0]),
+        (M.polynomial(NONE, NONE), M.polynomial(np.array([-0.5]), np.array([-0.6])), [0, 0, 1, 0, 0, 1]),
+        (M.polynomial(np.array([0.6]), np.array([0.5])), np.ones(1), [1, 0, 0, 1, 0, 0]),
+    ],
+)
+def test_orders_of_simulated_series(ar, ma, orders):
+    values = simulated(ar, ma)
+    got, constant, weights, ma_weights, _, _, _ = M.train(values[:800])
+    assert got == orders
+
+    def step_error(predict):
+        return np.mean([(predict(values[:t]) - values[t]) ** 2 for t in range(800, 900)])
+
+    own = lambda seen: M.extended(
+        constant, weights, ma_weights, seen[len(seen) - len(weights) :],
+        M.innovations(seen, np.r_[1, -weights], np.r_[1, ma_weights], constant / (1 - weights.sum()))[len(seen) - len(ma_weights) :], 1,
+    )[0]
+    _, differences, lags, fitted = R._fit(values[:800])
+    grid = lambda seen: R._extend(seen[-(R.SEASON + 1) :], differences, lags, fitted, 1)[0]
+    assert step_error(own) < 1.02 * step_error(grid)
+    if orders[2]:
+        assert step_error(own) < step_error(grid)
+
+
+def test_odd_series():
+    wave = np.array([50 + 10 * np.sin(2 * np.pi * i / 12) for i in range(558)])
+    _, *model, _ = M.train(wave[:270])
+    assert np.abs(M.extended(*model, 288) - wave[270:]).max() < 1e-6
+    for values in (np.full(100, 3.0), np.arange(100.0)):
+        orders, *model, _ = M.train(values)
+        assert np.isfinite(M.extended(*model, 50)).all()
+        assert orders[1] == int(values[0] != values[-1])
+
+
+def test_forecast_plan_keeps_whole_models(spark):
+    rng = np.random.default_rng(2)
+    run = train_and_forecast(samples(spark, rng.normal(50, 2, 300), name="load"), spark.createDataFrame([("load", "above", 49.0)], THRESHOLDS), START)
+    steps = run.steps.filter("horizon_hours = 24").orderBy("step").collect()
+    assert len(steps) == 288 and all(45 < r.value < 55 for r in steps)
+    assert run.models.first().model_type == "autoarima" and 0 < run.models.first().rmse < 5

@@ -8,8 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import autoregression as R
+from tidewatch.operators import seasonal as R
 from tidewatch.operators import timeseries as W
+from tidewatch.session import cut_lineage
 from tidewatch.sources.store import nest_predictions
 
 
@@ -43,9 +44,9 @@ def train_and_forecast(
     choice = W.model_choice(points)
     anchor = F.lit(as_of).cast("timestamp") if anchor_now else None
     arima = W.fit_arima(points, choice)
-    auto = R.fit_autoregressions(points, choice)
+    auto = cut_lineage(R.fit_seasonal(points, choice))  # read for models, steps and crossings
     common = [F.col("name").alias("metric_name"), "labels_hash", "source", "model_type"]
     trained = F.lit(as_of).cast("timestamp").alias("trained_at")
     models = arima.select(*common, trained, "rmse").unionByName(auto.select(*common, trained, "rmse"))
-    steps = W.forecast_arima(arima, horizons, anchor).unionByName(R.forecast_autoregressions(auto, horizons, anchor))
+    steps = W.forecast_arima(arima, horizons, anchor).unionByName(R.forecast_seasonal(auto, horizons, anchor))
     return Forecast(models, steps, W.threshold_crossings(steps, thresholds))

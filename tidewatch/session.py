@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 import pyarrow as pa
@@ -44,20 +45,33 @@ def config_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.createDataFrame(table, schema=struct)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a result that several later steps read, so that it is computed once and survives lost executors.
+def set_shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    It goes to the session's ``spark.checkpoint.dir``, which must be shared by the cluster. Only a local session
-    without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        folder = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-            folder = tempfile.mkdtemp(prefix="tidewatch-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def new_shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one; whoever writes it may delete it when the application has ended."""
+    return f"{set_shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, so that it is computed once and survives lost executors.
+
+    It goes to the session's ``spark.checkpoint.dir`` (see :func:`set_shared_folder`).
+    """
+    set_shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
