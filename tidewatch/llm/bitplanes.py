@@ -41,7 +41,7 @@ FOOTER = struct.Struct("<IIQQII")
 BLOCK = 1 << 16  # ids in a chunk
 SHARD_BYTES = 24 << 20  # of text in a shard, about
 PIECE = 8 << 20  # bytes of text encoded at a time
-CACHED = 500_000  # words whose ids a worker remembers
+CACHED = 1_000_000  # words whose ids a worker remembers
 
 _tokenizers: dict[str, object] = {}
 _encoders: dict[str, WordEncoder] = {}
