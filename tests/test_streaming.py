@@ -10,9 +10,9 @@ from tidewatch.operators.detectors import observations
 from tidewatch.plans.baseline import train_baseline
 from tidewatch.plans.detection import detect
 from tidewatch.sources.textlogs import stream_log_files
-from tidewatch.streaming.alerts import stream_cooldown
+from tidewatch.streaming.alerts import stream_cooldown, stream_cooldown_in_order
 from tidewatch.streaming.correlation import stream_correlations
-from tidewatch.streaming.templates import write_templates
+from tidewatch.streaming.templates import state_in_rocksdb, write_templates
 from tidewatch.streaming.detection import windowed_observations, write_detections, write_training
 from tidewatch.sources.store import append_logs, write_batch
 from tidewatch.streaming.ingest import write_http_logs, write_logs, write_loki_logs, write_otlp_metrics, write_scrapes
@@ -133,6 +133,47 @@ def test_cooldown_stream_equals_batch(spark, tmp_path):
     assert sorted(r.id for r in got.collect()) == wanted and len(wanted) > 20
 
 
+def test_cooldown_by_event_time_in_any_order(spark, tmp_path):
+    import random
+
+    random.seed(5)
+    schema = "id string, anomaly_type string, severity string, source string, detected_at timestamp, context string"
+
+    def row(i, seconds, key):
+        return (f"{i:03d}", "novel_pattern", "high", key, START + timedelta(seconds=seconds), "{}")
+
+    rows = [row(i, 97 * i + random.randint(0, 90), random.choice("ab")) for i in range(160)]
+    rows += [row(200 + i, 97 * i, "a") for i in range(0, 160, 9)]
+    mixed = []
+    for at in range(0, len(rows), 30):  # rows come up to some 50 minutes late
+        part = sorted(rows, key=lambda r: r[4])[at : at + 30]
+        random.shuffle(part)
+        mixed += part
+    swapped = [mixed[i ^ 1] for i in range(len(mixed) - len(mixed) % 2)] + mixed[len(mixed) - len(mixed) % 2 :]
+    last = [row(999, 10_000_000, "z")]
+    land(spark, str(tmp_path / "in"), swapped, schema, 5)
+    land(spark, str(tmp_path / "in"), last, schema, 1)
+    with state_in_rocksdb(spark):
+        kept = stream_cooldown_in_order(source(spark, str(tmp_path / "in"), schema), lateness="60 minutes")
+        got = drain(kept, str(tmp_path))
+    wanted = sorted(r.id for r in cooldown_kept(spark.createDataFrame(rows, schema)).collect())
+    assert sorted(r.id for r in got.collect()) == wanted and len(wanted) > 10
+
+
+def test_crowded_buckets_of_a_stream_are_split(spark, tmp_path):
+    left = [(f"l{i}", START + timedelta(seconds=i % 7), "ab"[i % 2], "high") for i in range(60)]
+    right = [(f"m{i}", START + timedelta(seconds=i % 5), "ab"[i % 2], "medium") for i in range(40)]
+    land(spark, str(tmp_path / "l"), left, EVENT_SCHEMA, 2)
+    land(spark, str(tmp_path / "m"), right, EVENT_SCHEMA, 2)
+    streams = [source(spark, str(tmp_path / side), EVENT_SCHEMA) for side in "lm"]
+    got = drain(stream_correlations(*streams, splits=3), str(tmp_path)).select("id", "confidence")
+    batch = J.find_correlations(
+        spark.createDataFrame(left, EVENT_SCHEMA), spark.createDataFrame(right, EVENT_SCHEMA), F.lit(START)
+    )
+    got, wanted = (sorted((r.id, round(r.confidence, 9)) for r in df.collect()) for df in (got, batch))
+    assert got == wanted and len(wanted) > 500
+
+
 def test_correlation_stream_equals_batch(spark, tmp_path):
     left = [(f"l{i}", START + timedelta(seconds=61 * i), "ab"[i % 2], "high") for i in range(80)]
     right = [(f"m{i}", START + timedelta(seconds=83 * i), "ab"[i % 2], "medium") for i in range(60)]

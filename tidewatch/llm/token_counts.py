@@ -2,8 +2,9 @@
 
 The tokenizer writes a blank as the mark U+2581 and puts one before the text. No piece of its vocabulary has a mark
 after another character, so no merge reaches across the start of a run of marks: the count of a text is the sum over its
-segments (marks, then other characters). First tier: lengths of frequent segments, broadcast as one compact table.
-Second tier: other segments are encoded by the library where they occur; each task keeps a bounded cache of them.
+segments (marks, then other characters). First tier: lengths of frequent segments, broadcast as one compact table, which
+is made from a bounded sample of the texts. Second tier: other segments are encoded by the library where they occur; each
+worker keeps a bounded cache of them over all its tasks. Nothing is shuffled.
 
 Null and empty texts have 0 tokens. Repeated rows are counted like any other. An empty table gives an empty table.
 Columns other than id and text are not read.
@@ -12,6 +13,7 @@ Columns other than id and text are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,11 @@ from tidewatch.llm.words import Words, add_column, encoded, large_text, pieces,
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-REPORTED = 20_000  # most frequent segments that a task of the first pass reports
-COUNTED = 400_000  # segments that a task of the first pass holds counts for before it reports
+SAMPLE_ROWS = 2_000  # texts in the sample that the table is made from
+SAMPLE_BYTES = 16 << 10  # of a text in the sample, which bounds it to 32 MB
 FREQUENT = 100_000  # segments in the broadcast table
 LONGEST = 48  # bytes; longer segments stay out of the table, which bounds it to about 5 MB
-CACHED = 400_000  # segments that a task remembers beyond the table
+CACHED = 600_000  # segments that a worker remembers beyond the table
 
 _models: dict[str, object] = {}
 
@@ -70,42 +72,37 @@ def lengths(names: list[str], model: str) -> list[int]:
     return [len(ids) for ids in processor(model).encode(names, num_threads=1)] if names else []
 
 
-def frequent_segments(docs: DataFrame, text: str) -> DataFrame:
-    """Segments with counts over the whole table. Each task reports its most frequent ones, a bounded number."""
+def frequent_segments(docs: DataFrame, text: str) -> list[str]:
+    """Segments that a bounded sample of texts repeats, the most frequent first, at most FREQUENT of at most LONGEST bytes.
+
+    Which rows are taken decides where a segment's count is found, not what it is.
+    """
+    some = docs.select(text).filter(F.octet_length(text) <= SAMPLE_BYTES).head(SAMPLE_ROWS)
+    words, _ = segments(pa.array([r[0] for r in some], pa.string()))
+    counts = np.bincount(words.ids, minlength=len(words.vocabulary)).tolist()
+    several = [(-n, s) for n, s in zip(counts, words.vocabulary.to_pylist()) if n > 1 and len(s.encode()) <= LONGEST]
+    return [s for _, s in sorted(several)[:FREQUENT]]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
 
-        def report() -> pa.RecordBatch:
-            most = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:REPORTED]
-            return pa.RecordBatch.from_pydict(
-                {"segment": pa.array([s for s, _ in most], pa.string()), "n": pa.array([n for _, n in most], pa.int64())}
-            )
+def length_table(docs: DataFrame, text: str, model: str) -> Broadcast:
+    """The frequent segments and their token counts as bytes, sizes and counts, under a name of their own."""
+    names = frequent_segments(docs, text)
+    raw, offsets = text_bytes(large_text(pa.array(names, pa.large_string())))
+    counts = np.asarray(lengths(names, model), np.uint16)
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, raw.tobytes(), np.diff(offsets).astype(np.uint8), counts))
 
-        for batch in batches:
-            for piece in pieces(batch, text):
-                words, _ = segments(piece.column(text))
-                counts = np.bincount(words.ids, minlength=len(words.vocabulary))
-                several = np.flatnonzero(counts > 1)
-                for s, n in zip(words.vocabulary.take(pa.array(several)).to_pylist(), counts[several].tolist()):
-                    seen[s] = seen.get(s, 0) + n
-                if len(seen) > COUNTED:
-                    yield report()
-                    seen.clear()
-        yield report()
 
-    found = docs.select(text).mapInArrow(released(count), "segment string, n bigint")
-    counts = found.groupBy("segment").agg(F.sum("n").alias("n"))
-    return counts.filter(F.octet_length("segment") <= LONGEST)
+_tables: dict[str, tuple[str, dict[str, int], dict[str, int]]] = {}
 
 
-def length_table(docs: DataFrame, text: str, model: str) -> Broadcast:
-    """The most frequent segments and their token counts, at most FREQUENT of at most LONGEST bytes each."""
-    most = frequent_segments(docs, text).orderBy(F.desc("n"), "segment").limit(FREQUENT).select("segment").toArrow()
-    names = pa.concat_arrays([pa.array([], pa.large_string()), *most["segment"].cast(pa.large_string()).chunks])
-    raw, offsets = text_bytes(large_text(names))
-    counts = np.asarray(lengths(names.to_pylist(), model), np.uint16)
-    return docs.sparkSession.sparkContext.broadcast((raw.tobytes(), np.diff(offsets).astype(np.uint8), counts))
+def tiers(model: str, table: Broadcast) -> tuple[dict[str, int], dict[str, int]]:
+    """A worker's table of frequent segments and its cache of others, kept from task to task."""
+    name, raw, sizes, counts = table.value
+    if model not in _tables or _tables[model][0] != name:
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
+        known = {raw[e - s : e].decode(): n for e, s, n in zip(ends, sizes.tolist(), counts.tolist())}
+        _tables[model] = (name, known, {})
+    return _tables[model][1:]
 
 
 def count_tokens(
@@ -116,10 +113,7 @@ def count_tokens(
     table = length_table(docs, text, model)
 
     def start():
-        raw, sizes, counts = table.value
-        ends = np.cumsum(sizes, dtype=np.int64).tolist()
-        known = {raw[e - s : e].decode(): n for e, s, n in zip(ends, sizes.tolist(), counts.tolist())}
-        cache: dict[str, int] = {}
+        known, cache = tiers(model, table)
 
         def measure(piece: pa.RecordBatch) -> pa.Array:
             texts = large_text(piece.column(text))
