@@ -2,8 +2,10 @@
 
 A word (one match of the split pattern, as bytes) starts as its single bytes. Each step of the fold takes the
 neighbouring pair of lowest rank, the leftmost of equals, puts its join in the place of both, and looks up the ranks of
-the two pairs that this makes; without a ranked pair the state stays. A word that is a token itself is not folded, which
-is how the published library treats it. Ranks lie in one literal: an array of small maps, found by crc32 of the piece.
+the two pairs that this makes; without a ranked pair the state stays. Words of more than SHORT bytes join all places of
+the lowest rank in one step, where that comes to the same, so there are about as many steps over the word as different
+ranks are joined. A word that is a token itself is not folded, which is how the published library treats it. Ranks lie in
+one literal: an array of small maps, found by crc32 of the piece.
 
 Bytes are written as pairs of hexadecimal digits inside the fold, so that pieces are short ASCII strings.
 
@@ -39,6 +41,7 @@ from tidewatch.llm.words import Words, encoded, expanded, large_text, pieces, re
 
 UNRANKED = 2**31 - 1
 BUCKETS = 1 << 14
+SHORT = 64  # bytes of a word up to which its pairs are joined one by one
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,49 +72,95 @@ def fold_words(words: Column, table: Column) -> Column:
 def fold_word(word: Column, table: Column) -> Column:
     """Token ids of one word, given as hexadecimal bytes."""
 
-    def rank(piece: Column) -> Column:
-        bucket = (F.crc32(piece) % BUCKETS).cast("int")
-        return F.coalesce(table[bucket][piece], F.lit(UNRANKED))
+    def folded(parts: Column) -> Column:
+        def pair(part: Column, i: Column) -> Column:
+            following = F.get(parts, i + 1)
+            return F.when(following.isNotNull(), rank_of(table, F.concat(part, following))).otherwise(F.lit(UNRANKED))
 
-    def splice(values: Column, at: Column, new: Column, taken: int) -> Column:
-        """``values`` with ``new`` instead of ``taken`` values from place ``at`` on (from 1)."""
-        return F.concat(F.slice(values, F.lit(1), at - 1), new, F.slice(values, at + taken, F.size(values)))
+        # an entry of ranks is of a part and the next; the last part's stands for the end
+        start = with_best(parts, F.transform(parts, pair))
 
-    n = (F.length(word) / 2).cast("int")
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i * 2 - 1, F.lit(2)))
+        def steps(merge: Callable[[Column, Column], Column], times: Column, state: Column) -> Column:
+            step = lambda s, _: F.when(s["best"] == UNRANKED, s).otherwise(merge(s, table))
+            return F.aggregate(times, state, step)
 
-    def pair(i: Column) -> Column:
-        return F.when(i < n, rank(F.substring(word, i * 2 - 1, F.lit(4)))).otherwise(F.lit(UNRANKED))
+        # Spark copies the state after each step, so the steps of a long word come in rounds that end with its pairs
+        root = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(parts))))
+        rounds = lambda s, _: steps(merge_all, F.when(s["best"] != UNRANKED, root).otherwise(F.array()), s)
+        done = F.when(F.size(parts) <= SHORT, steps(merge_first, F.slice(parts, F.lit(2), F.size(parts)), start))
+        done = done.otherwise(F.aggregate(root, start, rounds))
+        return F.transform(done["parts"], lambda p: rank_of(table, p))
 
-    # an entry of ranks is of a part and the next; the last part's stands for the end
-    pairs = F.transform(F.sequence(F.lit(1), n), pair)
+    bytes_ = F.regexp_extract_all(word, F.lit(".."), F.lit(0))
+    whole = rank_of(table, word)
+    return let(whole, lambda found: F.when(found != UNRANKED, F.array(found)).otherwise(let(bytes_, folded)))
 
-    def merge(state: Column, _: Column) -> Column:
-        def at_best(best: Column) -> Column:
-            def join(at: Column) -> Column:
-                def put(new: Column) -> Column:
-                    none, size = F.lit(UNRANKED), F.size(state["parts"])
-                    left = F.when(at > 1, rank(F.concat(state["parts"][at - 2], new))).otherwise(none)
-                    right = F.when(at + 2 <= size, rank(F.concat(new, state["parts"][at + 1]))).otherwise(none)
-                    before = F.slice(state["ranks"], F.lit(1), F.greatest(at - 2, F.lit(0)))
-                    around = F.when(at > 1, F.array(left, right)).otherwise(F.array(right))
-                    after = F.slice(state["ranks"], at + 2, size)
-                    return F.struct(
-                        splice(state["parts"], at, F.array(new), 2).alias("parts"),
-                        F.concat(before, around, after).alias("ranks"),
-                    )
 
-                return let(F.concat(state["parts"][at - 1], state["parts"][at]), put)
+def rank_of(table: Column, piece: Column) -> Column:
+    bucket = (F.crc32(piece) % BUCKETS).cast("int")
+    return F.coalesce(table[bucket][piece], F.lit(UNRANKED))
 
-            place = F.array_position(state["ranks"], best).cast("int")
-            return F.when(best == UNRANKED, state).otherwise(let(place, join))
 
-        return let(F.array_min(state["ranks"]), at_best)
+def with_best(parts: Column, ranks: Column) -> Column:
+    """A state of the fold: parts of the word, the rank of each with the next, and the lowest of these."""
+    return let(ranks, lambda r: F.struct(parts.alias("parts"), r.alias("ranks"), F.array_min(r).alias("best")))
 
-    start = F.struct(parts.alias("parts"), pairs.alias("ranks"))
-    folded = F.aggregate(F.sequence(F.lit(2), n), start, merge, lambda s: F.transform(s["parts"], rank))
-    whole = rank(word)
-    return F.when(whole != UNRANKED, F.array(whole)).when(n < 2, F.transform(parts, rank)).otherwise(folded)
+
+def merge_first(state: Column, table: Column) -> Column:
+    """The leftmost pair of lowest rank is joined."""
+    parts, ranks, best, size = state["parts"], state["ranks"], state["best"], F.size(state["parts"])
+
+    def join(at: Column) -> Column:
+        def put(new: Column) -> Column:
+            left = rank_of(table, F.concat(F.get(parts, at - 2), new))
+            right = F.when(at + 2 <= size, rank_of(table, F.concat(new, F.get(parts, at + 1)))).otherwise(F.lit(UNRANKED))
+            after = F.slice(ranks, at + 2, size)
+            inner = F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(left, right), after)
+            joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, size))
+            return with_best(joined, F.when(at > 1, inner).otherwise(F.concat(F.array(right), after)))
+
+        return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), put)
+
+    return let(F.array_position(ranks, best).cast("int"), join)
+
+
+def merge_all(state: Column, table: Column) -> Column:
+    """All pairs of lowest rank are joined, from the left, without overlaps, up to the first join that makes a pair of
+    lower rank with a neighbour: what joining them one by one comes to."""
+    parts, ranks, best = state["parts"], state["ranks"], state["best"]
+    is_ = lambda chosen, i: F.get(chosen, i) == "1"
+    hits = F.array_join(F.transform(ranks, lambda r: F.when(r == best, "1").otherwise("0")), "")
+    apart = F.split(F.replace(hits, F.lit("11"), F.lit("10")), "")
+    both = lambda i: F.concat(F.get(parts, i), F.get(parts, i + 1))
+
+    def until_lower(chosen: Column) -> Column:
+        def lower(mark: Column, i: Column) -> Column:
+            before = F.when(is_(chosen, i - 2), both(i - 2)).otherwise(F.get(parts, i - 1))
+            left, right = F.concat(before, both(i)), F.concat(both(i), F.get(parts, i + 2))
+            makes = (rank_of(table, left) < best) | (rank_of(table, right) < best)
+            return F.when(mark == "1", makes).otherwise(F.lit(False))
+
+        cut = lambda n: F.transform(chosen, lambda m, i: F.when(i < n, m).otherwise("0"))
+        last = F.array_position(F.transform(chosen, lower), True).cast("int")
+        return let(last, lambda n: F.when(n == 0, chosen).otherwise(cut(n)))
+
+    def joined(chosen: Column) -> Column:
+        def starts(kept: Column) -> Column:
+            def paired(new: Column) -> Column:
+                def pair(i: Column, k: Column) -> Column:
+                    following = F.get(kept, k + 1)
+                    changed = rank_of(table, F.concat(F.get(new, k), F.get(new, k + 1)))
+                    last = F.when(following.isNull(), F.lit(UNRANKED))
+                    return last.when(is_(chosen, i) | is_(chosen, following), changed).otherwise(F.get(ranks, i))
+
+                return with_best(new, F.transform(kept, pair))
+
+            return let(F.transform(kept, lambda i: F.when(is_(chosen, i), both(i)).otherwise(F.get(parts, i))), paired)
+
+        places = F.sequence(F.lit(0), F.size(parts) - 1)
+        return let(F.filter(places, lambda i: (i == 0) | ~is_(chosen, i - 1)), starts)
+
+    return let(let(apart, until_lower), joined)
 
 
 # All white space of Unicode; the split pattern treats no other character as such.
@@ -290,14 +339,15 @@ def encode_documents(
     pieces_ = docs.mapInArrow(released(look_up), f"docs array<{id_type}>, state binary, missing array<string>")
     hexed = F.transform("missing", lambda w: F.hex(F.encode(w, "utf-8")))
     folded = pieces_.select("docs", "state", fold_words(hexed, table).alias("found"))
-    tokens = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks)) if decoded else None
+    shared = docs.sparkSession.sparkContext.broadcast(decode_table(ranks)) if decoded else None
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = pa.array(shared.value, pa.large_binary()) if shared else None
         for batch in batches:
             for row in range(len(batch)):
                 own = batch.column("docs").slice(row, 1).flatten()
                 found = batch.column("found").slice(row, 1).flatten()
-                made = finished(batch.column("state")[row].as_py(), found, tokens.value if tokens else None)
+                made = finished(batch.column("state")[row].as_py(), found, tokens)
                 whole = pa.RecordBatch.from_arrays([own, *made], names=names)
                 for at in range(0, len(whole), 1000):
                     yield whole.slice(at, 1000)
@@ -307,7 +357,7 @@ def encode_documents(
     return folded.mapInArrow(released(finish), kind)
 
 
-def finished(state: bytes, folded: pa.ListArray, tokens: dict[int, bytes] | None) -> list[pa.Array]:
+def finished(state: bytes, folded: pa.ListArray, tokens: pa.LargeBinaryArray | None) -> list[pa.Array]:
     """The ids of each text of a piece, once the ids of its missing words are known; with ``tokens`` also what they
     stand for, decoded once for each different unit."""
     with np.load(io.BytesIO(state)) as found:
@@ -334,8 +384,10 @@ def finished(state: bytes, folded: pa.ListArray, tokens: dict[int, bytes] | None
     offsets, taken = texts(pa.ListArray.from_arrays(pa.array(unit_ends), pa.array(per_unit)))
     out = [pa.ListArray.from_arrays(pa.array(offsets), taken.values)]
     if tokens is not None:
-        ids, bounds = per_unit.tolist(), unit_ends.tolist()
-        units_ = pa.array([b"".join([tokens[i] for i in ids[a:b]]) for a, b in zip(bounds, bounds[1:])], pa.large_binary())
+        pieces_ = tokens.take(pa.array(per_unit))  # one after the other in memory
+        bounds = np.ascontiguousarray(binary_offsets(pieces_)[unit_ends])
+        data = pieces_.buffers()[2] or pa.py_buffer(b"")
+        units_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), data])
         offsets, taken = texts(units_)
         data = taken.buffers()[2] or pa.py_buffer(b"")
         out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), data]).cast(pa.binary()))
@@ -346,18 +398,14 @@ def binary_offsets(values: pa.LargeBinaryArray) -> np.ndarray:
     return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
 
 
-def token_bytes(ranks: dict[bytes, int]) -> dict[int, bytes]:
-    return {rank: token for token, rank in ranks.items()}
-
-
 def decode_documents(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
     """Adds the bytes that a column of id lists stands for; null lists stay null."""
-    table = F.from_json(F.lit(json.dumps(decode_table(ranks))), "array<string>")
+    table = F.from_json(F.lit(json.dumps([token.hex() for token in decode_table(ranks)])), "array<string>")
     pieces_ = let(table, lambda t: F.array_join(F.transform(F.col(ids), lambda i: t[i]), ""))
     return rows.withColumn(name, F.unhex(pieces_))
 
 
-def decode_table(ranks: dict[bytes, int]) -> list[str]:
-    """Hexadecimal pieces in order of their ids; empty for ids without a token."""
-    tokens = token_bytes(ranks)
-    return [tokens.get(i, b"").hex() for i in range(max(tokens, default=-1) + 1)]
+def decode_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """The tokens in order of their ids; empty for ids without one."""
+    tokens = {rank: token for token, rank in ranks.items()}
+    return [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
