@@ -209,26 +209,37 @@ class Split:
 def split(texts: pa.Array, pattern: regex.Pattern) -> Split:
     """Most units are a blank and letters, with or without a mark at the end; the others go through the pattern."""
     found = units(large_text(texts))
-    findall = pattern.findall
-    usual = pattern.pattern == USUAL_PATTERN
-    sizes: list[int] = []
-    flat: list[str] = []
-    for unit in found.vocabulary.to_pylist():
-        core = unit[1:] if unit[:1] == " " else unit
-        if usual and core.isalpha():
-            flat.append(unit)
-            sizes.append(1)
-        elif usual and core[-1:] in MARKS and core[:-1].isalpha():
-            flat.append(unit[:-1])
-            flat.append(core[-1])
-            sizes.append(2)
-        else:
-            parts = findall(unit)
-            flat += parts
-            sizes.append(len(parts))
-    coded = pa.array(flat, pa.string()).dictionary_encode()
-    of_unit = coded.indices.to_numpy(zero_copy_only=False)
-    return Split(found, coded.dictionary, of_unit.astype(np.int32), np.asarray(sizes, np.int32))
+    names = found.vocabulary.cast(pa.string())
+    letters, marked = usual(names) if pattern.pattern == USUAL_PATTERN else (np.zeros(len(names), bool),) * 2
+    others = ~(letters | marked)
+    parts = [pattern.findall(unit) for unit in names.filter(pa.array(others)).to_pylist()]
+    with_mark = names.filter(pa.array(marked))
+    groups = [
+        names.filter(pa.array(letters)),
+        pc.utf8_slice_codeunits(with_mark, 0, -1),
+        pc.utf8_slice_codeunits(with_mark, -1),
+        pa.array([word for unit in parts for word in unit], pa.string()),
+    ]
+    coded = pa.concat_arrays(groups).dictionary_encode()
+    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    sizes = np.where(marked, 2, 1)
+    sizes[others] = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(sizes) - sizes
+    of_unit = np.empty(len(ids), np.int32)
+    places = [starts[letters], starts[marked], starts[marked] + 1, expanded(starts[others], sizes[others])]
+    of_unit[np.concatenate(places)] = ids
+    return Split(found, coded.dictionary, of_unit, sizes.astype(np.int32))
+
+
+def usual(names: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Which units are letters after one blank at most, and which have one mark after these."""
+    size = lambda values: pc.binary_length(values).to_numpy(zero_copy_only=False)
+    core = pc.utf8_ltrim(names, characters=" ")
+    one_blank = size(names) - size(core) <= 1
+    bare = pc.utf8_rtrim(core, characters=MARKS)
+    marks = size(core) - size(bare)
+    plain = one_blank & pc.utf8_is_alpha(bare).to_numpy(zero_copy_only=False)
+    return plain & (marks == 0), plain & (marks == 1)
 
 
 def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
