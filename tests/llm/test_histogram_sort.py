@@ -49,3 +49,13 @@ def test_odd_rows(hard_docs, no_docs):
     want = [(r.doc_id or -1, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in hard_docs.collect()]
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in rows) == sorted(want)
     assert H.shard_documents(no_docs).count() == 0
+
+
+def test_runs_are_cut_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(H, "RUN_ROWS", 200)
+    texts = [None] * 3000 + [f"long text {i} " * 40 for i in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = H.measured(docs, "doc_id", "text").cache()
+    runs = H.dealt(rows, H.find_splitters(rows, 4)).groupBy("run").count().collect()
+    assert max(r["count"] for r in runs) <= 300 and sum(r["count"] for r in runs) == 4000
+    placed(docs, 4)

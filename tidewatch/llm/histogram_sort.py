@@ -3,13 +3,14 @@
 Rows are ordered by a key. Candidate boundaries (probes) are spread over the key space; one pass counts the exact bytes
 below each of them over all partitions. Each wanted splitter lies between two probes, which are the range for the next
 round's probes, until a probe meets the wanted number of bytes within a tolerance or the range holds a single key. Then
-rows are dealt out once.
+rows are dealt out once. In the same rounds the order is cut into runs by counts of rows, so that many tasks number the
+rows of a shard, however small these rows are.
 
 The key is (hash of the text, hash of the id, id), so equal texts are neighbours. A splitter between groups of equal
 texts that meets the tolerance is taken before one inside a group, so only a group too large for that is cut.
 
 Size is the UTF-8 bytes of the text plus 1. Null texts have size 1 and hash apart from empty ones. Null ids are taken as
-the smallest id. Rows that agree in id and text stay together, whatever their size. An empty table gives an empty
+the smallest id. Rows that agree in id and text stay together, whatever their size and number. An empty table gives an empty
 table. Columns other than id and text are not read.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.store import written
 
 TOLERANCE = 0.002  # of a shard's bytes
-LOOSE = 0.25  # of a run's bytes
+LOOSE = 0.25  # of a run's rows
 RUN_ROWS = 50_000  # rows that one task puts in order, about
 PROBES = 4096  # in a round, shared out to the splitters; each gets MIN_PROBES at least
 MIN_PROBES = 4
@@ -50,11 +51,12 @@ def measured(docs: DataFrame, id: str, text: str) -> DataFrame:
 class Splitter:
     """The search for the first key of a part. Keys are whole numbers of 128 bits: hash of the text, hash of the id.
 
-    Rows below ``low`` have ``under`` bytes, rows below ``high`` have ``over`` bytes.
+    Rows below ``low`` have ``under`` bytes, rows below ``high`` have ``over`` bytes; or so many rows, for runs.
     """
 
     target: float
     slack: float
+    measure: str
     low: int = 0
     high: int = GROUP * GROUP
     under: int = 0
@@ -71,13 +73,14 @@ class Splitter:
         picked = range(first, last + 1) if count <= n else (first + count * i // (n + 1) for i in range(1, n + 1))
         return [i * step for i in picked]
 
-    def learn(self, below: dict[int, int], probes: list[int]) -> None:
+    def learn(self, below: dict[int, dict[str, int]], probes: list[int]) -> None:
         """Narrow the range to the neighbouring probes; done when one of them is near enough."""
         for key in probes:
-            if below[key] <= self.target and key > self.low:
-                self.low, self.under = key, below[key]
-            elif below[key] > self.target and key < self.high:
-                self.high, self.over = key, below[key]
+            found = below[key][self.measure]
+            if found <= self.target and key > self.low:
+                self.low, self.under = key, found
+            elif found > self.target and key < self.high:
+                self.high, self.over = key, found
         self.found = min(self.target - self.under, self.over - self.target) <= self.slack or not self.probes(1)
 
     @property
@@ -97,56 +100,64 @@ def row_keys(batch: pa.RecordBatch) -> np.ndarray:
     return np.ascontiguousarray(parts.astype(">i8")).view("S16").reshape(-1)
 
 
-def bytes_below(rows: DataFrame, probes: list[int]) -> dict[int, int]:
-    """Exact bytes of the rows below each probe. A task adds up its rows between neighbouring probes; the driver gets
-    one sum for each gap."""
+def below_probes(rows: DataFrame, probes: list[int]) -> dict[int, dict[str, int]]:
+    """Exact ``bytes`` and ``rows`` below each probe. A task adds up its rows between neighbouring probes; the driver
+    gets one sum for each gap."""
     borders = rows.sparkSession.sparkContext.broadcast(sortable(probes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(borders.value) + 1, np.int64)
+        sums, times = np.zeros((2, len(borders.value) + 1), np.int64)
         for batch in batches:
             gaps = np.searchsorted(borders.value, row_keys(batch), side="right")
             np.add.at(sums, gaps, batch.column("size").to_numpy())
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_pydict({"gap": pa.array(some, pa.int64()), "n": pa.array(sums[some], pa.int64())})
-
-    found = rows.select("k1", "k2", "size").mapInArrow(count, "gap long, n long")
-    gaps = np.zeros(len(probes) + 1, np.int64)
-    for row in found.groupBy("gap").agg(F.sum("n").alias("n")).collect():
-        gaps[row["gap"]] = row["n"]
+            times += np.bincount(gaps, minlength=len(times))
+        some = np.flatnonzero(times)
+        columns = [pa.array(x.astype(np.int64)) for x in (some, sums[some], times[some])]
+        yield pa.RecordBatch.from_arrays(columns, names=["gap", "bytes", "rows"])
+
+    found = rows.select("k1", "k2", "size").mapInArrow(count, "gap long, bytes long, rows long")
+    gaps = np.zeros((2, len(probes) + 1), np.int64)
+    for row in found.groupBy("gap").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect():
+        gaps[:, row["gap"]] = row["bytes"], row["rows"]
     borders.unpersist()
-    return dict(zip(probes, np.cumsum(gaps)[:-1].tolist()))
+    sums, times = np.cumsum(gaps, axis=1)[:, :-1].tolist()
+    return {key: {"bytes": b, "rows": n} for key, b, n in zip(probes, sums, times)}
+
+
+@dataclass
+class Splitters:
+    shards: list[int]  # the first key of each shard but the first
+    runs: list[int]  # keys that cut the order into runs; those of shards are among them
 
 
-def find_splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[list[int]]:
-    """For each shard the first keys of its runs; the first run's key is the splitter before the shard (0 for the
-    first). Borders of shards are searched to ``tolerance``, those of runs only loosely."""
+def find_splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> Splitters:
+    """Borders of shards are searched by bytes, to ``tolerance``; those of runs by rows, only loosely."""
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
-    runs = max(1, math.ceil(total["rows"] / shards / RUN_ROWS))
-    share = total["bytes"] / (shards * runs)
-    search = [
-        Splitter(share * i, LOOSE * share if i % runs else tolerance * share * runs, over=total["bytes"])
-        for i in range(1, shards * runs)
-    ]
+
+    def cut(parts: int, measure: str, slack: float) -> list[Splitter]:
+        share = total[measure] / parts
+        return [Splitter(share * i, slack * share, measure, over=total[measure]) for i in range(1, parts)]
+
+    runs = max(1, math.ceil(total["rows"] / RUN_ROWS))
+    search = cut(shards, "bytes", tolerance) + cut(runs, "rows", LOOSE)
     n = max(MIN_PROBES, PROBES // max(1, len(search)))
     while open_ := [(s, p) for s in search if (p := s.probes(n))]:
-        below = bytes_below(rows, sorted({key for _, p in open_ for key in p}))
+        below = below_probes(rows, sorted({key for _, p in open_ for key in p}))
         for s, p in open_:
             s.learn(below, p)
-    keys = [0, *(s.key for s in search)]
-    return [keys[i * runs : (i + 1) * runs] for i in range(shards)]
+    firsts = sorted(s.key for s in search if s.measure == "bytes")
+    return Splitters(firsts, sorted({*firsts, *(s.key for s in search)}))
 
 
-def dealt(rows: DataFrame, splitters: list[list[int]]) -> DataFrame:
+def dealt(rows: DataFrame, splitters: Splitters) -> DataFrame:
     """Adds ``shard`` and ``run``, by the last splitter at or below a row's key."""
-    firsts = [key for shard in splitters for key in shard]
-    runs = len(splitters[0])
-    borders = rows.sparkSession.sparkContext.broadcast(sortable(sorted(firsts[1:])))
+    shared = rows.sparkSession.sparkContext.broadcast((sortable(splitters.shards), sortable(splitters.runs)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            run = np.searchsorted(borders.value, row_keys(batch), side="right")
-            columns = [*batch.columns, pa.array(run // runs, pa.int32()), pa.array(run, pa.int64())]
+            keys = row_keys(batch)
+            shard, run = (np.searchsorted(borders, keys, side="right") for borders in shared.value)
+            columns = [*batch.columns, pa.array(shard, pa.int32()), pa.array(run, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "shard", "run"])
 
     kind = "id long, size long, crc long, k1 long, k2 long, shard int, run long"

@@ -50,8 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(doc_id: str = "doc_id") -> Column:
-    """One of five parts of the documents, by id."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+    """One of five parts of the documents, by id; null ids are of part 1."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5, F.lit(1))
 
 
 def labels_for_training(spark: SparkSession, sf_dir: str) -> DataFrame:
