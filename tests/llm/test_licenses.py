@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tidewatch.llm import licenses as L
 
 ROWS = [
@@ -74,7 +76,7 @@ def test_whole_files_and_wrapped_headers(spark):
     line = "many words of prose here " * 20 + "\nReleased under the MIT License.\n" + "and many other words " * 20
     rows = [("/b/LICENSE", BSD), ("/b/x.go", "package x"), ("/g/COPYING", gpl), ("/s/main.go", GO), ("/s/a.c", MPL)]
     files = spark.createDataFrame([*rows, ("/s/prose", line)], "path string, text string")
-    got = {r.path: r.licence for r in L.scan(files, L.full_templates(spark)).collect()}
+    got = {r.path: r.licence for r in L.scan(files, L.templates(spark)).collect()}
     assert got == {
         "/b/LICENSE": "BSD-3-Clause",
         "/b/x.go": "BSD-3-Clause",
@@ -83,3 +85,20 @@ def test_whole_files_and_wrapped_headers(spark):
         "/s/a.c": "MPL-2.0",
         "/s/prose": "MIT",
     }
+
+
+def test_odd_rows(spark, hard_docs, no_docs):
+    """Repeated ids, nulls, and columns with the names that the scan uses."""
+    docs = hard_docs.withColumn("folder", F.lit("f")).withColumn("near", F.lit("n")).withColumn("licence_from", F.lit("x"))
+    docs = docs.drop("path").withColumn("path", F.concat(F.lit("/d/"), F.col("doc_id")))
+    out = L.scan(docs, L.templates(spark), keep=["doc_id", "folder", "near"]).collect()
+    assert len(out) == docs.count() and {(r.folder, r.near) for r in out} == {("f", "n")}
+    assert L.scan(no_docs.withColumn("path", F.lit("/p")), L.templates(spark)).count() == 0
+
+
+def test_a_paragraph_of_a_megabyte(spark):
+    words = " ".join(f"word{i}" for i in range(110_000))
+    rows = [("/a/long", f"{words} license"), ("/a/LICENSE", "Released under the MIT License."), ("/a/b", "x")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.own_licence, r.licence) for r in L.scan(files, L.templates(spark)).collect()}
+    assert got == {"/a/long": (None, "MIT"), "/a/LICENSE": ("MIT", "MIT"), "/a/b": (None, "MIT")}

@@ -2,16 +2,18 @@
 
 The notices of a file are its leading comment lines and each paragraph, if they hold a licence cue; only a file without a
 licence by these is judged by its single lines with a cue. The notice of a licence file (by its name) is its whole text,
-cue or not. ``lines_only`` takes single lines with a cue of all files instead. Notices and templates are sparse vectors of terms (ASCII letters and digits in lower case), weighted by term count times
-``ln((1 + N) / (1 + df)) + 1`` over all notices. A file's own licence is the template with the highest cosine of any of
-its notices, at least ``threshold``; ties go to the smaller name. A file without one inherits the licence of the nearest
-directory above it for which one is declared.
-
-Only different notice lines are compared with the templates, and only different directories look for their ancestors, so
-a line that millions of files repeat, or a directory that holds a third of them, is worked on once.
-
-Null and empty texts have no notice; a null path has no directory and inherits nothing; rows that repeat a path are
-judged row by row. Empty tables give empty results. Columns other than those named are not read.
+cue or not. Notices and templates are sparse vectors of terms (ASCII letters and digits in lower case), weighted by term
+count times ``ln((1 + N) / (1 + df)) + 1`` over all notices. A file's own licence is the template with the highest cosine
+of any of its notices, at least ``threshold``; ties go to the smaller name. A file without one inherits the licence of the
+nearest directory above it for which one is declared.
+
+Only different notices are compared with the templates, and only different directories look for their ancestors, so a
+notice that millions of files repeat, or a directory that holds a third of them, is worked on once. A notice's text moves
+once, to where its repetitions are counted; from there on a digest stands for it, as for each template.
+
+Null and empty texts have no notice; a text without blank lines is one paragraph, however long; a null path has no
+directory and inherits nothing; rows that repeat a path are judged together. Empty tables give empty results. Columns
+other than those named are not read, and those in ``keep`` may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from tidewatch.session import config_table
 
 CUE = "[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|SPDX|[Pp]ublic [Dd]omain"
 TERM = "[a-z0-9]+"
-COMMENT = r"^\s*(//|#|/?\*|--|;|%|<!--|\"\"\"|'''|$)"
+COMMENT = r"\A[ \t\f\r]*(//|#|/?\*|--|;|%|<!--|\"\"\"|'''|\z)"
 PARAGRAPHS = r"\n[ \t\r]*\n"
 LICENCE_FILE = "^(LICEN[CS]E|COPYING|UNLICENSE|NOTICE)([.-].*)?$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,11 +54,6 @@ TEMPLATES = [
     ("proprietary", "Copyright. All rights reserved."),
 ]
 
-
-def templates(spark: SparkSession) -> DataFrame:
-    return config_table(spark, TEMPLATES, "licence string, template string")
-
-
 # Notices of several lines, as the licences' authors give them for the heads of files.
 HEADERS = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
@@ -79,10 +76,14 @@ HEADERS = [
 ]
 
 
-def full_templates(spark: SparkSession) -> DataFrame:
+def all_templates() -> list[tuple[str, str]]:
     """The one-line notices, headers of several lines and whole licence texts."""
     texts = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
-    return config_table(spark, [*TEMPLATES, *HEADERS, *texts], "licence string, template string")
+    return [*TEMPLATES, *HEADERS, *texts]
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    return config_table(spark, all_templates(), "licence string, template string")
 
 
 def terms(text: Column) -> Column:
@@ -93,13 +94,14 @@ def is_licence_file(path: Column) -> Column:
     return F.coalesce(F.regexp_replace(path, "^.*/", "").rlike(LICENCE_FILE), F.lit(False))
 
 
-def notices(files: DataFrame, id: str, text: str, lines_only: bool = False) -> DataFrame:
-    """One row (``id``, ``notice``, ``single``: a line of a file that is not judged by lines alone) per notice."""
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def notices(files: DataFrame, id: str, text: str) -> DataFrame:
+    """One row (``id``, ``notice``, its ``key``, ``single``: a line that counts only without other notices) per notice."""
     whole, lines = F.col(text), F.split(F.col(text), "\n")
     cued = F.filter(lines, lambda line: line.rlike(CUE))
-    if lines_only:
-        with_cue = files.filter(whole.rlike(CUE))
-        return with_cue.select(F.col(id).alias("id"), F.explode(cued).alias("notice"), F.lit(False).alias("single"))
     code = F.array_position(F.transform(lines, lambda line: line.rlike(COMMENT)), False)
     head = F.array_join(F.slice(lines, F.lit(1), F.when(code > 0, code - 1).otherwise(F.size(lines)).cast("int")), "\n")
     runs = F.filter(F.concat(F.array(head), F.split(whole, PARAGRAPHS)), lambda run: run.rlike(CUE))
@@ -109,17 +111,18 @@ def notices(files: DataFrame, id: str, text: str, lines_only: bool = False) -> D
     named = is_licence_file(F.col(id))
     some = files.filter(whole.rlike(CUE) | (named & (whole != "")))
     found = F.when(named, marked(F.array(whole), False)).otherwise(F.concat(marked(runs, False), marked(cued, True)))
-    return some.select(F.col(id).alias("id"), F.explode(found).alias("n")).select("id", "n.notice", "n.single")
+    rows = some.select(F.col(id).alias("id"), F.explode(found).alias("n"))
+    return rows.select("id", "n.notice", "n.single", digest(F.col("n.notice")).alias("key"))
 
 
-def score_notices(lines: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
-    """Of each different notice its best template: ``notice``, ``licence``, ``score`` (6 digits)."""
-    counted = lines.groupBy("notice").agg(F.count("*").alias("n"))
-    bag = counted.select("notice", "n", F.explode(terms("notice")).alias("term"))
-    tf = bag.groupBy("notice", "n", "term").agg(F.count("*").alias("tf"))
-    total = counted.agg(F.sum("n").alias("total"))
+def score_notices(found: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
+    """Of each different notice its best template: ``key``, ``licence``, ``score`` (6 digits)."""
+    counted = found.groupBy("key").agg(F.count("*").alias("n"), F.min("notice").alias("notice"))
+    bag = counted.select("key", "n", F.explode(terms("notice")).alias("term"))
+    tf = bag.groupBy("key", "n", "term").agg(F.count("*").alias("tf"))
+    total = found.agg(F.count("*").alias("total"))
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
-    ours = wanted.select("licence", "template", F.explode(terms("template")).alias("term"))
+    ours = wanted.select("licence", digest(F.col("template")).alias("template"), F.explode(terms("template")).alias("term"))
     ours = ours.groupBy("licence", "template", "term").agg(F.count("*").alias("tf"))
 
     def weighted(bag: DataFrame) -> DataFrame:
@@ -128,18 +131,18 @@ def score_notices(lines: DataFrame, wanted: DataFrame, threshold: float) -> Data
         return joined.withColumn("weight", F.col("tf") * idf).drop("df", "total", "tf")
 
     left, right = weighted(tf.drop("n")), weighted(ours)
-    left_norm = left.groupBy("notice").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("left_norm"))
+    left_norm = left.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("left_norm"))
     right_norm = right.groupBy("licence", "template").agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("right_norm")
     )
-    dots = left.withColumnRenamed("weight", "w").join(right, "term").groupBy("notice", "licence", "template")
+    dots = left.withColumnRenamed("weight", "w").join(right, "term").groupBy("key", "licence", "template")
     dots = dots.agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(left_norm, "notice").join(right_norm, ["licence", "template"])
+    scored = dots.join(left_norm, "key").join(right_norm, ["licence", "template"])
     scored = scored.select(
-        "notice", "licence", F.round(F.col("dot") / (F.col("left_norm") * F.col("right_norm")), 6).alias("score")
+        "key", "licence", F.round(F.col("dot") / (F.col("left_norm") * F.col("right_norm")), 6).alias("score")
     )
-    best = scored.filter(F.col("score") >= threshold).groupBy("notice").agg(F.min(rank("score", "licence")).alias("b"))
-    return best.select("notice", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
+    best = scored.filter(F.col("score") >= threshold).groupBy("key").agg(F.min(rank("score", "licence")).alias("b"))
+    return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
 
 
 def rank(score: str, licence: str) -> Column:
@@ -153,12 +156,11 @@ def own_licences(
     id: str = "path",
     text: str = "text",
     threshold: float = 0.5,
-    lines_only: bool = False,
 ) -> DataFrame:
     """``id``, ``licence`` and ``score`` of the files (of all rows of an id) with a notice like a template. Files are
     known for licence files by ``id``."""
-    lines = notices(files, id, text, lines_only)
-    found = lines.join(score_notices(lines, wanted, threshold), "notice")
+    seen = notices(files, id, text)
+    found = seen.drop("notice").join(score_notices(seen, wanted, threshold), "key")
     first = F.struct("single", (-F.col("score")).alias("minus"), "licence")
     best = found.groupBy("id").agg(F.min(first).alias("b"))
     return best.select(F.col("id").alias(id), F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
@@ -200,22 +202,22 @@ def scan(
     text: str = "text",
     threshold: float = 0.5,
     keep: list[str] | None = None,
-    lines_only: bool = False,
 ) -> DataFrame:
     """Per row of ``files``: the columns ``keep`` (the path), ``own_licence``, ``own_score``, ``licence`` (own or
     inherited) and ``licence_from`` (the directory it is inherited from). ``declared`` gives the licences of
     directories (``folder``, ``licence``); by default those of licence files."""
-    own = own_licences(files, wanted, path, text, threshold, lines_only)
+    own = own_licences(files, wanted, path, text, threshold)
     declared = declared_by_name(own, path) if declared is None else declared
-    rows = files.select(*dict.fromkeys([path, *(keep or [])])).withColumn("__folder", directory(F.col(path)))
-    near = inherited(rows.select(F.col("__folder").alias("folder")), declared)
-    near = near.select(F.col("folder").alias("__folder"), F.col("licence").alias("__near"), "licence_from")
-    own = own.select(path, F.col("licence").alias("own_licence"), F.col("score").alias("own_score"))
-    out = rows.join(own, path, "left").join(near, "__folder", "left")
+    keep = keep or [path]
+    rows = files.select(F.struct(*keep).alias("kept"), F.col(path).alias("path"))
+    rows = rows.withColumn("folder", directory(F.col("path")))
+    near = inherited(rows.select("folder"), declared).withColumnRenamed("licence", "near")
+    own = own.select(F.col(path).alias("path"), F.col("licence").alias("own_licence"), F.col("score").alias("own_score"))
+    out = rows.join(own, "path", "left").join(near, "folder", "left")
     return out.select(
-        *(keep or [path]),
+        *[F.col("kept")[name].alias(name) for name in keep],
         "own_licence",
         "own_score",
-        F.coalesce("own_licence", "__near").alias("licence"),
+        F.coalesce("own_licence", "near").alias("licence"),
         F.when(F.col("own_licence").isNull(), F.col("licence_from")).alias("licence_from"),
     )

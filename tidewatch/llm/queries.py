@@ -118,17 +118,34 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_documents(shards, folder)
 
 
-OP3_SQL = rf"""
-with template(licence, template) as (values {", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES)}),
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP3_TEMPLATES = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in licenses.all_templates())
+OP3_SQL = (
+    "with template(licence, template) as (values "
+    + OP3_TEMPLATES
+    + rf"""),
 file as (
   select doc_id, text, '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || (doc_id // 1000)
          || '/' || (doc_id // 50) as folder
   from documents),
-notice as (
-  select doc_id, folder, notice
-  from (select doc_id, folder, unnest(string_split(text, chr(10))) as notice from file)
-  where regexp_matches(notice, '{licenses.CUE}')),
-counted as (select notice, count(*) as n from notice group by notice),
+cut as (
+  select doc_id, folder, text, string_split(text, chr(10)) as lines,
+         list_position(list_transform(string_split(text, chr(10)),
+                                      lambda line: regexp_matches(line, {quoted(licenses.COMMENT)})), false) as code
+  from file where regexp_matches(text, '{licenses.CUE}')),
+several as (
+  select doc_id, folder, false as single, unnest(list_distinct(list_filter(
+           list_concat([array_to_string(case when code > 0 then lines[1 : code - 1] else lines end, chr(10))],
+                       regexp_split_to_array(text, '{licenses.PARAGRAPHS}')),
+           lambda x: regexp_matches(x, '{licenses.CUE}')))) as notice
+  from cut
+  union all
+  select doc_id, folder, true, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{licenses.CUE}'))))
+  from cut),
+counted as (select notice, count(*) as n from several group by notice),
 total as (select cast(coalesce(sum(n), 0) as bigint) as total from counted),
 tf as (
   select notice, n, term, count(*) as tf
@@ -139,23 +156,23 @@ df as (select term, sum(n) as df from tf group by term),
 idf as (select term, ln((1.0 + total) / (1.0 + df)) + 1 as idf from df, total),
 ours as (
   select licence, template, term, count(*) as tf
-  from (select licence, template, unnest(regexp_extract_all(
+  from (select licence, md5(template) as template, unnest(regexp_extract_all(
           translate(template, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.TERM}')) as term from template)
   group by all),
-lw as (select notice, term, tf * idf as w from tf join idf using (term)),
+lw as (select md5(notice) as key, term, tf * idf as w from tf join idf using (term)),
 rw as (select licence, template, term, tf * coalesce(idf, ln(1.0 + total) + 1) as w
        from ours left join idf using (term), total),
-ln_ as (select notice, sqrt(sum(w * w)) as norm from lw group by notice),
+ln_ as (select key, sqrt(sum(w * w)) as norm from lw group by key),
 rn as (select licence, template, sqrt(sum(w * w)) as norm from rw group by all),
 scored as (
-  select d.notice, d.licence, round(dot / (ln_.norm * rn.norm), 6) as score
-  from (select notice, licence, template, sum(lw.w * rw.w) as dot from lw join rw using (term) group by all) d
-  join ln_ using (notice) join rn on rn.licence = d.licence and rn.template = d.template),
+  select d.key, d.licence, round(dot / (ln_.norm * rn.norm), 6) as score
+  from (select key, licence, template, sum(lw.w * rw.w) as dot from lw join rw using (term) group by all) d
+  join ln_ using (key) join rn on rn.licence = d.licence and rn.template = d.template),
 best as (
   select doc_id, folder, licence, score from (
     select doc_id, folder, licence, score,
-           row_number() over (partition by doc_id order by score desc, licence) as r
-    from notice join scored using (notice) where score >= 0.5) where r = 1),
+           row_number() over (partition by doc_id order by single, score desc, licence) as r
+    from several join scored on scored.key = md5(notice) where score >= 0.5) where r = 1),
 declared as (
   select up as folder, min_by(licence, doc_id) as licence
   from (select doc_id, licence, unnest(list_transform(range(2, len(string_split(folder, '/')) + 1),
@@ -172,32 +189,25 @@ select f.doc_id, b.licence as own_licence, b.score as own_score, coalesce(b.lice
        case when b.licence is null then n.up end as licence_from
 from file f left join best b using (doc_id) left join near n on n.folder = f.folder
 """
+)
 
 
 @register("op3_licence_scan", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files in directories of source, language and id; in each directory the first document with a
-    licence notice stands for its licence file. Notices are single lines, as in the SQL."""
-    return scan_documents(table(spark, sf_dir, "documents"), licenses.templates(spark), lines_only=True)
-
-
-@register("op3_licence_blocks")
-def op3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with headers and paragraphs as notices, and whole licence texts among the templates."""
-    return scan_documents(table(spark, sf_dir, "documents"), licenses.full_templates(spark))
-
-
-def scan_documents(docs: DataFrame, wanted: DataFrame, lines_only: bool = False) -> DataFrame:
+    licence notice stands for its licence file."""
+    docs = table(spark, sf_dir, "documents")
+    wanted = licenses.templates(spark)
     part = [F.coalesce(F.col(c), F.lit("none")) for c in ("source", "lang")]
     part += [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 50)]
     path = F.concat(F.lit("/"), F.concat_ws("/", *part, F.col("doc_id").cast("string")))
     files = docs.select("doc_id", "text", path.alias("path"))
-    own = licenses.own_licences(files, wanted, lines_only=lines_only)
+    own = licenses.own_licences(files, wanted)
     up = licenses.ancestors(licenses.directory(F.col("path")))
     doc_id = F.regexp_extract("path", "[0-9]+$", 0).cast("bigint")
     named = own.select("licence", doc_id.alias("doc_id"), F.explode(up).alias("folder")).filter("folder != ''")
     declared = named.groupBy("folder").agg(F.min_by("licence", "doc_id").alias("licence"))
-    return licenses.scan(files, wanted, declared, keep=["doc_id"], lines_only=lines_only)
+    return licenses.scan(files, wanted, declared, keep=["doc_id"])
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
