@@ -71,29 +71,37 @@ def fold_words(words: Column, table: Column) -> Column:
 
 def fold_word(word: Column, table: Column) -> Column:
     """Token ids of one word, given as hexadecimal bytes."""
+    ids = lambda parts: F.transform(parts, lambda p: rank_of(table, p))
+    n = (F.length(word) / 2).cast("int")
+    at = F.sequence(F.lit(1), n)
+    short = F.transform(at, lambda i: F.substring(word, i * 2 - 1, F.lit(2)))
+
+    def pair(i: Column) -> Column:
+        return F.when(i < n, rank_of(table, F.substring(word, i * 2 - 1, F.lit(4)))).otherwise(F.lit(UNRANKED))
+
+    # an entry of ranks is of a part and the next; the last part's stands for the end
+    start = F.struct(short.alias("parts"), F.transform(at, pair).alias("ranks"))
+    one = F.aggregate(F.sequence(F.lit(2), n), start, lambda s, _: merge_first(s, table), lambda s: ids(s["parts"]))
+    several = let(F.regexp_extract_all(word, F.lit(".."), F.lit(0)), lambda parts: ids(fold_long(parts, table)))
+    whole = rank_of(table, word)
+    return (
+        F.when(whole != UNRANKED, F.array(whole)).when(n < 2, ids(short)).when(n <= SHORT, one).otherwise(several)
+    )
 
-    def folded(parts: Column) -> Column:
-        def pair(part: Column, i: Column) -> Column:
-            following = F.get(parts, i + 1)
-            return F.when(following.isNotNull(), rank_of(table, F.concat(part, following))).otherwise(F.lit(UNRANKED))
-
-        # an entry of ranks is of a part and the next; the last part's stands for the end
-        start = with_best(parts, F.transform(parts, pair))
 
-        def steps(merge: Callable[[Column, Column], Column], times: Column, state: Column) -> Column:
-            step = lambda s, _: F.when(s["best"] == UNRANKED, s).otherwise(merge(s, table))
-            return F.aggregate(times, state, step)
+def fold_long(parts: Column, table: Column) -> Column:
+    """The parts that remain of a long word. Spark copies the state after each step, so the steps come in rounds, which
+    end with its pairs."""
 
-        # Spark copies the state after each step, so the steps of a long word come in rounds that end with its pairs
-        root = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(parts))))
-        rounds = lambda s, _: steps(merge_all, F.when(s["best"] != UNRANKED, root).otherwise(F.array()), s)
-        done = F.when(F.size(parts) <= SHORT, steps(merge_first, F.slice(parts, F.lit(2), F.size(parts)), start))
-        done = done.otherwise(F.aggregate(root, start, rounds))
-        return F.transform(done["parts"], lambda p: rank_of(table, p))
+    def pair(part: Column, i: Column) -> Column:
+        following = F.get(parts, i + 1)
+        return F.when(following.isNotNull(), rank_of(table, F.concat(part, following))).otherwise(F.lit(UNRANKED))
 
-    bytes_ = F.regexp_extract_all(word, F.lit(".."), F.lit(0))
-    whole = rank_of(table, word)
-    return let(whole, lambda found: F.when(found != UNRANKED, F.array(found)).otherwise(let(bytes_, folded)))
+    root = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(parts))))
+    step = lambda s, _: F.when(s["best"] == UNRANKED, s).otherwise(merge_all(s, table))
+    open_ = lambda s: F.when(s["best"] != UNRANKED, root).otherwise(F.array())
+    rounds = lambda s, _: F.aggregate(open_(s), s, step)
+    return F.aggregate(root, with_best(parts, F.transform(parts, pair)), rounds)["parts"]
 
 
 def rank_of(table: Column, piece: Column) -> Column:
@@ -107,21 +115,22 @@ def with_best(parts: Column, ranks: Column) -> Column:
 
 
 def merge_first(state: Column, table: Column) -> Column:
-    """The leftmost pair of lowest rank is joined."""
-    parts, ranks, best, size = state["parts"], state["ranks"], state["best"], F.size(state["parts"])
+    """The leftmost pair of lowest rank is joined; without a ranked pair the state stays."""
+    parts, ranks, size = state["parts"], state["ranks"], F.size(state["parts"])
 
     def join(at: Column) -> Column:
         def put(new: Column) -> Column:
-            left = rank_of(table, F.concat(F.get(parts, at - 2), new))
-            right = F.when(at + 2 <= size, rank_of(table, F.concat(new, F.get(parts, at + 1)))).otherwise(F.lit(UNRANKED))
-            after = F.slice(ranks, at + 2, size)
-            inner = F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(left, right), after)
+            left = F.when(at > 1, rank_of(table, F.concat(parts[at - 2], new))).otherwise(F.lit(UNRANKED))
+            right = F.when(at + 2 <= size, rank_of(table, F.concat(new, parts[at + 1]))).otherwise(F.lit(UNRANKED))
+            before = F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0)))
+            around = F.when(at > 1, F.array(left, right)).otherwise(F.array(right))
             joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, size))
-            return with_best(joined, F.when(at > 1, inner).otherwise(F.concat(F.array(right), after)))
+            return F.struct(joined.alias("parts"), F.concat(before, around, F.slice(ranks, at + 2, size)).alias("ranks"))
 
-        return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), put)
+        return let(F.concat(parts[at - 1], parts[at]), put)
 
-    return let(F.array_position(ranks, best).cast("int"), join)
+    place = lambda best: F.array_position(ranks, best).cast("int")
+    return let(F.array_min(ranks), lambda best: F.when(best == UNRANKED, state).otherwise(let(place(best), join)))
 
 
 def merge_all(state: Column, table: Column) -> Column:
