@@ -19,52 +19,60 @@ def is_training(doc_id):
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 != 1
 
 
-def tree_of(texts, share=1e-6):
-    codes, n = S.grams(S.stream(split_words(pa.array(texts), LOWER)))
-    pairs, least = {}, max(2, int(share * n.sum()))
-    for depth in range(S.DEPTH, -1, -1):
-        context = codes >> np.uint64(8)
-        _, at = np.unique(context, return_inverse=True)
-        total = np.bincount(at, n).astype(np.int64)[at]
-        stay = total >= least
-        columns = [context.astype(np.int64), (codes & np.uint64(255)).astype(np.int64), n, total]
-        pairs[depth] = np.stack([c[stay] for c in columns], axis=1)
-        codes, at = np.unique(codes & np.uint64((1 << (8 * depth)) - 1), return_inverse=True)
-        n = np.bincount(at, n).astype(np.int64)
-    return S.build(pairs), S.retained(pairs)
+TEXTS = ["the cat sat on the mat", "the cat ran", "a cat sat on the hat and the cat sat on the mat", "Über the cat"] * 5
 
 
-TEXTS = ["the cat sat on the mat", "the cat ran", "a cat sat on the hat and the cat sat on the mat", "Über the cat"] * 5
+def tree_of(texts):
+    found = S.stream(split_words(pa.array(texts), LOWER))
+    codes, n = S.grams(found)
+    pair = codes >> (8 * S.DEPTH) << 8 | codes & 255
+    return S.subtree(codes, n, S.Roots.of(np.bincount(pair, n, 1 << 16), 1e-6)), found
 
 
-def test_distributions_sum_to_one():
-    tree, _ = tree_of(TEXTS)
-    unseen = 256 - (tree.classes < tree.width - 1).sum()
-    weight = np.ones(tree.width)
-    weight[-1] = unseen  # the last class stands for each unseen byte value
-    assert np.allclose((10 ** tree.log_p.astype(float)) @ weight, 1, atol=1e-4)
-
-
-def test_reading_follows_the_longest_retained_suffix():
-    tree, kept = tree_of(TEXTS)
-    index, i = {}, 0
-    for depth, contexts in enumerate(kept):
-        for c in contexts.tolist():
-            index[depth, c] = i
-            i += 1
-    assert len(index) > 50
-    words = split_words(pa.array(["the cat sat by the mat", "", "zebra the"]), LOWER)
-    found = S.stream(words)
-    got = S.read_symbols(found, tree)
+def plain_tree(found):
+    """Counts by context, and the contexts retained, by plain loops."""
+    counts = {}
     for start, end in zip(found.starts, found.ends):
         for at in range(start, end):
-            history = found.symbols[at - S.DEPTH : at].tolist()
-            for depth in range(S.DEPTH, -1, -1):
-                code = int.from_bytes(bytes(history[S.DEPTH - depth :]), "big")
-                if (depth, code) in index:
-                    break
-            want = tree.log_p[index[depth, code], tree.classes[found.symbols[at]]]
-            assert got[at] == pytest.approx(want)
+            for depth in range(S.DEPTH + 1):
+                counts.setdefault(bytes(found.symbols[at - depth : at]), Counter())[int(found.symbols[at])] += 1
+    kept = set()
+    for context in sorted(counts, key=len, reverse=True):
+        own, up = counts[context], counts[context[1:]]
+        total, up_total = sum(own.values()), sum(up.values())
+        ratio = sum(n * math.log(n / total / (up[s] / up_total)) for s, n in own.items())
+        longer = any(c[1:] == context for c in kept if len(c) == len(context) + 1)
+        if len(context) <= 1 or longer or (total >= 2 and ratio >= S.DIVERGENCE * (len(own) + 1)):
+            if total >= 2:
+                kept.add(context)
+    return counts, kept
+
+
+def plain_p(counts, kept, context, symbol):
+    while context not in kept:
+        context = context[1:]
+    own = counts[context]
+    up = plain_p(counts, kept, context[1:], symbol) if context else 1 / 256
+    return (own[symbol] + S.M * up) / (sum(own.values()) + S.M)
+
+
+def test_probabilities_like_plain_loops():
+    tree, found = tree_of(TEXTS)
+    counts, kept = plain_tree(found)
+    assert sum(len(level.contexts) for level in tree.levels) == sum(len(c) > 1 for c in kept) > 25
+    words = S.stream(split_words(pa.array(["the cat sat by the mat", "", "zebra the", *TEXTS[:4]]), LOWER))
+    got = S.read_symbols(words, tree)
+    for start, end in zip(words.starts, words.ends):
+        for at in range(start, end):
+            p = plain_p(counts, kept, bytes(words.symbols[at - S.DEPTH : at]), int(words.symbols[at]))
+            assert 10 ** float(got[at]) == pytest.approx(p, rel=1e-5)
+
+
+def test_distributions_sum_to_one():
+    tree, found = tree_of(TEXTS)
+    contexts = np.unique(S.coded(found)[1] >> 8)
+    codes = (contexts[:, None] << 8 | np.arange(256)).reshape(-1)
+    assert np.allclose((10 ** tree.log_p(codes).astype(float)).reshape(-1, 256).sum(1), 1, atol=1e-4)
 
 
 @pytest.mark.parametrize("frequent", [300_000, 3])
@@ -107,28 +115,24 @@ def test_empty_and_untrained(spark, no_docs):
     assert all(math.isfinite(r.score) for r in rows)
 
 
-def test_the_tree_has_no_greatest_size(monkeypatch):
-    monkeypatch.setattr(S, "MAX_STATES", 50)
-    tree, kept = tree_of(TEXTS)
-    assert len(tree.log_p) == sum(map(len, kept)) > 50
-
-
 def test_an_attested_context_stays_however_large_the_corpus(spark):
     rare = ["qaz"] * 60
     for others in (100, 4000):
         texts = rare + [" ".join(f"{i * 7919 % 9973:x} plain words" for i in range(j, j + 20)) for j in range(others)]
-        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-        levels = S.gram_levels(S.count_grams(docs))
-        n = levels[0].agg({"n": "sum"}).first()[0]
-        pairs = S.stored_pairs(levels, max(2, min(S.MIN_COUNT, int(S.MIN_SHARE * n))))
-        context = int.from_bytes(b"qa", "big")
-        assert S.retained_contexts(pairs)[1].filter(f"context = {context}").count() == 1
+        docs = spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)], "id long, text string")
+        after = S.count_words(docs, "text").filter("pair is not null").toArrow()
+        n = np.bincount(after["pair"].to_numpy(), after["n"].to_numpy(), 1 << 16)
+        roots = spark.sparkContext.broadcast(S.Roots.of(n, S.MIN_SHARE))
+        rows = S.tree_rows(S.count_grams(docs), roots)
+        context = int.from_bytes(b"aq", "big")  # newest first
+        assert rows.filter(f"depth = 2 and not is_pair and code = {context}").count() == 1
 
 
 @pytest.mark.parametrize("block, often", [(1 << 24, 500), (2000, 0)])
 def test_a_tree_that_is_not_broadcast_gives_the_same_scores(hard_docs, monkeypatch, block, often):
     monkeypatch.setattr(S, "BLOCK", block)
-    whole, joined = (S.score_documents(hard_docs, max_states=m, frequent_grams=often).collect() for m in (10**9, 0))
+    monkeypatch.setattr(S, "PER_TASK", 20_000)
+    whole, joined = (S.score_documents(hard_docs, max_rows=m, frequent_grams=often).collect() for m in (10**9, -1))
     key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.score)
     assert len(whole) == len(joined) == hard_docs.count()
     for a, b in zip(sorted(whole, key=key), sorted(joined, key=key)):

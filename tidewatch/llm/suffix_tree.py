@@ -3,17 +3,19 @@
 Texts are read as symbols: the bytes of each word (ASCII letters in lower case) and a blank after it, then a line feed as
 the end. The tree keeps contexts of up to DEPTH symbols. A context is a candidate from MIN_COUNT occurrences in training
 on (from MIN_SHARE of the positions, if that is less), and is retained if its next-symbol distribution diverges from that
-of its parent (the context without its oldest symbol) by a likelihood-ratio test. Parents and beginnings of retained
-contexts are kept as well, so that reading a symbol leads from the longest retained suffix to the next. Distributions are
-smoothed into the parent's: P(s|c) = (n(c,s) + M P(s|parent)) / (n(c) + M).
+of its parent (the context without its oldest symbol) by a likelihood-ratio test, or if a longer context with it as parent
+is retained; candidates of one symbol always are. Distributions are smoothed into the parent's:
+P(s|c) = (n(c,s) + M P(s|parent)) / (n(c) + M), which for unseen symbols is M / (n(c) + M) of the parent's.
 The tree's probability of spelling a token from the longest suffix state on is mixed with the token's training
 frequency; both are distributions over tokens, so the mixture is one too.
 
-All training positions are counted; every distinct gram of each task is added up by a shuffle. The tree has no
-greatest size: candidates, the test and the retained contexts are tables. Up to MAX_STATES states it is broadcast (about
-250 MB). A larger one is never gathered: the probability of each distinct gram of the corpus is found by joins, depth by
-depth; those of frequent grams are broadcast (a bounded table), and a block of about BLOCK bytes of text is scored beside
-those of its other grams. Both ways give the same scores.
+All training positions are counted. The different grams of each task move once, by the two newest symbols of their
+context; so a task has all contexts that end in these, adds their grams up, derives the shorter contexts' counts from
+them, tests and smooths. Contexts of one symbol need a table of 65,536 counts, made along with the word counts. What is
+written is the retained tree: a row for each context and for each symbol seen after it. The tree has no greatest size. Up
+to MAX_ROWS rows it is broadcast as sorted arrays (12 bytes a row). A larger one is never gathered: the same tasks give the
+probability of each different gram of the corpus; those of frequent grams are broadcast (a bounded table), and a block of
+about BLOCK bytes of text is scored beside those of its other grams. Both ways give the same scores.
 
 The base score needs the exact count of every word. Counts of frequent words are broadcast (a bounded table); the others
 are joined by word with the few occurrences that the table lacks.
@@ -43,7 +45,8 @@ from tidewatch.llm.words import LOWER, Words, large_text, pieces, released, spli
 DEPTH = 6  # symbols of the longest context
 MIN_COUNT = 32  # occurrences from which on a context is a candidate on every corpus
 MIN_SHARE = 2e-6  # of the training positions, where that is less than MIN_COUNT
-MAX_STATES = 120_000  # of a tree that is broadcast
+MAX_ROWS = 6_000_000  # of a tree that is broadcast, 72 MB
+PER_TASK = 8 << 20  # training positions whose grams one task puts together, about
 M = 16.0  # weight of the parent's distribution
 DIVERGENCE = 2.0  # of the log-likelihood ratio, for each stored symbol of a context
 FREQUENCY = 0.2  # weight of a token's training frequency beside its spelling
@@ -56,7 +59,6 @@ FREQUENT_GRAMS = 1_500_000  # whose probabilities are broadcast, about 18 MB
 BLOCK = 8 << 20  # bytes of text that are scored beside the probabilities of their grams
 BLOCK_PIECE = 2 << 20  # bytes of a block's text at a time
 ROW = 64  # bytes that a row counts besides its text
-LANES = 4096  # stretches of a piece that are read side by side
 
 
 @dataclass
@@ -83,26 +85,32 @@ def stream(words: Words) -> Stream:
     return Stream(symbols, starts, ends)
 
 
-def coded(found: Stream) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the texts' own symbols, and the run of DEPTH symbols and the next that ends at each, as a number of
-    8 * (DEPTH + 1) bits."""
+def places(found: Stream) -> np.ndarray:
+    """The places of the texts' own symbols."""
     inside = np.zeros(len(found.symbols) + 1, np.int32)
     np.add.at(inside, found.starts, 1)
     np.add.at(inside, found.ends, -1)
-    at = np.flatnonzero(np.cumsum(inside[:-1]))
-    code = np.zeros(len(at), np.uint64)
-    for back in range(DEPTH, -1, -1):
-        code = code << np.uint64(8) | found.symbols[at - back].astype(np.uint64)
+    return np.flatnonzero(np.cumsum(inside[:-1]))
+
+
+def coded(found: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the texts' own symbols, and the gram at each: its context from the newest symbol to the oldest, then
+    the symbol, as a number of 8 * (DEPTH + 1) bits."""
+    at = places(found)
+    code = np.zeros(len(at), np.int64)
+    for back in [*range(1, DEPTH + 1), 0]:
+        code = code << 8 | found.symbols[at - back].astype(np.int64)
     return at, code
 
 
 def grams(found: Stream) -> tuple[np.ndarray, np.ndarray]:
-    """The different runs of DEPTH symbols and the next, and their counts."""
+    """The different grams and their counts."""
     return np.unique(coded(found)[1], return_counts=True)
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
-    """Counts of all words of the texts (``word``, ``n``); each piece of a task is added up first."""
+    """Counts of all words of the texts (``word``, ``n``), and of all symbols after the one before (``pair``, ``n``); each
+    piece of a task is added up first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +119,18 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
                 times = np.bincount(words.ids, minlength=len(words.vocabulary))
                 some = np.flatnonzero(times)
                 names = words.vocabulary.take(pa.array(some)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([names, pa.array(times[some].astype(np.int64))], names=["word", "n"])
+                yield reported(names, pa.nulls(len(some), pa.int32()), times[some])
+                found = stream(words)
+                at = places(found)
+                times = np.bincount(found.symbols[at - 1].astype(np.int32) << 8 | found.symbols[at], minlength=1 << 16)
+                some = np.flatnonzero(times)
+                yield reported(pa.nulls(len(some), pa.string()), pa.array(some, pa.int32()), times[some])
 
-    return docs.select(text).mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def reported(names: pa.Array, pairs: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names, pairs, pa.array(n.astype(np.int64))], names=["word", "pair", "n"])
+
+    counted = docs.select(text).mapInArrow(released(count), "word string, pair int, n long")
+    return counted.groupBy("word", "pair").agg(F.sum("n").alias("n"))
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
@@ -135,29 +152,36 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(released(cut), kind)
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """The different grams of all texts (``code``) and how often they occur in training (``n``); each task adds up its
-    own first, HELD at a time."""
+def count_grams(docs: DataFrame, held_out: bool = False) -> DataFrame:
+    """The different grams of each task's texts (``code``) and how often they occur in training (``n``), HELD at a time;
+    with ``held_out`` also those that occur elsewhere only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 text, training = piece.column("text"), piece.column("training")
                 seen, times = grams(stream(split_words(text.filter(training), LOWER)))
-                other, _ = grams(stream(split_words(text.filter(pc.invert(training)), LOWER)))
-                codes, at = np.unique(np.concatenate([codes, seen, other]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n, times, np.zeros(len(other))]), len(codes)).astype(np.int64)
+                other = grams(stream(split_words(text.filter(pc.invert(training)), LOWER)))[0] if held_out else seen[:0]
+                made = np.concatenate([codes, seen, other]), np.concatenate([n, times, np.zeros(len(other), np.int64)])
+                codes, n = added_up(*made)
                 if len(codes) > HELD:
                     yield reported(codes, n)
                     codes, n = codes[:0], n[:0]
         yield reported(codes, n)
 
     def reported(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
 
     marked = docs.select("text", is_training(F.col("id")).alias("training"))
-    return marked.mapInArrow(released(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    marked = marked if held_out else marked.filter("training")
+    return marked.mapInArrow(released(count), "code long, n long")
+
+
+def added_up(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes in order, and the sums of their counts."""
+    different, at = np.unique(codes, return_inverse=True)
+    return different, np.bincount(at, n, len(different)).astype(np.int64)
 
 
 def block_grams(blocks: DataFrame, hot: Broadcast) -> DataFrame:
@@ -174,7 +198,7 @@ def block_grams(blocks: DataFrame, hot: Broadcast) -> DataFrame:
                         codes = codes[:0]
                     last = block
                     own = piece.column("text").filter(pa.array(numbers == block))
-                    found = pa.array(grams(stream(split_words(own, LOWER)))[0].view(np.int64))
+                    found = pa.array(grams(stream(split_words(own, LOWER)))[0])
                     rare = found.filter(pc.invert(pc.is_in(found, pa.array(hot.value[0]))))
                     codes = np.union1d(codes, rare.to_numpy())
         if len(codes):
@@ -186,178 +210,156 @@ def block_grams(blocks: DataFrame, hot: Broadcast) -> DataFrame:
     return blocks.select("block", "text").mapInArrow(released(list_grams), "of_block long, code long")
 
 
-def low(code: str, symbols: int) -> Column:
-    """The newest symbols of a gram or context."""
-    return F.col(code).bitwiseAND((1 << (8 * symbols)) - 1)
-
-
-def gram_levels(grams: DataFrame) -> list[DataFrame]:
-    """For each depth the grams of so many symbols and the next (``code``) and their counts in training (``n``)."""
-    found = [written(grams)]
-    for depth in range(DEPTH, 0, -1):
-        found.append(written(found[-1].groupBy(low("code", depth).alias("code")).agg(F.sum("n").alias("n"))))
-    return found[::-1]
-
+@dataclass
+class Roots:
+    """Counts and smoothed probabilities of each symbol after each one symbol (number of that << 8 | symbol)."""
 
-def stored_pairs(levels: list[DataFrame], least: int) -> list[DataFrame]:
-    """For each depth the grams of candidates (``code``, ``n``, ``all``: n of the context)."""
-    found = []
-    for level in levels:
-        level = level.filter("n > 0").withColumn("context", F.shiftrightunsigned("code", 8))
-        whole = level.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= least)
-        found.append(written(level.join(whole, "context").select("code", "n", "all")))
-    return found
+    n: np.ndarray
+    p: np.ndarray
+    least: int  # occurrences from which on a context is a candidate
 
+    @staticmethod
+    def of(n: np.ndarray, min_share: float) -> Roots:
+        n = n.reshape(256, 256).astype(np.float64)
+        least = max(2, min(MIN_COUNT, int(min_share * n.sum())))
+        p0 = (n.sum(0) + M / 256) / (n.sum() + M)
+        all_ = n.sum(1, keepdims=True)
+        p1 = np.where(all_ >= least, (n + M * p0) / (all_ + M), p0)
+        return Roots(n.reshape(-1), p1.reshape(-1), least)
 
-def by_context(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.shiftrightunsigned("code", 8).alias("context"), low("code", 1).alias("symbol"), "n", "all")
 
+@dataclass
+class Level:
+    """Retained contexts of one depth (newest symbol first) and the symbols seen after them, in order."""
 
-def retained_contexts(pairs: list[DataFrame], divergence: float = DIVERGENCE) -> list[DataFrame]:
-    """What ``retained`` gives, as tables (``context``, ``all``), without the empty context."""
-    kept, more = [], None
-    for depth in range(DEPTH, 0, -1):
-        own = pairs[depth].withColumn("shorter", low("code", depth))
-        up = pairs[depth - 1].select(
-            F.col("code").alias("shorter"), F.col("n").alias("n_up"), F.col("all").alias("all_up")
-        )
-        ratio = F.col("n") * F.log(F.col("n") / F.col("all") / (F.col("n_up") / F.col("all_up")))
-        tested = own.join(up, "shorter").groupBy(F.shiftrightunsigned("code", 8).alias("context"))
-        tested = tested.agg(F.sum(ratio).alias("ratio"), F.count("*").alias("symbols"))
-        names = tested.filter(F.col("ratio") >= divergence * (F.col("symbols") + 1)).select("context")
-        names = names if more is None else names.union(more).distinct()
-        totals = by_context(pairs[depth]).groupBy("context").agg(F.max("all").alias("all"))
-        kept.append(written(names.join(totals, "context")))
-        begin = kept[-1].select(F.shiftrightunsigned("context", 8).alias("context"))
-        more = begin.union(kept[-1].select(low("context", depth - 1).alias("context")))
-    return kept[::-1]
-
-
-def gathered(pairs: list[DataFrame], kept: list[DataFrame]) -> tuple[dict[int, np.ndarray], list[np.ndarray]]:
-    """The pairs of the retained contexts and these contexts, in order, for each depth, as ``build`` takes them."""
-    found, names = {}, [np.zeros(1, np.int64)]
-    for depth in range(DEPTH + 1):
-        rows = by_context(pairs[depth])
-        rows = (rows.join(kept[depth - 1].select("context"), "context", "left_semi") if depth else rows).toArrow()
-        found[depth] = np.stack([rows[c].to_numpy().astype(np.int64) for c in rows.column_names], axis=1)
-        if depth:
-            names.append(np.unique(found[depth][:, 0]))
-    return found, names
-
-
-def gram_scores(levels: list[DataFrame], kept: list[DataFrame], trained: int) -> DataFrame:
-    """Of each gram of DEPTH symbols and the next (``code``) the log10 probability (``log_p``) of the next symbol after
-    the longest retained context. Each depth smooths its counts into the probabilities of the one before."""
-    n = F.col("n") if trained else F.lit(0)
-    found = levels[0].select("code", ((n + M / 256) / F.lit(trained + M)).alias("p"))
-    for depth in range(1, DEPTH + 1):
-        level = levels[depth].withColumn("shorter", low("code", depth))
-        joined = level.join(found.select(F.col("code").alias("shorter"), "p"), "shorter")
-        joined = joined.withColumn("context", F.shiftrightunsigned("code", 8)).join(kept[depth - 1], "context", "left")
-        own = (F.col("n") + F.lit(M) * F.col("p")) / (F.col("all") + F.lit(M))
-        found = joined.select("code", F.coalesce(own, "p").alias("p"))
-    return found.select("code", F.log10("p").cast("float").alias("log_p"))
+    contexts: np.ndarray
+    unseen: np.ndarray  # log10 of the part of the parent's probability that symbols without a row get
+    pairs: np.ndarray  # context << 8 | symbol
+    log_p: np.ndarray
 
 
 @dataclass
 class Tree:
-    """States of the tree: for each state and symbol class the log10 probability and the next state."""
-
-    classes: np.ndarray  # of each byte value
-    log_p: np.ndarray
-    step: np.ndarray
-
-    @property
-    def width(self) -> int:
-        return self.log_p.shape[1]
-
-
-def candidates(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts of one depth in order, their counts, and for each pair the row of its context."""
-    contexts, first, row = np.unique(pairs[:, 0], return_index=True, return_inverse=True)
-    return contexts, pairs[first, 3], row
-
-
-def suffix(context: np.ndarray, depth: int) -> np.ndarray:
-    """Contexts of that depth without their oldest symbol."""
-    return context & ((1 << (8 * (depth - 1))) - 1)
-
-
-def diverging(pairs: dict[int, np.ndarray], depth: int, divergence: float) -> np.ndarray:
-    """The contexts of a depth whose distribution differs from their parent's: a log-likelihood ratio over the stored
-    symbols, and over the others taken together."""
-    own, up = pairs[depth], pairs[depth - 1]
-    contexts, total, row = candidates(own)
-    parents, parent_total, _ = candidates(up)
-    parent = np.searchsorted(parents, suffix(contexts, depth))
-    keys = up[:, 0] << 8 | up[:, 1]
-    order = np.argsort(keys)
-    wanted = suffix(own[:, 0], depth) << 8 | own[:, 1]
-    at = order[np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)]
-    n_up = np.where(keys[at] == wanted, up[at, 2], 0.5)
-    p, q = own[:, 2] / total[row], n_up / parent_total[parent][row]
-    stored, stored_up = np.bincount(row, p), np.bincount(row, q)
-    rest, rest_up = np.clip(1 - stored, 0, 1), np.maximum(1 - stored_up, 1e-9)
-    ratio = np.bincount(row, own[:, 2] * np.log(p / q)) + total * rest * np.log(np.maximum(rest, 1e-12) / rest_up)
-    return contexts[ratio >= divergence * (np.bincount(row) + 1)]
-
-
-def retained(pairs: dict[int, np.ndarray], divergence: float = DIVERGENCE) -> list[np.ndarray]:
-    """The contexts of the tree, in order, for each depth: those that diverge, and their beginnings and suffixes."""
-    if not len(pairs[0]):
-        return [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * DEPTH
-    kept = [np.zeros(1, np.int64)] + [diverging(pairs, d, divergence) for d in range(1, DEPTH + 1)]
-    for depth in range(DEPTH, 1, -1):
-        kept[depth - 1] = np.unique(np.concatenate([kept[depth - 1], kept[depth] >> 8, suffix(kept[depth], depth)]))
-    return kept
-
-
-def build(pairs: dict[int, np.ndarray], kept: list[np.ndarray] | None = None) -> Tree:
-    """The states of the tree with smoothed distributions and transitions, shorter contexts first."""
-    kept = retained(pairs) if kept is None else kept
-    first = np.cumsum([0, *map(len, kept)])
-    seen = np.unique(np.concatenate([pairs[0][:, 1], [END, BLANK]]))
-    classes = np.full(256, len(seen), np.int64)  # the last class is each byte value that was never seen
-    classes[seen] = np.arange(len(seen))
-    width = len(seen) + (len(seen) < 256)
-    p, step = np.full((first[-1], width), 1 / 256), np.zeros((first[-1], width), np.int32)
-    for depth, contexts in enumerate(kept):
-        own = slice(first[depth], first[depth + 1])
-        if depth:
-            # reading a context's newest symbol after the rest of it leads to the context
-            begin = first[depth - 1] + np.searchsorted(kept[depth - 1], contexts >> 8)
-            step[begin, classes[contexts & 255]] = np.arange(own.start, own.stop)
-            parent = first[depth - 1] + np.searchsorted(kept[depth - 1], suffix(contexts, depth))
-            p[own], step[own] = p[parent], step[parent]
-        rows = pairs[depth][np.isin(pairs[depth][:, 0], contexts)]
-        at = np.searchsorted(contexts, rows[:, 0])
-        total = np.zeros(len(contexts))
-        total[at] = rows[:, 3]
-        rest = total - np.bincount(at, rows[:, 2], len(contexts)) + M
-        level = p[own] * rest[:, None]
-        level[at, classes[rows[:, 1]]] += rows[:, 2]
-        p[own] = level / (total + M)[:, None]
-    return Tree(classes, np.log10(p).astype(np.float32), step)
+    roots: np.ndarray  # log10 probabilities, as in Roots
+    levels: list[Level]  # from two symbols on
+
+    def log_p(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of each gram after its longest retained context. Fast in order."""
+        last = codes & 255
+        out = self.roots[codes >> (8 * DEPTH) << 8 | last].astype(np.float32)
+        open_ = np.arange(len(codes))
+        for depth, level in enumerate(self.levels, 2):
+            if not len(open_) or not len(level.contexts):
+                break
+            context = codes[open_] >> (8 * (DEPTH - depth + 1))
+            at, has = position(level.contexts, context)
+            open_, at = open_[has], at[has]
+            pair, seen = position(level.pairs, context[has] << 8 | last[open_])
+            out[open_] = np.where(seen, level.log_p[pair], out[open_] + level.unseen[at])
+        return out
+
+
+def position(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value stands among ``values`` (in order, at least one), and whether it does."""
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return at, values[at] == wanted
+
+
+def subtree(codes: np.ndarray, n: np.ndarray, roots: Roots, divergence: float = DIVERGENCE) -> Tree:
+    """The tree below contexts of one symbol, from all grams (in order) whose contexts end in some two symbols."""
+    keys, found = codes[n > 0], [n[n > 0]]
+    shorter = lambda keys: keys >> 16 << 8 | keys & 255
+    pairs = [keys]
+    for _ in range(DEPTH, 2, -1):
+        keys, times = added_up(shorter(pairs[0]), found[0])
+        pairs, found = [keys, *pairs], [times, *found]
+    made, ratios, up = [], [], None
+    for keys, times in zip(pairs, found):
+        context = keys >> 8
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        total = np.bincount(row, times, len(first))
+        if up is None:
+            parent = shorter(keys)
+            q = roots.n[parent] / roots.n.reshape(256, 256).sum(1)[parent >> 8]
+        else:
+            parent = np.searchsorted(up, shorter(keys))
+            q = ratios[-1][parent]
+        ratios.append(times / total[row])
+        gain = np.bincount(row, times * np.log(ratios[-1] / q), len(first))
+        kept = (total >= roots.least) & (gain >= divergence * (np.bincount(row, minlength=len(first)) + 1))
+        made.append((context[first], row, total, kept, parent))
+        up = keys
+    for shorter_, longer in reversed(list(zip(made, made[1:]))):
+        shorter_[3][np.searchsorted(shorter_[0], longer[0][longer[3]] >> 8)] = True
+    levels, p = [], roots.p
+    for keys, times, (contexts, row, total, kept, parent) in zip(pairs, found, made):
+        up = p[parent]
+        p = np.where(kept[row], (times + M * up) / (total[row] + M), up)
+        own = kept[row]
+        unseen = np.log10(M / (total[kept] + M)).astype(np.float32)
+        levels.append(Level(contexts[kept], unseen, keys[own], np.log10(p[own]).astype(np.float32)))
+    return Tree(np.log10(roots.p), levels)
+
+
+def by_ending(grams: DataFrame, roots: Broadcast, make: Callable[..., Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+    """``make`` of the grams (``codes``, ``n``) and the tree of each partition, all of whose contexts end in the same two
+    symbols or in others that are whole as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(c).to_numpy() for c in ("code", "n")] for b in batches if len(b)]
+        if got:
+            codes, n = added_up(*(np.concatenate(part) for part in zip(*got)))
+            del got
+            yield from make(codes, n, subtree(codes, n, roots.value))
+
+    parts = max(1, -(-int(roots.value.n.sum()) // PER_TASK))
+    ending = F.shiftrightunsigned("code", 8 * (DEPTH - 1))
+    return grams.repartition(parts, ending).mapInArrow(released(run), kind)
+
+
+def tree_rows(grams: DataFrame, roots: Broadcast) -> DataFrame:
+    """The retained tree: ``depth``, ``pair`` (or null) or ``context`` (or null), ``value``."""
+
+    def make(codes: np.ndarray, n: np.ndarray, tree: Tree) -> Iterator[pa.RecordBatch]:
+        for depth, level in enumerate(tree.levels, 2):
+            for is_pair, keys, values in ((True, level.pairs, level.log_p), (False, level.contexts, level.unseen)):
+                columns = [np.full(len(keys), depth, np.int8), np.full(len(keys), is_pair), keys, values]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["depth", "is_pair", "code", "value"])
+
+    return by_ending(grams, roots, make, "depth byte, is_pair boolean, code long, value float")
+
+
+def gathered(rows: DataFrame, roots: Roots) -> Tree:
+    """A tree of bounded size as arrays in order."""
+    found = rows.toArrow()
+    depth, is_pair, code, value = (found[c].to_numpy() for c in ("depth", "is_pair", "code", "value"))
+    levels = []
+    for d in range(2, DEPTH + 1):
+        parts = []
+        for some in ((depth == d) & ~is_pair, (depth == d) & is_pair):
+            order = np.argsort(code[some])
+            parts += [code[some][order], value[some][order]]
+        levels.append(Level(*parts))
+    return Tree(np.log10(roots.p), levels)
+
+
+def gram_scores(grams: DataFrame, roots: Broadcast) -> DataFrame:
+    """Of each different gram (``code``) the log10 probability (``log_p``) of its last symbol, and its count (``n``)."""
+
+    def make(codes: np.ndarray, n: np.ndarray, tree: Tree) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (codes, n, tree.log_p(codes))], names=["code", "n", "log_p"])
+
+    return by_ending(grams, roots, make, "code long, n long, log_p float")
 
 
 def read_symbols(found: Stream, tree: Tree) -> np.ndarray:
-    """log10 probability of each symbol of the stream. The stream is cut into stretches that are read side by side; each
-    starts DEPTH symbols early, after which its state no longer depends on where it started."""
-    n = len(found.symbols)
-    size = max(1, -(-n // LANES))
-    padded = np.full(LANES * size + DEPTH, END, np.uint8)
-    padded[DEPTH : DEPTH + n] = found.symbols
-    classes = tree.classes[padded].astype(np.int32)
-    at = np.arange(LANES) * size
-    state = np.zeros(LANES, np.int32)
-    log_p, step, width = tree.log_p.reshape(-1), tree.step.reshape(-1), tree.width
-    out = np.empty((size, LANES), np.float32)
-    for t in range(size + DEPTH):
-        cell = state * width + classes[at + t]
-        if t >= DEPTH:
-            out[t - DEPTH] = log_p[cell]
-        state = step[cell]
-    return out.T.reshape(-1)[:n]
+    """log10 probability of each of the texts' own symbols."""
+    at, code = coded(found)
+    different, row = np.unique(code, return_inverse=True)
+    out = np.zeros(len(found.symbols), np.float32)
+    out[at] = tree.log_p(different)[row]
+    return out
 
 
 def look_up(found: Stream, *tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -365,7 +367,7 @@ def look_up(found: Stream, *tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     at, code = coded(found)
     out = np.zeros(len(found.symbols), np.float32)
     for codes, log_p in tables:
-        row = pc.index_in(pa.array(code.view(np.int64)), pa.array(codes))
+        row = pc.index_in(pa.array(code), pa.array(codes))
         has = row.is_valid().to_numpy(zero_copy_only=False)
         out[at[has]] = log_p[row.drop_null().to_numpy()]
         at, code = at[~has], code[~has]
@@ -405,21 +407,20 @@ def score_documents(
     text: str = "text",
     min_share: float = MIN_SHARE,
     frequent: int = FREQUENT,
-    max_states: int = MAX_STATES,
+    max_rows: int = MAX_ROWS,
     frequent_grams: int = FREQUENT_GRAMS,
 ) -> DataFrame:
     """Per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``. A tree
-    of more than ``max_states`` states is not broadcast."""
+    of more than ``max_rows`` rows is not broadcast."""
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     context = docs.sparkSession.sparkContext
     training = docs.filter(is_training(F.col("id")))
-    levels = gram_levels(count_grams(docs))
-    positions = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    least = max(2, min(MIN_COUNT, int(min_share * positions)))
-    pairs = stored_pairs(levels, least)
-    kept = retained_contexts(pairs)
-    tree = build(*gathered(pairs, kept)) if 1 + sum(k.count() for k in kept) <= max_states else None
-    counts = written(count_words(training, "text"))
+    both = written(count_words(training, "text"))
+    counts, after = both.filter("word is not null").select("word", "n"), both.filter("pair is not null").toArrow()
+    n_after = np.bincount(after["pair"].to_numpy(), after["n"].to_numpy(), 1 << 16)
+    roots = context.broadcast(Roots.of(n_after, min_share))
+    rows_of_tree = written(tree_rows(count_grams(docs), roots))
+    tree = gathered(rows_of_tree, roots.value) if rows_of_tree.count() <= max_rows else None
     texts = training.count()
     sums = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_tokens, n_different = sums["n"] + texts, sums["v"] + (texts > 0)
@@ -496,11 +497,10 @@ def score_documents(
     else:
         # frequent grams are broadcast, of the others only the block's own stand beside its texts
         blocks = written(in_blocks(docs))
-        table = written(gram_scores(levels, kept, positions if positions >= least else 0))
-        often = levels[DEPTH].filter(F.col("n") >= least_count(levels[DEPTH], frequent_grams)).select("code")
-        often = table.join(often, "code").toArrow()
+        table = written(gram_scores(count_grams(docs, held_out=True), roots))
+        often = table.filter(F.col("n") >= least_count(table, frequent_grams)).select("code", "log_p").toArrow()
         hot_grams = context.broadcast(tuple(often[c].to_numpy() for c in ("code", "log_p")))
-        rare = block_grams(blocks, hot_grams).join(table, "code")
+        rare = block_grams(blocks, hot_grams).join(table.drop("n"), "code")
         sides = blocks.groupBy("block").cogroup(rare.groupBy("of_block"))
         scores = sides.applyInArrow(score_block, kind)
     found = written(scores)
