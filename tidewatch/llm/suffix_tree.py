@@ -42,7 +42,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidewatch.llm.store import least_count, written
 from tidewatch.llm.words import LOWER, Words, large_text, pieces, released, split_words, text_bytes, text_sums
 
-DEPTH = 6  # symbols of the longest context
+DEPTH = 6  # symbols of the longest context; `coded` puts four and two together
 MIN_COUNT = 32  # occurrences from which on a context is a candidate on every corpus
 MIN_SHARE = 2e-6  # of the training positions, where that is less than MIN_COUNT
 MAX_ROWS = 6_000_000  # of a tree that is broadcast, 72 MB
@@ -54,6 +54,7 @@ END, BLANK = 10, 32
 FREQUENT = 300_000  # words whose counts are broadcast
 LONGEST = 64  # bytes of such a word
 PIECE = 8 << 20  # bytes of text at a time
+SCORED = 4 << 20  # bytes of text scored at a time
 HELD = 4_000_000  # different grams that a task holds before it reports
 FREQUENT_GRAMS = 1_500_000  # whose probabilities are broadcast, about 18 MB
 BLOCK = 8 << 20  # bytes of text that are scored beside the probabilities of their grams
@@ -97,10 +98,12 @@ def coded(found: Stream) -> tuple[np.ndarray, np.ndarray]:
     """The places of the texts' own symbols, and the gram at each: its context from the newest symbol to the oldest, then
     the symbol, as a number of 8 * (DEPTH + 1) bits."""
     at = places(found)
-    code = np.zeros(len(at), np.int64)
-    for back in [*range(1, DEPTH + 1), 0]:
-        code = code << 8 | found.symbols[at - back].astype(np.int64)
-    return at, code
+    symbols = found.symbols
+    two, four = (np.zeros(len(symbols), kind) for kind in (np.uint16, np.uint32))  # newest symbols up to each place
+    two[1:] = symbols[1:].astype(np.uint16) << 8 | symbols[:-1]
+    four[3:] = two[3:].astype(np.uint32) << 16 | two[1:-2]
+    code = four[at - 1].astype(np.int64) << 16 | two[at - 5]
+    return at, code << 8 | symbols[at]
 
 
 def grams(found: Stream) -> tuple[np.ndarray, np.ndarray]:
@@ -356,9 +359,13 @@ def gram_scores(grams: DataFrame, roots: Broadcast) -> DataFrame:
 def read_symbols(found: Stream, tree: Tree) -> np.ndarray:
     """log10 probability of each of the texts' own symbols."""
     at, code = coded(found)
-    different, row = np.unique(code, return_inverse=True)
+    different = pa.array(code).dictionary_encode()
+    codes = different.dictionary.to_numpy()
+    order = np.argsort(codes)
+    log_p = np.empty(len(codes), np.float32)
+    log_p[order] = tree.log_p(codes[order])
     out = np.zeros(len(found.symbols), np.float32)
-    out[at] = tree.log_p(different)[row]
+    out[at] = log_p[different.indices.to_numpy()]
     return out
 
 
@@ -477,7 +484,7 @@ def score_documents(
         known, tree = opened()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for piece in pieces(batch, "text", PIECE):
+            for piece in pieces(batch, "text", SCORED):
                 yield from scored(piece, key, known, lambda found: read_symbols(found, tree))
                 key += len(piece)
 
