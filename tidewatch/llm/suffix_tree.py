@@ -53,9 +53,8 @@ FREQUENCY = 0.2  # weight of a token's training frequency beside its spelling
 END, BLANK = 10, 32
 FREQUENT = 300_000  # words whose counts are broadcast
 LONGEST = 64  # bytes of such a word
-PIECE = 8 << 20  # bytes of text at a time
-SCORED = 4 << 20  # bytes of text scored at a time
-HELD = 4_000_000  # different grams that a task holds before it reports
+PIECE = 3 << 20  # bytes of text at a time
+HELD = 3_000_000  # grams that a task holds, different within each piece, before it adds them up and reports
 FREQUENT_GRAMS = 1_500_000  # whose probabilities are broadcast, about 18 MB
 BLOCK = 8 << 20  # bytes of text that are scored beside the probabilities of their grams
 BLOCK_PIECE = 2 << 20  # bytes of a block's text at a time
@@ -160,18 +159,19 @@ def count_grams(docs: DataFrame, held_out: bool = False) -> DataFrame:
     with ``held_out`` also those that occur elsewhere only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 text, training = piece.column("text"), piece.column("training")
-                seen, times = grams(stream(split_words(text.filter(training), LOWER)))
-                other = grams(stream(split_words(text.filter(pc.invert(training)), LOWER)))[0] if held_out else seen[:0]
-                made = np.concatenate([codes, seen, other]), np.concatenate([n, times, np.zeros(len(other), np.int64)])
-                codes, n = added_up(*made)
-                if len(codes) > HELD:
-                    yield reported(codes, n)
-                    codes, n = codes[:0], n[:0]
-        yield reported(codes, n)
+                held.append(grams(stream(split_words(text.filter(training), LOWER))))
+                if held_out:
+                    other = grams(stream(split_words(text.filter(pc.invert(training)), LOWER)))[0]
+                    held.append((other, np.zeros(len(other), np.int64)))
+                if sum(len(codes) for codes, _ in held) > HELD:
+                    yield reported(*added_up(*map(np.concatenate, zip(*held))))
+                    held.clear()
+        if held:
+            yield reported(*added_up(*map(np.concatenate, zip(*held))))
 
     def reported(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
@@ -484,7 +484,7 @@ def score_documents(
         known, tree = opened()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for piece in pieces(batch, "text", SCORED):
+            for piece in pieces(batch, "text", PIECE):
                 yield from scored(piece, key, known, lambda found: read_symbols(found, tree))
                 key += len(piece)
 
