@@ -269,3 +269,45 @@ def test_drain_in_a_stream_equals_a_batch_run(spark, tmp_path):
     assert len(got) == 297 and len(set(got.values())) < 250
     with pytest.raises(ValueError):
         write_templates(logs, "unused", "unused", once=True, forget_after_days=7)
+
+
+class Held:
+    """A state variable in memory, as the processor sees it."""
+
+    def __init__(self):
+        self.rows = {}
+
+    def exists(self):
+        return bool(self.rows)
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+
+def test_one_call_takes_many_leaves(monkeypatch):
+    """A leaf of one shape each, and one of many patterns, over three micro-batches."""
+    import pandas as pd
+
+    from tidewatch.operators.templates import _greedy
+    from tidewatch.streaming import templates as S
+
+    monkeypatch.setattr(S, "BLOCK", 2)
+    state = S.LeafState(["line_number", "template_id"], 0.6, None)
+    state.members, state.patterns = Held(), Held()
+    crowded = [f"job {a} {b} {a}" for a in "abcdefg" for b in "xy"] * 2
+    texts = [*(" ".join(["w"] * n) for n in range(1, 40)), *crowded]
+    rows = pd.DataFrame({"template": texts, "line_number": range(len(texts))})
+    rows = rows.assign(template_id="id " + rows["template"], timestamp=pd.Timestamp(START))
+    rows["leaf"] = ["crowded" if t in crowded else t for t in texts]
+    parts = [rows[:20], rows[20:50], rows[50:]]
+    got = pd.concat([out for p in parts for out in state.handleInputRows(None, iter([p[:7], p[7:]]), None)])
+    order = list(dict.fromkeys(crowded))
+    member = _greedy([t.split(" ") for t in order], 0.6).member
+    assert 2 < len(set(member)) < len(order)
+    opened = {m: t for t, m in reversed(list(zip(order, member)))}
+    cluster = {t: opened[m] for t, m in zip(order, member)}
+    assert list(got["template_id"]) == ["id " + cluster.get(t, t) for t in texts]
+    assert len({block for leaf, block in state.patterns.rows if leaf == "crowded"}) > 1

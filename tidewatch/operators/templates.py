@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scalars import let
 from tidewatch.functions.skew import numbered, row_numbers
 from tidewatch.session import cut_lineage, grouped
 
@@ -26,14 +28,20 @@ MASKS = (
     r"[0-9]+(\.[0-9]+)?",
 )
 CONTAINED = ("-", ".", "0x", "")
+BLANKS = r"[\t\r\n][ \t\r\n]*| [ \t\r\n]+"  # runs of blanks other than a single space
 
 
 def shape(message: Column) -> Column:
     """The message with ids, addresses and numbers masked and blanks folded."""
+
+
+    def masked(mask: str, part: str) -> Callable[[Column], Column]:  # looking for a part is cheaper than for the kind
+        return lambda text: F.when(text.contains(part), F.regexp_replace(text, mask, WILDCARD)).otherwise(text)
+
     out = message
-    for mask, part in zip(MASKS, CONTAINED):  # looking for a part is much cheaper than for the kind
-        out = F.when(out.contains(part), F.regexp_replace(out, mask, WILDCARD)).otherwise(out)
-    return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
+    for mask, part in zip(MASKS, CONTAINED):
+        out = let(out, masked(mask, part))
+    return F.trim(F.regexp_replace(out, BLANKS, " "))
 
 
 def template_id(source: Column, template: Column) -> Column:
