@@ -95,11 +95,8 @@ select * from seen where detected_at >= timestamp '2024-01-05' order by detected
 def recent_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = V.log_anomalies(spark, sf_dir), V.metric_anomalies(spark, sf_dir)
     now = F.lit("2024-02-01").cast("timestamp")
-    pairs = J.find_correlations(left, right, now, min_confidence=0.0).drop("detected_at")
-    pairs = pairs.join(left.select(F.col("id").alias("log_event_id"), F.col("detected_at").alias("a")), "log_event_id")
-    pairs = pairs.join(right.select(F.col("id").alias("metric_event_id"), F.col("detected_at").alias("b")), "metric_event_id")
-    seen = pairs.select("id", "log_event_id", "metric_event_id", F.greatest("a", "b").alias("detected_at"))
-    return L.recent_correlations(seen, datetime(2024, 1, 5))
+    seen = J.newest_correlations(left, right, now, limit=100)
+    return L.recent_correlations(seen, datetime(2024, 1, 5), limit=100)
 
 
 @check(

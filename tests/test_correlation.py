@@ -138,3 +138,23 @@ def test_row_numbers_at_one_instant(spark):
         got = row_numbers(df, ["g"], "t", ["t", "i"], "n", crowded)
         assert got.columns == ["g", "t", "i", "n"] and {r.i: r.n for r in got.collect()} == want
     assert {r.i: r.n for r in numbered(df, ["g"], ["t", "i"], "n").collect()} == want
+
+
+def test_newest_correlations_makes_few_pairs(spark):
+    """The newest pairs of all, from a few hundred of 40,000; repeated ids, ties, and rows without a time."""
+    random.seed(11)
+    sides = []
+    for side in "lm":
+        rows = [(f"{side}{i}", random.randint(0, 90), None, None) for i in range(200)]
+        rows += [(f"{side}7", 95, None, None), (None, 99, None, None), (f"{side}8", 9000, None, None)]
+        sides.append(events(spark, *rows).unionByName(spark.createDataFrame([(f"{side}x", None, None, None)], SCHEMA)))
+    left, right = sides
+    pairs = J.find_correlations(left, right, now(), min_confidence=0.0).drop("detected_at")
+    at = [df.select(F.col("id").alias(f"{n}_event_id"), F.col("detected_at").alias(c)) for df, n, c in zip(sides, ("log", "metric"), "ab")]
+    whole = pairs.join(at[0], "log_event_id").join(at[1], "metric_event_id")
+    whole = whole.select("id", "log_event_id", "metric_event_id", F.greatest("a", "b").alias("detected_at"))
+    for limit in (1, 30, 100_000):
+        found = J.newest_correlations(left, right, now(), limit).cache()
+        order = [F.desc("detected_at"), "id"]
+        assert found.orderBy(*order).limit(limit).collect() == whole.orderBy(*order).limit(limit).collect()
+        assert limit == 100_000 or found.count() < 20_000

@@ -72,6 +72,48 @@ def find_correlations(
     )
 
 
+def _seen(anomalies: DataFrame, side: str, as_of: Column) -> DataFrame:
+    """The side's columns with the times at which its id was seen (``<side>_at``), a row for each of them."""
+    at = anomalies.select(F.col("id").alias(f"{side}_event_id"), F.col("detected_at").alias(f"{side}_at"))
+    return _side(anomalies, side, as_of).join(at, f"{side}_event_id")
+
+
+def newest_correlations(
+    log_anomalies: DataFrame,
+    metric_anomalies: DataFrame,
+    as_of: Column,
+    limit: int,
+    window_seconds: float = WINDOW_SECONDS,
+) -> DataFrame:
+    """Pairs of any confidence within the window, with the later time of both, among them the ``limit`` newest.
+
+    Not all pairs are made. A log anomaly with a metric anomaly in its own time bucket has a pair that is at least as
+    new as itself, so the ``limit`` newest of these bound the time of what is asked for from below, and each pair as
+    new as that has a side that is. Only those are joined to the others. Without so many, all pairs are made.
+    """
+    width = int(window_seconds * 1_000_000)
+    left, right = _seen(log_anomalies, "log", as_of), _seen(metric_anomalies, "metric", as_of)
+    buckets = right.select(F.floor(F.col("metric_time") / width).alias("__bucket")).distinct()
+    paired = left.withColumn("__bucket", F.floor(F.col("log_time") / width)).join(buckets, "__bucket", "left_semi")
+    newest = paired.filter("log_at is not null").select(F.unix_micros("log_at").alias("at")).orderBy(F.desc("at")).limit(limit)
+    bound = newest.agg(F.count("*").alias("n"), F.min("at").alias("at")).first()
+
+    def joined(logs: DataFrame, metrics: DataFrame) -> DataFrame:
+        return interval_join(logs, metrics, "log_time", "metric_time", width)
+
+    if bound["n"] < limit:
+        pairs = joined(left, right)
+    else:
+        new_log, new_metric = (F.coalesce(F.unix_micros(c) >= bound["at"], F.lit(False)) for c in ("log_at", "metric_at"))
+        pairs = joined(left.filter(new_log), right).unionByName(joined(left.filter(~new_log), right.filter(new_metric)))
+    return pairs.select(
+        S.stable_id(F.col("log_event_id"), F.col("metric_event_id")).alias("id"),
+        "log_event_id",
+        "metric_event_id",
+        F.greatest("log_at", "metric_at").alias("detected_at"),
+    )
+
+
 def correlation_cycle(
     anomalies: DataFrame,
     as_of: datetime,
