@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions.skew import hot_keys, interval_join, numbered, row_numbers, running_totals
+from tidewatch.functions.skew import dealt, hot_keys, interval_join, numbered, row_numbers, running_totals
 from tidewatch.operators import correlate as J
 
 START = datetime(2024, 1, 1)
@@ -158,3 +158,11 @@ def test_newest_correlations_makes_few_pairs(spark):
         order = [F.desc("detected_at"), "id"]
         assert found.orderBy(*order).limit(limit).collect() == whole.orderBy(*order).limit(limit).collect()
         assert limit == 100_000 or found.count() < 20_000
+
+
+def test_crowded_buckets_repeat_rows_a_bounded_number_of_times(spark):
+    """Parts of a row would repeat each row for all of the other side."""
+    left, right = spark.range(600).selectExpr("id % 10 as a"), spark.range(600).selectExpr("id % 10 as b")
+    sides = dealt(left, right, "a", "b", 10, 1)
+    assert [df.count() for df in sides] == [600 * (16 + 2), 600 * 16]
+    assert interval_join(left, right, "a", "b", 10, 1).count() == 360_000
