@@ -260,3 +260,22 @@ def test_a_source_without_required_labels_takes_every_set(spark):
     table = spark.createDataFrame(rows, "ord int, source string, required map<string,string>")
     by_table = {r.label_key: r.source for r in E.match_sources(sets, table).collect()}
     assert by_table == {'{"job": "a"}': "a", '{"job": "b"}': "rest", "{}": "rest"}
+
+
+def test_pairs_of_many_days_are_appended_without_sorting_them(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from tidewatch.sources import store as S
+
+    monkeypatch.setattr(S, "OPEN_FILES", 3)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    rows = [(str(i), "a", "b", 1.0, 0.5, datetime(2024, 1, 1) + timedelta(days=i % 7) if i % 9 else None) for i in range(200)]
+    schema = "id string, log_event_id string, metric_event_id string, time_delta_sec double, confidence double, detected_at timestamp"
+    pairs = spark.createDataFrame(rows, schema)
+    S.append_correlated_events(pairs, str(tmp_path))
+    S.append_correlated_events(pairs, str(tmp_path))
+    read = spark.read.parquet(str(tmp_path))
+    assert sorted(map(tuple, read.drop("date", "run").collect()), key=str) == sorted(rows * 2, key=str)
+    assert read.filter("run <> 'batch' or not date <=> to_date(detected_at)").isEmpty()
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert {f.name.split(".", 1)[1] for f in tmp_path.rglob("part-*")} == {"zstd.parquet"}
