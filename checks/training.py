@@ -394,7 +394,8 @@ select n.source, n.template_id, n.seq_id from numbered n left join b on b.source
 def novel_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = T.assign_shapes(V.message_logs(spark, sf_dir))
     early = T.inventory(A.slice_logs(lines, until=datetime(2024, 1, 1, 0, 10)))
-    novel = T.novel_templates(T.inventory(lines), T.max_ids(early))
+    found = T.inventory(lines).select("source", "template_id", "first_seen", "first_line")
+    novel = T.novel_templates(found, T.max_ids(early))
     return novel.select("source", "template_id", "seq_id")
 
 

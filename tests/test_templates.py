@@ -215,3 +215,17 @@ def test_inventory_and_ids(spark):
 def test_masked_templates_need_no_shuffle(spark):
     plan = T.assign_shapes(logs(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_numbering_reads_the_templates_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    rows = [("s", str(i), START, i) for i in range(50)]
+    found = spark.createDataFrame(rows, "source string, template_id string, first_seen timestamp, first_line long")
+    numbered = T.sequence_ids(found.mapInPandas(count, found.schema)).collect()
+    assert sorted(r.seq_id for r in numbered) == list(range(1, 51)) and read.value == 50

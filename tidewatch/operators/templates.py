@@ -98,13 +98,13 @@ def template_count(templates: DataFrame) -> DataFrame:
 def sequence_ids(templates: DataFrame) -> DataFrame:
     """Templates numbered per source in the order of their first line; those without any time come first."""
     hour = F.coalesce(F.floor(F.unix_seconds("first_seen") / 3600), F.lit(-(2**62)))
-    cells = templates.withColumn("__hour", hour)
+    cells = cut_lineage(templates.withColumn("__hour", hour))  # read several times
     return row_numbers(cells, ["source"], "__hour", ["first_seen", "first_line", "template_id"], "seq_id").drop("__hour")
 
 
 def max_ids(templates: DataFrame) -> DataFrame:
-    """Highest sequence id per source."""
-    return sequence_ids(templates).groupBy("source").agg(F.max("seq_id").alias("max_id"))
+    """Highest sequence id per source: ids have no gaps, so it is the number of templates."""
+    return templates.groupBy("source").agg(F.count("*").alias("max_id"))
 
 
 def novel_templates(templates: DataFrame, baseline_max: DataFrame) -> DataFrame:
