@@ -1,3 +1,4 @@
+import functools
 import sys
 from pathlib import Path
 
@@ -6,8 +7,13 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
-@pytest.fixture(scope="session")
-def spark():
+def pytest_sessionstart(session):
+    """Some modules make columns when they are collected, which takes a session."""
+    _session()
+
+
+@functools.cache
+def _session():
     from tidewatch.session import build_session
 
     session = build_session(
@@ -22,5 +28,10 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    return session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    yield _session()
+    _session().stop()
