@@ -229,3 +229,7 @@ def test_numbering_reads_the_templates_once(spark):
     found = spark.createDataFrame(rows, "source string, template_id string, first_seen timestamp, first_line long")
     numbered = T.sequence_ids(found.mapInPandas(count, found.schema)).collect()
     assert sorted(r.seq_id for r in numbered) == list(range(1, 51)) and read.value == 50
+
+
+def test_each_kind_of_text_is_masked_once():
+    assert str(T.shape(F.col("m"))).count("regexp_replace") == 5
