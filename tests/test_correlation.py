@@ -166,3 +166,12 @@ def test_crowded_buckets_repeat_rows_a_bounded_number_of_times(spark):
     sides = dealt(left, right, "a", "b", 10, 1)
     assert [df.count() for df in sides] == [600 * (16 + 2), 600 * 16]
     assert interval_join(left, right, "a", "b", 10, 1).count() == 360_000
+
+
+def test_the_pairs_of_a_crowded_bucket_are_shared_out(spark):
+    left = spark.range(6000, numPartitions=1).select(F.lit(100).cast("long").alias("a"), "id")
+    right = left.select(F.col("a").alias("b"), F.col("id").alias("other"))
+    pairs = interval_join(left, right, "a", "b", 300)
+    tasks = pairs.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(t.n for t in tasks) == 6000 * 6000
+    assert len(tasks) > 1 and max(t.n for t in tasks) < 6000 * 6000 * 0.9
