@@ -161,8 +161,8 @@ def _landed(spark: SparkSession, rows: DataFrame) -> DataFrame:
 @check("t1_drain_line_templates")
 def drain_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Drain template of every line."""
-    lines = T.assign_shapes(V.message_logs(spark, sf_dir))
-    return T.assign_drain(lines, T.drain_templates(lines)).select("source", "line_number", "template_id", "template")
+    lines = T.assign_shapes(V.message_logs(spark, sf_dir)).withColumn("message", F.lit(None).cast("string"))
+    return T.drain_lines(lines).select("source", "line_number", "template_id", "template")
 
 
 @check("x1_drain_stream")

@@ -425,6 +425,6 @@ select source, count(*) as lines from templated group by source
 )
 def drain_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with a message gets a template."""
-    lines = T.assign_shapes(V.message_logs(spark, sf_dir))
-    assigned = T.assign_drain(lines, T.drain_templates(lines)).filter(F.col("template_id").isNotNull())
+    lines = T.assign_shapes(V.message_logs(spark, sf_dir)).withColumn("message", F.lit(None).cast("string"))
+    assigned = T.drain_lines(lines).filter(F.col("template_id").isNotNull())
     return assigned.groupBy("source").agg(F.count("*").alias("lines"))

@@ -233,3 +233,20 @@ def test_numbering_reads_the_templates_once(spark):
 
 def test_each_kind_of_text_is_masked_once():
     assert str(T.shape(F.col("m"))).count("regexp_replace") == 5
+
+
+def test_drain_lines_mask_each_message_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    raw = logs(spark, [f"{w} done {i}" for i in range(20) for w in ("job", "task")])
+    assigned = T.assign_shapes(raw)
+    wanted = T.assign_drain(assigned, T.drain_templates(assigned))
+    found = T.drain_lines(T.assign_shapes(raw.mapInPandas(count, raw.schema)))
+    found = found.filter(F.col("template_id").isNotNull()).collect()
+    assert sorted(map(str, found)) == sorted(map(str, wanted.collect()))
+    assert read.value == 40

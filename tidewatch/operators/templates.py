@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import let
 from tidewatch.functions.skew import numbered, row_numbers
-from tidewatch.session import cut_lineage, grouped
+from tidewatch.session import cut_lineage, grouped, written
 
 WILDCARD = "<*>"
 
@@ -448,3 +448,16 @@ def assign_drain(assigned: DataFrame, clustered: DataFrame) -> DataFrame:
     mapping = clustered.select("source", F.col("shape_id").alias("template_id"), F.col("template_id").alias("__id"), F.col("template").alias("__template"))
     joined = assigned.join(mapping, ["source", "template_id"], "left")
     return joined.withColumns({"template_id": F.col("__id"), "template": F.col("__template")}).drop("__id", "__template")
+
+
+def drain_lines(
+    assigned: DataFrame,
+    similarity: float = SIMILARITY,
+    max_clusters: int = MAX_CLUSTERS,
+    known: Clusters | None = None,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """Lines with the ids and templates of their Drain clusters: :func:`drain_templates`, then :func:`assign_drain`. The
+    lines are written with their shapes in between, so each message is masked once."""
+    lines = written(assigned)
+    return assign_drain(lines, drain_templates(lines, similarity, max_clusters, known, depth))
