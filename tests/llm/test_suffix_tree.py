@@ -137,3 +137,15 @@ def test_a_tree_that_is_not_broadcast_gives_the_same_scores(hard_docs, monkeypat
     assert len(whole) == len(joined) == hard_docs.count()
     for a, b in zip(sorted(whole, key=key), sorted(joined, key=key)):
         assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score)
+
+
+def test_pair_counts_from_the_different_words():
+    texts = pa.array(["b a  b\tab", "", None, " \n", "Éa b", "a", "ab ab ab"])
+    words = split_words(texts, LOWER)
+    found = S.stream(words)
+    at = S.places(found)
+    wanted = np.bincount(found.symbols[at - 1].astype(np.int32) << 8 | found.symbols[at], minlength=1 << 16)
+    times = np.bincount(words.ids, minlength=len(words.vocabulary))
+    assert (S.pair_counts(words, times) == wanted).all()
+    none = split_words(pa.array([None, ""], pa.string()), LOWER)
+    assert S.pair_counts(none, np.zeros(len(none.vocabulary), np.int64)).nonzero()[0].tolist() == [S.END << 8 | S.END]

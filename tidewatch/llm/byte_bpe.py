@@ -178,8 +178,9 @@ UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 SPACE_BEFORE_BLANK = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
 PIECE = 3 << 20  # bytes of text encoded at a time
 COUNTED = 16 << 20  # bytes of text whose words are counted at a time
-FREQUENT = 800_000  # words in the broadcast table
-LONGEST = 48  # bytes of a word in the table, which bounds it to about 100 MB; usual words make it 30 MB
+FREQUENT = 1_000_000  # words in the broadcast table
+LONGEST = 48  # bytes of a word in the table, which bounds it to about 125 MB; usual words make it 40 MB
+HASHED = 1 << 16  # words that are Python strings at a time
 MARKS = ".,;:!?"
 # Fixed value: the split pattern for which letters with a mark after them are known to be two words.
 USUAL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -277,7 +278,8 @@ def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most
 
 def word_hashes(words: pa.Array) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words))
+    slices = (words.slice(at, HASHED).to_pylist() for at in range(0, len(words), HASHED))
+    return np.fromiter((digest(w) for some in slices for w in some), np.uint64, len(words))
 
 
 def word_table(words: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, bytes]:

@@ -78,19 +78,19 @@ def stream(words: Words) -> Stream:
     ends = np.cumsum(sizes + DEPTH)
     starts = ends - sizes
     symbols = np.full(int(ends[-1]) if len(ends) else 0, END, np.uint8)
-    own = np.zeros(len(symbols) + 1, np.int32)
+    own = np.zeros(len(symbols) + 1, np.int8)
     np.add.at(own, starts, 1)
     np.add.at(own, ends - 1, -1)
-    symbols[np.cumsum(own[:-1]).astype(bool)] = raw
+    symbols[np.cumsum(own[:-1], dtype=np.int8).astype(bool)] = raw
     return Stream(symbols, starts, ends)
 
 
 def places(found: Stream) -> np.ndarray:
     """The places of the texts' own symbols."""
-    inside = np.zeros(len(found.symbols) + 1, np.int32)
+    inside = np.zeros(len(found.symbols) + 1, np.int8)
     np.add.at(inside, found.starts, 1)
     np.add.at(inside, found.ends, -1)
-    return np.flatnonzero(np.cumsum(inside[:-1]))
+    return np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
 
 
 def coded(found: Stream) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +110,21 @@ def grams(found: Stream) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(coded(found)[1], return_counts=True)
 
 
+def pair_counts(words: Words, times: np.ndarray) -> np.ndarray:
+    """How often each symbol follows each other one (number of that << 8 | symbol) in the texts, from the different words
+    and how often each occurs. A word stands between blanks, but for the ends before and after each text."""
+    nothing, blank = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    raw, offsets = text_bytes(large_text(pc.binary_join_element_wise(words.vocabulary, nothing, blank)))
+    before = np.concatenate([np.array([BLANK], np.uint8), raw])[:-1].astype(np.int32)
+    n = np.bincount(before << 8 | raw, np.repeat(times, np.diff(offsets)), 1 << 16).astype(np.int64)
+    some = words.counts > 0
+    first = raw[offsets[:-1]][words.ids[words.starts[some]]].astype(np.int32)
+    n += np.bincount(END << 8 | first, minlength=1 << 16) - np.bincount(BLANK << 8 | first, minlength=1 << 16)
+    n[BLANK << 8 | END] += some.sum()
+    n[END << 8 | END] += (~some).sum()
+    return n
+
+
 def count_words(docs: DataFrame, text: str) -> DataFrame:
     """Counts of all words of the texts (``word``, ``n``), and of all symbols after the one before (``pair``, ``n``); each
     piece of a task is added up first."""
@@ -122,9 +137,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
                 some = np.flatnonzero(times)
                 names = words.vocabulary.take(pa.array(some)).cast(pa.string())
                 yield reported(names, pa.nulls(len(some), pa.int32()), times[some])
-                found = stream(words)
-                at = places(found)
-                times = np.bincount(found.symbols[at - 1].astype(np.int32) << 8 | found.symbols[at], minlength=1 << 16)
+                times = pair_counts(words, times)
                 some = np.flatnonzero(times)
                 yield reported(pa.nulls(len(some), pa.string()), pa.array(some, pa.int32()), times[some])
 
