@@ -260,18 +260,32 @@ class Tree:
     levels: list[Level]  # from two symbols on
 
     def log_p(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of each gram after its longest retained context. Fast in order."""
+        """log10 probability of the last symbol of each gram after its longest retained context. Fast in order.
+
+        Each gram's retained contexts are found from the shortest on. The symbol is looked up from the longest one back, only
+        until there is a row for it; the parts for unseen symbols of the longer contexts are added to what that row holds.
+        """
         last = codes & 255
         out = self.roots[codes >> (8 * DEPTH) << 8 | last].astype(np.float32)
         open_ = np.arange(len(codes))
+        retained = []
         for depth, level in enumerate(self.levels, 2):
             if not len(open_) or not len(level.contexts):
                 break
             context = codes[open_] >> (8 * (DEPTH - depth + 1))
-            at, has = position(level.contexts, context)
+            at, has = position_of_runs(level.contexts, context)
             open_, at = open_[has], at[has]
-            pair, seen = position(level.pairs, context[has] << 8 | last[open_])
-            out[open_] = np.where(seen, level.log_p[pair], out[open_] + level.unseen[at])
+            retained.append((level, open_, at, context[has]))
+        found, unseen = np.zeros(len(codes), bool), []
+        for level, rows, at, context in reversed(retained):
+            some = ~found[rows]
+            rows, at, context = rows[some], at[some], context[some]
+            pair, seen = position(level.pairs, context << 8 | last[rows])
+            out[rows[seen]] = level.log_p[pair[seen]]
+            found[rows[seen]] = True
+            unseen.append((rows[~seen], level.unseen[at[~seen]]))
+        for rows, part in reversed(unseen):
+            out[rows] += part
         return out
 
 
@@ -281,6 +295,14 @@ def position(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, values[at] == wanted
 
 
+def position_of_runs(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for at least one wanted value, where equal ones that follow each other are looked for once."""
+    first = np.flatnonzero(np.diff(wanted, prepend=wanted[0] - 1))
+    sizes = np.diff(first, append=len(wanted))
+    at, has = position(values, wanted[first])
+    return np.repeat(at, sizes), np.repeat(has, sizes)
+
+
 def subtree(codes: np.ndarray, n: np.ndarray, roots: Roots, divergence: float = DIVERGENCE) -> Tree:
     """The tree below contexts of one symbol, from all grams (in order) whose contexts end in some two symbols."""
     keys, found = codes[n > 0], [n[n > 0]]
@@ -372,13 +394,11 @@ def gram_scores(grams: DataFrame, roots: Broadcast) -> DataFrame:
 def read_symbols(found: Stream, tree: Tree) -> np.ndarray:
     """log10 probability of each of the texts' own symbols."""
     at, code = coded(found)
-    different = pa.array(code).dictionary_encode()
-    codes = different.dictionary.to_numpy()
-    order = np.argsort(codes)
-    log_p = np.empty(len(codes), np.float32)
-    log_p[order] = tree.log_p(codes[order])
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
     out = np.zeros(len(found.symbols), np.float32)
-    out[at] = log_p[different.indices.to_numpy()]
+    out[at[order]] = np.repeat(tree.log_p(code[first]), np.diff(first, append=len(code)))
     return out
 
 
