@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -80,3 +81,22 @@ def test_long_word(spark, ranks):
     text = "ab" * 1500 + "é" * 200 + "".join(letters.choice("etaoinshr") for _ in range(3000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).first().ids == library.encode_ordinary(text)
+
+
+def test_plans_do_not_spell_out_the_ranks(spark, ranks):
+    """The driver describes and keeps the plan of each run, and the ranks as text are more than a megabyte."""
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    plans = byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)._jdf.queryExecution()
+    assert len(plans.toString()) < 100_000
+    carried = [c for node in plans.optimizedPlan().toString().splitlines() if "Project" in node for c in node.split(" AS ")[1:]]
+    assert not any(c.startswith("ranks#") for c in carried)  # no row has them
+
+
+def test_word_table_leaves_out_words_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "word_hashes", lambda words: np.array([len(w) for w in words.to_pylist()], np.uint64))
+    words = pa.table({"word": ["dddd", "a", "ccc", "bb", "ee", "ff"], "ids": [[4], [1], [3, 3], [2], [5], [6]]})
+    table = byte_bpe.WordTable(byte_bpe.word_table(words))
+    assert table.hashes.tolist() == [1, 3, 4] and table.words.to_pylist() == ["a", "ccc", "dddd"]
+    known, ids = table.look_up(pa.array(["ff", "ccc", "zz", "a", "b"]))
+    assert known.tolist() == [False, True, False, True, False] and ids.to_pylist() == [[3, 3], [1]]
+    assert len(byte_bpe.WordTable(byte_bpe.word_table(words.slice(0, 0))).hashes) == 0

@@ -5,7 +5,8 @@ neighbouring pair of lowest rank, the leftmost of equals, puts its join in the p
 the two pairs that this makes; without a ranked pair the state stays. Words of more than SHORT bytes join all places of
 the lowest rank in one step, where that comes to the same, so there are about as many steps over the word as different
 ranks are joined. A word that is a token itself is not folded, which is how the published library treats it. Ranks lie in
-one literal: an array of small maps, found by crc32 of the piece.
+one value, an array of small maps, found by crc32 of the piece. It is the scalar of a table of one row and not a literal,
+which would stand in every plan that the driver describes and keeps.
 
 Bytes are written as pairs of hexadecimal digits inside the fold, so that pieces are short ASCII strings.
 
@@ -37,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.store import least_count, written
-from tidewatch.llm.words import Words, encoded, expanded, large_text, pieces, released
+from tidewatch.llm.words import Words, encoded, expanded, large_text, pieces, release_memory, released
+from tidewatch.session import config_table
 
 UNRANKED = 2**31 - 1
 BUCKETS = 1 << 14
@@ -50,13 +52,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a constant array of maps from hexadecimal pieces to ranks; a map holds about one piece."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def with_ranks(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Adds ``ranks``, an array of maps from hexadecimal pieces to ranks; a map holds about three pieces. An expression
+    that reads it once takes its place in the plan, so no row carries the ranks."""
+    buckets: list[list[tuple[str, int]]] = [[] for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         piece = token.hex().upper()
-        buckets[zlib.crc32(piece.encode()) % BUCKETS][piece] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        buckets[zlib.crc32(piece.encode()) % BUCKETS].append((piece, rank))
+    table = config_table(rows.sparkSession, [(buckets,)], "ranks array<map<string,int>>")
+    return rows.withColumn("ranks", table.scalar())
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -268,12 +272,15 @@ def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
     return docs.select(text).mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, text: str, pattern: str, table: Column, most: int) -> Broadcast:
+def frequent_words(docs: DataFrame, text: str, pattern: str, ranks: dict[bytes, int], most: int) -> Broadcast:
     """The ids of the most frequent words, at most ``most`` of at most LONGEST bytes each."""
     counts = written(word_counts(docs, text, pattern).filter(F.octet_length("word") <= LONGEST))
     hot = counts.filter(F.col("n") >= least_count(counts, most)).select("word")
-    found = hot.select("word", fold_words(F.array(F.hex(F.encode("word", "utf-8"))), table)[0].alias("ids")).toArrow()
-    return docs.sparkSession.sparkContext.broadcast(word_table(found["word"], found["ids"]))
+    hexed = F.array(F.hex(F.encode("word", "utf-8")))
+    found = with_ranks(hot, ranks).select("word", fold_words(hexed, F.col("ranks"))[0].alias("ids"))
+    shared = docs.sparkSession.sparkContext.broadcast(word_table(found.toArrow()))
+    release_memory()
+    return shared
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -282,16 +289,20 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((digest(w) for some in slices for w in some), np.uint64, len(words))
 
 
-def word_table(words: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, bytes]:
+def word_table(found: pa.Table) -> tuple[np.ndarray, bytes]:
     """Words and their ids in order of the words' hashes, as an Arrow stream. Words that share a hash are left out."""
-    table = pa.table({"word": words.cast(pa.string()), "ids": ids.cast(pa.list_(pa.int32()))}).combine_chunks()
+    table = found.cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
+    del found  # what it holds would stay in memory beside the copies
     hashes = word_hashes(table["word"])
-    _, first, times = np.unique(hashes, return_index=True, return_counts=True)
-    order = first[times == 1]
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    same = hashes[1:] == hashes[:-1]
+    once = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))[: len(hashes)]
+    table = table.take(pa.array(order[once])).combine_chunks()
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table.take(pa.array(order)).combine_chunks())
-    return hashes[order], sink.getvalue()
+        out.write_table(table)
+    return hashes[once], sink.getvalue()
 
 
 class WordTable:
@@ -329,8 +340,7 @@ def encode_documents(
 ) -> DataFrame:
     """Per document: id and ``ids``; with ``decoded`` also the bytes that the ids stand for."""
     docs = docs.select(id, text)
-    table = rank_literal(ranks)
-    hot = frequent_words(docs, text, pattern, table, frequent)
+    hot = frequent_words(docs, text, pattern, ranks, frequent)
     id_type = docs.schema[id].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +370,7 @@ def encode_documents(
 
     pieces_ = docs.mapInArrow(released(look_up), f"docs array<{id_type}>, state binary, missing array<string>")
     hexed = F.transform("missing", lambda w: F.hex(F.encode(w, "utf-8")))
-    folded = pieces_.select("docs", "state", fold_words(hexed, table).alias("found"))
+    folded = with_ranks(pieces_, ranks).select("docs", "state", fold_words(hexed, F.col("ranks")).alias("found"))
     shared = docs.sparkSession.sparkContext.broadcast(decode_table(ranks)) if decoded else None
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

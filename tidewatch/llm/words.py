@@ -121,14 +121,19 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
     def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-        if trim is not None:
-            trim(0)
+        release_memory()
 
     return run_and_release
 
 
+def release_memory() -> None:
+    """Free memory that Arrow and the C library keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def free_name(columns: Iterable[str], wanted: str) -> str:
     """``wanted``, or with underscores before it until no column has that name."""
     taken = {c.lower() for c in columns}
