@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.skew import dealt, hot_keys, interval_join, numbered, row_numbers, running_totals
 from tidewatch.operators import correlate as J
+from tidewatch.streaming.correlation import stream_correlations
 
 START = datetime(2024, 1, 1)
 SCHEMA = "id string, detected_at timestamp, source string, severity string"
@@ -175,3 +176,13 @@ def test_the_pairs_of_a_crowded_bucket_are_shared_out(spark):
     tasks = pairs.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
     assert sum(t.n for t in tasks) == 6000 * 6000
     assert len(tasks) > 1 and max(t.n for t in tasks) < 6000 * 6000 * 0.9
+
+
+def test_the_pairs_of_two_tables_are_shared_out_by_the_stream_join(spark):
+    rows = spark.range(4000, numPartitions=1).selectExpr("id", "id div 100 * 300 + 150 as seconds")
+    side = rows.selectExpr("cast(id as string) id", "timestamp_seconds(seconds) detected_at", "'a' source", "'high' severity")
+    pairs = stream_correlations(side, side, window_seconds=300, min_confidence=0.0)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # dealt out once
+    tasks = pairs.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(t.n for t in tasks) == 100 * 100 * (40 + 2 * 39)
+    assert len(tasks) > 1 and max(t.n for t in tasks) < 100 * 100 * (40 + 2 * 39) * 0.9
