@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -155,3 +156,23 @@ def test_conditions_are_ordered_spark_expressions():
     rule = (Q.Condition("symbols", True, 0.1), Q.Condition("words", False, 80.0))
     text = str(Q.keeps([rule, rule[:1]], F.col("s")))
     assert text.count("WHEN") == 2 and "ELSE true" in text
+
+
+def test_scoring_takes_bounded_memory_beside_its_rows():
+    words = [f"w{i % 997}" for i in range(400_000)]
+    texts = pa.array([" ".join(words[i : i + 400]) for i in range(0, len(words), 400)])  # 24,000 windows
+    weights = X.first_weights(np.random.default_rng(0)) | {"curve": np.array([1, 0], np.float32)}
+    tracemalloc.start()
+    X.score_texts(texts, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # two workers of an executor each have this; 8,192 windows at a time took 250 MB
+
+
+def test_scored_rows_go_in_small_pieces(spark, monkeypatch):
+    given, add_column = [], X.add_column
+    monkeypatch.setattr(X, "add_column", lambda *args: given.append(args) or add_column(*args))
+    docs = spark.createDataFrame([(i, "some words of a text " * 500) for i in range(400)], "doc_id long, text string")
+    model = X.packed(X.first_weights(np.random.default_rng(0)) | {"curve": np.array([1, 0], np.float32)})
+    assert X.with_scores(docs, model).filter("score is not null").count() == 400
+    assert given[0][-1] == X.PIECE <= 4 << 20

@@ -48,9 +48,9 @@ EMBED = 6  # of words and of n-grams
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)  # bytes
 ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 256, 0.01
-LANES = 8192  # windows scored at a time
+LANES = 2048  # windows scored at a time
 DOCS_AT_ONCE = 100  # training documents whose n-grams are counted at a time
-PIECE = 12 << 20
+PIECE = 3 << 20  # bytes of text scored at a time
 EMPTY = 0.0
 EVIDENCE = 8.0  # documents that a feature needs for half its log-odds to count
 
@@ -415,19 +415,9 @@ def with_scores(docs: DataFrame, model: bytes, text: str = "text", name: str = "
     def start():
         weights = unpacked(shared.value)
 
-        def score(piece: pa.RecordBatch) -> pa.Array:
-            texts = large_text(piece.column(text))
-            _, offsets = text_bytes(texts)
-            out, at = [], 0
-            while at < len(texts):
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
-                out.append(score_texts(texts.slice(at, end - at), weights))
-                at = end
-            return pa.array(np.concatenate([np.zeros(0), *out]))
+        return lambda piece: pa.array(score_texts(large_text(piece.column(text)), weights))
 
-        return score
-
-    return add_column(docs, text, name, T.DoubleType(), start, keep)
+    return add_column(docs, text, name, T.DoubleType(), start, keep, PIECE)
 
 
 def drop_toxic(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
