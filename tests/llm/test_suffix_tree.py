@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tidewatch.llm import suffix_tree as S
@@ -149,3 +150,21 @@ def test_pair_counts_from_the_different_words():
     assert (S.pair_counts(words, times) == wanted).all()
     none = split_words(pa.array([None, ""], pa.string()), LOWER)
     assert S.pair_counts(none, np.zeros(len(none.vocabulary), np.int64)).nonzero()[0].tolist() == [S.END << 8 | S.END]
+
+
+def test_grams_move_in_runs_of_one_ending(spark):
+    texts = ["the cat sat on the mat while the dog ran " * 20, "Éa b", None, "z" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    rows = S.count_grams(docs, held_out=True).toArrow()
+    found = S.grams(S.stream(split_words(pa.array(texts), LOWER)))[0]
+    codes, sizes = rows["codes"].combine_chunks(), pc.list_value_length(rows["codes"]).to_numpy()
+    assert sorted(codes.flatten().to_pylist()) == found.tolist()
+    assert rows.num_rows < len(found) and sizes.max() <= S.RUN
+    assert (np.repeat(rows["ending"].to_numpy(), sizes) == codes.flatten().to_numpy() >> 40).all()
+
+
+def test_counts_of_known_words_are_looked_up_without_python_strings():
+    known = S.Known(pa.array(["b", "", "é"], pa.large_string()), np.array([5, 7, 9, 0]))
+    assert known.counts_of(pa.array(["é", "x", "b"], pa.large_string())).tolist() == [9, 0, 5]
+    none = S.Known(pa.array([], pa.large_string()), np.array([0]))
+    assert none.counts_of(pa.array(["a"], pa.large_string())).tolist() == [0]

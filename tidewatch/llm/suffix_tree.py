@@ -54,6 +54,7 @@ END, BLANK = 10, 32
 FREQUENT = 300_000  # words whose counts are broadcast
 LONGEST = 64  # bytes of such a word
 PIECE = 3 << 20  # bytes of text at a time
+RUN = 128  # grams that move as one row at most, which bounds an Arrow batch of 10,000 rows to 20 MB
 HELD = 3_000_000  # grams that a task holds, different within each piece, before it adds them up and reports
 FREQUENT_GRAMS = 1_500_000  # whose probabilities are broadcast, about 18 MB
 BLOCK = 8 << 20  # bytes of text that are scored beside the probabilities of their grams
@@ -168,8 +169,9 @@ def in_blocks(docs: DataFrame) -> DataFrame:
 
 
 def count_grams(docs: DataFrame, held_out: bool = False) -> DataFrame:
-    """The different grams of each task's texts (``code``) and how often they occur in training (``n``), HELD at a time;
-    with ``held_out`` also those that occur elsewhere only."""
+    """The different grams of each task's texts (``codes``) and how often they occur in training (``n``), HELD at a time;
+    with ``held_out`` also those that occur elsewhere only. A row is a run of grams whose contexts end in the same two
+    symbols (``ending``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -187,11 +189,17 @@ def count_grams(docs: DataFrame, held_out: bool = False) -> DataFrame:
             yield reported(*added_up(*map(np.concatenate, zip(*held))))
 
     def reported(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
+        ending = codes >> (8 * (DEPTH - 1))
+        first = np.flatnonzero(np.diff(ending, prepend=-1))
+        inside = np.arange(len(codes)) - np.repeat(first, np.diff(first, append=len(codes)))
+        first = np.flatnonzero(inside % RUN == 0)
+        bounds = pa.array(np.append(first, len(codes)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(values)) for values in (codes, n)]
+        return pa.RecordBatch.from_arrays([pa.array(ending[first]), *lists], names=["ending", "codes", "n"])
 
     marked = docs.select("text", is_training(F.col("id")).alias("training"))
     marked = marked if held_out else marked.filter("training")
-    return marked.mapInArrow(released(count), "code long, n long")
+    return marked.mapInArrow(released(count), "ending long, codes array<long>, n array<long>")
 
 
 def added_up(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,19 +349,18 @@ def subtree(codes: np.ndarray, n: np.ndarray, roots: Roots, divergence: float =
 
 
 def by_ending(grams: DataFrame, roots: Broadcast, make: Callable[..., Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
-    """``make`` of the grams (``codes``, ``n``) and the tree of each partition, all of whose contexts end in the same two
+    """``make`` of the grams (of ``count_grams``) and the tree of each partition, all of whose contexts end in the same two
     symbols or in others that are whole as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(c).to_numpy() for c in ("code", "n")] for b in batches if len(b)]
+        got = [[b.column(c).flatten().to_numpy() for c in ("codes", "n")] for b in batches if len(b)]
         if got:
             codes, n = added_up(*(np.concatenate(part) for part in zip(*got)))
             del got
             yield from make(codes, n, subtree(codes, n, roots.value))
 
     parts = max(1, -(-int(roots.value.n.sum()) // PER_TASK))
-    ending = F.shiftrightunsigned("code", 8 * (DEPTH - 1))
-    return grams.repartition(parts, ending).mapInArrow(released(run), kind)
+    return grams.repartition(parts, "ending").mapInArrow(released(run), kind)
 
 
 def tree_rows(grams: DataFrame, roots: Broadcast) -> DataFrame:
@@ -396,9 +403,11 @@ def read_symbols(found: Stream, tree: Tree) -> np.ndarray:
     at, code = coded(found)
     order = np.argsort(code)
     code = code[order]
-    first = np.flatnonzero(np.diff(code, prepend=-1))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]]))
+    own = np.empty(len(code), np.float32)
+    own[order] = np.repeat(tree.log_p(code[first]), np.diff(first, append=len(code)))
     out = np.zeros(len(found.symbols), np.float32)
-    out[at[order]] = np.repeat(tree.log_p(code[first]), np.diff(first, append=len(code)))
+    out[at] = own
     return out
 
 
@@ -429,6 +438,18 @@ def spelling(words: Words, read: Callable[[Stream], np.ndarray]) -> tuple[np.nda
     return text_sums(spelled, starts, starts + sizes), symbols[found.ends - 1]
 
 
+@dataclass
+class Known:
+    """The words whose counts are broadcast."""
+
+    words: pa.LargeStringArray
+    n: np.ndarray  # of each word, and 0 for any other
+
+    def counts_of(self, vocabulary: pa.LargeStringArray) -> np.ndarray:
+        at = pc.index_in(vocabulary, self.words).fill_null(len(self.words))
+        return self.n[at.to_numpy(zero_copy_only=False)]
+
+
 def mixed(frequency: np.ndarray, spelled: np.ndarray) -> np.ndarray:
     """log10 of the mixture of a training frequency and a spelling probability (given as log10)."""
     unseen = spelled + np.log10(1 - FREQUENCY)
@@ -483,17 +504,16 @@ def score_documents(
         made = [arrays[f.name].cast(f.type) if f.name in arrays else pa.nulls(n, f.type) for f in types]
         return pa.RecordBatch.from_arrays(made, schema=types)
 
-    def opened() -> tuple[dict[str, int], Tree | None]:
+    def opened() -> tuple[Known, Tree | None]:
         table = pa.ipc.open_stream(shared.value[0]).read_all()
-        return dict(zip(table["word"].to_pylist(), table["n"].to_pylist())), shared.value[1]
+        return Known(large_text(table["word"]), np.append(table["n"].to_numpy(), 0)), shared.value[1]
 
     def scored(
-        piece: pa.RecordBatch, key: int, known: dict[str, int], read: Callable[[Stream], np.ndarray]
+        piece: pa.RecordBatch, key: int, known: Known, read: Callable[[Stream], np.ndarray]
     ) -> Iterator[pa.RecordBatch]:
         """A row for each document; and one for each word that the table lacks, with its spelling as ``score``."""
         words = split_words(piece.column("text"), LOWER)
-        names = words.vocabulary.to_pylist()
-        n = np.fromiter((known.get(w, 0) for w in names), np.int64, len(names))[words.ids]
+        n = known.counts_of(words.vocabulary)[words.ids]
         spelled, end = spelling(words, read)
         keys = key + np.arange(len(piece), dtype=np.int64)
         has = n > 0
