@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 
 from tidewatch.llm import bitplanes, byte_bpe, token_counts
 
@@ -100,3 +101,25 @@ def test_word_table_leaves_out_words_that_share_a_hash(monkeypatch):
     known, ids = table.look_up(pa.array(["ff", "ccc", "zz", "a", "b"]))
     assert known.tolist() == [False, True, False, True, False] and ids.to_pylist() == [[3, 3], [1]]
     assert len(byte_bpe.WordTable(byte_bpe.word_table(words.slice(0, 0))).hashes) == 0
+
+
+def test_short_words_fold_like_joining_the_lowest_pair_each_time(spark):
+    rng = random.Random(3)
+    ranks = {bytes([c]): i for i, c in enumerate(b"abc")}
+    while len(ranks) < 60:  # not as a trained vocabulary has them: joins may make pairs of lower rank
+        ranks.setdefault(bytes(rng.choices(b"abc", k=rng.randint(2, 5))), rng.randrange(1000, 100_000) * 100 + len(ranks))
+    words = [bytes(rng.choices(b"abc", k=k)) for k in (1, 2, 3, 5, 9, 20, byte_bpe.SHORT) for _ in range(20)] + [b"d", b"ad"]
+
+    def joined(word):
+        parts = [word] if word in ranks else [bytes([c]) for c in word]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks.get(p, byte_bpe.UNRANKED) for p in parts]
+
+    rows = byte_bpe.with_ranks(spark.createDataFrame([([w.hex().upper() for w in words],)], "words array<string>"), ranks)
+    folded = byte_bpe.fold_words(F.col("words"), F.col("ranks"))
+    assert rows.select(folded).first()[0] == [joined(w) for w in words]
+    # a step puts one list together; the parts and their ranks were two, each with copies of its own
+    plan = rows.select(F.transform("words", lambda w: byte_bpe.fold_word(w, F.col("ranks")).isNull()))
+    assert "flatten(" in plan._jdf.queryExecution().analyzed().toString()

@@ -64,8 +64,9 @@ def with_ranks(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.transform(F.array(value), body)[0]
+    """``body`` of a value that is evaluated once, as the end of a fold over nothing. (An element of a list of one would do,
+    but to take it Spark works out the type of the whole body each time.)"""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def fold_words(words: Column, table: Column) -> Column:
@@ -75,22 +76,48 @@ def fold_words(words: Column, table: Column) -> Column:
 
 def fold_word(word: Column, table: Column) -> Column:
     """Token ids of one word, given as hexadecimal bytes."""
-    ids = lambda parts: F.transform(parts, lambda p: rank_of(table, p))
     n = (F.length(word) / 2).cast("int")
-    at = F.sequence(F.lit(1), n)
-    short = F.transform(at, lambda i: F.substring(word, i * 2 - 1, F.lit(2)))
+    several = let(
+        F.regexp_extract_all(word, F.lit(".."), F.lit(0)),
+        lambda parts: F.transform(fold_long(parts, table), lambda p: rank_of(table, p)),
+    )
+    whole = rank_of(table, word)
+    one = fold_short(word, n, table)
+    return F.when(whole != UNRANKED, F.array(whole)).when(n < 1, F.array().cast("array<int>")).when(n <= SHORT, one).otherwise(several)
+
+
+def fold_short(word: Column, n: Column, table: Column) -> Column:
+    """Token ids of a short word of ``n`` bytes, whose pairs are joined one by one.
+
+    The state is one list, with an entry for each part and one for the word's end: the rank of the part's pair with the
+    next (UNRANKED without one) before its first digit's place, in eight bits. So the least entry is the leftmost pair of
+    the lowest rank, and pieces are cut from the word itself.
+    """
 
     def pair(i: Column) -> Column:
-        return F.when(i < n, rank_of(table, F.substring(word, i * 2 - 1, F.lit(4)))).otherwise(F.lit(UNRANKED))
+        piece = F.substring(word, i * 2 + 1, F.lit(4))
+        return entry(F.when(i + 1 < n, rank_of(table, piece)).otherwise(F.lit(UNRANKED)), i * 2)
 
-    # an entry of ranks is of a part and the next; the last part's stands for the end
-    start = F.struct(short.alias("parts"), F.transform(at, pair).alias("ranks"))
-    one = F.aggregate(F.sequence(F.lit(2), n), start, lambda s, _: merge_first(s, table), lambda s: ids(s["parts"]))
-    several = let(F.regexp_extract_all(word, F.lit(".."), F.lit(0)), lambda parts: ids(fold_long(parts, table)))
-    whole = rank_of(table, word)
-    return (
-        F.when(whole != UNRANKED, F.array(whole)).when(n < 2, ids(short)).when(n <= SHORT, one).otherwise(several)
-    )
+    def ids(state: Column) -> Column:
+        parts = F.slice(state, F.lit(1), F.size(state) - 1)
+        return F.transform(parts, lambda e, i: rank_of(table, cut(word, begin(e), begin(state[i + 1]))))
+
+    start = F.transform(F.sequence(F.lit(0), n), pair)
+    joins = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(joins, start, lambda s, _: merge_first(s, word, table), ids)
+
+
+def entry(rank: Column, place: Column) -> Column:
+    return F.shiftleft(rank.cast("long"), 8) + place
+
+
+def begin(found: Column) -> Column:
+    """The place of an entry."""
+    return found.bitwiseAND(255).cast("int")
+
+
+def cut(word: Column, first: Column, end: Column) -> Column:
+    return F.substring(word, first + 1, end - first)
 
 
 def fold_long(parts: Column, table: Column) -> Column:
@@ -109,7 +136,7 @@ def fold_long(parts: Column, table: Column) -> Column:
 
 
 def rank_of(table: Column, piece: Column) -> Column:
-    bucket = (F.crc32(piece) % BUCKETS).cast("int")
+    bucket = F.crc32(piece).bitwiseAND(BUCKETS - 1)
     return F.coalesce(table[bucket][piece], F.lit(UNRANKED))
 
 
@@ -118,23 +145,21 @@ def with_best(parts: Column, ranks: Column) -> Column:
     return let(ranks, lambda r: F.struct(parts.alias("parts"), r.alias("ranks"), F.array_min(r).alias("best")))
 
 
-def merge_first(state: Column, table: Column) -> Column:
+def merge_first(state: Column, word: Column, table: Column) -> Column:
     """The leftmost pair of lowest rank is joined; without a ranked pair the state stays."""
-    parts, ranks, size = state["parts"], state["ranks"], F.size(state["parts"])
-
-    def join(at: Column) -> Column:
-        def put(new: Column) -> Column:
-            left = F.when(at > 1, rank_of(table, F.concat(parts[at - 2], new))).otherwise(F.lit(UNRANKED))
-            right = F.when(at + 2 <= size, rank_of(table, F.concat(new, parts[at + 1]))).otherwise(F.lit(UNRANKED))
-            before = F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0)))
-            around = F.when(at > 1, F.array(left, right)).otherwise(F.array(right))
-            joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, size))
-            return F.struct(joined.alias("parts"), F.concat(before, around, F.slice(ranks, at + 2, size)).alias("ranks"))
-
-        return let(F.concat(parts[at - 1], parts[at]), put)
-
-    place = lambda best: F.array_position(ranks, best).cast("int")
-    return let(F.array_min(ranks), lambda best: F.when(best == UNRANKED, state).otherwise(let(place(best), join)))
+    size = F.size(state)
+
+    def join(best: Column, at: Column) -> Column:  # the pair's parts are at ``at`` and ``at + 1``, from 0
+        first, before = begin(best), begin(state[at - 1])
+        left = entry(rank_of(table, cut(word, before, begin(state[at + 2]))), before)
+        ranked = F.when(at + 3 < size, rank_of(table, cut(word, first, begin(state[at + 3])))).otherwise(F.lit(UNRANKED))
+        right = entry(ranked, first)
+        around = F.when(at > 0, F.array(left, right)).otherwise(F.array(right))
+        return F.flatten(F.array(F.slice(state, F.lit(1), F.greatest(at - 1, F.lit(0))), around, F.slice(state, at + 3, size)))
+
+    place = lambda best: F.size(F.filter(state, lambda e: e.bitwiseAND(255) < best.bitwiseAND(255)))
+    joined = lambda best: let(place(best), lambda at: join(best, at))
+    return let(F.array_min(state), lambda best: F.when(best >= UNRANKED << 8, state).otherwise(joined(best)))
 
 
 def merge_all(state: Column, table: Column) -> Column:
