@@ -223,3 +223,10 @@ def test_pairs_of_anomalies_that_share_their_instants_take_little_room(spark, tm
     found.drop("id").write.parquet(str(tmp_path / "pairs"))
     assert spark.read.parquet(str(tmp_path / "pairs")).count() == 2000 * 1999
     assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 6_000_000
+
+
+def test_equal_rows_at_one_instant_are_dealt_to_several_parts(spark):
+    rows = spark.range(0, 8000, 1, 40).selectExpr("50L as a", "'x' as id")
+    left, _ = dealt(rows, rows.withColumnsRenamed({"a": "b", "id": "other"}), "a", "b", 100, 1000)
+    parts = left.filter("__bucket = 0 and __right_part = 0").groupBy("__left_part").count().collect()
+    assert sum(p["count"] for p in parts) == 8000 and max(p["count"] for p in parts) <= 4000
